@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from driftcurve.llm import embedding_dedup, exact_dedup, line_dedup, mixing, pii, simhash
+from driftcurve.llm import embedding_dedup, exact_dedup, line_dedup, mixing, pii, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_temperature_mix": mixing.op3_temperature_mix,
+        "op5_quality": quality.op5_quality,
         "op6_pii": pii.op6_pii,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
