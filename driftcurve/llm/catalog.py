@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftcurve.llm import embedding_dedup, exact_dedup, line_dedup, mixing, pii, quality, simhash
+from driftcurve.llm import embedding_dedup, exact_dedup, line_dedup, mixing, pieces, pii, quality, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_temperature_mix": mixing.op3_temperature_mix,
         "op5_quality": quality.op5_quality,
         "op6_pii": pii.op6_pii,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
