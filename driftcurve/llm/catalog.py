@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from driftcurve.llm import embedding_dedup, exact_dedup, line_dedup, mixing, pieces, pii, quality, simhash
+from driftcurve.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, pieces, pii, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_temperature_mix": mixing.op3_temperature_mix,
+        "op4_html_extract": html_extract.op4_html_extract,
         "op5_quality": quality.op5_quality,
         "op6_pii": pii.op6_pii,
         "op7_sentencepiece": pieces.op7_sentencepiece,
