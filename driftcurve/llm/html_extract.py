@@ -265,7 +265,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_blocks(page: str | None, template: dict) -> list[str]:
-    """The blocks of a page that fill its template's kept slots; for tokens the template lacks, the nearest one above it or the names decide."""
+    """The blocks of a page that fill its template's kept slots; for tokens the template lacks, the nearest one above it or the names decide.
+
+    So they do for a page with a main element on a host whose template has none, or the reverse.
+    """
     keep = template["keep"]
     decided: dict[str, bool | None] = {}
 
@@ -287,7 +290,7 @@ def main_blocks(page: str | None, template: dict) -> list[str]:
     out = []
     for p, t, linked in found:
         choice = by_template(p)
-        if choice is None or (has_main and not template.get("main", has_main)):
+        if choice is None or has_main != template.get("main", has_main):
             choice = names[p] == "main" if has_main else names[p] == "open" and linked < LINKED * len(t)
         if choice:
             out.append(t)
