@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from driftcurve.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, pieces, pii, quality, simhash
+from driftcurve.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, pieces, pii, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_warc_derivatives": warc.op2_warc_derivatives,
         "op3_temperature_mix": mixing.op3_temperature_mix,
         "op4_html_extract": html_extract.op4_html_extract,
         "op5_quality": quality.op5_quality,
