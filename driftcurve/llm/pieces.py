@@ -200,6 +200,18 @@ class Segmenter:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+_HELD: dict[int, Segmenter] = {}
+
+
+def segmenter_of(model: list[tuple[str, float, str]]) -> Segmenter:
+    """A Python worker's segmenter: its cache serves all tasks that the worker runs for a model."""
+    key = hash(tuple(model))
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Segmenter(model)
+    return _HELD[key]
+
+
 SCHEMA = "doc_id bigint, ids array<int>, n_pieces bigint, score double, alternatives array<struct<score:double,changes:array<struct<unit:int,ids:array<int>>>>>, round_trip boolean"
 
 
@@ -219,7 +231,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = NBEST) -
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # as large as the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(shared.value)
+        segmenter = segmenter_of(shared.value)
         change = pa.struct([("unit", pa.int32()), ("ids", pa.list_(pa.int32()))])
         other = pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])
         for whole in batches:
@@ -245,7 +257,7 @@ def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(shared.value)
+        segmenter = segmenter_of(shared.value)
         for b in batches:
             texts = [None if (x := b.column(1)[i].as_py()) is None else segmenter.decode(x) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
