@@ -109,31 +109,33 @@ class Segmenter:
     def solve(self, u: str) -> tuple[tuple[int, ...], float, float]:
         """A unit's best ids, their score, and how far behind the second best lies (inf if there is none).
 
-        The second best uses some arc off the best path; the best path through an arc scores the
-        forward score before it, the arc, and the backward score after it.
+        Viterbi with the two best scores of each position; of the second only the score is needed.
         """
-        arcs, best, by = self.lattice(u)
         n = len(u)
-        path, at = [], n
+        best, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        start, ids_at = [0] * (n + 1), [()] * (n + 1)
+        if self.covered(u):
+            arcs = self.automaton.iter(u)
+        else:
+            arcs = [(j - 1, (j - i, s, ids)) for i, j, s, ids in self.lattice(u)[0]]
+        for end, (length, s, ids) in arcs:
+            j = end + 1
+            i = j - length
+            v, top = best[i] + s, best[j]
+            if v > top:
+                t = second[i] + s
+                second[j] = top if top > t else t
+                best[j], start[j], ids_at[j] = v, i, ids
+            elif v > second[j]:
+                second[j] = v
+        if not (at := start[n]):
+            return ids_at[n], best[n], best[n] - second[n]
+        path = [ids_at[n]]
         while at:
-            arc = by[at]
-            path.append(arc)
-            at = arc[0]
-        on = set(map(id, path))
-        rest = [-math.inf] * n + [0.0]
-        behind = -math.inf
-        for arc in reversed(arcs):
-            i, j, s, _ = arc
-            s += rest[j]
-            if s > rest[i]:
-                rest[i] = s
-            s += best[i]
-            if s > behind and id(arc) not in on:
-                behind = s
-        if len(path) == 1:
-            return path[0][3], best[n], best[n] - behind
+            path.append(ids_at[at])
+            at = start[at]
         path.reverse()
-        return tuple([x for a in path for x in a[3]]), best[n], best[n] - behind
+        return tuple([x for p in path for x in p]), best[n], best[n] - second[n]
 
     def nbest_unit(self, u: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a unit, by A-star from its end back to its start.
