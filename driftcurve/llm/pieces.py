@@ -6,7 +6,6 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
 from operator import itemgetter
 
 import ahocorasick
@@ -16,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
-#: Segmented units that a Python worker keeps, in each of two generations.
-CACHE = 1 << 18
+#: Segmented units that a task keeps, in each of two generations: about 90 MB in all.
+CACHE = 1 << 17
 SPACE = "▁"
 
 
@@ -50,6 +49,14 @@ def log_probabilities(model: list[tuple[str, float, str]]) -> list[float]:
     return [low - 10 if kind == "byte" else s for s, (_, _, kind) in zip(out, model, strict=True)]
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<i4")
+
+
 class Segmenter:
     """Segments texts into pieces of a model by the sum of their scores.
 
@@ -73,7 +80,7 @@ class Segmenter:
             text = piece.replace(SPACE, " ") if kind == "normal" else ""
             self.raw.append(text.encode())
             if text:
-                self.automaton.add_word(text, (len(text), scores[i], (i,)))
+                self.automaton.add_word(text, (len(text), scores[i], packed([i])))
                 self.single |= {text} if len(text) == 1 else set()
                 inner |= " " in text.lstrip(" ")
                 breaks |= "\n" in text and len(text) > 1
@@ -97,7 +104,7 @@ class Segmenter:
             for i, c in enumerate(u):
                 if c not in self.single:
                     b = c.encode("utf-8", "surrogatepass")
-                    arcs.append((i, i + 1, self.byte_score * len(b), tuple([self.byte[x] for x in b])))
+                    arcs.append((i, i + 1, self.byte_score * len(b), packed([self.byte[x] for x in b])))
             arcs.sort(key=itemgetter(1))
         for arc in arcs:
             i, j, s, _ = arc
@@ -106,14 +113,14 @@ class Segmenter:
                 best[j], by[j] = s, arc
         return arcs, best, by
 
-    def solve(self, u: str) -> tuple[tuple[int, ...], float, float]:
-        """A unit's best ids, their score, and how far behind the second best lies (inf if there is none).
+    def solve(self, u: str) -> tuple[bytes, float, float]:
+        """A unit's best ids (packed), their score, and how far behind the second best lies (inf if there is none).
 
         Viterbi with the two best scores of each position; of the second only the score is needed.
         """
         n = len(u)
         best, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
-        start, ids_at = [0] * (n + 1), [()] * (n + 1)
+        start, ids_at = [0] * (n + 1), [b""] * (n + 1)
         if self.covered(u):
             arcs = self.automaton.iter(u)
         else:
@@ -135,9 +142,9 @@ class Segmenter:
             path.append(ids_at[at])
             at = start[at]
         path.reverse()
-        return tuple([x for p in path for x in p]), best[n], best[n] - second[n]
+        return b"".join(path), best[n], best[n] - second[n]
 
-    def nbest_unit(self, u: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def nbest_unit(self, u: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a unit, by A-star from its end back to its start.
 
         What remains before a position is worth exactly its forward Viterbi score, so hypotheses leave the
@@ -154,9 +161,9 @@ class Segmenter:
             if at == 0:
                 ids = []
                 while tail is not None:
-                    ids.extend(tail[0])
+                    ids.append(tail[0])
                     tail = tail[1]
-                out.append((done, tuple(ids)))
+                out.append((done, b"".join(ids)))
                 continue
             for i, s, ids in into[at]:
                 count += 1
@@ -172,10 +179,10 @@ class Segmenter:
             self.young[u] = e
         return e
 
-    def encode(self, text: str | None, n: int = NBEST) -> tuple[list[int], float, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:
-        """The best ids, their score, and the next n - 1: each its score and the units (by number) that it segments otherwise."""
+    def encode(self, text: str | None, n: int = NBEST) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, bytes]]]]]:
+        """The best ids, their score, and the next n - 1: each its score and the units (by number) that it segments otherwise, with their packed ids."""
         if not text:
-            return [], 0.0, []
+            return np.empty(0, np.int32), 0.0, []
         units = self.unit.findall(" " + text)
         get = self.young.get
         found = [get(u) or self.lookup(u) for u in units]
@@ -186,34 +193,23 @@ class Segmenter:
         for k in sorted(i for i in close if gaps[i] < math.inf):
             own = self.nbest_unit(units[k], n)
             sums = heapq.nsmallest(n, [(b + own[0][0] - s, (*c, (k, ids)) if j else c) for b, c in sums for j, (s, ids) in enumerate(own)], key=itemgetter(0))
-        return list(chain.from_iterable(map(itemgetter(0), found))), score, [(score - b, list(c)) for b, c in sums[1:n]]
+        return unpacked(b"".join(map(itemgetter(0), found))), score, [(score - b, list(c)) for b, c in sums[1:n]]
 
     def nbest(self, text: str | None, n: int = NBEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text in full: (score, ids), best first."""
         ids, score, more = self.encode(text, n)
         units = self.unit.findall(" " + text) if text else []
-        out = [(score, ids)]
+        out = [(score, ids.tolist())]
         for s, changes in more:
             other = dict(changes)
-            out.append((s, list(chain.from_iterable(other.get(i) or self.lookup(u)[0] for i, u in enumerate(units)))))
+            out.append((s, unpacked(b"".join(other.get(i) or self.lookup(u)[0] for i, u in enumerate(units))).tolist()))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-_HELD: dict[int, Segmenter] = {}
-
-
-def segmenter_of(model: list[tuple[str, float, str]]) -> Segmenter:
-    """A Python worker's segmenter: its cache serves all tasks that the worker runs for a model."""
-    key = hash(tuple(model))
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Segmenter(model)
-    return _HELD[key]
-
-
 SCHEMA = "doc_id bigint, ids array<int>, n_pieces bigint, score double, alternatives array<struct<score:double,changes:array<struct<unit:int,ids:array<int>>>>>, round_trip boolean"
 
 
@@ -233,7 +229,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = NBEST) -
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # as large as the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = segmenter_of(shared.value)
+        segmenter = Segmenter(shared.value)
         change = pa.struct([("unit", pa.int32()), ("ids", pa.list_(pa.int32()))])
         other = pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])
         for whole in batches:
@@ -242,9 +238,9 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = NBEST) -
                 for i in range(b.num_rows):
                     text = b.column(1)[i].as_py() or ""
                     got, score, rest = segmenter.encode(text, n)
-                    ids.append(np.array(got, np.int32))
+                    ids.append(got)
                     scores.append(score)
-                    more.append([{"score": s, "changes": [{"unit": k, "ids": list(x)} for k, x in c]} for s, c in rest])
+                    more.append([{"score": s, "changes": [{"unit": k, "ids": unpacked(x)} for k, x in c]} for s, c in rest])
                     fine.append(segmenter.decode(got) == text)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
@@ -259,7 +255,7 @@ def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = segmenter_of(shared.value)
+        segmenter = Segmenter(shared.value)
         for b in batches:
             texts = [None if (x := b.column(1)[i].as_py()) is None else segmenter.decode(x) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -48,7 +48,7 @@ def brute(spark, sf_dir, rows):
     totals = {s: sum(cost[i] for i, _, x in docs if x == s) for s in sorted({x for _, _, x in docs})}
     plan = mixing.plan_mix(list(totals.values()))
     segmenter = pieces.Segmenter(pieces.read_model())
-    return {i: segmenter.encode(t)[0] for i, t, _ in docs}, dict(zip(totals, plan.budgets, strict=True)), cost, {i: s for i, _, s in docs}
+    return {i: segmenter.encode(t)[0].tolist() for i, t, _ in docs}, dict(zip(totals, plan.budgets, strict=True)), cost, {i: s for i, _, s in docs}
 
 
 def test_run_equals_the_plain_version(spark, corpus):
