@@ -78,7 +78,7 @@ def nearest_quantile(x: str, q: float) -> Column:
 
 
 def main_stats(x: str, name: str | None = None, entropy: bool = True) -> Family:
-    """The basic statistics of a column; null values (a step before the first point) are no part of the series.
+    """The basic statistics of a column (distinct values by a set per series: several DISTINCT aggregates would each copy the rows); null values (a step before the first point) are no part of the series.
 
     Undefined ones are null: std of one point, moments of a constant, entropy unless all values are positive.
     """
@@ -89,7 +89,7 @@ def main_stats(x: str, name: str | None = None, entropy: bool = True) -> Family:
     found = {
         "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "median": F.median(c),
         "q25": nearest_quantile(x, 0.25), "q75": nearest_quantile(x, 0.75), "skewness": F.skewness(c), "kurtosis": F.kurtosis(c),
-        "first": F.min_by(c, place(x)), "last": F.max_by(c, place(x)), "arg_min": arg_min(x), "arg_max": arg_max(x), "n_unique": F.count_distinct(c),
+        "first": F.min_by(c, place(x)), "last": F.max_by(c, place(x)), "arg_min": arg_min(x), "arg_max": arg_max(x), "n_unique": F.size(F.collect_set(c)).cast("bigint"),
         "trend_changes": count_where(F.signum(F.col(d)) != F.signum(F.col(pd))),
     }
     if entropy:

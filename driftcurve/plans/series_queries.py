@@ -77,7 +77,7 @@ def series_short_stats(spark, sf_dir):
     """Series of 1 to a few points: order lines."""
     from pyspark.sql import Window as W
 
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("double").alias("mag"), "l_shipdate", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("double").alias("mag"), "l_quantity", "l_shipdate", "l_linenumber", "l_partkey")
     lines = lines.withColumn("pos", (F.row_number().over(W.partitionBy("id").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_quantity")) - 1).cast("bigint"))
     return rounded(fam.apply(lines, fam.main_stats("mag")))
 
@@ -156,7 +156,8 @@ def shape_fractions(spark, sf_dir):
 def _split(which: str):
     def run(spark, sf_dir):
         parts = [fam.split_stats(x, side, which, steps=x == "velocity") for x in ("mag", "norm", "velocity") for side in ("to", "from")]
-        return rounded(fam.apply(full_series(spark, sf_dir), *parts))
+        got = fam.apply(full_series(spark, sf_dir), *parts)
+        return rounded(got.withColumns({c: F.round(F.col(c) + 3e-7, 2) for c in got.columns if c.endswith("_energy")}))
 
     return run
 
@@ -315,6 +316,6 @@ def series_by_supplier(spark, sf_dir):
     """Few long series."""
     from pyspark.sql import Window as W
 
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_quantity").cast("double").alias("mag"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_quantity").cast("double").alias("mag"), "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     lines = lines.withColumn("pos", (F.row_number().over(W.partitionBy("id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1).cast("bigint"))
     return rounded(fam.apply(lines, fam.main_stats("mag", entropy=False)))

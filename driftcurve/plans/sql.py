@@ -87,7 +87,7 @@ def split(columns: tuple[str, ...], which: str) -> str:
  quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.75) AS q75, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, avg((x-mu)*(x-mu)*(x-mu)) / (max(sd*sd*sd) + 1e-10) AS skewness, avg((x-mu)*(x-mu)*(x-mu)*(x-mu)) / (max(sd*sd*sd*sd) + 1e-10) - 3 AS kurtosis,
  count(*) FILTER (x > mu + 2*sd) AS n_above_2sigma, count(*) FILTER (x < mu - 2*sd) AS n_below_2sigma, count(*) FILTER (x > mu + 3*sd) AS n_above_3sigma, count(*) FILTER (x < mu - 3*sd) AS n_below_3sigma, sum(x*x) AS energy FROM {p}1 GROUP BY id)""")
             outs += [f"coalesce({p}.{k}, 0) AS {n}_{k}" for k in ("len", "n_above_2sigma", "n_below_2sigma", "n_above_3sigma", "n_below_3sigma")]
-            outs += [r6(f"{p}.{k}", f"{n}_{k}") for k in ("mean", "std", "min", "max", "range", "slope", "median", "q25", "q75", "iqr", "skewness", "kurtosis")] + [r6(f"coalesce({p}.energy, 0)", f"{n}_energy")]
+            outs += [r6(f"{p}.{k}", f"{n}_{k}") for k in ("mean", "std", "min", "max", "range", "slope", "median", "q25", "q75", "iqr", "skewness", "kurtosis")] + [r6(f"round(coalesce({p}.energy, 0) + 3e-7, 2)", f"{n}_energy")]
     key = "(mag, pos)" if which == "argmin" else "(-mag, pos)"
     joins = " ".join(f"LEFT JOIN {x}_{s} USING (id)" for x in columns for s in ("to", "from"))
     return f"WITH {SERIES}, spot AS (SELECT id, arg_min(pos, {key}) AS k FROM series GROUP BY id),\n" + ",\n".join(parts) + f"\nSELECT spot.id, {', '.join(outs)} FROM spot {joins}"
