@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftcurve.functions import families as fam
 from driftcurve.operators import series as ser
-from driftcurve.plans import series_queries
+from driftcurve.plans import selection_queries, series_queries
 from driftcurve.sources.curves import curves
 
 
@@ -18,8 +18,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(series_queries.QUERIES)
+    return {**series_queries.QUERIES, **selection_queries.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return dict(series_queries.SQL)
+    return {**series_queries.SQL, **selection_queries.SQL}
