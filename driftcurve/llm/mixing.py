@@ -81,23 +81,28 @@ def cost(text: Column) -> Column:
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("bigint")
 
 
-def mix(docs: DataFrame, scratch: Scratch, budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, source, tokens, epoch, block, position, weight): each reading of a document in the mix.
+@dataclass
+class Mix:
+    """A mix on tables: its documents dealt into blocks, the plan of sources, and what each epoch reads of each block."""
+
+    dealt: DataFrame  # doc_id, source, tokens, block, h, within
+    planned: DataFrame  # source, total, blocks, weight, budget
+    epochs: DataFrame  # source, block, block_tokens, epoch, offset, weight, budget
+    seed: int
+
+
+def order_of(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"))
 
-    A source's documents are dealt by hash into blocks of about `block_docs`; within a block they keep
-    a hashed order. Each epoch reads all blocks of a source in an order of its own; the last epoch stops
-    where the source's budget ends, between two documents. `position` is the share of its source's
-    budget read before a document: sorted by it, every prefix of the mix has the target weights.
+
+def prepare(docs: DataFrame, scratch: Scratch, budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS) -> Mix:
+    """Deal each source's documents by hash into blocks of about `block_docs` and order the blocks anew for each epoch.
 
     Block totals are aggregated first and only they are ordered by source, so no source's documents meet
     in one task; cumulative sums over documents stay within a block.
-
-    Defined cases: a null or empty text costs one token; a null source is a source of its own; rows that
-    share a doc_id count as one document with their summed cost, in the smallest source name among
-    them; null doc_ids are one document; an empty table gives an empty mix; other columns are ignored.
     """
     one = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), cost(F.col("text")).alias("tokens"))
-    one = scratch.table(one.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens")), "costs")
+    one = scratch.table(one.groupBy("doc_id", "source").agg(F.sum("tokens").alias("tokens")), "costs")
     totals = one.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("docs"))
     rows = totals.orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -108,8 +113,7 @@ def mix(docs: DataFrame, scratch: Scratch, budget: int | None = None, max_repeti
     planned = scratch.table(docs.sparkSession.createDataFrame(data, T._parse_datatype_string(schema)).coalesce(1), "plan")
 
     p = planned.select(F.col("source").alias("__s"), "total", "blocks", "weight", "budget")
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    dealt = one.join(p.select("__s", "blocks"), F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "tokens", F.pmod(order, F.col("blocks")).alias("block"), order.alias("h"))
+    dealt = one.join(p.select("__s", "blocks"), F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "tokens", F.pmod(order_of(seed), F.col("blocks")).alias("block"), order_of(seed).alias("h"))
     w = W.partitionBy("source", "block").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     dealt = scratch.table(dealt.withColumn("within", F.coalesce(F.sum("tokens").over(w), F.lit(0))), "dealt")
 
@@ -117,20 +121,56 @@ def mix(docs: DataFrame, scratch: Scratch, budget: int | None = None, max_repeti
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("total")).cast("int"))))
     w = W.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("offset", F.col("epoch") * F.col("total") + F.coalesce(F.sum("block_tokens").over(w), F.lit(0)))
-    blocks = scratch.table(blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "epoch", "offset", "weight", "budget"), "blocks")
+    return Mix(dealt, planned, scratch.table(blocks.select("source", "block", "block_tokens", "epoch", "offset", "weight", "budget"), "epochs"), seed)
 
-    read = dealt.join(blocks, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
+
+def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """(doc_id, source, tokens, epoch, block, position, weight): each reading of a document in the mix; options as for `prepare`.
+
+    Each epoch reads all blocks of a source in an order of its own; within a block documents keep a
+    hashed order; the last epoch stops where the source's budget ends, between two documents.
+    `position` is the share of its source's budget read before a document: sorted by it, every prefix of
+    the mix has the target weights.
+
+    Defined cases: a null or empty text costs one token; a null source is a source of its own; rows that
+    share doc_id and source count as one document with their summed cost, in different sources as
+    different ones; null doc_ids are one document of their source; an empty table gives an empty mix;
+    other columns are ignored.
+    """
+    m = prepare(docs, scratch, **options)
+    e = m.epochs.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "epoch", "offset", "weight", "budget")
+    read = m.dealt.join(e, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
     start = F.col("offset") + F.col("within")
     read = read.where(start + F.col("tokens") <= F.col("budget"))
     return read.select("doc_id", "source", "tokens", "epoch", "block", (start / F.col("budget")).alias("position"), "weight")
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The documents of a mix with all their columns, once for each reading."""
-    read = mix(docs, scratch, **options).select(F.col("doc_id").alias("__read"))
-    read = scratch.table(read.groupBy("__read").agg(F.count("*").cast("int").alias("__times")), "readings")
-    joined = docs.join(read, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__read")))
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """The documents of a mix with all their columns, once for each reading.
+
+    How often a document is read follows from its source, its hash and one row for its block: the epochs
+    that read the block whole, and where the one that stops within it stops. That table has a row for some
+    thousands of documents, so the texts need not move to meet it.
+    """
+    m = prepare(docs, scratch, **options)
+    room = F.col("budget") - F.col("offset")
+    whole, cut = room >= F.col("block_tokens"), (room > 0) & (room < F.col("block_tokens"))
+    times = m.epochs.groupBy("source", "block").agg(F.count(F.when(whole, 1)).alias("times"), F.max(F.when(cut, room)).alias("room"))
+    times = times.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "times", "room")
+    last = m.dealt.join(times.where("room IS NOT NULL"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
+    last = last.where(F.col("within") + F.col("tokens") <= F.col("room")).groupBy(F.col("__s").alias("__cs"), F.col("__b").alias("__cb")).agg(F.max(F.struct("h", F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("__upto"))
+    times = times.join(last, F.col("__s").eqNullSafe(F.col("__cs")) & (F.col("__b") == F.col("__cb")), "left")
+    times = scratch.table(times.select("__s", "__b", F.col("times").alias("__times"), "__upto"), "times")
+    sizes = m.planned.select(F.col("source").alias("__p"), F.col("blocks").alias("__blocks"))
+
+    h = order_of(m.seed)
+    joined = docs.join(sizes, F.col("source").cast("string").eqNullSafe(F.col("__p")))
+    joined = joined.withColumn("__block", F.pmod(h, F.col("__blocks")))
+    joined = joined.join(times, F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    doc = F.col("doc_id").cast("bigint")
+    more = F.coalesce(F.struct(h.alias("h"), doc.isNotNull().alias("named"), doc.alias("doc_id")) <= F.col("__upto"), F.lit(False))
+    joined = joined.withColumn("__n", (F.col("__times") + more.cast("int")).cast("int")).where("__n > 0")
+    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

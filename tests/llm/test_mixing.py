@@ -72,14 +72,18 @@ def test_documents_come_back_once_a_reading(spark):
     df = docs(spark)
     got = M.mixed_documents(df, Scratch(spark, "t"))
     assert got.columns == df.columns
-    assert got.count() == M.mix(df, Scratch(spark, "t")).count()
     assert got.select("doc_id").distinct().count() == 600
+    for options in ({}, {"block_docs": 16}, {"budget": 4000, "block_docs": 16}, {"budget": 20_000}):
+        times = M.mix(df, Scratch(spark, "t"), **options).groupBy("doc_id").count()
+        assert sorted(map(tuple, times.collect())) == sorted(map(tuple, M.mixed_documents(df, Scratch(spark, "t"), **options).groupBy("doc_id").count().collect()))
 
 
 def test_edge_cases(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.mix(empty, Scratch(spark, "t")).count() == 0 and M.mixed_documents(empty, Scratch(spark, "t")).count() == 0
     rows = [(1, None, None, None, None), (2, "", "a", None, None), (2, "b c", "a", None, None), (None, "d", "b", None, None), (3, "x " * 100_000, "c", None, None)]
-    got = M.mix(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).where("epoch = 0").collect()
+    odd = spark.createDataFrame(rows, SCHEMA)
+    got = M.mix(odd, Scratch(spark, "t")).where("epoch = 0").collect()
     assert {(r.doc_id, r.source, r.tokens) for r in got} == {(1, None, 1), (2, "a", 3), (None, "b", 1), (3, "c", 100_000)}
-    assert M.mixed_documents(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t"), max_repetition=1.0).count() == 5
+    assert M.mixed_documents(odd, Scratch(spark, "t"), max_repetition=1.0).count() == 5
+    assert M.mixed_documents(odd.union(odd), Scratch(spark, "t"), max_repetition=1.0).count() == 10
