@@ -138,7 +138,8 @@ def dwt_level(points: DataFrame, wavelet: str, keys: tuple[str, ...] = ("id",))
     n = points.groupBy(*keys).agg(F.count("*").alias("__n"))
     own = points.join(n, list(keys))
     # output k reads signal index 2 k + 2 - taps + j: every place that reflects onto pos counts
-    reach = F.sequence(F.lit(-2), F.lit(2))
+    periods = (F.floor((taps + F.col("__n")) / (2 * F.col("__n"))) + 1).cast("int")
+    reach = F.sequence(-periods, periods)
     spots = own.withColumn("__m", F.explode(reach)).select(*keys, "x", "__n", F.explode(F.array(F.col("pos") + 2 * F.col("__m") * F.col("__n"), 2 * F.col("__n") - 1 - F.col("pos") + 2 * F.col("__m") * F.col("__n"))).alias("__at"))
     spots = spots.where((F.col("__at") >= 2 - taps) & (F.col("__at") <= 2 * F.floor((F.col("__n") + taps - 1) / 2) - 1))
     j = F.col("__at") - 2 * F.col("k") - 2 + taps
@@ -174,4 +175,5 @@ def level_energies(coefficients: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def energy(x: str) -> Column:
+    """Sum of squares."""
     return F.sum(F.col(x) * F.col(x))
