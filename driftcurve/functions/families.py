@@ -156,7 +156,11 @@ def with_fractions(features: DataFrame, name: str = "norm") -> DataFrame:
     return features.withColumns(there)
 
 
-def split_stats(x: str, side: str, which: str, index: str = "mag", name: str | None = None, steps: bool = False) -> Family:
+#: Of the split statistics those that are always there.
+BASIC_SPLIT = ("len", "mean", "std", "min", "max", "range", "slope")
+
+
+def split_stats(x: str, side: str, which: str, index: str = "mag", name: str | None = None, steps: bool = False, additional: bool = True) -> Family:
     """Statistics of a column before (side "to", exclusive) or from (side "from") the first extremum of `index`.
 
     A column of steps has one value fewer than its series, and its "from" part is as long as the
@@ -180,7 +184,7 @@ def split_stats(x: str, side: str, which: str, index: str = "mag", name: str | N
         "median": F.median(c), "q25": q25, "q75": q75, "iqr": q75 - q25, "skewness": F.avg((c - mu) * (c - mu) * (c - mu)) / (F.max(sd * sd * sd) + EPSILON), "kurtosis": F.avg((c - mu) * (c - mu) * (c - mu) * (c - mu)) / (F.max(sd * sd * sd * sd) + EPSILON) - 3,
         "n_above_2sigma": count_where(c > mu + 2 * sd), "n_below_2sigma": count_where(c < mu - 2 * sd), "n_above_3sigma": count_where(c > mu + 3 * sd), "n_below_3sigma": count_where(c < mu - 3 * sd), "energy": F.coalesce(F.sum(c * c), F.lit(0.0)),
     }
-    return Family(stages, [v.alias(f"{n}_{k}") for k, v in found.items()])
+    return Family(stages, [v.alias(f"{n}_{k}") for k, v in found.items() if additional or k in BASIC_SPLIT])
 
 
 def legacy_stats(x: str) -> Family:

@@ -63,24 +63,24 @@ def rescaled(x: str, how: str) -> Column:
     raise ValueError(how)
 
 
-def with_outliers(series: DataFrame, k: float) -> DataFrame:
+def with_outliers(series: DataFrame, k: float, column: str = "mag") -> DataFrame:
     """Add `__out` (strictly outside the quartiles by k interquartile ranges) and `__outs`, their number in the series."""
-    q1, q3 = F.percentile("mag", F.lit(0.25)).over(series_window()), F.percentile("mag", F.lit(0.75)).over(series_window())
-    out = (F.col("mag") < q1 - k * (q3 - q1)) | (F.col("mag") > q3 + k * (q3 - q1))
+    q1, q3 = F.percentile(column, F.lit(0.25)).over(series_window()), F.percentile(column, F.lit(0.75)).over(series_window())
+    out = (F.col(column) < q1 - k * (q3 - q1)) | (F.col(column) > q3 + k * (q3 - q1))
     series = series.withColumn("__out", F.coalesce(out, F.lit(False)))
     return series.withColumn("__outs", F.sum(F.col("__out").cast("int")).over(series_window()))
 
 
-def clean_outlier(series: DataFrame, k: float = 40.0) -> DataFrame:
+def clean_outlier(series: DataFrame, k: float = 40.0, column: str = "mag") -> DataFrame:
     """Replace a series' only outlier by its neighbours' mean (at an end by the one neighbour) and add `had_od`.
 
     Series with no or several outliers stay as they are.
     """
-    series = with_outliers(series, k)
-    before, after = F.lag("mag").over(ordered()), F.lead("mag").over(ordered())
-    between = F.coalesce((before + after) / 2, before, after, F.col("mag"))
-    series = series.withColumn("__mag", F.when((F.col("__outs") == 1) & F.col("__out"), between).otherwise(F.col("mag")))
-    return series.withColumn("had_od", F.col("__outs") == 1).withColumn("mag", F.col("__mag")).drop("__mag", "__out", "__outs")
+    series = with_outliers(series, k, column)
+    before, after = F.lag(column).over(ordered()), F.lead(column).over(ordered())
+    between = F.coalesce((before + after) / 2, before, after, F.col(column))
+    series = series.withColumn("__clean", F.when((F.col("__outs") == 1) & F.col("__out"), between).otherwise(F.col(column)))
+    return series.withColumn("had_od", F.col("__outs") == 1).withColumn(column, F.col("__clean")).drop("__clean", "__out", "__outs")
 
 
 def drop_outlier(series: DataFrame, k: float = 40.0) -> DataFrame:
