@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from driftcurve.operators.selection import Thresholds, hashed
 
-MODES = ("features_only", "sequence_only", "hybrid")
-
 
 def with_weights(df: DataFrame, label: str, weight: str | None = None, by_class: dict[int, float] | None = None) -> DataFrame:
     """Add `__w`: a sample's weight times its class's."""
@@ -64,11 +62,9 @@ def importances(model: PipelineModel, columns: list[str], df: DataFrame) -> Data
 
 
 def train_network(df: DataFrame, columns: list[str], label: str = "y", hidden: tuple[int, ...] = (32, 16), rounds: int = 100, seed: int = 42, mode: str = "features_only") -> PipelineModel:
-    """A perceptron on standardised features. Sequence modes need recurrent or attention layers, which the platform lacks."""
-    if mode not in MODES:
-        raise ValueError(f"{mode}: not one of {MODES}")
+    """A perceptron on standardised features, trained on the cluster; for modes with sequences see `networks`."""
     if mode != "features_only":
-        raise NotImplementedError("sequence modes are out of scope here; see the README")
+        raise ValueError(f"{mode}: sequences are for driftcurve.operators.networks")
     stages = [VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="keep"), StandardScaler(inputCol="__v", outputCol="__x", withMean=True), MultilayerPerceptronClassifier(featuresCol="__x", labelCol=label, layers=[len(columns), *hidden, 2], maxIter=rounds, seed=seed)]
     return Pipeline(stages=stages).fit(df.withColumn(label, F.col(label).cast("double")))
 

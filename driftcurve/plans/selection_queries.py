@@ -456,3 +456,16 @@ def self_training(spark, sf_dir):
     config = loop.Config(train_neg=40, validation_neg=40, held_out_neg=20, train_pos=0.5, validation_pos=0.3, max_iterations=2, members=2, rounds=5)
     result = loop.SelfTraining(spark, pool, known, columns, config).run()
     return spark.createDataFrame(result["history"], loop.HISTORY)
+
+
+@query("sequence_scores")
+def sequence_scores(spark, sf_dir):
+    """A hybrid recurrent classifier on sequences and features of all series."""
+    from driftcurve.operators import networks
+
+    s = full_series(spark, sf_dir)
+    steps = seq.stacked(seq.preprocessed(s), ("mjd", "mag", "magerr"), "double")
+    wide = fam.apply(s, fam.Family([], [F.avg("norm").alias("norm_mean"), F.min("norm").alias("norm_min"), F.first("class").alias("class")]))
+    rows = wide.join(steps, "id").withColumnRenamed("id", "row_index")
+    model = networks.train(rows, networks.Settings(columns=("norm_mean", "norm_min"), hidden=8, epochs=3))
+    return rounded(networks.predict(model, rows))
