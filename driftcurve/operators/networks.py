@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftcurve.operators.selection import hashed
+from driftcurve.session import with_code
 
 MODES = ("sequence_only", "features_only", "hybrid")
 CELLS = ("rnn", "gru", "lstm", "transformer")
@@ -380,7 +381,7 @@ def predict(model: SequenceModel, df: DataFrame, key: str = "row_index") -> Data
                 p = model.probabilities(arrays_of(b.column(1), width), np.nan_to_num(features, posinf=1e6, neginf=-1e6))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=[key, "p"])
 
-    return own.mapInArrow(run, f"{key} {dict(own.dtypes)[key]}, p double")
+    return with_code(own).mapInArrow(run, f"{key} {dict(own.dtypes)[key]}, p double")
 
 
 def save(spark: SparkSession, model: SequenceModel, path: str) -> None:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftcurve.functions.filters import WAVELETS, high_pass, low_pass, usable_levels
+from driftcurve.session import with_code
 
 GRID, SHORTEST, EPSILON = 64, 8, 1e-10
 GLOBALS = ("total_energy", "detail_ratio", "max_detail", "entropy", "detail_approx_ratio", "dominant_level")
@@ -124,7 +125,7 @@ def wavelet_features(nested: DataFrame, value: str = "norm", time: str | None =
                 got[[i for i, _ in rows]] = statistics(np.stack([s for _, s in rows]), wavelets, levels)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array(got[:, k]) for k in range(len(names)))], names=[*keys, *names])
 
-    return own.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in names]))
+    return with_code(own).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in names]))
 
 
 def dwt_level(points: DataFrame, wavelet: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
