@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftcurve.llm.components import connected_components
 from driftcurve.llm.simhash import Forest
 from driftcurve.llm.storage import Scratch
+from driftcurve.session import with_code
 
 SEED = 42
 #: Vectors (and numbers in all) that codebooks and the traversal's width are fitted on.
@@ -163,7 +164,7 @@ def search(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float, rec
             cells = index.home(matrix(b.column("v"), dim)) if b.num_rows else np.empty(0, int)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.astype(np.int32))], names=[*b.schema.names, "shard"])
 
-    placed = scratch.table(vectors.select("rep", "weight", "v").mapInArrow(place, f"rep bigint, weight bigint, v {kind}, shard int"), f"placed-{dim}")
+    placed = scratch.table(with_code(vectors.select("rep", "weight", "v")).mapInArrow(place, f"rep bigint, weight bigint, v {kind}, shard int"), f"placed-{dim}")
     held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # at most MAX_CENTROIDS squared
     blocks = np.array([math.ceil(held.get(s, 0) / BLOCK_ROWS) for s in range(len(index.first) * index.groups)])
     start = np.concatenate([[0], np.cumsum(blocks)])
@@ -189,7 +190,7 @@ def search(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float, rec
         rep, links, dst = solve_block(index, t["home"].to_numpy(zero_copy_only=False), t["shard"].to_numpy(), t["rep"].to_numpy(), t["weight"].to_numpy(), matrix(t["v"].combine_chunks(), dim), threshold)
         return pa.table({"rep": rep, "links": links, "dst": dst})
 
-    dealt = placed.mapInArrow(deal, f"block int, home boolean, rep bigint, weight bigint, v {kind}, shard int")
+    dealt = with_code(placed).mapInArrow(deal, f"block int, home boolean, rep bigint, weight bigint, v {kind}, shard int")
     return dealt.groupBy("block").applyInArrow(solve, "rep bigint, links bigint, dst bigint")
 
 

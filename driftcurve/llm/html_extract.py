@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftcurve.llm.storage import Scratch
+from driftcurve.session import with_code
 
 #: A host needs this many pages for its tokens' occurrence vectors to tell anything.
 MIN_PAGES = 3
@@ -196,7 +197,7 @@ def token_statistics(pages: DataFrame) -> DataFrame:
             kinds = [pa.string()] * 2 + [pa.int64()] * 8 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=STATS.replace(",", "").split()[::2])
 
-    stats = pages.select("host", "key", "html").mapInArrow(run, STATS)
+    stats = with_code(pages.select("host", "key", "html")).mapInArrow(run, STATS)
     sums = [F.sum(c).alias(c) for c in ("pages", "times", "low", "high", "chars", "linked")]
     return stats.groupBy("host", "path").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"), F.sum("place").alias("place"))
 
@@ -326,7 +327,7 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     joined = own.join(known, F.col("host") == F.col("template_host"), "left").select("page_id", "url", "html", "template")
     kinds = dict(pages.dtypes)
-    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return with_code(joined).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

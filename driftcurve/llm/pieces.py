@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from driftcurve.session import with_code
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 #: Segmented units that a task keeps, in each of two generations: about 90 MB in all.
@@ -247,7 +249,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = NBEST) -
                 counts = pa.array(np.diff(ends).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, counts, pa.array(scores, pa.float64()), pa.array(more, pa.list_(other)), pa.array(fine)], names=["doc_id", "ids", "n_pieces", "score", "alternatives", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return with_code(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))).mapInArrow(run, SCHEMA)
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -260,7 +262,7 @@ def decode_documents(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
             texts = [None if (x := b.column(1)[i].as_py()) is None else segmenter.decode(x) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return with_code(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id bigint, text string")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

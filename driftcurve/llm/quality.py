@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from driftcurve.session import with_code
+
 SEED = 42
 #: Labelled documents taken for training, by label, and the longest of them in bytes: what bounds the driver's memory.
 TRAIN_ROWS, TRAIN_BYTES = 1200, 1 << 15
@@ -186,7 +188,7 @@ def score(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
             got = np.array([probability(net, tables, b.column(1)[i].as_py()) for i in range(b.num_rows)], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
+    scored = with_code(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -200,7 +202,7 @@ def accepted(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFra
             keep = pa.array([probability(net, tables, b.column(at)[i].as_py()) >= threshold for i in range(b.num_rows)], pa.bool_())
             yield b.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_code(docs).mapInArrow(run, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

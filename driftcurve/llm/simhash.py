@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftcurve.llm.components import connected_components
 from driftcurve.llm.storage import Scratch
+from driftcurve.session import with_code
 
 SEED = 42
 #: Fingerprints that the driver may take to place vantage points (or to find hot buckets).
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int, n_words: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k].view(np.int64)) for k in range(n_words))], names=["doc_id", *word_names(n_words)])
 
     schema = "doc_id bigint, " + ", ".join(f"{x} bigint" for x in word_names(n_words))
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return with_code(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 # --- exact pairs within a shard ----------------------------------------------------------------
@@ -257,7 +258,7 @@ def vp_links(reps: DataFrame, radius: int) -> DataFrame:
         link_tree(t["f0"].to_numpy().view(np.uint64)[order], radius, forest)
         return stars(rep[order], forest)
 
-    dealt = reps.select("f0", "rep").mapInArrow(deal, "shard int, f0 bigint, rep bigint")
+    dealt = with_code(reps.select("f0", "rep")).mapInArrow(deal, "shard int, f0 bigint, rep bigint")
     return dealt.groupBy("shard").applyInArrow(solve, "src bigint, dst bigint")
 
 
@@ -345,7 +346,7 @@ def band_links(reps: DataFrame, radius: int, n_words: int, recall: float = 0.99)
             out = pa.concat_tables([out, pa.table({"src": pa.array([int(rep[order][linked[0]])], pa.int64()), "dst": pa.array([hub[int(linked[0])].as_py()], pa.int64())})])
         return out
 
-    dealt = reps.select(*names, "rep").mapInArrow(deal, "shard bigint, " + ", ".join(f"{x} bigint" for x in names) + ", rep bigint, hub bigint")
+    dealt = with_code(reps.select(*names, "rep")).mapInArrow(deal, "shard bigint, " + ", ".join(f"{x} bigint" for x in names) + ", rep bigint, hub bigint")
     return dealt.groupBy("shard").applyInArrow(solve, "src bigint, dst bigint")
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftcurve.llm.html_extract import RAW, blocks_of
+from driftcurve.session import with_code
 
 VERSION = "WARC/1.1"
 #: What `pages` does not say about a fetch.
@@ -117,7 +118,7 @@ def responses_from_pages(pages: DataFrame, date: str = UNKNOWN_DATE) -> DataFram
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["page_id", "record_id", "target_uri", "warc_date", "block"])
 
-    return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, RESPONSE)
+    return with_code(pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))).mapInArrow(run, RESPONSE)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +136,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                     names=["page_id", "record_id", "target_uri", "warc_date", "block"],
                 )
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+    return with_code(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(run, RESPONSE)
 
 
 # --- derivatives ----------------------------------------------------------------------------------
@@ -207,7 +208,7 @@ def derivatives(responses: DataFrame, members: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     columns = responses.select(F.col("page_id").cast("bigint"), "record_id", "target_uri", "warc_date", "block")
-    return columns.mapInArrow(run, DERIVED + (", member binary" if members else ""))
+    return with_code(columns).mapInArrow(run, DERIVED + (", member binary" if members else ""))
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
