@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from driftcurve.operators.splits import hash_ranked
 
 
 def resolve_expert(labels: DataFrame) -> DataFrame:
@@ -32,11 +34,12 @@ def conflicts(pos: DataFrame, neg: DataFrame) -> DataFrame:
 
 
 def index_column(df: DataFrame) -> tuple[DataFrame, str]:
-    """The column that identifies rows: row_index, else index, else a generated one in the order of all columns."""
+    """The column that identifies rows: row_index, else index, else numbers in an order by the hash of all columns."""
     for c in ("row_index", "index"):
         if c in df.columns:
             return df, c
-    return df.withColumn("row_index", (F.row_number().over(W.orderBy(*df.columns)) - 1).cast("bigint")), "row_index"
+    numbered = hash_ranked(df, 0, tuple(df.columns))
+    return numbered.withColumn("row_index", (F.col("__rank") - 1).cast("bigint")).drop("__rank", "__n"), "row_index"
 
 
 def labelled_set(pool: DataFrame, known: DataFrame | None, pos: dict[str, DataFrame], neg: dict[str, DataFrame]) -> DataFrame:
@@ -106,6 +109,3 @@ def with_sequences(samples: DataFrame, pool_sequences: DataFrame, known_sequence
     joined = samples.join(tagged, (F.col("_dataset") == F.col("__d")) & (F.col("_orig_idx") == F.col("__i")), "left").drop("__d", "__i")
     return joined.withColumn("sequence", F.coalesce("sequence", zero))
 
-
-def first_of(column: str) -> Column:
-    return F.first(column)

@@ -57,12 +57,12 @@ class SelfTraining:
         known = splits.stratified_split(self.known, c.train_pos, c.validation_pos, c.seed)
         roles = known.select(F.lit(True).alias("from_known"), "row_index", F.lit(1).alias("label"), "role")
         need = c.train_neg + c.validation_neg + c.held_out_neg
-        drawn = sel.sample(self.pool.select("row_index"), need, c.seed)
+        drawn = self.store.table(sel.sample(self.pool.select("row_index"), need, c.seed), "drawn")
         if drawn.count() < need:
             raise ValueError(f"the pool has fewer than {need} rows")
-        rank = F.row_number().over(_in_order(c.seed))
+        rank = F.col("__rank")
         role = F.when(rank <= c.train_neg, "train").when(rank <= c.train_neg + c.validation_neg, "validation").otherwise("held_out")
-        negatives = drawn.withColumn("role", role).select(F.lit(False).alias("from_known"), "row_index", F.lit(0).alias("label"), "role")
+        negatives = splits.hash_ranked(drawn, c.seed, ("row_index",)).withColumn("role", role).select(F.lit(False).alias("from_known"), "row_index", F.lit(0).alias("label"), "role")
         self.roles = self.store.table(roles.unionByName(negatives), "roles")
         seeds = self.roles.where("role = 'train'").select("row_index", "label", F.lit(1.0).alias("weight"), F.lit("seed").alias("source"), F.lit(0).alias("added_iter"), F.lit(1.0).alias("confidence"), F.lit(1.0).alias("consensus_score"), "from_known")
         if self.expert is not None:
@@ -159,8 +159,3 @@ class SelfTraining:
         settings = json.dumps({"config": asdict(self.config), "reason": result["reason"], "held_out": result["held_out"]})
         self.spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/settings")
 
-
-def _in_order(seed: int):
-    from pyspark.sql import Window as W
-
-    return W.orderBy(sel.hashed(seed, "row_index"), "row_index")

@@ -8,9 +8,14 @@ EPSILON = 1e-10
 STATS = ("mean", "median", "std")
 
 
-def tall_stats(df: DataFrame, columns: list[str], suffix: str) -> DataFrame:
-    """(feature, mean, median, std, n) of each column: one wide aggregate, so the table is read once and not multiplied by its columns."""
-    aggs = [f(F.col(c).cast("double")).alias(f"{k}|{c}") for c in columns for k, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))]
+def tall_stats(df: DataFrame, columns: list[str], suffix: str, accuracy: int | None = None) -> DataFrame:
+    """(feature, mean, median, std, n) of each column: one wide aggregate, so the table is read once and not multiplied by its columns.
+
+    Exact medians hold a column's distinct values in one task. For large populations `accuracy` takes a
+    sketch instead: ranks are then within n / accuracy.
+    """
+    median = F.median if accuracy is None else lambda x: F.percentile_approx(x, 0.5, accuracy)
+    aggs = [f(F.col(c).cast("double")).alias(f"{k}|{c}") for c in columns for k, f in (("mean", F.avg), ("median", median), ("std", F.stddev_samp))]
     wide = df.agg(F.count("*").alias("n"), *aggs)
     rows = F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"`{k}|{c}`").alias(f"{k}_{suffix}") for k in STATS), F.col("n").alias(f"n_{suffix}")) for c in columns))
     return wide.select(F.inline(rows))
@@ -20,11 +25,11 @@ def signed_log2(x: Column) -> Column:
     return F.when(x > 0, F.log2(x + EPSILON)).otherwise(-F.log2(F.abs(x) + EPSILON))
 
 
-def rank_features(population: DataFrame, rare: DataFrame, columns: list[str]) -> DataFrame:
+def rank_features(population: DataFrame, rare: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Per feature both tables' statistics, their ratios (with the population's sign), signed log ratios and effect sizes, strongest first."""
     if not columns:
         raise ValueError("no common numeric columns")
-    df = tall_stats(population, columns, "pop").join(tall_stats(rare, columns, "rare"), "feature")
+    df = tall_stats(population, columns, "pop", accuracy).join(tall_stats(rare, columns, "rare", accuracy), "feature")
     for k in STATS:
         pop, own = F.col(f"{k}_pop"), F.col(f"{k}_rare")
         df = df.withColumn(f"{k}_ratio", F.when(pop >= 0, own / (F.abs(pop) + EPSILON)).otherwise(-own / (F.abs(pop) + EPSILON)))

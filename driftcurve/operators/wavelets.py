@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftcurve.functions.filters import WAVELETS, high_pass, low_pass, usable_levels
 from driftcurve.session import with_code
@@ -131,13 +131,12 @@ def wavelet_features(nested: DataFrame, value: str = "norm", time: str | None =
 def dwt_level(points: DataFrame, wavelet: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """One level of (keys, pos, x) in long form as (keys, k, approx, detail), by a join with the filter's taps.
 
-    Each point meets the few outputs that it contributes to; the taps are a literal array of the plan,
-    so nothing but the sums by output is shuffled.
+    Each point meets the few outputs that it contributes to; the taps are a literal array of the plan.
+    The points are shuffled once, by their series: the sums by output reuse that.
     """
     low, high = low_pass(wavelet), high_pass(wavelet)
     taps = len(low)
-    n = points.groupBy(*keys).agg(F.count("*").alias("__n"))
-    own = points.join(n, list(keys))
+    own = points.withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
     # output k reads signal index 2 k + 2 - taps + j: every place that reflects onto pos counts
     periods = (F.floor((taps + F.col("__n")) / (2 * F.col("__n"))) + 1).cast("int")
     reach = F.sequence(-periods, periods)

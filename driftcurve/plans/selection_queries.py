@@ -469,3 +469,31 @@ def sequence_scores(spark, sf_dir):
     rows = wide.join(steps, "id").withColumnRenamed("id", "row_index")
     model = networks.train(rows, networks.Settings(columns=("norm_mean", "norm_min"), hidden=8, epochs=3))
     return rounded(networks.predict(model, rows))
+
+
+@query("diagonal_union", "SELECT doc_id AS id, lang, NULL AS kind FROM documents UNION ALL SELECT event_id, NULL, event_type FROM events")
+def diagonal_union(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    b = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("pool_exclusion", f"WITH {PREDS}, {SAMPLES} SELECT count(*) AS n, CAST(sum(row_index) AS BIGINT) AS total FROM preds WHERE row_index NOT IN (SELECT row_index FROM samples) AND row_index NOT IN (SELECT doc_id FROM documents)")
+def pool_exclusion(spark, sf_dir):
+    """Rows of the pool in none of two sets: anti-joins, whose sides may both be large."""
+    left = preds(spark, sf_dir).select("row_index")
+    for other in (samples(spark, sf_dir).select("row_index"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"))):
+        left = left.join(other, "row_index", "left_anti")
+    return left.agg(F.count("*").alias("n"), F.sum("row_index").alias("total"))
+
+
+@query("probability_report", f"WITH {PREDS} SELECT row_index, user_id, {r6('p', 'p')}, row_number() OVER (ORDER BY p DESC, row_index) AS place FROM preds")
+def probability_report(spark, sf_dir):
+    """All rows by falling probability with their places; places come from counts of probability steps, not from one sort."""
+    df = preds(spark, sf_dir).select("row_index", "user_id", "p").withColumn("__b", F.floor(F.col("p") * 1000))
+    from pyspark.sql import Window as W
+
+    counts = df.groupBy(F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
+    before = counts.select("__c", F.coalesce(F.sum("__n").over(W.orderBy(F.col("__c").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(W.partitionBy("__b").orderBy(F.col("p").desc(), "row_index"))
+    return rounded(df.join(before, F.col("__b") == F.col("__c")).select("row_index", "user_id", "p", (F.col("__before") + within).alias("place")))

@@ -319,3 +319,27 @@ def series_by_supplier(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_quantity").cast("double").alias("mag"), "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     lines = lines.withColumn("pos", (F.row_number().over(W.partitionBy("id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1).cast("bigint"))
     return rounded(fam.apply(lines, fam.main_stats("mag", entropy=False)))
+
+
+@query("series_steps", f"WITH {SERIES} SELECT id, pos, {r6('norm', 'norm')}, {r6('mjd_diff', 'mjd_diff')}, {r6('velocity', 'velocity')} FROM series")
+def series_steps(spark, sf_dir):
+    return rounded(full_series(spark, sf_dir).select("id", "pos", "norm", "mjd_diff", "velocity"))
+
+
+@query(
+    "series_safe_norm",
+    f"WITH {CURVES}, z AS (SELECT *, CASE WHEN id % 3 = 0 THEN 0 ELSE magerr END AS e FROM curves), m AS (SELECT id, median(mag) AS mid, median(e) AS err FROM z GROUP BY id) SELECT z.id, z.pos, {r6('CASE WHEN err = 0 THEN mag - mid ELSE (mag - mid) / err END', 'norm')} FROM z JOIN m USING (id)",
+)
+def series_safe_norm(spark, sf_dir):
+    """Series whose errors are all 0 are only centred."""
+    s = curves(spark, sf_dir).withColumn("magerr", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("magerr")))
+    return rounded(ser.with_norm(s, "centre").select("id", "pos", "norm"))
+
+
+@query(
+    "series_round_trip",
+    f"WITH {CURVES} SELECT id, pos, {r6('mjd', 'mjd')}, {r6('mag', 'mag')} FROM curves",
+)
+def series_round_trip(spark, sf_dir):
+    """Long form to arrays and back."""
+    return rounded(ser.explode_series(ser.implode_series(curves(spark, sf_dir), ("mjd", "mag"))).select("id", F.col("pos").cast("bigint").alias("pos"), "mjd", "mag"))
