@@ -12,10 +12,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: The most that an Arrow batch to Python should hold. Texts are long; batches of the default size fill an executor's direct memory.
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def with_code(df: DataFrame) -> DataFrame:
-    """The frame itself, once its application's executors can import this package, wherever they run."""
+    """The frame itself, once its executors can import this package, wherever they run, and get batches of bounded size."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(size).rstrip("bB")) > ARROW_BATCH_BYTES:
+        df.sparkSession.conf.set(size, str(ARROW_BATCH_BYTES))
     sc = df.sparkSession.sparkContext
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
