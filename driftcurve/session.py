@@ -18,10 +18,11 @@ ARROW_BATCH_BYTES = 4 << 20
 
 def with_code(df: DataFrame) -> DataFrame:
     """The frame itself, once its executors can import this package, wherever they run, and get batches of bounded size."""
+    sc = df.sparkSession.sparkContext
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(size).rstrip("bB")) > ARROW_BATCH_BYTES:
+    now = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get(size))
+    if not 0 < now <= ARROW_BATCH_BYTES:
         df.sparkSession.conf.set(size, str(ARROW_BATCH_BYTES))
-    sc = df.sparkSession.sparkContext
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         home = Path(__file__).resolve().parent
