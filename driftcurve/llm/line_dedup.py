@@ -11,11 +11,11 @@ MIN_PAGES = 5
 
 
 def line_keys(text: Column) -> Column:
-    """For each line of a text the 128-bit key of its trimmed form; null for a blank line."""
+    """For each line of a text the 128-bit key of its trimmed form, as a string, whose repeats a hash set finds; null for a blank line."""
 
     def key(line: Column) -> Column:
         bare = F.trim(line, F.lit(" \t\r"))
-        return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b")))
+        return F.when(bare != "", F.md5(bare.cast("binary")))
 
     return F.transform(F.split(text, "\n"), key)
 
@@ -39,12 +39,12 @@ def line_dedup(docs: DataFrame, scratch: Scratch, host: str = "source", ratio: f
     site = F.col("__host")
     keyed = docs.select(F.col("doc_id").alias("__doc"), F.col(host).alias("__host"), F.array_distinct(F.array_compact(line_keys(F.col("text")))).alias("__keys"))
     pages = docs.groupBy(F.col(host).alias("__site")).agg(F.count("*").alias("__pages"))
-    lines = keyed.select("__doc", "__host", F.explode("__keys").alias("__key")).select("__doc", "__host", F.col("__key.a").alias("__a"), F.col("__key.b").alias("__b"))
-    counts = lines.groupBy("__host", "__a", "__b").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
-    boiler = counts.join(pages, site.eqNullSafe(F.col("__site"))).where(F.col("__n") > F.lit(ratio) * F.col("__pages")).select(F.col("__host").alias("__bh"), F.col("__a").alias("__ba"), F.col("__b").alias("__bb"))
+    lines = keyed.select("__doc", "__host", F.explode("__keys").alias("__key"))
+    counts = lines.groupBy("__host", "__key").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
+    boiler = counts.join(pages, site.eqNullSafe(F.col("__site"))).where(F.col("__n") > F.lit(ratio) * F.col("__pages")).select(F.col("__host").alias("__bh"), F.col("__key").alias("__bk"))
     boiler = scratch.table(boiler, "boilerplate")
-    hits = lines.join(boiler, site.eqNullSafe(F.col("__bh")) & (F.col("__a") == F.col("__ba")) & (F.col("__b") == F.col("__bb")))
-    hits = hits.groupBy(F.col("__doc").alias("__hd"), F.col("__host").alias("__hh")).agg(F.collect_set(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__drop"))
+    hits = lines.join(boiler, site.eqNullSafe(F.col("__bh")) & (F.col("__key") == F.col("__bk")))
+    hits = hits.groupBy(F.col("__doc").alias("__hd"), F.col("__host").alias("__hh")).agg(F.collect_set("__key").alias("__drop"))
     hits = scratch.table(hits, "hits")
     joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__hd")) & F.col(host).eqNullSafe(F.col("__hh")), "left")
     split = F.split(F.col("text"), "\n")
