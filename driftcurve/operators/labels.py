@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftcurve.operators.splits import hash_ranked
+from driftcurve.operators.ordering import hash_ranked
 
 
 def resolve_expert(labels: DataFrame) -> DataFrame:

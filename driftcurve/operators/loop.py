@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftcurve.operators import labels as lab, metrics as met, selection as sel, splits, training as tr
+from driftcurve.operators.ordering import hash_ranked
 from driftcurve.sources import state
 
 HISTORY = (
@@ -62,7 +63,7 @@ class SelfTraining:
             raise ValueError(f"the pool has fewer than {need} rows")
         rank = F.col("__rank")
         role = F.when(rank <= c.train_neg, "train").when(rank <= c.train_neg + c.validation_neg, "validation").otherwise("held_out")
-        negatives = splits.hash_ranked(drawn, c.seed, ("row_index",)).withColumn("role", role).select(F.lit(False).alias("from_known"), "row_index", F.lit(0).alias("label"), "role")
+        negatives = hash_ranked(drawn, c.seed, ("row_index",)).withColumn("role", role).select(F.lit(False).alias("from_known"), "row_index", F.lit(0).alias("label"), "role")
         self.roles = self.store.table(roles.unionByName(negatives), "roles")
         seeds = self.roles.where("role = 'train'").select("row_index", "label", F.lit(1.0).alias("weight"), F.lit("seed").alias("source"), F.lit(0).alias("added_iter"), F.lit(1.0).alias("confidence"), F.lit(1.0).alias("consensus_score"), "from_known")
         if self.expert is not None:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftcurve.operators.selection import hashed
+from driftcurve.operators.ordering import hashed
 from driftcurve.session import with_code
 
 MODES = ("sequence_only", "features_only", "hybrid")

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftcurve.operators.ordering import hash_ranked, hashed
+
 MIN_CONSENSUS_MODELS, CONSENSUS_FRACTION = 2, 0.5
 POSITIVE_PREFILTER, NEGATIVE_SUBSAMPLE = 50, 2
 POSITIVE_WEIGHT_SCALE = 0.5
@@ -56,11 +58,6 @@ class Thresholds:
     prevalence: float = 0.001
 
 
-def hashed(seed: int, *keys: str) -> Column:
-    """A reproducible shuffle: order by this instead of drawing at random."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
-
-
 def between(df: DataFrame, low: float, high: float) -> DataFrame:
     """Rows whose probability (`flare_prob` if there is one, else `probability`) lies in [low, high]."""
     name = next((c for c in ("flare_prob", "probability") if c in df.columns), None)
@@ -70,16 +67,14 @@ def between(df: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, seed: int, key: str = "row_index", per: str | None = None) -> DataFrame:
-    """n rows in hashed order, of each value of `per` if given: by an aggregate that keeps n rows a group, not by sorting groups."""
+    """n rows in hashed order, of each value of `per` if given; no group is sorted in one task."""
     if per is None:
         return df.orderBy(hashed(seed, key), key).limit(n)
     packed = F.struct(hashed(seed, key).alias("h"), *df.columns)
     if n == 1:
         return df.groupBy(per).agg(F.min(packed).alias("__r")).select("__r.*").drop("h")
-    from pyspark.sql import Window as W
-
-    ranked = df.withColumn("__n", F.row_number().over(W.partitionBy(per).orderBy(hashed(seed, key), key)))
-    return ranked.where(F.col("__n") <= n).drop("__n")
+    ranked = hash_ranked(df, seed, (key,), F.col(per))
+    return ranked.where(F.col("__rank") <= n).drop("__rank", "__n")
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -4,28 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from driftcurve.operators.selection import hashed
+from driftcurve.operators.ordering import hash_ranked
 
 STRATIFY, BINS, ROWS_PER_BIN = ("norm_amplitude_sigma", "npoints"), 5, 10
 
 
-def hash_ranked(df: DataFrame, seed: int, keys: tuple[str, ...], strata: Column | None = None) -> DataFrame:
-    """Add `__rank` (from 1, in hashed order) and `__n`, per stratum, without sorting a stratum in one task.
-
-    Rows fall into 4096 buckets by the start of their hash. Buckets are counted, their offsets summed over
-    at most 4096 rows a stratum, and rows ranked within a bucket: together that is their rank in all.
-    """
-    df = df.withColumns({"__s": strata if strata is not None else F.lit(0), "__h": hashed(seed, *keys)}).withColumn("__b", F.substring("__h", 1, 3))
-    counts = df.groupBy(F.col("__s").alias("__cs"), F.col("__b").alias("__cb")).agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(W.partitionBy("__cs").orderBy("__cb").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__cs", "__cb", before.alias("__before"), F.sum("__c").over(W.partitionBy("__cs")).alias("__n"))
-    joined = df.join(counts, F.col("__s").eqNullSafe(F.col("__cs")) & (F.col("__b") == F.col("__cb")))
-    within = F.row_number().over(W.partitionBy("__s", "__b").orderBy("__h", *keys))
-    return joined.withColumn("__rank", F.col("__before") + within).drop("__s", "__h", "__b", "__cs", "__cb", "__before")
-
-
 def random_split(df: DataFrame, train: float, validation: float, seed: int = 42, key: str = "row_index", strata: Column | None = None) -> DataFrame:
     """Add `role`: int(n * share) rows each for train and validation in hashed order, the rest held_out; per stratum if given."""
     ranked = hash_ranked(df, seed, (key,), strata)

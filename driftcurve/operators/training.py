@@ -10,7 +10,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from driftcurve.operators.selection import Thresholds, hashed
+from driftcurve.operators.ordering import hashed
+from driftcurve.operators.selection import Thresholds
 
 
 def with_weights(df: DataFrame, label: str, weight: str | None = None, by_class: dict[int, float] | None = None) -> DataFrame:
