@@ -102,6 +102,6 @@ def test_ranks_equal_a_global_sort(spark):
     got = hash_ranked(df, 4, ("row_index",), F.col("g")).withColumn("h", hashed(4, "row_index")).collect()
     for g in range(3):
         own = sorted((r.h, r.row_index) for r in got if r.g == g)
-        ranks = {r.row_index: getattr(r, "__rank") for r in got if r.g == g}
+        ranks = {r.row_index: r["__rank"] for r in got if r.g == g}
         assert [ranks[i] for _, i in own] == list(range(1, 1001)) and {r["__n"] for r in got} == {1000}
     assert sel.sample(df, 5, 1, per="g").groupBy("g").count().where("count = 5").count() == 3
