@@ -198,7 +198,7 @@ def token_statistics(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=STATS.replace(",", "").split()[::2])
 
     stats = with_code(pages.select("host", "key", "html")).mapInArrow(run, STATS)
-    sums = [F.sum(c).alias(c) for c in ("pages", "times", "low", "high", "chars", "linked")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "linked")] + [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("low", "high")]  # billions of pages would overflow a long
     return stats.groupBy("host", "path").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"), F.sum("place").alias("place"))
 
 
