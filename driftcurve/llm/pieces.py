@@ -187,15 +187,15 @@ class Segmenter:
             return np.empty(0, np.int32), 0.0, []
         units = self.unit.findall(" " + text)
         get = self.young.get
-        found = [get(u) or self.lookup(u) for u in units]
-        score = sum(map(itemgetter(1), found))
-        gaps = list(map(itemgetter(2), found))
-        close = heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__)
+        packs, scores, gaps = zip(*[get(u) or self.lookup(u) for u in units], strict=True)
+        score, gap = float(np.array(scores).sum()), np.array(gaps)
+        k = min(n - 1, len(gap))
+        close = np.argpartition(gap, k - 1)[:k].tolist() if k else []
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for k in sorted(i for i in close if gaps[i] < math.inf):
             own = self.nbest_unit(units[k], n)
             sums = heapq.nsmallest(n, [(b + own[0][0] - s, (*c, (k, ids)) if j else c) for b, c in sums for j, (s, ids) in enumerate(own)], key=itemgetter(0))
-        return unpacked(b"".join(map(itemgetter(0), found))), score, [(score - b, list(c)) for b, c in sums[1:n]]
+        return unpacked(b"".join(packs)), score, [(score - b, list(c)) for b, c in sums[1:n]]
 
     def nbest(self, text: str | None, n: int = NBEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text in full: (score, ids), best first."""
