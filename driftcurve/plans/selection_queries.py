@@ -38,7 +38,7 @@ STATS = PREDS + (
 )
 SAMPLES = (
     "samples AS (SELECT row_index, CASE row_index % 4 WHEN 0 THEN 1 ELSE 0 END AS label, CASE row_index % 4 WHEN 0 THEN 'pseudo_pos' WHEN 1 THEN 'pseudo_neg' WHEN 2 THEN 'seed' ELSE 'expert_neg' END AS source, "
-    "CAST(0.5 AS DOUBLE) + (row_index % 5) / CAST(10 AS DOUBLE) AS weight, CAST(0.9 AS DOUBLE) + (row_index % 7) / CAST(100 AS DOUBLE) AS confidence FROM preds WHERE row_index % 3 = 0)"
+    "CAST(0.5 AS DOUBLE) + (row_index % 5) / CAST(10 AS DOUBLE) AS weight, CAST(0.9 AS DOUBLE) + (row_index % 7) / CAST(100 AS DOUBLE) AS confidence FROM preds WHERE row_index IN (SELECT doc_id FROM documents))"
 )
 
 
@@ -50,23 +50,25 @@ def preds(spark, sf_dir) -> DataFrame:
 
 
 def samples(spark, sf_dir) -> DataFrame:
+    """Labelled samples: the rows whose ids are documents', with labels, sources and weights made from the id."""
     i = F.col("row_index")
-    df = preds(spark, sf_dir).where(i % 3 == 0)
+    df = preds(spark, sf_dir).join(ids(spark, sf_dir, "documents", "doc_id"), "row_index", "left_semi")
     source = F.when(i % 4 == 0, "pseudo_pos").when(i % 4 == 1, "pseudo_neg").when(i % 4 == 2, "seed").otherwise("expert_neg")
     return df.select("row_index", F.when(i % 4 == 0, 1).otherwise(0).alias("label"), source.alias("source"), (F.lit(0.5) + (i % 5) / F.lit(10.0)).alias("weight"), (F.lit(0.9) + (i % 7) / F.lit(100.0)).alias("confidence"), F.lit(False).alias("from_known"), F.lit(0).alias("added_iter"), F.lit(1.0).alias("consensus_score"))
 
 
-def ids(spark, sf_dir, n: int, r: int = 0) -> DataFrame:
-    """Rows whose id leaves remainder r: a stand-in for a stored set of row ids, such as a hand-labelled list."""
-    return table(spark, sf_dir, "events").where(F.col("event_id") % n == r).select(F.col("event_id").alias("row_index"))
+def ids(spark, sf_dir, name: str, key: str) -> DataFrame:
+    """The keys of a table as a set of row ids."""
+    return table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("row_index"))
 
 
 def stored_bans(spark, sf_dir) -> DataFrame:
     i = F.col("row_index")
-    return ids(spark, sf_dir, 6).select("row_index", (i % 2).cast("int").alias("label"), (i % 9).cast("int").alias("expires_at")).unionByName(ids(spark, sf_dir, 6).select("row_index", F.lit(1).alias("label"), (i % 8).cast("int").alias("expires_at")))
+    own = ids(spark, sf_dir, "customer", "c_custkey")
+    return own.select("row_index", (i % 2).cast("int").alias("label"), (i % 9).cast("int").alias("expires_at")).unionByName(own.select("row_index", F.lit(1).alias("label"), (i % 8).cast("int").alias("expires_at")))
 
 
-BANS = "bans AS (SELECT event_id AS row_index, event_id % 2 AS label, event_id % 9 AS expires_at FROM events WHERE event_id % 6 = 0 UNION ALL SELECT event_id, 1, event_id % 8 FROM events WHERE event_id % 6 = 0)"
+BANS = "bans AS (SELECT c_custkey AS row_index, c_custkey % 2 AS label, c_custkey % 9 AS expires_at FROM customer UNION ALL SELECT c_custkey, 1, c_custkey % 8 FROM customer)"
 
 
 @query("prob_range_filter", f"WITH {PREDS} SELECT row_index, {r6('p', 'probability')} FROM preds WHERE p BETWEEN 0.25 AND 0.4")
@@ -91,10 +93,10 @@ def prob_histogram(spark, sf_dir):
 
 @query(
     "prob_threshold_counts",
-    f"WITH {PREDS} SELECT count(*) FILTER (p > 0.7) AS above_70, count(*) FILTER (p > 0.9) AS above_90, count(*) FILTER (p > 0.99) AS above_99, {r6('max(p)', 'highest')}, {r6('max(p) FILTER (row_index % 2 <> 0)', 'highest_new')} FROM preds",
+    f"WITH {PREDS} SELECT count(*) FILTER (p > 0.7) AS above_70, count(*) FILTER (p > 0.9) AS above_90, count(*) FILTER (p > 0.99) AS above_99, {r6('max(p)', 'highest')}, {r6('max(p) FILTER (row_index NOT IN (SELECT doc_id FROM documents))', 'highest_new')} FROM preds",
 )
 def prob_threshold_counts(spark, sf_dir):
-    return rounded(sel.threshold_counts(preds(spark, sf_dir), ids(spark, sf_dir, 2)))
+    return rounded(sel.threshold_counts(preds(spark, sf_dir), ids(spark, sf_dir, "documents", "doc_id")))
 
 
 @query("topk_candidates", f"WITH {PREDS} SELECT row_index, user_id, {r6('p', 'p')} FROM preds ORDER BY preds.p DESC, row_index LIMIT 500")
@@ -102,9 +104,9 @@ def topk_candidates(spark, sf_dir):
     return rounded(sel.top(preds(spark, sf_dir).select("row_index", "user_id", "p"), 500, F.col("p").desc(), F.col("row_index")))
 
 
-@query("uncertain_topk", f"WITH {PREDS} SELECT row_index, {r6('p', 'p')}, {r6('abs(p - 0.5)', 'uncertainty')} FROM preds WHERE row_index % 5 <> 0 ORDER BY abs(preds.p - 0.5), row_index LIMIT 200")
+@query("uncertain_topk", f"WITH {PREDS} SELECT row_index, {r6('p', 'p')}, {r6('abs(p - 0.5)', 'uncertainty')} FROM preds WHERE row_index NOT IN (SELECT doc_id FROM labels) ORDER BY abs(preds.p - 0.5), row_index LIMIT 200")
 def uncertain_topk(spark, sf_dir):
-    return rounded(sel.uncertain(preds(spark, sf_dir), 200, ids(spark, sf_dir, 5)).select("row_index", "p", "uncertainty"))
+    return rounded(sel.uncertain(preds(spark, sf_dir), 200, ids(spark, sf_dir, "labels", "doc_id")).select("row_index", "p", "uncertainty"))
 
 
 @query("enrichment", f"WITH {PREDS}, t AS (SELECT p FROM preds ORDER BY p DESC, row_index LIMIT 1000) SELECT {r6('sum(p) / (count(*) * CAST(0.001 AS DOUBLE))', 'enrichment')}, {r6('sum(p)', 'expected')} FROM t")
@@ -144,23 +146,23 @@ _LIVE = "(SELECT row_index FROM bans WHERE label = {0} AND expires_at > 4)"
 
 @query(
     "pseudo_negatives",
-    f"WITH {STATS}, {BANS}, c AS (SELECT * FROM stats WHERE p < 0.2 AND row_index % 7 <> 0), s AS (SELECT * FROM c ORDER BY md5('42:' || row_index), row_index LIMIT 1200), "
+    f"WITH {STATS}, {BANS}, c AS (SELECT * FROM stats WHERE p < 0.2 AND row_index NOT IN (SELECT doc_id FROM labels)), s AS (SELECT * FROM c ORDER BY md5('42:' || row_index), row_index LIMIT 1200), "
     f"k AS (SELECT *, 1 - (p + boot_mean) / 2 AS confidence FROM s WHERE {_LOW} >= 2 ORDER BY confidence DESC, row_index LIMIT 600) "
     f"SELECT row_index, 0 AS label, CAST(1.0 AS DOUBLE) AS weight, 'pseudo_neg' AS source, {r6('confidence', 'confidence')}, {r6('1 - boot_std', 'consensus_score')} FROM k WHERE row_index NOT IN {_LIVE.format(0)}",
 )
 def pseudo_negatives(spark, sf_dir):
-    got = sel.pseudo_negatives(preds(spark, sf_dir), ids(spark, sf_dir, 7), stored_bans(spark, sf_dir), 4, SMALL, successful=3)
+    got = sel.pseudo_negatives(preds(spark, sf_dir), ids(spark, sf_dir, "labels", "doc_id"), stored_bans(spark, sf_dir), 4, SMALL, successful=3)
     return rounded(got.select("row_index", "label", "weight", "source", "confidence", "consensus_score")).withColumn("weight", F.round("weight", 2))
 
 
 @query(
     "pseudo_positives",
-    f"WITH {STATS}, {BANS}, c AS (SELECT * FROM stats WHERE p > 0.9 AND row_index % 7 <> 0 ORDER BY p DESC, row_index LIMIT 2000), "
+    f"WITH {STATS}, {BANS}, c AS (SELECT * FROM stats WHERE p > 0.9 AND row_index NOT IN (SELECT doc_id FROM labels) ORDER BY p DESC, row_index LIMIT 2000), "
     f"k AS (SELECT *, (p + boot_mean) / 2 AS confidence, 1 - boot_std AS consensus FROM c WHERE {_HIGH} AND boot_std < 0.008 ORDER BY consensus DESC, confidence DESC, row_index LIMIT 40) "
     f"SELECT row_index, 1 AS label, CAST(0.35 AS DOUBLE) AS weight, 'pseudo_pos' AS source, {r6('confidence', 'confidence')}, {r6('consensus', 'consensus_score')} FROM k WHERE row_index NOT IN {_LIVE.format(1)}",
 )
 def pseudo_positives(spark, sf_dir):
-    got = sel.pseudo_positives(preds(spark, sf_dir), ids(spark, sf_dir, 7), stored_bans(spark, sf_dir), 4, SMALL, successful=3)
+    got = sel.pseudo_positives(preds(spark, sf_dir), ids(spark, sf_dir, "labels", "doc_id"), stored_bans(spark, sf_dir), 4, SMALL, successful=3)
     return rounded(got.select("row_index", "label", "weight", "source", "confidence", "consensus_score")).withColumn("weight", F.round("weight", 2))
 
 
@@ -188,9 +190,9 @@ def class_balance(spark, sf_dir):
     return rounded(samples(spark, sf_dir).groupBy("source", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("effective")))
 
 
-@query("ban_expiry", f"WITH {BANS}, m AS (SELECT row_index, label, max(expires_at) AS expires_at FROM (SELECT * FROM bans UNION ALL SELECT event_id, 0, 3 + 5 FROM events WHERE event_id % 10 = 0) GROUP BY row_index, label) SELECT row_index, CAST(label AS INTEGER) AS label, CAST(expires_at AS INTEGER) AS expires_at FROM m WHERE expires_at > 4")
+@query("ban_expiry", f"WITH {BANS}, m AS (SELECT row_index, label, max(expires_at) AS expires_at FROM (SELECT * FROM bans UNION ALL SELECT s_suppkey, 0, 3 + 5 FROM supplier) GROUP BY row_index, label) SELECT row_index, CAST(label AS INTEGER) AS label, CAST(expires_at AS INTEGER) AS expires_at FROM m WHERE expires_at > 4")
 def ban_expiry(spark, sf_dir):
-    more = sel.banned(ids(spark, sf_dir, 10).withColumn("label", F.lit(0)), 3)
+    more = sel.banned(ids(spark, sf_dir, "supplier", "s_suppkey").withColumn("label", F.lit(0)), 3)
     return sel.live_bans(sel.merged_bans(stored_bans(spark, sf_dir), more), 4)
 
 
@@ -237,16 +239,16 @@ def _amplitudes(spark, sf_dir) -> DataFrame:
 @query(
     "stratified_split",
     _AMPLITUDE + """, e AS (SELECT count(*) AS n, least(5, count(*) // 10) AS bins FROM f), q AS (SELECT quantile_cont(norm_amplitude_sigma, [0.2, 0.4, 0.6, 0.8]) AS a, quantile_cont(npoints, [0.2, 0.4, 0.6, 0.8]) AS b FROM f),
-s AS (SELECT row_index, 5 * len(list_filter(a, lambda x: norm_amplitude_sigma >= x)) + len(list_filter(b, lambda x: npoints >= x)) AS stratum FROM f, q WHERE row_index % 11 <> 0),
+s AS (SELECT row_index, 5 * len(list_filter(a, lambda x: norm_amplitude_sigma >= x)) + len(list_filter(b, lambda x: npoints >= x)) AS stratum FROM g, q),
 r AS (SELECT row_index, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || row_index), row_index) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM s)
 SELECT row_index, CASE WHEN r <= floor(n * 0.1 + 1e-9) THEN 'train' WHEN r <= floor(n * 0.1 + 1e-9) + floor(n * 0.4 + 1e-9) THEN 'validation' ELSE 'held_out' END AS role FROM r""",
 )
 def stratified_split(spark, sf_dir):
     rows = _amplitudes(spark, sf_dir)
-    return splits.stratified_split(rows, exclude=ids(spark, sf_dir, 11).distinct()).select("row_index", "role")
+    return splits.stratified_split(rows, exclude=ids(spark, sf_dir, "nation", "n_nationkey")).select("row_index", "role")
 
 
-SQL["stratified_split"] = SQL["stratified_split"].replace("FROM f, q WHERE row_index % 11 <> 0)", "FROM g, q)").replace(", e AS (", ", g AS (SELECT * FROM f WHERE row_index % 11 <> 0), e AS (").replace("AS b FROM f)", "AS b FROM g)")
+SQL["stratified_split"] = SQL["stratified_split"].replace(", e AS (", ", g AS (SELECT * FROM f WHERE row_index NOT IN (SELECT n_nationkey FROM nation)), e AS (").replace("AS b FROM f)", "AS b FROM g)")
 
 
 @query("random_split", f"WITH {PREDS}, r AS (SELECT row_index, row_number() OVER (ORDER BY md5('5:' || row_index), row_index) AS r, count(*) OVER () AS n FROM preds) SELECT CASE WHEN r <= floor(n * 0.1 + 1e-9) THEN 'train' WHEN r <= floor(n * 0.1 + 1e-9) + floor(n * 0.4 + 1e-9) THEN 'validation' ELSE 'held_out' END AS role, count(*) AS n, CAST(sum(row_index) AS BIGINT) AS total FROM r GROUP BY 1")
@@ -326,12 +328,11 @@ def label_expert_resolve(spark, sf_dir):
 
 @query(
     "expert_merge",
-    f"WITH {PREDS}, {SAMPLES}, x AS (SELECT event_id AS row_index, event_id % 2 AS label FROM events WHERE event_id % 8 = 0 OR event_id % 9 = 1) SELECT s.row_index, s.label, s.source FROM samples s LEFT JOIN x USING (row_index) WHERE x.label IS NULL OR x.label = s.label UNION ALL SELECT x.row_index, x.label, CASE WHEN x.label = 1 THEN 'expert_pos' ELSE 'expert_neg' END FROM x LEFT JOIN samples s USING (row_index) WHERE s.label IS NULL OR s.label <> x.label",
+    f"WITH {PREDS}, {SAMPLES}, x AS (SELECT doc_id AS row_index, quality AS label FROM labels) SELECT s.row_index, s.label, s.source FROM samples s LEFT JOIN x USING (row_index) WHERE x.label IS NULL OR x.label = s.label UNION ALL SELECT x.row_index, x.label, CASE WHEN x.label = 1 THEN 'expert_pos' ELSE 'expert_neg' END FROM x LEFT JOIN samples s USING (row_index) WHERE s.label IS NULL OR s.label <> x.label",
 )
 def expert_merge(spark, sf_dir):
-    e = F.col("event_id")
-    verdicts = table(spark, sf_dir, "events").where((e % 8 == 0) | (e % 9 == 1)).select(e.alias("row_index"), (e % 2).cast("int").alias("label"))
-    return lab.merge_expert(samples(spark, sf_dir), verdicts, 5).select("row_index", F.col("label").cast("bigint").alias("label"), "source")
+    verdicts = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_index"), F.col("quality").cast("int").alias("label"))
+    return lab.merge_expert(samples(spark, sf_dir), verdicts, 5).select("row_index", "label", "source")
 
 
 _RANKED = ("mag_mean", "mag_std", "norm_min", "norm_max", "norm_skewness")
@@ -357,15 +358,15 @@ def rank_features(spark, sf_dir):
     return rounded(ranking.rank_features(wide.where("class = 0"), wide.where("class = 1"), list(_RANKED)))
 
 
-@query("standard_scale", "WITH s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d FROM orders WHERE o_orderkey % 4 <> 0) SELECT o_orderkey, round((o_totalprice - m) / d + 3e-10, 6) AS scaled FROM orders, s")
+@query("standard_scale", "WITH s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d FROM orders) SELECT o_orderkey, round((o_totalprice - m) / d + 3e-10, 6) AS scaled FROM orders, s")
 def standard_scale(spark, sf_dir):
-    """Fitted on three quarters, applied to all; by the library's scaler."""
+    """By the library's scaler."""
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("x"))
     rows = VectorAssembler(inputCols=["x"], outputCol="v").transform(rows)
-    model = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(rows.where("o_orderkey % 4 <> 0"))
+    model = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(rows)
     return rounded(model.transform(rows).select("o_orderkey", F.get(vector_to_array("s"), F.lit(0)).alias("scaled")))
 
 
