@@ -24,4 +24,5 @@ def oracle_sql() -> dict:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op9_embedding_near_dedup": embedding_dedup.OP9_SQL,
     }
