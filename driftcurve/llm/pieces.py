@@ -17,8 +17,8 @@ from driftcurve.session import with_code
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
-#: Segmented units that a task keeps, in each of two generations: about 90 MB in all.
-CACHE = 1 << 17
+#: Segmented units that a task keeps, in each of two generations: about 180 MB in all.
+CACHE = 1 << 18
 SPACE = "▁"
 
 
