@@ -1,12 +1,13 @@
-"""HTML extraction by template deduction: tokens with equal occurrence vectors form classes, classes nest into a host's template, its slots hold the text."""
+"""HTML extraction by template deduction: elements, text blocks and words with equal occurrence vectors form classes, classes nest into a host's template, its slots hold the text."""
 
 from __future__ import annotations
 
 import html as entities
 import json
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -20,6 +21,10 @@ MIN_PAGES = 3
 #: A token must occur on this share of its host's pages to enter the template. It bounds a template: at most (mean tokens per page / share).
 MIN_SHARE = 0.05
 LINKED = 0.5
+#: A word joins the template only on this many pages: on fewer, a common word may stand once in every text by chance.
+WORD_PAGES = 10
+#: A name that would drop this share of a host's slot text sits on a wrapper and says nothing.
+OUTER = 0.9
 #: Steps that a path names; elements that lie deeper count as part of the last one.
 DEPTH = 64
 
@@ -53,7 +58,7 @@ def step_of(tag: str, attributes: str) -> str:
         return tag
     found = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
     step = tag + (f".role={found['role']}" if found.get("role") else "") + (f"#{found['id']}" if found.get("id") else "") + "".join(f".{c}" for c in found.get("class", "").split())
-    return re.sub(r"\d+", "", step.lower()).replace("/", "")
+    return re.sub(r"[\d\n]+", "", step.lower()).replace("/", "")
 
 
 def blocks_of(page: str | None) -> Iterator[tuple[str, str, int]]:
@@ -135,36 +140,71 @@ def blocks_of(page: str | None) -> Iterator[tuple[str, str, int]]:
         yield block
 
 
-def standing(path: str) -> str:
-    """What a path's own names say: drop, main or open."""
-    found = "open"
+@lru_cache(1 << 16)
+def said(step: str) -> str:
+    """What one element's names say: drop, main, header (a drop outside of a main element) or open."""
+    tag = re.match(r"[^.#]*", step)[0]
+    if tag in DROP_TAGS or (step != tag and DROP.search(step[len(tag) :])):
+        return "drop"
+    return "header" if tag == "header" else "main" if MAIN.search(step) else "open"
+
+
+@lru_cache(1 << 16)
+def standing(path: str, outer: frozenset[str] = frozenset()) -> str:
+    """What a path's own names say: drop, main or open. Elements in `outer` have no say."""
+    found, at = "open", ""
     for step in path.split("/"):
-        tag = re.match(r"[^.#]*", step)[0]
-        if tag in DROP_TAGS or (tag == "header" and found != "main") or (step != tag and DROP.search(step[len(tag) :])):
+        at = f"{at}/{step}" if at else step
+        if at in outer:
+            continue
+        own = said(step)
+        if own == "drop" or (own == "header" and found != "main"):
             return "drop"
-        if MAIN.search(step):
+        if own == "main":
             found = "main"
     return found
 
 
 # --- templates ----------------------------------------------------------------------------------
 
-STATS = "host string, path string, pages bigint, times bigint, low bigint, high bigint, chars bigint, linked bigint, least bigint, most bigint, place double"
+STATS = "host string, path string, pages bigint, times bigint, low bigint, high bigint, chars bigint, linked bigint, place double"
+
+
+def block_token(path: str, text: str) -> str:
+    return f"{path}\n={xxhash.xxh64_hexdigest(text)}"
+
+
+def word_token(path: str, word: str) -> str:
+    return f"{path}\nw{word if len(word) <= 32 else xxhash.xxh64_hexdigest(word)}"
 
 
 def page_tokens(page_key: str, page: str | None) -> dict[str, list]:
-    """By path: occurrences, text characters, linked characters, a hash of the text there, the first position (0 to 1)."""
+    """By token: occurrences, text characters, linked characters, the first position.
+
+    Tokens are the elements, by path; each text block, by path and text; and the words that stand at a
+    path as often as there are blocks, for only those can have the occurrence vector of the block.
+    """
     out: dict[str, list] = {}
+    texts: dict[str, list[str]] = {}
     n = 0
     for path, text, linked in blocks_of(page):
         n += 1
-        own = out.setdefault(path, [0, 0, 0, 0, n])
+        own = out.setdefault(path, [0, 0, 0, n])
         if text:
             own[1] += len(text)
             own[2] += linked
-            own[3] = (own[3] * 31 + xxhash.xxh64_intdigest(text)) & 0x7FFFFFFFFFFFFFFF
+            block = out.setdefault(block_token(path, text), [0, 0, 0, n])
+            block[0] += 1
+            block[1] += len(text)
+            block[2] += linked
+            texts.setdefault(path, []).append(text)
         else:
             own[0] += 1
+    for path, blocks in texts.items():
+        words = [t.split() for t in blocks]
+        for i, (w, k) in enumerate(Counter(w for t in words for w in t).items()):
+            if k == len(blocks):
+                out[word_token(path, w)] = [k, 0, 0, i]  # in order of the words' first places in their blocks
     return out
 
 
@@ -182,41 +222,42 @@ def token_statistics(pages: DataFrame) -> DataFrame:
             for host, key, page in ((b.column(j)[i].as_py() for j in range(3)) for i in range(b.num_rows)):
                 h = xxhash.xxh64_intdigest(key or "", seed=7)
                 tokens = page_tokens(key, page)
-                n = sum(t[0] for t in tokens.values()) or 1
-                for path, (times, chars, linked, text, first) in {**tokens, "": (1, 0, 0, 0, 0)}.items():
-                    own = total.setdefault((host, path), [0, 0, 0, 0, 0, 0, text, text, 0.0])
+                tokens[""] = [1, *tokens.get("", [0, 0, 0])[1:3], 0]
+                for path, (times, chars, linked, first) in tokens.items():
+                    own = total.setdefault((host, path), [0, 0, 0, 0, 0, 0, 0.0])
                     own[0] += 1
                     own[1] += times
                     own[2] += (h & 0x3FFFFFFF) * times
                     own[3] += (h >> 30 & 0x3FFFFFFF) * times
                     own[4] += chars
                     own[5] += linked
-                    own[6], own[7] = min(own[6], text), max(own[7], text)
-                    own[8] += first / n
+                    own[6] += first
             rows = [(*k, *v) for k, v in total.items()]
-            kinds = [pa.string()] * 2 + [pa.int64()] * 8 + [pa.float64()]
+            kinds = [pa.string()] * 2 + [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=STATS.replace(",", "").split()[::2])
 
     stats = with_code(pages.select("host", "key", "html")).mapInArrow(run, STATS)
     sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "linked")] + [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("low", "high")]  # billions of pages would overflow a long
-    return stats.groupBy("host", "path").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"), F.sum("place").alias("place"))
+    return stats.groupBy("host", "path").agg(*sums, F.sum("place").alias("place"))
 
 
 def deduce(rows: list[dict]) -> dict:
     """A host's template from its tokens' statistics.
 
-    Tokens with equal vectors whose parents are in one class form an equivalence class, ordered by their
-    mean place; a class nests in its parents' class. A token's text is a slot unless it is the same on
-    every page, while other texts differ: then it belongs to the template. Of the slots, those within
-    the main element stay; without one, those in the element with the most unlinked text.
+    Elements with equal vectors whose parents are in one class form an equivalence class, ordered by
+    their mean place; a class nests in its parents' class. The blocks and words that stand on nearly
+    all pages of their element's class are tokens of it, too, and belong to the template, unless no
+    text differs from page to page. What is left at a path is a slot. Of the slots, those within the
+    main element stay; without one, those in the element with the most unlinked text. A name has a say
+    only between slots: one that would drop nearly all of them is passed over.
     """
     total = next((r["pages"] for r in rows if r["path"] == ""), 0)
-    own = {r["path"]: r for r in rows if r["path"] and r["pages"] >= MIN_SHARE * total}
     if total < MIN_PAGES:
         return {"pages": total, "classes": [], "keep": {}}
+    own = {r["path"]: r for r in rows if r["path"] and "\n" not in r["path"] and enough(r, total)}
     parent = lambda p: p.rpartition("/")[0]
     of: dict[str, int] = {"": 0}
-    classes: list[dict] = [{"tokens": [""], "parent": None}]
+    classes: list[dict] = [{"tokens": [""], "parent": None, "pages": total, "blocks": [], "words": []}]
     index: dict[tuple, int] = {}
     for path in sorted(own, key=lambda p: (p.count("/"), own[p]["place"] / own[p]["pages"], p)):
         r = own[path]
@@ -231,25 +272,54 @@ def deduce(rows: list[dict]) -> dict:
             classes[index[key]]["tokens"].append(path)
         else:
             index[key] = of[path] = len(classes)
-            classes.append({"tokens": [path], "parent": above})
+            classes.append({"tokens": [path], "parent": above, "pages": r["pages"], "blocks": [], "words": []})
     for c in classes:
         c["tokens"].sort(key=lambda p: own[p]["place"] / own[p]["pages"] if p else -1)
-    texts = {p: r for p, r in own.items() if r["chars"]}
-    varied = any(r["least"] != r["most"] for p, r in texts.items() if standing(p) != "drop")
-    fixed = {p for p, r in texts.items() if varied and r["least"] == r["most"] and r["pages"] == total}
-    slots = {p: standing(p) for p in texts if p not in fixed}
+    texts = {r["path"]: r for r in rows if r["path"] in of and r["chars"]}
+    left = {p: [r["chars"], r["linked"]] for p, r in texts.items()}
+    for r in sorted((r for r in rows if "\n" in r["path"]), key=lambda r: (r["place"] / r["pages"], r["path"])):
+        path, _, token = r["path"].partition("\n")
+        if path not in of or not in_class(r, classes[of[path]]["pages"], total):
+            continue
+        if token[0] == "=":
+            classes[of[path]]["blocks"].append(r["path"])
+            left[path] = [left[path][0] - r["chars"], left[path][1] - r["linked"]]
+        elif r["pages"] >= WORD_PAGES:
+            classes[of[path]]["words"].append(r["path"])
+    if not any(n > 0 for p, (n, _) in left.items() if standing(p) != "drop"):
+        for c in classes:
+            c["blocks"], c["words"] = [], []
+        left = {p: [r["chars"], r["linked"]] for p, r in texts.items()}
+    slots = {p: n - linked for p, (n, linked) in left.items() if n > 0}
+    under: dict[str, int] = defaultdict(int)
+    for p, n in slots.items():
+        at = p
+        while at:
+            under[at] += n
+            at = parent(at)
+    all_of = sum(slots.values())
+    outer = frozenset(p for p, n in under.items() if all_of and n >= OUTER * all_of and said(p.rpartition("/")[2]) in ("drop", "header"))
+    names = {p: standing(p, outer) for p in slots}
     keep = {p: False for p in texts}
-    if main := [p for p, s in slots.items() if s == "main"]:
+    if main := [p for p, s in names.items() if s == "main"]:
         keep |= dict.fromkeys(main, True)
     else:
+        open_slots = [p for p, s in names.items() if s == "open" and left[p][1] < LINKED * left[p][0]]
         free = defaultdict(int)
-        for p, s in slots.items():
-            if s == "open" and texts[p]["linked"] < LINKED * texts[p]["chars"]:
-                free[parent(p)] += texts[p]["chars"] - texts[p]["linked"]
+        for p in open_slots:
+            free[parent(p)] += slots[p]
         if free:
             best = max(free, key=lambda p: (free[p], p))
-            keep |= {p: True for p, s in slots.items() if s == "open" and (p == best or p.startswith(f"{best}/") or not best) and texts[p]["linked"] < LINKED * texts[p]["chars"]}
-    return {"pages": total, "main": bool(main), "classes": classes, "keep": keep}
+            keep |= {p: True for p in open_slots if p == best or p.startswith(f"{best}/") or not best}
+    return {"pages": total, "main": bool(main), "classes": classes, "outer": sorted(outer), "keep": keep}
+
+
+def enough(r: dict, total: int) -> bool:
+    return r["pages"] >= MIN_SHARE * total
+
+
+def in_class(r: dict, pages: int, total: int) -> bool:
+    return r["pages"] == total
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -265,12 +335,42 @@ def templates(pages: DataFrame) -> DataFrame:
     return frequent.groupBy("host").applyInArrow(run, "template_host string, template string")
 
 
+def prepared(template: dict) -> dict:
+    """A template with its classes' text tokens as look-ups: the blocks, and each path's words in order."""
+    words: dict[str, list[str]] = defaultdict(list)
+    for c in template.get("classes", ()):
+        for token in c["words"]:
+            path, _, word = token.partition("\n")
+            words[path].append(word)
+    return template | {"blocks": {t for c in template.get("classes", ()) for t in c["blocks"]}, "words": dict(words), "outer": frozenset(template.get("outer", ()))}
+
+
+def slot_of(path: str, text: str, words: list[str]) -> str:
+    """What a block holds besides its template's words; all of it, if it lacks one or has them in another order."""
+    parts = text.split()
+    found = [word_token("", w)[1:] for w in parts]
+    at = -1
+    gone = set()
+    for w in words:
+        try:
+            at = found.index(w, at + 1)
+        except ValueError:
+            return text
+        gone.add(at)
+    return " ".join(w for i, w in enumerate(parts) if i not in gone)
+
+
 def main_blocks(page: str | None, template: dict) -> list[str]:
-    """The blocks of a page that fill its template's kept slots; for tokens the template lacks, the nearest one above it or the names decide.
+    """The slots of a page: see `slots_of`."""
+    return slots_of([b for b in blocks_of(page) if b[1]], prepared(template))
+
+
+def slots_of(found: Iterable[tuple[str, str, int]], template: dict) -> list[str]:
+    """The texts of a page that fill its template's kept slots; for tokens the template lacks, the nearest one above it or the names decide.
 
     So they do for a page with a main element on a host whose template has none, or the reverse.
     """
-    keep = template["keep"]
+    keep, outer, fixed, words = (template[k] for k in ("keep", "outer", "blocks", "words"))
     decided: dict[str, bool | None] = {}
 
     def by_template(path: str) -> bool | None:
@@ -278,23 +378,25 @@ def main_blocks(page: str | None, template: dict) -> list[str]:
             return decided[path]
         if path in keep:
             got = keep[path]
-        elif standing(path) == "drop":
+        elif standing(path, outer) == "drop":
             got = False
         else:
             got = by_template(path.rpartition("/")[0]) if "/" in path else None
         decided[path] = got
         return got
 
-    found = [(p, t, linked) for p, t, linked in blocks_of(page) if t]
-    names = {p: standing(p) for p, _, _ in found}
+    names = {p: standing(p, outer) for p, _, _ in found}
     has_main = any(s == "main" for s in names.values())
     out = []
     for p, t, linked in found:
         choice = by_template(p)
         if choice is None or has_main != template.get("main", has_main):
             choice = names[p] == "main" if has_main else names[p] == "open" and linked < LINKED * len(t)
-        if choice:
-            out.append(t)
+        if choice and not (fixed and block_token(p, t) in fixed):
+            if p in words:
+                t = slot_of(p, t, words[p])
+            if t:
+                out.append(t)
     return out
 
 
@@ -321,8 +423,8 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
                 if template not in cache:
                     if len(cache) > 1000:
                         cache.clear()
-                    cache[template] = json.loads(template) if template else {"keep": {}}
-                texts.append(" ".join(main_blocks(page, cache[template])))
+                    cache[template] = prepared(json.loads(template) if template else {"keep": {}})
+                texts.append(" ".join(slots_of([x for x in blocks_of(page) if x[1]], cache[template])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = own.join(known, F.col("host") == F.col("template_host"), "left").select("page_id", "url", "html", "template")

@@ -67,3 +67,15 @@ def test_edge_cases(spark):
     rows = [(1, None, None, None, None), (2, "", "", "h", "t"), (3, "http://a.b/", "<article><p>cut <a href=\"x", None, None), (4, "http://a.b/", deep, None, None), (5, "http://c.d/", "plain < text > & more", None, None), (None, "http://e.f/", "<main>m<script>x", None, None), (6, "http://e.f/", "<p>" + "word " * 200_000, None, None), (6, "http://e.f/", "<p>" + "word " * 200_000, None, None), (7, "http://g.h/", "<article><!-- c -- ></article><p>after", None, None)]
     got = run(spark, rows)
     assert got[1] == got[2] == "" and got[3] == "cut" and got[4] == "deep text here" and got[5].startswith("plain") and got[None] == "m" and len(got[6]) == 999_999
+
+
+def test_words_of_the_template_are_no_text(spark):
+    rows = [(i, "http://w.org/", f"<body><div class=main-text><div class=by>Posted by {(a := sentence(2))} in {(b := sentence(2))}</div><div class=t>{(s := sentence())}</div></div></body>", f"{a} {b} {s}", None) for i in range(20)]
+    got = run(spark, rows)
+    assert all(got[i] == s for i, _, _, s, _ in rows)
+
+
+def test_a_listed_name_on_a_wrapper_has_no_say(spark):
+    rows = [(i, "http://v.org/", f"<body class='with sidebar'><form><div class=x><p>{(s := sentence())}</p></div><div class=sidebar>Always the same words.</div></form></body>", s, None) for i in range(8)]
+    got = run(spark, rows)
+    assert all(got[i] == s for i, _, _, s, _ in rows)
