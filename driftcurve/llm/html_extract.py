@@ -25,6 +25,8 @@ LINKED = 0.5
 WORD_PAGES = 10
 #: A name that would drop this share of a host's slot text sits on a wrapper and says nothing.
 OUTER = 0.9
+#: A text belongs to its class if it stands on this share of the pages that hold the class.
+NEARLY = 0.9
 #: Steps that a path names; elements that lie deeper count as part of the last one.
 DEPTH = 64
 
@@ -222,6 +224,8 @@ def token_statistics(pages: DataFrame) -> DataFrame:
             for host, key, page in ((b.column(j)[i].as_py() for j in range(3)) for i in range(b.num_rows)):
                 h = xxhash.xxh64_intdigest(key or "", seed=7)
                 tokens = page_tokens(key, page)
+                if not any(t[1] for t in tokens.values()):
+                    continue  # a page without text tells nothing of a text's support
                 tokens[""] = [1, *tokens.get("", [0, 0, 0])[1:3], 0]
                 for path, (times, chars, linked, first) in tokens.items():
                     own = total.setdefault((host, path), [0, 0, 0, 0, 0, 0, 0.0])
@@ -279,7 +283,7 @@ def deduce(rows: list[dict]) -> dict:
     left = {p: [r["chars"], r["linked"]] for p, r in texts.items()}
     for r in sorted((r for r in rows if "\n" in r["path"]), key=lambda r: (r["place"] / r["pages"], r["path"])):
         path, _, token = r["path"].partition("\n")
-        if path not in of or not in_class(r, classes[of[path]]["pages"], total):
+        if path not in of or not in_class(r, classes[of[path]]["pages"]):
             continue
         if token[0] == "=":
             classes[of[path]]["blocks"].append(r["path"])
@@ -318,8 +322,8 @@ def enough(r: dict, total: int) -> bool:
     return r["pages"] >= MIN_SHARE * total
 
 
-def in_class(r: dict, pages: int, total: int) -> bool:
-    return r["pages"] == total
+def in_class(r: dict, pages: int) -> bool:
+    return r["pages"] >= NEARLY * pages
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -79,3 +79,11 @@ def test_a_listed_name_on_a_wrapper_has_no_say(spark):
     rows = [(i, "http://v.org/", f"<body class='with sidebar'><form><div class=x><p>{(s := sentence())}</p></div><div class=sidebar>Always the same words.</div></form></body>", s, None) for i in range(8)]
     got = run(spark, rows)
     assert all(got[i] == s for i, _, _, s, _ in rows)
+
+
+def test_pages_without_a_text_or_in_another_layout_do_not_save_a_notice(spark):
+    note = "<div class=info><p>All rights are with us and our friends.</p></div>"
+    rows = [(i, "http://u.org/", f"<body><div class=x><div class=c><p>{(s := sentence(30))}</p></div>{note if i != 7 else ''}</div></body>", s, None) for i in range(30)]
+    rows += [(100, "http://u.org/", "", "", None), (101, "http://u.org/", None, "", None), (102, "http://u.org/", f"<body><pre>{(s := sentence())}</pre></body>", s, None)]
+    got = run(spark, rows)
+    assert all(got[i] == s for i, _, _, s, _ in rows if i < 102)
