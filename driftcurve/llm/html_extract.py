@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftcurve.llm.storage import Scratch
 from driftcurve.session import with_code
 
-#: A host needs this many pages for its tokens' occurrence vectors to tell anything.
+#: A layout needs this many pages for its tokens' occurrence vectors to tell anything, and a token must occur on as many.
 MIN_PAGES = 3
-#: A token must occur on this share of its host's pages to enter the template. It bounds a template: at most (mean tokens per page / share).
-MIN_SHARE = 0.05
 LINKED = 0.5
 #: A word joins the template only on this many pages: on fewer, a common word may stand once in every text by chance.
 WORD_PAGES = 10
@@ -43,6 +41,9 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "blockquote", "aside", "nav", "footer", "header", "form"}
 
+#: Elements whose places tell the layouts of a host apart.
+SECTIONS = {"html", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "center", "frameset"}
+
 DROP_TAGS = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "audio", "video", "canvas"} | RAW
 MAIN = re.compile(r"^(article|main)\b|\b(role=main|article(-?body|-?content|-?text)?|post-?(body|content)|entry-?content|main-?(content|text)|story-?body)\b")
 DROP = re.compile(
@@ -169,7 +170,7 @@ def standing(path: str, outer: frozenset[str] = frozenset()) -> str:
 
 # --- templates ----------------------------------------------------------------------------------
 
-STATS = "host string, path string, pages bigint, times bigint, low bigint, high bigint, chars bigint, linked bigint, place double"
+STATS = "host string, layout string, path string, pages bigint, times bigint, low bigint, high bigint, chars bigint, linked bigint, place double"
 
 
 def block_token(path: str, text: str) -> str:
@@ -210,8 +211,21 @@ def page_tokens(page_key: str, page: str | None) -> dict[str, list]:
     return out
 
 
-def token_statistics(pages: DataFrame) -> DataFrame:
-    """Per host and token what its occurrence vector and texts add up to, combined within each batch first.
+def layout_of(paths: Iterable[str]) -> str:
+    """A page's layout: the sections at the first level below the root that has more than one kind of them."""
+    below: dict[str, set[str]] = defaultdict(set)
+    for path in paths:
+        above, _, step = path.rpartition("/")
+        if re.match(r"[^.#]*", step)[0] in SECTIONS:
+            below[above].add(path)
+    at = ""
+    while len(below[at]) == 1:
+        (at,) = below[at]
+    return xxhash.xxh64_hexdigest("\n".join(sorted(below[at]) or [at]))
+
+
+def token_statistics(pages: DataFrame, by_layout: bool = False) -> DataFrame:
+    """Per host (and layout) and token what its occurrence vector and texts add up to, combined within each batch first.
 
     An occurrence vector is represented by its product with a random number per page (in two halves of
     30 bits): equal vectors have equal sums, others practically never, and sums can be aggregated
@@ -220,15 +234,16 @@ def token_statistics(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: dict[tuple[str, str], list] = {}
+            total: dict[tuple[str, str, str], list] = {}
             for host, key, page in ((b.column(j)[i].as_py() for j in range(3)) for i in range(b.num_rows)):
                 h = xxhash.xxh64_intdigest(key or "", seed=7)
                 tokens = page_tokens(key, page)
                 if not any(t[1] for t in tokens.values()):
                     continue  # a page without text tells nothing of a text's support
+                layout = layout_of(p for p in tokens if "\n" not in p) if by_layout else ""
                 tokens[""] = [1, *tokens.get("", [0, 0, 0])[1:3], 0]
                 for path, (times, chars, linked, first) in tokens.items():
-                    own = total.setdefault((host, path), [0, 0, 0, 0, 0, 0, 0.0])
+                    own = total.setdefault((host, layout, path), [0, 0, 0, 0, 0, 0, 0.0])
                     own[0] += 1
                     own[1] += times
                     own[2] += (h & 0x3FFFFFFF) * times
@@ -237,16 +252,19 @@ def token_statistics(pages: DataFrame) -> DataFrame:
                     own[5] += linked
                     own[6] += first
             rows = [(*k, *v) for k, v in total.items()]
-            kinds = [pa.string()] * 2 + [pa.int64()] * 6 + [pa.float64()]
+            kinds = [pa.string()] * 3 + [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=STATS.replace(",", "").split()[::2])
 
-    stats = with_code(pages.select("host", "key", "html")).mapInArrow(run, STATS)
-    sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "linked")] + [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("low", "high")]  # billions of pages would overflow a long
-    return stats.groupBy("host", "path").agg(*sums, F.sum("place").alias("place"))
+    return added(with_code(pages.select("host", "key", "html")).mapInArrow(run, STATS))
+
+
+def added(stats: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "linked", "place")] + [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("low", "high")]  # billions of pages would overflow a long
+    return stats.groupBy("host", "layout", "path").agg(*sums)
 
 
 def deduce(rows: list[dict]) -> dict:
-    """A host's template from its tokens' statistics.
+    """The template of a host's layout from its tokens' statistics.
 
     Elements with equal vectors whose parents are in one class form an equivalence class, ordered by
     their mean place; a class nests in its parents' class. The blocks and words that stand on nearly
@@ -258,7 +276,7 @@ def deduce(rows: list[dict]) -> dict:
     total = next((r["pages"] for r in rows if r["path"] == ""), 0)
     if total < MIN_PAGES:
         return {"pages": total, "classes": [], "keep": {}}
-    own = {r["path"]: r for r in rows if r["path"] and "\n" not in r["path"] and enough(r, total)}
+    own = {r["path"]: r for r in rows if r["path"] and "\n" not in r["path"] and r["pages"] >= MIN_PAGES}
     parent = lambda p: p.rpartition("/")[0]
     of: dict[str, int] = {"": 0}
     classes: list[dict] = [{"tokens": [""], "parent": None, "pages": total, "blocks": [], "words": []}]
@@ -318,25 +336,42 @@ def deduce(rows: list[dict]) -> dict:
     return {"pages": total, "main": bool(main), "classes": classes, "outer": sorted(outer), "keep": keep}
 
 
-def enough(r: dict, total: int) -> bool:
-    return r["pages"] >= MIN_SHARE * total
-
-
 def in_class(r: dict, pages: int) -> bool:
     return r["pages"] >= NEARLY * pages
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(template_host, template): one row per host, the template as JSON. A host's frequent tokens are few, whatever its pages."""
-    stats = token_statistics(pages)
-    totals = stats.where("path = ''").select(F.col("host").alias("th"), F.col("pages").alias("total"))
-    frequent = stats.join(totals, F.col("host") == F.col("th")).where(F.col("pages") >= MIN_SHARE * F.col("total")).drop("th", "total")
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(template_host, template_layout, template): one row per layout of a host, the template as JSON.
+
+    Each layout is deduced in a task of its own. Layouts on fewer than MIN_PAGES pages are taken
+    together as the rest of their host; where that is too small as well, they have the template of
+    the host's most frequent layout. The deduction gets elements on MIN_PAGES pages and the texts that
+    stand on nearly all pages of their element: at most (mean tokens per page / MIN_PAGES) elements a page.
+    """
+    text = F.instr("path", "\n") > 0
+    stats = token_statistics(pages, by_layout=True)
+    stats = scratch.table(stats.select("host", "layout", "path", "pages", "times", "chars", "linked", "place", *(F.when(~text, F.col(c)).alias(c) for c in ("low", "high"))), "tokens")
+    sizes = stats.where("path = ''").select(F.col("host").alias("th"), F.col("layout").alias("tl"), F.col("pages").alias("total"))
+    sizes = scratch.table(sizes, "layouts")
+    small = F.col("total") < MIN_PAGES
+    rest = stats.join(sizes.where(small), (F.col("host") == F.col("th")) & (F.col("layout") == F.col("tl"))).withColumn("layout", F.lit("")).select(stats.columns)
+    ready = scratch.table(stats.where(F.col("pages") >= MIN_PAGES).unionByName(added(rest).where(F.col("pages") >= MIN_PAGES)), "ready")
+    elements = ready.where(~text)
+    of = elements.select(F.col("host").alias("eh"), F.col("layout").alias("el"), F.col("path").alias("ep"), F.col("pages").alias("epages"))
+    texts = ready.where(text).join(of, (F.col("host") == F.col("eh")) & (F.col("layout") == F.col("el")) & (F.substring_index("path", "\n", 1) == F.col("ep")))
+    texts = texts.where(F.col("pages") >= NEARLY * F.col("epages")).select(ready.columns)
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        return pa.table({"template_host": [rows[0]["host"]], "template": [json.dumps(deduce(rows))]})
+        return pa.table({"host": [rows[0]["host"]], "layout": [rows[0]["layout"]], "template": [json.dumps(deduce(rows))]})
 
-    return frequent.groupBy("host").applyInArrow(run, "template_host string, template string")
+    found = elements.unionByName(texts).groupBy("host", "layout").applyInArrow(run, "host string, layout string, template string")
+    found = scratch.table(found, "deduced")
+    main = sizes.where(~small).groupBy("th").agg(F.max_by("tl", F.struct("total", "tl")).alias("main"))
+    rests = found.where("layout = ''").select(F.col("host").alias("rh"), F.lit("").alias("rl"))
+    of_small = sizes.where(small).join(rests, F.col("th") == F.col("rh"), "left").join(main.withColumnRenamed("th", "mh"), F.col("th") == F.col("mh"), "left").select("th", "tl", F.coalesce("rl", "main").alias("use"))
+    use = sizes.where(~small).select("th", "tl", F.col("tl").alias("use")).unionByName(of_small)
+    return use.join(found, (F.col("th") == F.col("host")) & (F.col("use") == F.col("layout"))).select(F.col("th").alias("template_host"), F.col("tl").alias("template_layout"), "template")
 
 
 def prepared(template: dict) -> dict:
@@ -407,32 +442,54 @@ def slots_of(found: Iterable[tuple[str, str, int]], template: dict) -> list[str]
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page's whole html.
 
-    Templates are deduced per host from all its pages and joined back to them by host; the table of
-    templates is small and written first, so that its size decides how it is joined.
+    Templates are deduced per layout of a host from all its pages and joined back to them; the table of
+    templates is written first, so that its size decides how it is joined. Pages are parsed before
+    the join, which tells their layout, so it carries their text blocks in place of their html.
 
     Defined cases: null, empty and textless pages have the empty text; pages of hosts with fewer than
-    MIN_PAGES pages go by element names alone; null urls and urls without a host form one host; broken
+    MIN_PAGES pages with text go by element names alone; null urls and urls without a host form one host; broken
     markup is read as far as it goes (an element never closed ends with the page); repeated rows each
     come back; an empty table gives an empty one; other columns are ignored.
     """
     own = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     keyed = own.select("host", F.concat_ws("|", F.col("page_id").cast("string"), "url").alias("key"), "html")
-    known = scratch.table(templates(keyed), "templates")
+    known = scratch.table(templates(keyed, scratch), "templates")
+    kinds = dict(pages.dtypes)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            layouts, paths, places, texts, linked = [], [], [], [], []
+            for i in range(b.num_rows):
+                at: dict[str, int] = {}
+                seen: dict[str, None] = {}
+                blocks = []
+                for block in blocks_of(b.column(2)[i].as_py()):
+                    seen[block[0]] = None
+                    if block[1]:
+                        at.setdefault(block[0], len(at))
+                        blocks.append(block)
+                layouts.append(layout_of(seen))
+                paths.append(list(at))
+                places.append([at[x[0]] for x in blocks])
+                texts.append([x[1] for x in blocks])
+                linked.append([x[2] for x in blocks])
+            made = [pa.array(layouts, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(linked, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *made], names=["page_id", "url", "host", "layout", "paths", "places", "texts", "linked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str | None, dict] = {}
         for b in batches:
-            texts = []
-            for page, template in ((b.column(2)[i].as_py(), b.column(3)[i].as_py()) for i in range(b.num_rows)):
+            out = []
+            for paths, places, texts, linked, template in zip(*(b.column(j).to_pylist() for j in range(2, 7)), strict=True):
                 if template not in cache:
                     if len(cache) > 1000:
                         cache.clear()
                     cache[template] = prepared(json.loads(template) if template else {"keep": {}})
-                texts.append(" ".join(slots_of([x for x in blocks_of(page) if x[1]], cache[template])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                out.append(" ".join(slots_of([(paths[p], t, n) for p, t, n in zip(places, texts, linked, strict=True)], cache[template])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = own.join(known, F.col("host") == F.col("template_host"), "left").select("page_id", "url", "html", "template")
-    kinds = dict(pages.dtypes)
+    parsed = with_code(own.select("page_id", "url", "html", "host")).mapInArrow(parse, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, layout string, paths array<string>, places array<int>, texts array<string>, linked array<int>")
+    joined = parsed.join(known, (F.col("host") == F.col("template_host")) & (F.col("layout") == F.col("template_layout")), "left").select("page_id", "url", "paths", "places", "texts", "linked", "template")
     return with_code(joined).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
 
 

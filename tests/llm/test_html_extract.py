@@ -87,3 +87,11 @@ def test_pages_without_a_text_or_in_another_layout_do_not_save_a_notice(spark):
     rows += [(100, "http://u.org/", "", "", None), (101, "http://u.org/", None, "", None), (102, "http://u.org/", f"<body><pre>{(s := sentence())}</pre></body>", s, None)]
     got = run(spark, rows)
     assert all(got[i] == s for i, _, _, s, _ in rows if i < 102)
+
+
+def test_a_layout_on_few_of_a_hosts_pages_is_deduced(spark):
+    note = "<div class=info><p>All rights are with us and our friends.</p></div>"
+    rows = [(i, "http://s.org/", f"<body><div class=a><p>{(s := sentence())}</p></div><div class=b></div></body>", s, None) for i in range(250)]
+    rows += [(1000 + i, "http://s.org/", f"<body><section class=k><div class=c><p>{(s := sentence())}</p></div>{note}</section></body>", s, None) for i in range(7)]
+    got = run(spark, rows)
+    assert all(got[i] == s for i, _, _, s, _ in rows)
