@@ -109,3 +109,43 @@ def test_edge_cases(spark):
     got = S.near_dedup(spark.createDataFrame(rows, DOCS), Scratch(spark, "t"), 3, 2, 1).toPandas()
     got = {(None if pd.isna(i) else int(i)): int(c) for i, c in zip(got.doc_id, got.component_id, strict=True)}
     assert got == {5: 2, 2: 2, None: 9, 9: 9, 4: 4}
+
+
+def edited(rng, base, n, words):
+    """A copy with n words replaced, far from one another: each takes five shingles away."""
+    out = list(base)
+    for i in range(n):
+        out[10 + 12 * i] = f"q{rng.integers(10**9)}"
+    return out
+
+
+def test_wide_fingerprints_link_by_exact_similarity(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(5000)]
+    base = [list(rng.choice(words, 254)) for _ in range(80)]  # 250 shingles; n edits: Jaccard (250 - 5n) / (250 + 5n)
+    texts = base + [edited(rng, b, 5 if i < 40 else 7, words) for i, b in enumerate(base)]  # 0.818 and 0.754
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = S.near_dedup(docs, Scratch(spark, "t")).toPandas().set_index("doc_id").component_id.sort_index()
+    assert [got[120 + i] for i in range(40)] == [120 + i for i in range(40)]
+    assert sum(got[80 + i] == i for i in range(40)) >= 39
+
+
+def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_ROWS", 16)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(5000)]
+    base = list(rng.choice(words, 254))
+    texts = [edited(rng, base, 2, words) for _ in range(60)] + [edited(rng, base, 9, words) for _ in range(6)]
+    sets = [frozenset(S.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    rows = [(0, i, i, bytes(np.array(sorted(s), np.uint64).tobytes())) for i, s in enumerate(sets)]
+    scratch = Scratch(spark, "t")
+    links = S.verified_links(spark.createDataFrame(rows, "label bigint, rep bigint, same bigint, shingles binary"), 0.8, scratch).collect()
+    forest, want = S.Forest(66), S.Forest(66)
+    for r in links:
+        forest.join(r.src, r.dst)
+    for i in range(66):
+        for j in range(i):
+            if S.similar(sets[i], sets[j], 0.8):
+                want.join(i, j)
+    assert [forest.root(i) for i in range(66)] == [want.root(i) for i in range(66)]
