@@ -73,6 +73,7 @@ class Segmenter:
         self.byte: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()
+        self.piece: dict[str, tuple[float, bytes]] = {}
         inner = breaks = False
         for i, (piece, _, kind) in enumerate(model):
             if kind == "byte":
@@ -83,10 +84,12 @@ class Segmenter:
             self.raw.append(text.encode())
             if text:
                 self.automaton.add_word(text, (len(text), scores[i], packed([i])))
+                self.piece[text] = scores[i], packed([i])
                 self.single |= {text} if len(text) == 1 else set()
                 inner |= " " in text.lstrip(" ")
                 breaks |= "\n" in text and len(text) > 1
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.piece), default=1)
         self.covered = self.single.issuperset
         self.byte_score = scores[next(iter(self.byte.values()))] if self.byte else 0.0
         self.unit = re.compile(r"(?s).+") if inner else re.compile(r"(?s) *[^ ]+| +") if breaks else re.compile(r"(?s)\n| *[^ \n]+| +")
@@ -146,30 +149,70 @@ class Segmenter:
         path.reverse()
         return b"".join(path), best[n], best[n] - second[n]
 
+    def viterbi(self, u: str) -> list[float]:
+        """Each position's best score; arcs are read one by one and not kept."""
+        best = [0.0] + [-math.inf] * len(u)
+        arcs = self.automaton.iter(u) if self.covered(u) else [(j - 1, (j - i, s, ids)) for i, j, s, ids in self.lattice(u)[0]]
+        for end, (length, s, _) in arcs:
+            if (v := best[end + 1 - length] + s) > best[end + 1]:
+                best[end + 1] = v
+        return best
+
+    def arcs_into(self, u: str, j: int, best: list[float]) -> list[tuple[float, int, float, bytes]]:
+        """The arcs that end at a position, the best first: the score of the best way through each, its start, its own score, its ids."""
+        found = []
+        for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
+            if (e := self.piece.get(u[i:j])) is not None:
+                found.append((best[i] + e[0], i, *e))
+        if u[j - 1] not in self.single:
+            b = u[j - 1].encode("utf-8", "surrogatepass")
+            s = self.byte_score * len(b)
+            found.append((best[j - 1] + s, j - 1, s, packed([self.byte[x] for x in b])))
+        found.sort(key=lambda a: (-a[0], a[1]))
+        return found
+
     def nbest_unit(self, u: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a unit, by A-star from its end back to its start.
 
         What remains before a position is worth exactly its forward Viterbi score, so hypotheses leave the
         queue in the order of their complete scores and each one that arrives at the start is the next best.
+        A hypothesis stands for the best not yet tried way into its position: when it leaves the queue it
+        puts in its next sibling and its own first child, no more. Of equal scores the one nearest the
+        start goes first, and a position that was left n times is left no more (n better ways through it
+        are known), so that long runs of ties cost at most n steps a position.
         """
-        arcs, best, _ = self.lattice(u)
-        into: list[list] = [[] for _ in best]
-        for i, j, s, ids in arcs:
-            into[j].append((i, s, ids))
-        queue = [(-best[-1], 0, len(u), 0.0, None)]
-        count, out = 0, []
+        best = self.viterbi(u)
+        into: dict[int, list[tuple[float, int, float, bytes]]] = {}
+        left: dict[int, int] = {}
+        queue: list[tuple] = []
+        count = 0
+
+        def put(at: int, rank: int, done: float, tail: tuple | None) -> None:
+            nonlocal count
+            if at not in into:
+                into[at] = self.arcs_into(u, at, best)
+            if rank < len(into[at]):
+                total, i, s, ids = into[at][rank]
+                count += 1
+                heapq.heappush(queue, (-(total + done), i, count, at, rank, done, s, ids, tail))
+
+        put(len(u), 0, 0.0, None)
+        out: list[tuple[float, bytes]] = []
         while queue and len(out) < n:
-            _, _, at, done, tail = heapq.heappop(queue)
-            if at == 0:
-                ids = []
-                while tail is not None:
-                    ids.append(tail[0])
-                    tail = tail[1]
-                out.append((done, b"".join(ids)))
+            _, i, _, at, rank, done, s, ids, tail = heapq.heappop(queue)
+            put(at, rank + 1, done, tail)
+            if left.get(i, 0) >= n:
                 continue
-            for i, s, ids in into[at]:
-                count += 1
-                heapq.heappush(queue, (-(best[i] + s + done), count, i, done + s, (ids, tail)))
+            left[i] = left.get(i, 0) + 1
+            own = (ids, tail)
+            if i:
+                put(i, 0, done + s, own)
+                continue
+            parts = []
+            while own is not None:
+                parts.append(own[0])
+                own = own[1]
+            out.append((done + s, b"".join(parts)))
         return out
 
     def lookup(self, u: str) -> tuple:

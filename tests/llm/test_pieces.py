@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import pytest
 
@@ -88,3 +90,34 @@ def test_tables(spark):
     back = {r.doc_id: r.text for r in P.decode_documents(got).collect()}
     assert all(back[i] == (t or "") for i, t, _ in rows if i is not None)
     assert P.encode_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_nbest_of_ties_equals_all_segmentations(n):
+    model = [("<unk>", 0.0, "other"), *((f"<0x{i:02X}>", 0.0, "byte") for i in range(256)), *((p, -1.0 * len(p), "normal") for p in (P.SPACE, "-", "--", "---", P.SPACE + "-"))]
+    s = P.Segmenter(model)
+    table = {p.replace(P.SPACE, " "): i for i, (p, _, k) in enumerate(model) if k == "normal"}
+
+    def walk(rest):
+        if not rest:
+            return [()]
+        return [(i, *tail) for p, i in table.items() if rest.startswith(p) for tail in walk(rest[len(p) :])]
+
+    for k in range(1, 9):
+        brute = walk(" " + "-" * k)
+        got = s.nbest("-" * k, n)
+        assert len(got) == min(n, len(brute)) == len({tuple(i) for _, i in got})
+        assert all(tuple(i) in brute and x == pytest.approx(-1.0 - k) for x, i in got)
+
+
+@pytest.mark.parametrize("text", ["-" * 100_000, "ab" * 50_000, "=" * 50_000, "x☃" * 20_000])
+def test_long_unbroken_units_take_bounded_time_and_memory(segmenter, text):
+    segmenter.encode("warm")
+    tracemalloc.start()
+    began = time.process_time()
+    ids, score, more = segmenter.encode(text)
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert segmenter.decode(ids) == text
+    assert all(s <= score for s, _ in more)
+    assert took < 30 and peak < 200e6  # seconds under tracing, on any machine; without it about one
