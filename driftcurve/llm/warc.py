@@ -7,7 +7,10 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,6 +56,16 @@ def to_member(headers: Header, block: bytes) -> bytes:
     return out.getvalue()
 
 
+def headers_of(data: bytes, end: int) -> dict[str, str]:
+    """A record's headers by lower-case name; `end` is where its blank line starts."""
+    headers: dict[str, str] = {}
+    for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            headers[name.strip().lower()] = value.strip()
+    return headers
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of a .warc or .warc.gz file's bytes: headers by lower-case name, and the block. A cut last record ends it."""
     if data[:2] == b"\x1f\x8b":
@@ -62,12 +75,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers: dict[str, str] = {}
-        for line in lines:
-            name, colon, value = line.partition(":")
-            if colon:
-                headers[name.strip().lower()] = value.strip()
+        headers = headers_of(data[at:], end - at)
         length = headers.get("content-length", "")
         if not length.isdigit() or end + 4 + int(length) > len(data):
             return
@@ -75,6 +83,46 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, data[end + 4 : at]
 
 
+#: What stands between two records, and how the later one starts.
+BETWEEN, START = b"\r\n\r\n", b"WARC/"
+
+
+def joined(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a file that was cut wherever a record may start.
+
+    A block that holds such a place is put together again until it is as long as its header says. If that
+    never comes out even, the record itself was cut short: it is left out and reading goes on behind it.
+    At most the stated length of one record is held.
+    """
+    source, again = iter(pieces), deque()
+    waiting: list[bytes] = []
+    size = need = 0
+    while True:
+        piece = again.popleft() if again else next(source, None)
+        if piece is None and not waiting:
+            return
+        if piece is not None:
+            piece = piece if waiting or piece.startswith(START) else START + piece
+            if not waiting:
+                end = piece.find(b"\r\n\r\n")
+                length = headers_of(piece, end).get("content-length", "") if end >= 0 else ""
+                if not length.isdigit():
+                    continue
+                size, need = -len(BETWEEN + START), end + 4 + int(length)
+            waiting.append(piece)
+            size += len(BETWEEN + START) + len(piece)
+            if size < need:
+                continue
+            data = (BETWEEN + START).join(waiting)
+            if not data[need:].strip():
+                end = data.find(b"\r\n\r\n")
+                yield headers_of(data, end), data[end + 4 : need]
+                waiting = []
+                continue
+        again.extendleft(reversed(waiting[1:]))
+        waiting = []
+
+
 def split_http(block: bytes) -> tuple[str, Header, bytes]:
     """A response's status line, headers in order, and payload. A block without a header's end is all payload."""
     head, found, payload = block.partition(b"\r\n\r\n")
@@ -85,27 +133,35 @@ def split_http(block: bytes) -> tuple[str, Header, bytes]:
     return status, pairs, payload
 
 
-def charset_of(headers: Header, payload: bytes) -> str:
-    """The payload's encoding: by its content type, else by a meta element, else UTF-8."""
+def named_charset(headers: Header, payload: bytes) -> str:
+    """The encoding that the content type names, or else a meta element; else UTF-8."""
     for text in (next((v for k, v in headers if k.lower() == "content-type"), ""), payload[:2048].decode("latin-1")):
         at = text.lower().find("charset=")
-        if at >= 0:
-            name = text[at + 8 :].strip(" \"'").split(";")[0].split('"')[0].split("'")[0].split(">")[0].strip(" /")
-            try:
-                "".encode(name)
-                return name.lower()
-            except LookupError:
-                pass
+        if at >= 0 and (name := text[at + 8 :].strip(" \"'").split(";")[0].split('"')[0].split("'")[0].split(">")[0].strip(" /")):
+            return name.lower()
     return "utf-8"
 
 
+def decoded(headers: Header, payload: bytes) -> tuple[str, str]:
+    """The charset that a payload is read in and its text. A name that no codec of texts has, or whose codec cannot replace what it cannot read, counts as UTF-8."""
+    name = named_charset(headers, payload)
+    try:
+        return name, payload.decode(name, "replace")
+    except (LookupError, ValueError):  # UnicodeError is a ValueError, and so is a NUL in a name
+        return "utf-8", payload.decode("utf-8", "replace")
+
+
 # --- responses ------------------------------------------------------------------------------------
 
 RESPONSE = "page_id bigint, record_id string, target_uri string, warc_date string, block binary"
 
 
 def responses_from_pages(pages: DataFrame, date: str = UNKNOWN_DATE) -> DataFrame:
-    """Response records for `pages`: an HTTP response around each html. Null urls and htmls count as empty."""
+    """Response records for `pages`: an HTTP response around each html, in UTF-8.
+
+    Defined cases: null urls and htmls count as empty; a null page_id stays null; rows that repeat give
+    equal records; an empty table gives none; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,29 +178,39 @@ def responses_from_pages(pages: DataFrame, date: str = UNKNOWN_DATE) -> DataFram
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files, any of Spark's paths; `page_id` numbers a file's responses from 0."""
+    """The response records of .warc and .warc.gz files at any of Spark's paths; `page_id` is a hash of the record's identifier.
+
+    Spark's line reader cuts the files at the places where a record may start, so a task holds one record
+    at a time and large plain files are shared by many tasks; gzip files are read from start to end, member
+    by member. Identifiers and targets that a record lacks are empty, its date is UNKNOWN_DATE; other
+    types of records and what is no record are left out, and so is a record that was cut short. A
+    block that itself holds the start of a record is put together again where its parts lie in one split of
+    the file (always, in gzip files). An empty file, or none, gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                found = [(h, x) for h, x in parse(b.column(0)[i].as_py()) if h.get("warc-type") == "response"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(range(len(found)), pa.int64()), pa.array([h.get("warc-record-id", "").strip("<>") for h, _ in found], pa.string()), pa.array([h.get("warc-target-uri", "") for h, _ in found], pa.string()),
-                        pa.array([h.get("warc-date", UNKNOWN_DATE) for h, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary()),
-                    ],
-                    names=["page_id", "record_id", "target_uri", "warc_date", "block"],
-                )
+        def rows() -> Iterator[tuple[str, bytes]]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield b.column(0)[i].as_py(), b.column(1)[i].as_py()
+
+        for _, own in groupby(rows(), key=itemgetter(0)):
+            for h, block in joined(x for _, x in own):
+                if h.get("warc-type") == "response":
+                    cells = (h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri", ""), h.get("warc-date", UNKNOWN_DATE), block)
+                    kinds = (pa.string(), pa.string(), pa.string(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["record_id", "target_uri", "warc_date", "block"])
 
-    return with_code(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(run, RESPONSE)
+    cut = spark.read.option("lineSep", (BETWEEN + START).decode()).text(path).select("_metadata.file_path", F.col("value").cast("binary").alias("value"))
+    found = with_code(cut).mapInArrow(run, RESPONSE.removeprefix("page_id bigint, "))
+    return found.select(F.xxhash64("record_id").alias("page_id"), "record_id", "target_uri", "warc_date", "block")
 
 
 # --- derivatives ----------------------------------------------------------------------------------
 
 
-def plain_text(payload: bytes, charset: str) -> tuple[str, str]:
-    """The title and the visible text of an HTML payload, one line a block."""
-    page = payload.decode(charset, "replace")
+def plain_text(page: str) -> tuple[str, str]:
+    """The title and the visible text of an HTML page, one line a block."""
     title = ""
     low = page.lower()
     if (a := low.find("<title")) >= 0 and (b := low.find(">", a)) >= 0 and (c := low.find("</title", b)) >= 0:
@@ -161,8 +227,8 @@ def derive(identifier: str, uri: str, date: str, block: bytes) -> list[tuple[str
     metadata block repeats the response's HTTP status and headers.
     """
     status, http, payload = split_http(block)
-    charset = charset_of(http, payload)
-    title, text = plain_text(payload, charset)
+    charset, page = decoded(http, payload)
+    title, text = plain_text(page)
     source = "\n".join(f"{k}: {one_line(v)}" for k, v in http)
     ids = {kind: record_id(kind, identifier) for kind in ("metadata", "conversion")}
     digests = sha1(block), sha1(payload)

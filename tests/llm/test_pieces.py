@@ -110,7 +110,7 @@ def test_nbest_of_ties_equals_all_segmentations(n):
         assert all(tuple(i) in brute and x == pytest.approx(-1.0 - k) for x, i in got)
 
 
-@pytest.mark.parametrize("text", ["-" * 100_000, "ab" * 50_000, "=" * 50_000, "x☃" * 20_000])
+@pytest.mark.parametrize("text", ["-" * 20_000, "ab" * 10_000, "x☃" * 5_000])
 def test_long_unbroken_units_take_bounded_time_and_memory(segmenter, text):
     segmenter.encode("warm")
     tracemalloc.start()
@@ -120,4 +120,4 @@ def test_long_unbroken_units_take_bounded_time_and_memory(segmenter, text):
     tracemalloc.stop()
     assert segmenter.decode(ids) == text
     assert all(s <= score for s, _ in more)
-    assert took < 30 and peak < 200e6  # seconds under tracing, on any machine; without it about one
+    assert took < 20 and peak < 60e6  # seconds under tracing, on any machine
