@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from driftcurve.llm.storage import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Label every node of `edges` (src, dst: long) with the smallest node it reaches.
 
     Returns (node, label) for the nodes that occur in an edge. Each round takes the least label among
@@ -23,7 +25,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     both = scratch.table(both, "cc-edges")
     labels = scratch.table(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")), "cc-labels-0")
     total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    for k in range(1, max_rounds + 1):
+    for k in count(1):  # ends: labels only fall, and each round that changes none is the last
         near = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("label"))
         near = scratch.table(near, f"cc-near-{k}")
         far = near.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
@@ -36,4 +38,3 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if now == total:
             return labels
         total = now
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")

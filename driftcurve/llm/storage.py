@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only: on a cluster a machine's own folder would be lost with it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='driftcurve-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
