@@ -16,12 +16,15 @@ from driftcurve.llm.storage import Scratch
 from driftcurve.session import with_code
 
 SEED = 42
-#: Vectors (and numbers in all) that codebooks and the traversal's width are fitted on.
-SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 22
-#: Vectors that a cell should hold; the most centroids of a codebook; vectors of a shard's block; queries compared at once.
-CELL_ROWS, MAX_CENTROIDS, BLOCK_ROWS, CHUNK = 64, 256, 4096, 512
+#: Vectors (at least, at most, and numbers in all) that codebooks and the traversal's width are fitted on.
+LEAST_SAMPLE, SAMPLE, SAMPLE_NUMBERS = 1024, 16_384, 1 << 22
+#: Vectors that a cell should hold, and the most centroids of a codebook: a grid for a billion vectors, whose cells grow from there on.
+CELL_ROWS, MAX_CENTROIDS = 1024, 1024
+#: What a task holds: vectors of a cell, and queries that visit it; a cell with more is compared by several tasks. Queries compared at once.
+BLOCK_ROWS, QUERY_ROWS, CHUNK = 4096, 32_768, 512
 THRESHOLD = 0.9
-RECALL = 0.999
+#: The share of pairs at exactly the threshold that a traversal must meet; closer pairs are met more surely.
+RECALL = 0.99
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -38,8 +41,9 @@ def codebook(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
         own = squared(x, centres).argmin(axis=1)
-        for i in np.unique(own):
-            centres[i] = x[own == i].mean(axis=0)
+        order = np.argsort(own, kind="stable")
+        seen, first, n = np.unique(own[order], return_index=True, return_counts=True)
+        centres[seen] = np.add.reduceat(x[order], first, axis=0) / n[:, None]
     return centres
 
 
@@ -49,7 +53,6 @@ class MultiIndex:
 
     first: np.ndarray
     second: np.ndarray
-    group: int  # columns of the grid that one shard joins
     margin: float = 0.0  # a traversal goes on until a cell scores this much above the nearest one
 
     @property
@@ -57,25 +60,50 @@ class MultiIndex:
         return self.first.shape[1]
 
     @property
-    def groups(self) -> int:
-        return math.ceil(len(self.second) / self.group)
+    def cells(self) -> int:
+        return len(self.first) * len(self.second)
 
     def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(x[:, : self.half], self.first), squared(x[:, self.half :], self.second)
 
-    def shards(self, d2: np.ndarray) -> np.ndarray:
-        """The least second-half distance in each group of columns."""
-        pad = np.pad(d2, ((0, 0), (0, self.groups * self.group - d2.shape[1])), constant_values=np.inf)
-        return pad.reshape(len(d2), self.groups, self.group).min(axis=2)
-
     def home(self, x: np.ndarray) -> np.ndarray:
         d1, d2 = self.scores(x)
-        return d1.argmin(axis=1) * self.groups + d2.argmin(axis=1) // self.group
+        return d1.argmin(axis=1) * len(self.second) + d2.argmin(axis=1)
 
     def reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First-half distances, second-half distances by group, and the score at which the traversal ends."""
+        """First-half distances, second-half distances, and the score at which the traversal ends."""
         d1, d2 = self.scores(x)
-        return d1, self.shards(d2), d1.min(axis=1) + d2.min(axis=1) + self.margin
+        return d1, d2, d1.min(axis=1) + d2.min(axis=1) + self.margin
+
+    def traverse(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (query, cell) pairs that the queries visit, each query's cells from the nearest on.
+
+        Multi-sequence traversal: both halves' distances are sorted, so cells form a grid whose scores rise
+        along rows and columns. Of each row the next cell not visited waits, from the row below the last
+        one begun upwards; the least of those is visited, and its row moves on. All queries take their
+        steps together; one that has passed its end leaves.
+        """
+        d1, d2, end = self.reach(x)
+        o1, o2 = d1.argsort(axis=1, kind="stable"), d2.argsort(axis=1, kind="stable")
+        s1 = np.take_along_axis(d1, o1, axis=1)
+        s2 = np.pad(np.take_along_axis(d2, o2, axis=1), ((0, 0), (0, 1)), constant_values=np.inf)
+        at = np.zeros(d1.shape, np.int32)  # each row's next cell
+        begun = np.zeros(len(x), np.int64)  # rows begun
+        live = np.arange(len(x))
+        queries, cells = [], []
+        while len(live):
+            wide = min(int(begun[live].max()) + 1, s1.shape[1])
+            waiting = s1[live, :wide] + s2[live[:, None], at[live, :wide]]
+            waiting[np.arange(wide)[None, :] > begun[live, None]] = np.inf
+            row = waiting.argmin(axis=1)
+            on = waiting[np.arange(len(live)), row] <= end[live]
+            live, row = live[on], row[on]
+            column = at[live, row]
+            queries.append(live)
+            cells.append(o1[live, row] * len(self.second) + o2[live, column])
+            begun[live] += column == 0
+            at[live, row] += 1
+        return np.concatenate([np.empty(0, np.int64), *queries]), np.concatenate([np.empty(0, np.int64), *cells])
 
 
 def fit(sample: np.ndarray, total: int, threshold: float, recall: float) -> MultiIndex:
@@ -87,8 +115,7 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float) -> Mult
     half = sample.shape[1] // 2
     k = int(np.clip(math.ceil(math.sqrt(total / CELL_ROWS)), 1, MAX_CENTROIDS))
     first, second = codebook(sample[:, :half], k), codebook(sample[:, half:], k)
-    per_cell = total / (len(first) * len(second))
-    index = MultiIndex(first, second, int(np.clip(BLOCK_ROWS / 2 // max(per_cell, 1e-9), 1, len(second))))
+    index = MultiIndex(first, second)
     rng = np.random.default_rng(SEED)
     x = sample[rng.choice(len(sample), min(4096, len(sample)), replace=False)]
     noise = rng.normal(size=x.shape)
@@ -119,79 +146,100 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
 
 
-def solve_block(index: MultiIndex, home: np.ndarray, shard: np.ndarray, rep: np.ndarray, weight: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the rows of a block that link: their ids, links found here and the smallest id they reach here.
+def solve_block(index: MultiIndex, home: np.ndarray, cell: np.ndarray, rep: np.ndarray, weight: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the vectors of a task that link: their ids, links found here and the smallest id they reach here.
 
-    `home` marks the vectors that lie in this block; every row is a query that visits it. A pair that
-    only one side's traversal meets is credited to both there, so that each link counts once a side.
+    `home` marks the rows that lie in the task's cell; the others are queries that visit it, some for the same
+    vectors. A pair that only one side's traversal meets is credited to both there, so that each link
+    counts once a side.
     """
-    order = np.argsort(rep, kind="stable")
-    home, shard, rep, weight, x = home[order], shard[order], rep[order], weight[order], x[order]
-    own = np.flatnonzero(home)
+    ids, node = np.unique(rep, return_inverse=True)
+    own, queries = np.flatnonzero(home), np.flatnonzero(~home)
     d1, d2, end = index.reach(x[own])
-    links = np.zeros(len(rep), np.int64)
-    forest = Forest(len(rep))
-    hit = np.zeros(len(rep), bool)
-    for at in range(0, len(rep), CHUNK):
-        p, q = np.nonzero(x[at : at + CHUNK] @ x[own].T >= threshold)
-        h = q
-        p, q = p + at, own[q]
-        keep = p != q
+    links = np.zeros(len(ids), np.int64)
+    forest = Forest(len(ids))
+    for at in range(0, len(queries), CHUNK):
+        p, h = np.nonzero(x[queries[at : at + CHUNK]] @ x[own].T >= threshold)
+        p, q = queries[at + p], own[h]
+        keep = node[p] != node[q]
         p, q, h = p[keep], q[keep], h[keep]
         if not len(p):
             continue
-        hit[p] = hit[q] = True
-        np.add.at(links, p, weight[q])
-        unseen = d1[h, shard[p] // index.groups] + d2[h, shard[p] % index.groups] > end[h]
-        np.add.at(links, q[unseen], weight[p[unseen]])
-        a, b = forest.roots(np.arange(len(rep)))[p], forest.roots(np.arange(len(rep)))[q]
-        for key in np.unique(np.minimum(a, b)[a != b] * len(rep) + np.maximum(a, b)[a != b]).tolist():
-            forest.join(*divmod(key, len(rep)))
-    found = np.flatnonzero(hit)
-    return rep[found], links[found], rep[forest.roots(found)]
+        np.add.at(links, node[p], weight[q])
+        unseen = d1[h, cell[p] // len(index.second)] + d2[h, cell[p] % len(index.second)] > end[h]
+        np.add.at(links, node[q[unseen]], weight[p[unseen]])
+        roots = forest.roots(np.arange(len(ids)))
+        a, b = roots[node[p]], roots[node[q]]
+        for key in np.unique(np.minimum(a, b)[a != b] * len(ids) + np.maximum(a, b)[a != b]).tolist():
+            forest.join(*divmod(key, len(ids)))
+    roots = forest.roots(np.arange(len(ids)))
+    found = np.flatnonzero((links > 0) | (roots != np.arange(len(ids))))
+    return ids[found], links[found], ids[roots[found]]
+
+
+def taken(vectors: DataFrame, dim: int, total: int) -> np.ndarray:
+    """About as many unit vectors as the sample should have, those whose ids have low hashes: the same ones however the data are laid out."""
+    bound = max(LEAST_SAMPLE, min(SAMPLE, SAMPLE_NUMBERS // dim))
+    share = math.ceil(min(1.0, bound / max(total, 1)) * (1 << 30))
+    rows = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(share)).select("rep", "v").toArrow().sort_by("rep")
+    return matrix(rows["v"].combine_chunks(), dim) if rows.num_rows else np.ones((1, dim)) / math.sqrt(dim)
 
 
 def search(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float, recall: float) -> DataFrame:
     """(rep, links, dst) over distinct vectors of one length: partial sums of links, and edges that connect them."""
     total = vectors.count()
-    bound = max(1024, min(SAMPLE, SAMPLE_NUMBERS // dim))
-    rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(bound).select("v").toArrow()
-    index = fit(matrix(rows["v"].combine_chunks(), dim), total, threshold, recall)
+    sample = taken(vectors, dim, total)
+    index = fit(sample, total, threshold, recall)
     kind = vectors.schema["v"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cells = index.home(matrix(b.column("v"), dim)) if b.num_rows else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.astype(np.int32))], names=[*b.schema.names, "shard"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.astype(np.int32))], names=[*b.schema.names, "cell"])
 
-    placed = scratch.table(with_code(vectors.select("rep", "weight", "v")).mapInArrow(place, f"rep bigint, weight bigint, v {kind}, shard int"), f"placed-{dim}")
-    held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # at most MAX_CENTROIDS squared
-    blocks = np.array([math.ceil(held.get(s, 0) / BLOCK_ROWS) for s in range(len(index.first) * index.groups)])
-    start = np.concatenate([[0], np.cumsum(blocks)])
+    placed = scratch.table(with_code(vectors.select("rep", "weight", "v")).mapInArrow(place, f"rep bigint, weight bigint, v {kind}, cell int"), f"placed-{dim}")
+    counts = placed.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # at most MAX_CENTROIDS squared
+    held = np.zeros(index.cells, np.int64)
+    held[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    visits = np.bincount(index.traverse(sample)[1], minlength=index.cells) * (total / len(sample))
+    blocks = np.ceil(held / BLOCK_ROWS).astype(np.int64)
+    slices = np.ceil(np.maximum(visits, 1) / QUERY_ROWS).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(blocks * slices)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
-                x = matrix(part.column("v"), dim)
-                d1, d2, end = index.reach(x)
-                own = np.asarray(part.column("shard"))
-                visited = (d1[:, :, None] + d2[:, None, :] <= end[:, None, None]).reshape(len(x), -1)
-                visited[np.arange(len(x)), own] = True
-                row, shard = np.nonzero(visited & (blocks > 0))
-                times = blocks[shard]
-                row, shard = np.repeat(row, times), np.repeat(shard, times)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                salt = (np.asarray(part.column("rep")).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                home = (shard == own[row]) & (nth == (salt[row] % blocks[shard].astype(np.uint64)).astype(np.int64))
-                take = part.select(["rep", "weight", "v", "shard"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array((start[shard] + nth).astype(np.int32)), pa.array(home), *take.columns], names=["block", "home", "rep", "weight", "v", "shard"])
+                own = np.asarray(part.column("cell"))
+                salt = np.asarray(part.column("rep")).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                block = ((salt >> np.uint64(40)) % blocks[own].astype(np.uint64)).astype(np.int64)
+
+                row, cell = index.traverse(matrix(part.column("v"), dim))
+                mine = ((salt[row] >> np.uint64(16)) % slices[cell].astype(np.uint64)).astype(np.int64)
+                row, cell, mine = (np.repeat(y, blocks[cell]) for y in (row, cell, mine))
+                query = start[cell] + nth(row, cell) * slices[cell] + mine
+                lies = np.repeat(np.arange(len(own)), slices[own])
+                home = start[own[lies]] + block[lies] * slices[own[lies]] + nth(lies, own[lies])
+
+                take = part.select(["rep", "weight", "v", "cell"]).take(pa.array(np.concatenate([row, lies])))
+                tasks, homes = np.concatenate([query, home]), np.repeat([False, True], [len(query), len(home)])
+                yield pa.RecordBatch.from_arrays([pa.array(tasks), pa.array(homes), *take.columns], names=["task", "home", "rep", "weight", "v", "cell"])
 
     def solve(t: pa.Table) -> pa.Table:
-        rep, links, dst = solve_block(index, t["home"].to_numpy(zero_copy_only=False), t["shard"].to_numpy(), t["rep"].to_numpy(), t["weight"].to_numpy(), matrix(t["v"].combine_chunks(), dim), threshold)
+        x = matrix(t["v"].combine_chunks(), dim)
+        rep, links, dst = solve_block(index, t["home"].to_numpy(zero_copy_only=False), t["cell"].to_numpy(), t["rep"].to_numpy(), t["weight"].to_numpy(), x, threshold)
         return pa.table({"rep": rep, "links": links, "dst": dst})
 
-    dealt = with_code(placed).mapInArrow(deal, f"block int, home boolean, rep bigint, weight bigint, v {kind}, shard int")
-    return dealt.groupBy("block").applyInArrow(solve, "rep bigint, links bigint, dst bigint")
+    dealt = with_code(placed).mapInArrow(deal, f"task bigint, home boolean, rep bigint, weight bigint, v {kind}, cell int")
+    return dealt.groupBy("task").applyInArrow(solve, "rep bigint, links bigint, dst bigint")
+
+
+def nth(*keys: np.ndarray) -> np.ndarray:
+    """The place of each entry within its run of equal keys."""
+    n = len(keys[0])
+    if not n:
+        return np.empty(0, np.int64)
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    return np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
 
 
 def embedding_near_dedup(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -200,12 +248,13 @@ def embedding_near_dedup(vectors: DataFrame, scratch: Scratch, threshold: float
     Equal vectors are first reduced to one with a weight. The codebooks, and the margin after which a
     traversal ends, are fitted on at most SAMPLE vectors; every vector is indexed and every vector
     queries. A found pair is verified by its cosine in double precision, so no pair below the
-    threshold links. A shard with many vectors is split into blocks of BLOCK_ROWS, each of which
-    every query of that shard visits.
+    threshold links. A cell with many vectors or many visitors is compared by several tasks: its vectors
+    in blocks of BLOCK_ROWS, the visitors in slices of about QUERY_ROWS.
 
     Defined cases: a vector that is null, empty, zero, or holds a null or a non-finite number has
     no links and is its own component; vectors of different lengths never link; rows that repeat a
-    vec_id with equal vectors are linked copies, and with different vectors one node; a null vec_id
+    vec_id with equal vectors are linked copies, and with different vectors one node, so that all of
+    them have one component; a null vec_id
     has no links and a null component; an empty table gives an empty one; other columns are ignored.
     """
     v = F.col("embedding")
@@ -219,16 +268,22 @@ def embedding_near_dedup(vectors: DataFrame, scratch: Scratch, threshold: float
     for row in reps.select("dim").distinct().collect():  # lengths, not vectors
         part = search(reps.where(F.col("dim") == row["dim"]), row["dim"], scratch, threshold, recall)
         found = part if found is None else found.union(part)
+    same_id = keys.where("vec_id IS NOT NULL").groupBy(F.col("vec_id").alias("again")).agg(F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("again")
+    same_id = scratch.table(same_id, "repeats")
     if found is None:
         return own.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = scratch.table(found, "found")
-    labels = connected_components(found.where("rep <> dst").select(F.col("rep").alias("src"), "dst"), scratch)
+    again = keys.join(same_id, F.col("vec_id") == F.col("again")).select("vec_id", "a", "b").distinct()
+    again = again.join(reps.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "rep"), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")))
+    edges = found.where("rep <> dst").select(F.col("rep").alias("src"), "dst").unionByName(again.select(F.col("vec_id").alias("src"), F.col("rep").alias("dst")))
+    labels = connected_components(scratch.table(edges, "edges"), scratch)
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("a", "b", "rep", "weight").join(sums, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("a").alias("ka"), F.col("b").alias("kb"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("label", "rep").alias("label"))
     known = scratch.table(known, "known")
-    joined = keys.drop("v").join(known, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left")
-    component = F.coalesce("label", "vec_id")
+    of_id = scratch.table(same_id.join(labels, F.col("again") == F.col("node")).select("again", F.col("label").alias("id_label")), "repeat-labels")
+    joined = keys.drop("v").join(known, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left").join(of_id, F.col("vec_id") == F.col("again"), "left")
+    component = F.coalesce("id_label", "label", "vec_id")
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -30,6 +30,7 @@ def run(spark, rows):
 @pytest.mark.parametrize("block_rows", [64, 4096])
 def test_equals_brute_force(spark, monkeypatch, block_rows):
     monkeypatch.setattr(E, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(E, "QUERY_ROWS", 3 * block_rows)
     monkeypatch.setattr(E, "CELL_ROWS", 8)
     rng = np.random.default_rng(0)
     base = rng.normal(size=(500, 32))
@@ -48,22 +49,59 @@ def test_a_link_that_one_side_meets_counts_for_both():
     rng = np.random.default_rng(1)
     x = E.unit(rng.normal(size=(400, 16)))
     index = E.fit(x, 400, 0.6, 0.5)
-    index.group, index.margin = 1, 0.05
+    index.margin = 0.05
     home = index.home(x)
     links = {i: 0 for i in range(400)}
-    d1, d2, end = index.reach(x)
+    query, cell = index.traverse(x)
     for s in np.unique(home):
-        rows = np.flatnonzero((d1[:, s // index.groups] + d2[:, s % index.groups] <= end) | (home == s))
-        rep, n, _ = E.solve_block(index, home[rows] == s, home[rows], rows, np.ones(len(rows), int), x[rows], 0.6)
+        visitors, lie = query[cell == s], np.flatnonzero(home == s)
+        rows = np.concatenate([visitors, lie])
+        here = np.repeat([False, True], [len(visitors), len(lie)])
+        rep, n, _ = E.solve_block(index, here, home[rows], rows, np.ones(len(rows), int), x[rows], 0.6)
         for i, k in zip(rep.tolist(), n.tolist(), strict=True):
             links[i] += k
     at = x @ x.T >= 0.6
-    visits = d1[:, home // index.groups] + d2[:, home % index.groups] <= end[:, None]
-    met = at & (visits | visits.T)
+    visits = np.zeros((400, index.cells), bool)
+    visits[query, cell] = True
+    met = at & (visits[:, home] | visits[:, home].T)
     np.fill_diagonal(met, False)
+    assert met.any() and (met != at).any()
     assert [links[i] for i in range(400)] == met.sum(axis=1).tolist()
 
 
+def test_traversal_visits_the_nearest_cells_in_order():
+    rng = np.random.default_rng(2)
+    x = E.unit(rng.normal(size=(300, 24)))
+    index = E.MultiIndex(E.codebook(x[:, :12], 9), E.codebook(x[:, 12:], 7), 0.2)
+    query, cell = index.traverse(x)
+    d1, d2, end = index.reach(x)
+    score = (d1[:, :, None] + d2[:, None, :]).reshape(300, -1)
+    for i in range(300):
+        own = cell[query == i]
+        assert sorted(own.tolist()) == np.flatnonzero(score[i] <= end[i]).tolist()
+        assert (np.diff(score[i][own]) >= 0).all() and own[0] == index.home(x)[i]
+    assert all(len(y) == 0 for y in index.traverse(x[:0]))
+
+
+def test_rows_that_repeat_an_id_share_a_component(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    got = run(spark, [(3, v, 0, 0), (5, v, 0, 0), (5, w, 0, 0), (7, w, 0, 0), (9, None, 0, 0), (9, w, 0, 0), (11, w, 0, 0), (11, w, 0, 0)])
+    assert got.component_id.tolist() == [3] * 8 and got.kept.tolist() == [True] + [False] * 7
+
+
+def test_query_recall_on_whole_tables(spark):
+    """All of a larger table against brute force in blocks; no pair below the threshold, recall of links and components."""
+    sf = "/root/testdata/check_s"
+    got = E.op9_embedding_near_dedup(spark, sf).toPandas().sort_values("vec_id", ignore_index=True)
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id", ignore_index=True)
+    fine = own.embedding.map(lambda v: v is not None and len(v) > 0 and bool(np.isfinite(np.array(v, float)).all()) and bool(np.any(v)))
+    x = E.unit(np.array(own.embedding[fine].tolist(), float))
+    at = np.concatenate([(x[i : i + 500] @ x.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(x), 500)])
+    n = got.n_links[fine].to_numpy()
+    assert got.vec_id.tolist() == own.vec_id.tolist() and (got.n_links[~fine] == 0).all()
+    assert (n <= at).all() and n.sum() >= 0.99 * at.sum() and (n == at).mean() >= 0.99
+
+
 def test_edge_cases(spark):
     assert E.embedding_near_dedup(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
     v = [1.0, 2.0, 3.0, 4.0]
