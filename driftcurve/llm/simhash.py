@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,15 @@ from driftcurve.llm.storage import Scratch
 from driftcurve.session import with_code
 
 SEED = 42
-#: Fingerprints that the driver may take to place vantage points (or to find hot buckets).
-SAMPLE = 16_384
-#: Distinct fingerprints that a shard should hold, and shards that one sample can place.
-SHARD_ROWS, MAX_SHARDS = 2048, 2048
+#: Fingerprints that the driver takes to place vantage points (or to find hot buckets): so many a shard, at least and at most.
+PER_SHARD, SAMPLE, MOST_SAMPLE = 16, 16_384, 1 << 20
+#: Distinct fingerprints that a shard should hold: at least; as many as make SHARDS shards; at most.
+SHARD_ROWS, SHARDS, MOST_ROWS = 2048, 1024, 1 << 16
 LEAF = 512
+#: A ball splits a set if its larger side holds this share of it at most, and both sides this many times the set.
+SPLIT, OVERLAP = 0.85, 1.5
+#: Rows and their neighbours that one task looks up at a time.
+LOOK_UP = 1 << 20
 #: Candidate hubs of a group that is too large for one task.
 HUBS = 8
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -182,12 +188,57 @@ def vantage(fps: np.ndarray, rng: np.random.Generator, radius: int, tries: int =
     return best[1], best[2], best[0]
 
 
+def masks(flips: int) -> np.ndarray:
+    """All words of 64 bits with at most so many ones, those with fewer first."""
+    return np.array([sum(1 << i for i in c) for k in range(flips + 1) for c in combinations(range(64), k)], np.uint64)
+
+
+def neighbour_keys(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint's neighbours, (n, m), and which of the m columns lie within radius // 2 bits.
+
+    Two fingerprints within `radius` bits have a common neighbour that lies within radius // 2 bits of the
+    one and within the rest of the radius of the other; and two that share such a neighbour differ in no
+    more than `radius` bits. So fingerprints need only be grouped by neighbour, and a group is a star
+    around any one that is near. However crowded the fingerprints are, a group is small.
+    """
+    far = masks(radius - radius // 2)
+    return fps[:, None] ^ far[None, :], np.bitwise_count(far) <= radius // 2
+
+
+def link_neighbours(key: np.ndarray, near: np.ndarray, row: np.ndarray, forest: Forest) -> None:
+    """Join the rows of each key to its first near row."""
+    order = np.lexsort((~near, key))
+    key, near, row = key[order], near[order], row[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    pair = near[lead] & (row != row[lead])
+    n = len(forest.up)
+    for p in np.unique(row[pair] * n + row[lead][pair]).tolist():
+        forest.join(*divmod(p, n))
+
+
+def link_crowd(fps: np.ndarray, idx: np.ndarray, radius: int, forest: Forest) -> None:
+    """Join all pairs within `radius` among rows that no ball splits, by their neighbours, some keys at a time."""
+    wide = len(masks(radius - radius // 2))
+    if len(idx) < 4 * wide:
+        return link_block(fps[:, None], idx, radius, forest)
+    passes = -(-len(idx) * wide // LOOK_UP)
+    step = max(1, LOOK_UP // wide)
+    for k in range(passes):
+        found = []
+        for at in range(0, len(idx), step):
+            keys, near = neighbour_keys(fps[idx[at : at + step]], radius)
+            r, c = np.nonzero(remixed(keys, 1) % np.uint64(passes) == k)
+            found.append((keys[r, c], near[c], idx[at + r]))
+        link_neighbours(*(np.concatenate(x) for x in zip(*found, strict=True)), forest)
+
+
 def link_tree(fps: np.ndarray, radius: int, forest: Forest, leaf: int = LEAF) -> None:
     """Join all pairs of one-word fingerprints within `radius`, by a vantage-point tree.
 
     Rows inside the ball but within `radius` of its edge also go outside. By the triangle bound a
     close pair then meets on some side at every node, so in some leaf; leaves compare all pairs.
-    A set that no ball splits is compared in blocks.
+    A set that no ball splits is joined by its neighbours.
     """
     rng = np.random.default_rng(SEED)
     todo = [np.arange(len(fps))]
@@ -197,11 +248,12 @@ def link_tree(fps: np.ndarray, radius: int, forest: Forest, leaf: int = LEAF) ->
             link_block(fps[:, None], idx, radius, forest)
             continue
         v, mu, share = vantage(fps[idx], rng, radius)
-        if share > 0.9:
-            link_block(fps[:, None], idx, radius, forest)
-            continue
-        d = np.bitwise_count(fps[idx] ^ fps[idx[v]])
-        todo += [idx[d <= mu], idx[d.astype(np.int16) > mu - radius]]
+        d = np.bitwise_count(fps[idx] ^ fps[idx[v]]).astype(np.int16)
+        sides = [idx[d <= mu], idx[d > mu - radius]]
+        if share > SPLIT or sum(map(len, sides)) > OVERLAP * len(idx):
+            link_crowd(fps, idx, radius, forest)
+        else:
+            todo += sides
 
 
 # --- shards ------------------------------------------------------------------------------------
@@ -214,31 +266,53 @@ class Node:
     inside: Node | None = None
     outside: Node | None = None
     shard: int = -1
+    crowded: bool = False
 
 
-def plan_tree(sample: np.ndarray, total: int, radius: int) -> tuple[Node, int]:
-    """A vantage-point tree over a sample whose leaves hold about SHARD_ROWS of `total` rows; its number of leaves."""
-    rng = np.random.default_rng(SEED)
-    per_leaf = max(SHARD_ROWS * len(sample) / max(total, 1), len(sample) / MAX_SHARDS, 8)
-    n = 0
+def shard_rows(total: int) -> int:
+    """What a shard should hold. SHARDS shards do, until each holds what a task should; from there on shards grow in number."""
+    return min(max(total // SHARDS, SHARD_ROWS), MOST_ROWS)
+
 
-    def grow(part: np.ndarray) -> Node:
-        nonlocal n
-        if len(part) > per_leaf:
+def sample_size(total: int) -> int:
+    return min(max(PER_SHARD * (total // shard_rows(total)), SAMPLE), MOST_SAMPLE)
+
+
+def plan_tree(sample: np.ndarray, total: int, radius: int, copies: int = 16) -> tuple[Node, int]:
+    """A vantage-point tree over a sample whose leaves hold about `shard_rows` of `total` rows; its number of leaves.
+
+    A leaf that holds over four times SHARD_ROWS and that no ball splits is crowded: its rows are not dealt by
+    place but by their neighbours. So are large leaves once splitting has copied the sample `copies` times.
+    """
+    rng = np.random.default_rng(SEED)
+    scale = len(sample) / max(total, 1)
+    per_leaf = max(shard_rows(total) * scale, 8)
+    root, n = Node(), 0
+    left = copies * len(sample)
+    todo = [(-len(sample), 0, root, sample)]
+    made = 1
+    while todo:
+        _, _, node, part = heappop(todo)
+        if len(part) > per_leaf and left > 0:
             i, mu, share = vantage(part, rng, radius)
-            if share < 0.9:
-                d = np.bitwise_count(part ^ part[i]).astype(np.int16)
-                return Node(int(part[i]), mu, grow(part[d <= mu]), grow(part[d > mu - radius]))
+            d = np.bitwise_count(part ^ part[i]).astype(np.int16)
+            sides = part[d <= mu], part[d > mu - radius]
+            if share <= SPLIT and sum(map(len, sides)) <= OVERLAP * len(part):
+                node.centre, node.mu, node.inside, node.outside = int(part[i]), mu, Node(), Node()
+                left -= sum(map(len, sides)) - len(part)
+                for child, side in zip((node.inside, node.outside), sides, strict=True):
+                    heappush(todo, (-len(side), made, child, side))
+                    made += 1
+                continue
+        node.shard, node.crowded = n, len(part) > max(per_leaf, 4 * SHARD_ROWS * scale)
         n += 1
-        return Node(shard=n - 1)
+    return root, n
 
-    return grow(sample), n
 
-
-def route(node: Node, fps: np.ndarray, idx: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The shards of a batch: each leaf that a row's ball of `radius` can share with a partner."""
+def route(node: Node, fps: np.ndarray, idx: np.ndarray, radius: int) -> Iterator[tuple[Node, np.ndarray]]:
+    """The leaves of a batch that a row's ball of `radius` can share with a partner."""
     if node.shard >= 0:
-        yield node.shard, idx
+        yield node, idx
     elif len(idx):
         d = np.bitwise_count(fps[idx] ^ np.uint64(node.centre)).astype(np.int16)
         yield from route(node.inside, fps, idx[d <= node.mu], radius)
@@ -249,37 +323,70 @@ def columns(b: pa.RecordBatch, n_words: int) -> np.ndarray:
     return np.stack([np.asarray(b.column(x)).view(np.uint64) for x in word_names(n_words)], axis=1) if b.num_rows else np.empty((0, n_words), np.uint64)
 
 
-def taken(reps: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE distinct fingerprints with their rows' ids, the same ones however the data are laid out."""
+def taken(reps: DataFrame, n_words: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """About `sample_size` of the distinct fingerprints with their rows' ids: those whose hashes are low, the same ones however the data are laid out."""
     names = word_names(n_words)
-    t = reps.orderBy(F.xxhash64(*names), *names).limit(SAMPLE).select("rep", *names).toArrow()
+    share = min(1.0, sample_size(total) / max(total, 1))
+    t = reps.where(F.pmod(F.xxhash64(*names), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))).select("rep", *names).toArrow()
     fps = np.stack([t[x].to_numpy().view(np.uint64) for x in names], axis=1) if t.num_rows else np.empty((0, n_words), np.uint64)
-    return t["rep"].to_numpy(), fps
+    order = np.lexsort((t["rep"].to_numpy(), *fps.T))
+    return t["rep"].to_numpy()[order], fps[order]
 
 
-def vp_links(reps: DataFrame, radius: int) -> DataFrame:
-    """(src, dst): what connects the distinct fingerprints `reps` (f0, rep) that differ in at most `radius` bits."""
+DEALT = "shard bigint, f0 bigint, near boolean, rep bigint"
+
+
+def vp_dealt(reps: DataFrame, radius: int) -> DataFrame:
+    """`reps` (f0, rep) dealt to shards, so that rows within `radius` bits meet in one.
+
+    A row goes to each leaf of the vantage-point tree that its ball reaches, with its fingerprint. Rows of
+    crowded leaves go to shards below zero by their neighbours' hashes, with the neighbour in place of the
+    fingerprint; `near` is null for the others.
+    """
     total = reps.count()
-    _, sample = taken(reps, 1)
-    tree, n = plan_tree(sample[:, 0], total, radius)
+    _, sample = taken(reps, 1, total)
+    tree, _ = plan_tree(sample[:, 0], total, radius)
+    wide = len(masks(radius - radius // 2))
+    crowd = sum(np.unique(np.concatenate([i for leaf, i in route(tree, sample[:, 0], np.arange(len(sample)), radius) if leaf.crowded] or [np.empty(0, int)])).shape)
+    buckets = max(1, math.ceil(crowd * total / max(1, len(sample)) * wide / (64 * SHARD_ROWS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(shard: np.ndarray, f0: np.ndarray, near: pa.Array, rep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(f0.view(np.int64)), near, pa.array(rep)], names=["shard", "f0", "near", "rep"])
+
         for b in batches:
-            fps = columns(b, 1)[:, 0]
+            fps, rep = columns(b, 1)[:, 0], np.asarray(b.column("rep"))
             parts = list(route(tree, fps, np.arange(len(fps)), radius))
-            idx = np.concatenate([i for _, i in parts]) if parts else np.empty(0, int)
-            shard = np.repeat([s for s, _ in parts], [len(i) for _, i in parts]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[idx].view(np.int64)), b.column("rep").take(pa.array(idx))], names=["shard", "f0", "rep"])
+            for leaf, i in parts:
+                if not leaf.crowded and len(i):
+                    yield batch(np.full(len(i), leaf.shard), fps[i], pa.nulls(len(i), pa.bool_()), rep[i])
+            crowded = np.unique(np.concatenate([i for leaf, i in parts if leaf.crowded] or [np.empty(0, int)]))
+            step = max(1, LOOK_UP // wide)
+            for at in range(0, len(crowded), step):
+                i = crowded[at : at + step]
+                keys, near = neighbour_keys(fps[i], radius)
+                shard = -1 - (remixed(keys, 1) % np.uint64(buckets)).astype(np.int64)
+                yield batch(shard.ravel(), keys.ravel(), pa.array(np.tile(near, len(i))), np.repeat(rep[i], wide))
+
+    return with_code(reps.select("f0", "rep")).mapInArrow(deal, DEALT)
+
+
+def vp_links(reps: DataFrame, radius: int) -> DataFrame:
+    """(src, dst): what connects the distinct fingerprints `reps` (f0, rep) that differ in at most `radius` bits."""
 
     def solve(t: pa.Table) -> pa.Table:
-        rep = t["rep"].to_numpy()
-        order = np.argsort(rep, kind="stable")
-        forest = Forest(len(rep))
-        link_tree(t["f0"].to_numpy().view(np.uint64)[order], radius, forest)
-        return stars(rep[order], forest)
+        rep, f0 = t["rep"].to_numpy(), t["f0"].to_numpy().view(np.uint64)
+        if t["near"].null_count:
+            order = np.argsort(rep, kind="stable")
+            forest = Forest(len(rep))
+            link_tree(f0[order], radius, forest)
+            return stars(rep[order], forest)
+        ids, row = np.unique(rep, return_inverse=True)
+        forest = Forest(len(ids))
+        link_neighbours(f0, t["near"].to_numpy(), row, forest)
+        return stars(ids, forest)
 
-    dealt = with_code(reps.select("f0", "rep")).mapInArrow(deal, "shard int, f0 bigint, rep bigint")
-    return dealt.groupBy("shard").applyInArrow(solve, "src bigint, dst bigint")
+    return vp_dealt(reps, radius).groupBy("shard").applyInArrow(solve, "src bigint, dst bigint")
 
 
 def stars(rep: np.ndarray, forest: Forest) -> pa.Table:
@@ -295,16 +402,29 @@ def band_plan(total: int, p: float, recall: float) -> tuple[int, int]:
     return k, 1 if k == 0 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def block_tasks(own: np.ndarray, near: np.ndarray, salt: np.ndarray, nears: int, fars: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each task of a hot group: a near group with a far group, or two far groups."""
+    g = (salt % np.uint64(nears)).astype(np.int64)
+    f = (salt % np.uint64(fars)).astype(np.int64)
+    for j in range(fars):
+        far = own[~near & (f == j)]
+        for i in range(nears):
+            yield i * fars + j, np.concatenate([own[near & (g == i)], far])
+        for k in range(j):
+            yield nears * fars + k * fars + j, np.concatenate([own[~near & (f == k)], far])
+
+
 def band_links(reps: DataFrame, radius: int, n_words: int, recall: float = 0.99) -> DataFrame:
     """As vp_links, for radii at which no ball prunes: shards are samples of bits, several per row.
 
     A pair within `radius` shares at least one shard with probability `recall` (more, when it is closer).
     A bucket that the sample shows to be hot is split: its rows within `radius` of its hub are linked
-    to the hub at once and need no comparison with one another, so they are dealt over the bucket's
-    blocks; only the others go to every block.
+    to the hub at once and need no comparison with one another. Those rows are dealt over near groups, the
+    others over far groups, of SHARD_ROWS rows each; one task compares a near group with a far one, or two far
+    ones, so a task's rows are bounded whatever a bucket holds.
     """
     total = reps.count()
-    ids, sample = taken(reps, n_words)
+    ids, sample = taken(reps, n_words, total)
     k, bands = band_plan(total, radius / (64 * n_words), recall)
     rng = np.random.default_rng(SEED)
     bits = [rng.choice(64 * n_words, k, replace=False) for _ in range(bands)]
@@ -316,14 +436,16 @@ def band_links(reps: DataFrame, radius: int, n_words: int, recall: float = 0.99)
             key |= ((fps[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).astype(np.int64) << i
         return key
 
-    hot: dict[tuple[int, int], tuple[np.ndarray, int, int]] = {}
+    hot: dict[tuple[int, int], tuple[np.ndarray, int, int, int]] = {}
     for t in range(bands):
         of, n_of = np.unique(keys(sample, t), return_counts=True)
         for key, n in zip(of.tolist(), n_of.tolist(), strict=True):
             if (rows := n * total / max(1, len(sample))) > 4 * SHARD_ROWS and n >= 16:
                 own = np.flatnonzero(keys(sample, t) == key)[:1024]
-                hub = own[(distances(sample[own], sample[own]) <= radius).sum(axis=1).argmax()]
-                hot[t, key] = (sample[hub], int(ids[hub]), math.ceil(rows / SHARD_ROWS))
+                near = distances(sample[own], sample[own]) <= radius
+                hub = near.sum(axis=1).argmax()
+                share = near[hub].mean()
+                hot[t, key] = (sample[own[hub]], int(ids[own[hub]]), math.ceil(share * rows / SHARD_ROWS), math.ceil(max(1, (1 - share) * rows) / SHARD_ROWS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,14 +455,14 @@ def band_links(reps: DataFrame, radius: int, n_words: int, recall: float = 0.99)
             for t in range(bands):
                 key = keys(fps, t)
                 plain = np.ones(len(key), bool)
-                for (u, h), (centre, hub_id, blocks) in hot.items():
+                for (u, h), (centre, hub_id, nears, fars) in hot.items():
                     if u != t or not len(own := np.flatnonzero(key == h)):
                         continue
                     plain[own] = False
                     near = distances(fps[own], centre[None])[:, 0] <= radius
-                    for j in range(blocks):
-                        into = own[~near | (remixed(rep[own].view(np.uint64), 1) % np.uint64(blocks) == j)]
-                        shard.append(np.full(len(into), (((t << 28) + h) << 22) + 1 + j, np.int64))
+                    salt = remixed(rep[own].view(np.uint64), 1)
+                    for task, into in block_tasks(own, near, salt, nears, fars):
+                        shard.append(np.full(len(into), (((t << 28) + h) << 22) + 1 + task, np.int64))
                         idx.append(into)
                         hub.append(np.where(distances(fps[into], centre[None])[:, 0] <= radius, hub_id, none))
                 own = np.flatnonzero(plain)
@@ -389,8 +511,8 @@ def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> Data
     """(src, dst): what connects the rows of `sets` (label, rep, shingles) of a label whose shingles are that similar, exactly.
 
     A label's rows are compared in one task. Where they are too many, the rows similar to a hub (of a
-    few, the one with most of them) are linked to it and need no comparison with one another, so they
-    are dealt over blocks; only the others go to every block.
+    few, the one with most of them) are linked to it and need no comparison with one another. They are dealt
+    over near groups, the others over far groups; a task compares a near group with a far one, or two far ones.
     """
     sizes = sets.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
     sizes = scratch.table(sizes, "large")
@@ -415,12 +537,20 @@ def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> Data
     told = scratch.table(told, "told")
     counts = told.select("label", F.posexplode("near").alias("i", "y")).groupBy("label", "i").agg(F.sum(F.col("y").cast("int")).alias("n"))
     best = counts.groupBy(F.col("label").alias("of")).agg(F.max_by("i", F.struct("n", "i")).alias("best"))
-    best = best.join(sizes, "of").join(hubs.select(F.col("of"), F.col("hubs.rep").alias("reps")), "of").select("of", "best", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("blocks"), F.col("reps")[F.col("best")].alias("hub"))
-    marks = told.join(best, F.col("label") == F.col("of")).select(F.col("rep").alias("mrep"), F.col("same").alias("msame"), F.col("near")[F.col("best")].alias("near"), "blocks", "hub")
+    best = best.join(sizes, "of").join(hubs.select(F.col("of"), F.col("hubs.rep").alias("reps")), "of").select("of", "best", F.col("reps")[F.col("best")].alias("hub"))
+    held = told.join(best, F.col("label") == F.col("of")).groupBy(F.col("of").alias("hof")).agg(F.sum(F.col("near")[F.col("best")].cast("int")).alias("n"), F.count("*").alias("all"))
+    groups = lambda n: F.greatest(F.ceil(n / SHARD_ROWS), F.lit(1)).cast("int")
+    best = best.join(held, F.col("of") == F.col("hof")).select("of", "best", "hub", groups(F.col("n")).alias("nears"), groups(F.col("all") - F.col("n")).alias("fars"))
+    marks = told.join(best, F.col("label") == F.col("of")).select(F.col("rep").alias("mrep"), F.col("same").alias("msame"), F.col("near")[F.col("best")].alias("near"), "nears", "fars", "hub")
     marks = scratch.table(marks.distinct(), "marks")
     joined = sets.join(marks, (F.col("rep") == F.col("mrep")) & (F.col("same") == F.col("msame")), "left")
-    one = F.array(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.col("near"), one).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), F.col(n)).cast("int")
+    fars, far = F.col("fars"), own("fars")
+    of_near = F.transform(F.sequence(F.lit(0), fars - 1), lambda j: own("nears") * fars + j)
+    of_far = F.transform(F.sequence(F.lit(0), F.col("nears") - 1), lambda i: i * fars + far)
+    others = F.filter(F.sequence(F.lit(0), fars - 1), lambda k: k != far)
+    of_far = F.concat(of_far, F.transform(others, lambda k: F.col("nears") * fars + F.least(k, far) * fars + F.greatest(k, far)))
+    blocks = F.when(fars.isNull(), F.array(F.lit(0))).when(F.col("near"), of_near).otherwise(of_far)
     dealt = joined.select("label", "rep", "shingles", F.when(F.col("near"), F.col("hub")).alias("hub"), F.explode(blocks).alias("block"))
 
     def solve(t: pa.Table) -> pa.Table:
@@ -447,6 +577,16 @@ def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> Data
 # --- the operator ------------------------------------------------------------------------------
 
 
+def repeats(own: DataFrame, reps: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """(src, dst): edges from each id that stands on rows with different keys to the representatives of all of them."""
+    key = F.struct(*keys)
+    again = own.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("again")).agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("again")
+    again = scratch.table(again, "repeats")
+    rows = own.join(again, F.col("doc_id") == F.col("again")).select("doc_id", *keys).distinct()
+    to = reps.select("rep", *(F.col(x).alias(f"t{x}") for x in keys))
+    return rows.join(to, [F.col(x) == F.col(f"t{x}") for x in keys]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+
+
 def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int = 56, n_words: int = 4, similarity: float = 0.8) -> DataFrame:
     """(doc_id, f0 ..., component_id): documents whose fingerprints differ in at most `radius` bits, transitively.
 
@@ -458,6 +598,7 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int =
     representative with the smallest doc_id.
     One-word fingerprints with a small radius (up to 4 bits) are searched exactly by vantage-point
     shards; wider ones by samples of bits, because at such radii the triangle bound excludes nothing.
+    Of a pair at `radius` bits that meets, comparing first words first loses 3e-9.
 
     Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows
     share a component; rows that repeat a doc_id with different texts count as one document; a row with
@@ -471,12 +612,13 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int =
     reps = scratch.table(own.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "representatives")
     known = reps.where(F.col("rep").isNotNull())
     links = vp_links(known, radius) if n_words == 1 and radius <= 4 else band_links(known, radius, n_words)
-    labels = connected_components(scratch.table(links, "links"), scratch)
+    same_id = repeats(own, reps, keys, scratch)
+    labels = connected_components(scratch.table(links if exact else links.unionByName(same_id), "links"), scratch)
     if exact:
         near = known.join(labels, known.rep == labels.node).select("rep", F.col("same").alias("rsame"), *(F.col(x).alias(f"r{x}") for x in names), "label")
         same_row = (F.col("doc_id") == F.col("rep")) & (F.col("same") == F.col("rsame"))
         sets = own.join(near, [same_row, *(F.col(x) == F.col(f"r{x}") for x in names)]).select("label", "rep", "same", "shingles")
-        links = verified_links(scratch.table(sets, "sets"), similarity, scratch)
+        links = verified_links(scratch.table(sets, "sets"), similarity, scratch).unionByName(same_id)
         labels = connected_components(scratch.table(links, "verified"), scratch)
     labelled = reps.join(labels, reps.rep == labels.node, "left").select(*(F.col(x).alias(f"r{x}") for x in keys), F.coalesce("label", "rep").alias("component_id"))
     labelled = scratch.table(labelled, "labelled")

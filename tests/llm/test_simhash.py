@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,9 +54,9 @@ def test_planned_shards_bring_every_close_pair_together(monkeypatch):
     tree, n = S.plan_tree(fps[::2], len(fps), 2)
     assert n > 4
     seen = [set() for _ in fps]
-    for shard, idx in S.route(tree, fps, np.arange(len(fps)), 2):
+    for leaf, idx in S.route(tree, fps, np.arange(len(fps)), 2):
         for i in idx.tolist():
-            seen[i].add(shard)
+            seen[i].add(leaf.shard)
     assert all(seen[i] & seen[i + 400] for i in range(400))
 
 
@@ -149,3 +151,64 @@ def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
             if S.similar(sets[i], sets[j], 0.8):
                 want.join(i, j)
     assert [forest.root(i) for i in range(66)] == [want.root(i) for i in range(66)]
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_crowds_are_joined_by_neighbours(radius, monkeypatch):
+    monkeypatch.setattr(S, "LOOK_UP", 1 << 14)
+    rng = np.random.default_rng(8)
+    fps = np.unique(crowd(rng, 3000, 4 if radius == 1 else 5))
+    forest, want = S.Forest(len(fps)), S.Forest(len(fps))
+    monkeypatch.setattr(S, "masks", lambda flips, f=S.masks: f(flips))
+    S.link_crowd(fps, np.arange(len(fps)), radius, forest)
+    S.link_block(fps[:, None], np.arange(len(fps)), radius, want)
+    assert [forest.root(i) for i in range(len(fps))] == [want.root(i) for i in range(len(fps))]
+
+
+def crowd(rng, n, flips):
+    """Fingerprints at up to so many random flips from one centre."""
+    out = np.full(n, 0x0123456789ABCDEF, np.uint64)
+    for _ in range(flips):
+        out ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    return out
+
+
+def test_half_of_all_rows_around_one_centre(spark, monkeypatch):
+    """Planning stays short, no shard grows with the crowd, and the components are those of brute force."""
+    monkeypatch.setattr(S, "SHARD_ROWS", 256)
+    rng = np.random.default_rng(9)
+    fps = np.unique(np.concatenate([crowd(rng, 6000, 5), rng.integers(0, 2**63, 6000, dtype=np.int64).view(np.uint64)]))
+    reps = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64).tolist())], "f0 bigint, rep bigint").select("f0", "rep")
+    sizes = {r.shard: r.n for r in S.vp_dealt(reps, 2).groupBy("shard").count().withColumnRenamed("count", "n").collect()}
+    assert max(n for s, n in sizes.items() if s >= 0) <= 4 * 256 and max(n for s, n in sizes.items() if s < 0) <= 2 * 64 * 256
+    forest, want = S.Forest(len(fps)), S.Forest(len(fps))
+    for r in S.vp_links(reps, 2).collect():
+        forest.join(r.src, r.dst)
+    S.link_block(fps[:, None], np.arange(len(fps)), 2, want)
+    assert [forest.root(i) for i in range(len(fps))] == [want.root(i) for i in range(len(fps))]
+    for flips in (4, 8):
+        sample = np.concatenate([crowd(rng, 8192, flips), rng.integers(0, 2**63, 8192, dtype=np.int64).view(np.uint64)])
+        began = time.process_time()
+        _, n = S.plan_tree(sample, 200_000_000, 2)
+        assert time.process_time() - began < 10 and n < 16 * 200_000_000 / S.shard_rows(200_000_000)
+
+
+def test_rows_that_repeat_an_id_share_a_component(spark):
+    rows = [(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "some other text entirely here"), (7, "alpha beta gamma delta"), (8, "some other text entirely here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for options in ({"words": 3, "radius": 2, "n_words": 1}, {}):
+        got = sorted((r.doc_id, r.component_id) for r in S.near_dedup(docs, Scratch(spark, "t"), **options).collect())
+        assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 3)]
+
+
+@pytest.mark.parametrize(("nears", "fars"), [(1, 1), (3, 1), (2, 4)])
+def test_tasks_of_a_hot_group_meet_all_pairs_but_near_ones(nears, fars):
+    rng = np.random.default_rng(1)
+    own = np.arange(60)
+    near, salt = rng.random(60) < 0.5, rng.integers(0, 2**62, 60).astype(np.uint64)
+    met = set()
+    tasks = list(S.block_tasks(own, near, salt, nears, fars))
+    assert len({k for k, _ in tasks}) == len(tasks)
+    for _, rows in tasks:
+        met |= {(int(a), int(b)) for a in rows for b in rows if a < b}
+    assert all((a, b) in met for a in range(60) for b in range(a + 1, 60) if not (near[a] and near[b]))
