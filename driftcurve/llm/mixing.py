@@ -3,77 +3,113 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from driftcurve.llm.storage import Scratch
 
 SEED = 42
-#: Documents that a block should hold; the most sources that a mix may have (their totals are planned on the driver).
-BLOCK_DOCS, MAX_SOURCES = 4096, 1_000_000
+#: Documents that a block should hold.
+BLOCK_DOCS = 4096
 MAX_REPETITION = 2.0
+#: Exponents that one pass over the sources tries, and passes: five bisections a pass, as many as a double can tell apart.
+TRIED, PASSES = 31, 11
+#: Bits of a block's hash by which a source's blocks are put in order group by group.
+ORDER_BITS = 10
 
 
 @dataclass
-class Plan:
-    """A mix: the exponent, each source's normalised weight and its budget in tokens."""
+class Sources:
+    """What the choice of an exponent must know of the sources: their number of tokens in all, the least and the most of one, and sums over them.
 
-    exponent: float
-    weights: list[float]
-    budgets: list[int]
+    `sums` takes exponents and returns, for each, the sum over sources of p = (tokens / most) ^ exponent, and that of p ln p.
+    """
 
+    total: int
+    least: int
+    most: int
+    sums: Callable[[list[float]], list[tuple[float, float]]]
 
-def powered(shares: list[float], exponent: float) -> list[float]:
-    top = max(shares)
-    raw = [(s / top) ** exponent for s in shares]
-    total = sum(raw)
-    return [x / total for x in raw]
+    def entropies(self, exponents: list[float]) -> list[float]:
+        return [math.log(z) - e / z for z, e in self.sums(exponents)]
 
+    def repetitions(self, exponents: list[float], budget: int | None) -> list[float]:
+        """How often the smallest source, the most often read one, is read; without a budget it follows from the largest's being read once."""
+        less = [(self.most / self.least) ** (1 - a) for a in exponents]
+        if budget is None:
+            return less
+        return [x * budget / (z * self.most) for x, (z, _) in zip(less, self.sums(exponents), strict=True)]
 
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
 
+def of_list(tokens: list[int]) -> Sources:
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        powers = [[(t / max(tokens)) ** a for t in tokens] for a in exponents]
+        return [(sum(p), sum(x * math.log(x) for x in p)) for p in powers]
 
-def bisect(low: float, high: float, fits, rounds: int = 100) -> float:
-    """The smallest exponent in [low, high] that fits, given that all above one that fits do."""
-    if fits(low):
-        return low
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        low, high = (low, mid) if fits(mid) else (mid, high)
-    return high
+    return Sources(sum(tokens), min(tokens), max(tokens), sums)
 
 
-def plan_mix(tokens: list[int], budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None) -> Plan:
-    """Weights and budgets for sources with these token totals.
+def of_table(totals: DataFrame) -> Sources | None:
+    """From a table of sources (total); only sums leave the executors. None for an empty one."""
+    r = totals.agg(F.sum("total").alias("total"), F.min("total").alias("least"), F.max("total").alias("most")).first()
+    if r["total"] is None:
+        return None
 
-    The exponent runs from 0 (uniform) to 1 (natural shares). It is the smallest at which no source is
-    read more than `max_repetition` times and the weights' entropy (nats) is at most `target_entropy`.
-    Without a `budget` the mix is the smallest that reads every source at least once.
-    """
-    total = sum(tokens)
-    shares = [t / total for t in tokens]
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        powers = [F.pow(F.col("total") / F.lit(r["most"]), F.lit(a)) for a in exponents]
+        exact = lambda x: F.sum(x.cast("decimal(38,20)")).cast("double")  # noqa: E731  the same however the sources are laid out
+        got = totals.agg(*(exact(p) for p in powers), *(exact(p * F.log(p)) for p in powers)).first()
+        return list(zip(got[: len(powers)], got[len(powers) :], strict=True))
 
-    def size(w: list[float]) -> float:
-        return budget if budget is not None else max(t / x for t, x in zip(tokens, w, strict=True))
+    return Sources(int(r["total"]), r["least"], r["most"], sums)
+
+
+def bisect(low: float, high: float, fit: Callable[[list[float]], list[bool]]) -> float:
+    """The smallest exponent in [low, high] that fits, given that all above one that fits do. `fit` judges several at once."""
+    if fit([low])[0]:
+        return low
+    for _ in range(PASSES):
+        tried = [low + (high - low) * k / (TRIED + 1) for k in range(1, TRIED + 1)]
+        low, high = next(((b, t) for b, t, y in zip([low, *tried], tried, fit(tried), strict=False) if y), (tried[-1], high))
+    return high
 
-    def repeated(a: float) -> float:
-        w = powered(shares, a)
-        return max(size(w) * x / t for x, t in zip(w, tokens, strict=True))
 
+def exponent_of(s: Sources, budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None) -> float:
+    """The exponent of a mix, from 0 (uniform) to 1 (natural shares).
+
+    It is the smallest at which no source is read more than `max_repetition` times and the weights'
+    entropy (nats) is at most `target_entropy`. Without a `budget` the mix is the smallest that reads
+    every source at least once.
+    """
     exponent = 0.0
     if max_repetition is not None:
-        if repeated(1.0) > max_repetition * (1 + 1e-9):
-            raise ValueError(f"no exponent keeps {budget} tokens within {max_repetition} readings of {total}")
-        exponent = bisect(0.0, 1.0, lambda a: repeated(a) <= max_repetition)
+        if s.repetitions([1.0], budget)[0] > max_repetition * (1 + 1e-9):
+            raise ValueError(f"no exponent keeps {budget} tokens within {max_repetition} readings of {s.total}")
+        exponent = bisect(0.0, 1.0, lambda a: [x <= max_repetition for x in s.repetitions(a, budget)])
     if target_entropy is not None:
-        if entropy(shares) > target_entropy + 1e-12:
+        if s.entropies([1.0])[0] > target_entropy + 1e-12:
             raise ValueError("the natural shares exceed the target entropy")
-        exponent = max(exponent, bisect(0.0, 1.0, lambda a: entropy(powered(shares, a)) <= target_entropy))
-    w = powered(shares, exponent)
-    budgets = [max(t if budget is None else 0, math.floor(size(w) * x + 1e-6)) for x, t in zip(w, tokens, strict=True)]
-    return Plan(exponent, w, budgets)
+        exponent = max(exponent, bisect(0.0, 1.0, lambda a: [x <= target_entropy for x in s.entropies(a)]))
+    return exponent
+
+
+def planned_sources(totals: DataFrame, block_docs: int, **limits) -> DataFrame:
+    """(source, total, blocks, weight, budget) for a table of sources (source, total, docs); limits as for `exponent_of`.
+
+    Weights are exponentiated token shares, normalised; a source's budget is its weight's part of the mix.
+    """
+    s = of_table(totals)
+    exponent = exponent_of(s, **limits) if s else 1.0
+    power = F.pow(F.col("total") / F.lit(s.most if s else 1), F.lit(exponent))
+    weight = power / F.lit(s.sums([exponent])[0][0] if s else 1.0)
+    budget = limits.get("budget")
+    if budget is None:
+        tokens = F.greatest("total", F.floor(F.lit(s.most if s else 1) * power + 1e-6))
+    else:
+        tokens = F.floor(F.lit(budget) * weight + 1e-6)
+    return totals.select("source", "total", F.ceil(F.col("docs") / block_docs).cast("bigint").alias("blocks"), weight.alias("weight"), tokens.cast("bigint").alias("budget"))
 
 
 def cost(text: Column) -> Column:
@@ -98,19 +134,14 @@ def order_of(seed: int) -> Column:
 def prepare(docs: DataFrame, scratch: Scratch, budget: int | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS) -> Mix:
     """Deal each source's documents by hash into blocks of about `block_docs` and order the blocks anew for each epoch.
 
-    Block totals are aggregated first and only they are ordered by source, so no source's documents meet
-    in one task; cumulative sums over documents stay within a block.
+    Cumulative sums over documents stay within a block, those over blocks within a part of the blocks'
+    hashes, and only 2 ** ORDER_BITS sums of parts are ordered by source: neither a source's documents nor its
+    blocks meet in one task.
     """
     one = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), cost(F.col("text")).alias("tokens"))
     one = scratch.table(one.groupBy("doc_id", "source").agg(F.sum("tokens").alias("tokens")), "costs")
-    totals = one.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("docs"))
-    rows = totals.orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    plan = plan_mix([r["total"] for r in rows], budget, max_repetition, target_entropy) if rows else Plan(1.0, [], [])
-    schema = "source string, total bigint, blocks bigint, weight double, budget bigint"
-    data = [(r["source"], r["total"], math.ceil(r["docs"] / block_docs), w, b) for r, w, b in zip(rows, plan.weights, plan.budgets, strict=True)]
-    planned = scratch.table(docs.sparkSession.createDataFrame(data, T._parse_datatype_string(schema)).coalesce(1), "plan")
+    totals = scratch.table(one.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("docs")), "totals")
+    planned = scratch.table(planned_sources(totals, block_docs, budget=budget, max_repetition=max_repetition, target_entropy=target_entropy), "plan")
 
     p = planned.select(F.col("source").alias("__s"), "total", "blocks", "weight", "budget")
     dealt = one.join(p.select("__s", "blocks"), F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "tokens", F.pmod(order_of(seed), F.col("blocks")).alias("block"), order_of(seed).alias("h"))
@@ -119,8 +150,12 @@ def prepare(docs: DataFrame, scratch: Scratch, budget: int | None = None, max_re
 
     blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens")).join(p, F.col("source").eqNullSafe(F.col("__s")))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("total")).cast("int"))))
-    w = W.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("offset", F.col("epoch") * F.col("total") + F.coalesce(F.sum("block_tokens").over(w), F.lit(0)))
+    blocks = scratch.table(blocks.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "block")).withColumn("part", F.shiftright("h", 64 - ORDER_BITS)), "blocks")
+    before = lambda of, order: F.coalesce(F.sum(of).over(W.partitionBy("source", "epoch", *(["part"] if order == "h" else [])).orderBy(order, *(["block"] if order == "h" else [])).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = blocks.groupBy("source", "epoch", "part").agg(F.sum("block_tokens").alias("n")).withColumn("start", before("n", "part"))
+    parts = parts.select(F.col("source").alias("__ps"), F.col("epoch").alias("__pe"), F.col("part").alias("__pp"), "start")
+    blocks = blocks.withColumn("inner", before("block_tokens", "h")).join(parts, F.col("source").eqNullSafe(F.col("__ps")) & (F.col("epoch") == F.col("__pe")) & (F.col("part") == F.col("__pp")))
+    blocks = blocks.withColumn("offset", F.col("epoch") * F.col("total") + F.col("start") + F.col("inner"))
     return Mix(dealt, planned, scratch.table(blocks.select("source", "block", "block_tokens", "epoch", "offset", "weight", "budget"), "epochs"), seed)
 
 
@@ -151,6 +186,10 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     How often a document is read follows from its source, its hash and one row for its block: the epochs
     that read the block whole, and where the one that stops within it stops. That table has a row for some
     thousands of documents, so the texts need not move to meet it.
+
+    Defined cases: as for `mix`, but that every row counts: rows that share doc_id and source are each
+    read as often as their document is; null texts stay null; an empty table gives an empty one; all
+    columns pass through, whatever their names.
     """
     m = prepare(docs, scratch, **options)
     room = F.col("budget") - F.col("offset")

@@ -12,23 +12,60 @@ def docs(spark, n=600):
     return spark.createDataFrame([(i, "w " * (1 + i * 7 % 40), "hot" if i % 3 else f"s{i % 7}", "x", 1) for i in range(n)], SCHEMA)
 
 
-def test_exponent_meets_the_repetition_limit():
-    tokens = [1000, 300, 50, 10]
-    plan = M.plan_mix(tokens, max_repetition=2.0)
-    times = [b / t for b, t in zip(plan.budgets, tokens, strict=True)]
-    assert min(times) == 1 and 1.9 <= max(times) <= 2
-    assert plan.exponent == pytest.approx(1 - math.log(2) / math.log(100), abs=1e-6)
+def plan(tokens, budget=None, **limits):
+    """Weights and budgets of a list of sources, in plain Python, by a hundred bisections of the definition."""
+    limits = {"max_repetition": M.MAX_REPETITION} | limits
+
+    def at(a):
+        raw = [(t / max(tokens)) ** a for t in tokens]
+        w = [x / sum(raw) for x in raw]
+        size = budget if budget is not None else max(t / x for t, x in zip(tokens, w, strict=True))
+        return w, size, max(size * x / t for x, t in zip(w, tokens, strict=True)), -sum(x * math.log(x) for x in w)
+
+    def fits(a):
+        _, _, times, entropy = at(a)
+        return times <= (limits["max_repetition"] or math.inf) and entropy <= (limits.get("target_entropy") or math.inf)
+
+    low, high = 0.0, 1.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (low, mid) if fits(mid) else (mid, high)
+    exponent = 0.0 if fits(0.0) else high
+    w, size, _, _ = at(exponent)
+    return exponent, w, [max(t if budget is None else 0, math.floor(size * x + 1e-6)) for x, t in zip(w, tokens, strict=True)]
+
 
+TOTALS = "source string, total bigint, docs bigint"
 
-def test_exponent_meets_the_target_entropy():
+
+@pytest.mark.parametrize("limits", [{}, {"budget": 500}, {"budget": 1300, "max_repetition": 1.5}, {"budget": 500, "max_repetition": None, "target_entropy": 1.2}, {"target_entropy": 0.9}])
+def test_plan_equals_plain_bisection(spark, limits):
+    tokens = [1000, 300, 50, 10, 10]
+    table = spark.createDataFrame([(f"s{i}", t, 5) for i, t in enumerate(tokens)], TOTALS)
+    exponent, weights, budgets = plan(tokens, **limits)
+    assert M.exponent_of(M.of_table(table), **limits) == pytest.approx(exponent, abs=1e-12)
+    assert M.exponent_of(M.of_list(tokens), **limits) == pytest.approx(exponent, abs=1e-12)
+    got = sorted(M.planned_sources(table, 2, **limits).collect(), key=lambda r: r.source)
+    assert [r.weight for r in got] == pytest.approx(weights) and [r.budget for r in got] == budgets and [r.blocks for r in got] == [3] * 5
+
+
+def test_exponent_meets_the_limits():
     tokens = [1000, 300, 50, 10]
-    plan = M.plan_mix(tokens, budget=500, max_repetition=None, target_entropy=1.2)
-    assert M.entropy(plan.weights) == pytest.approx(1.2, abs=1e-9)
-    assert sum(plan.budgets) <= 500 < sum(plan.budgets) + len(tokens)
+    assert M.exponent_of(M.of_list(tokens)) == pytest.approx(1 - math.log(2) / math.log(100), abs=1e-6)
+    s = M.of_list(tokens)
+    a = M.exponent_of(s, budget=500, max_repetition=None, target_entropy=1.2)
+    assert s.entropies([a])[0] == pytest.approx(1.2, abs=1e-9)
     with pytest.raises(ValueError):
-        M.plan_mix(tokens, budget=5000, max_repetition=2.0)
+        M.exponent_of(s, budget=5000, max_repetition=2.0)
     with pytest.raises(ValueError):
-        M.plan_mix(tokens, target_entropy=0.1)
+        M.exponent_of(s, target_entropy=0.1)
+
+
+def test_many_sources_stay_on_the_executors(spark):
+    table = spark.range(200_000).selectExpr("concat('s', id) AS source", "1 + id % 997 AS total", "1L AS docs")
+    got = M.planned_sources(table, 10, target_entropy=12.05)
+    r = got.selectExpr("count(*) AS n", "sum(weight) AS w", "-sum(weight * ln(weight)) AS h", "max(budget / total) AS times").first()
+    assert r.n == 200_000 and r.w == pytest.approx(1) and r.h <= 12.05 + 1e-9 and r.times <= 2
 
 
 @pytest.mark.parametrize("block_docs", [16, 4096])
@@ -40,8 +77,8 @@ def test_mix_equals_a_plain_walk(spark, block_docs, budget):
     source = {r.doc_id: r.source for r in df.collect()}
     names = sorted(set(source.values()))
     totals = {s: sum(cost[i] for i in cost if source[i] == s) for s in names}
-    plan = M.plan_mix([totals[s] for s in names], budget)
-    for s, limit in zip(names, plan.budgets, strict=True):
+    _, _, budgets = plan([totals[s] for s in names], budget)
+    for s, limit in zip(names, budgets, strict=True):
         own = got[got.source == s].sort_values("position")
         assert own.tokens.sum() <= limit < own.tokens.sum() + 40 * max(1, limit)
         for epoch, part in own.groupby("epoch"):
