@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftcurve.llm.storage import Scratch
 
 RATIO = 0.1
-MIN_PAGES = 5
+#: A line that no other page has is nobody's boilerplate. The ratio alone would empty every host of fewer than ten pages.
+MIN_PAGES = 2
 
 
 def line_keys(text: Column) -> Column:
@@ -58,6 +59,7 @@ def line_dedup(docs: DataFrame, scratch: Scratch, host: str = "source", ratio: f
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`, their sources as hosts; nulls, empties and repeated rows as `line_dedup` says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return line_dedup(docs, Scratch(spark, "line-dedup"))
 
