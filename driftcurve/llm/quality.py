@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftcurve.session import with_code
 
 SEED = 42
-#: Labelled documents taken for training, by label, and the longest of them in bytes: what bounds the driver's memory.
-TRAIN_ROWS, TRAIN_BYTES = 1200, 1 << 15
+#: Labelled documents taken for training, by label, and the characters taken of each: what bounds the driver's memory. A longer document gives TRAIN_PARTS parts, evenly spread.
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_PARTS = 1200, 1 << 15, 8
 HELD_OUT_FOLD, FOLDS = 2, 4
 WIDTH, EMBED, FILTERS, HIDDEN = 6, 8, 24, 16
 #: A chunk has two hops; consecutive chunks overlap by one.
@@ -160,15 +160,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
+def training_text(text: Column) -> Column:
+    """A text, or the parts of a long one that stand for it in training."""
+    n, part = F.length(text), TRAIN_CHARS // TRAIN_PARTS
+    parts = [F.substring(text, F.floor((n - part) * k / (TRAIN_PARTS - 1)).cast("int") + 1, F.lit(part)) for k in range(TRAIN_PARTS)]
+    return F.when(n > TRAIN_CHARS, F.concat(*parts)).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Net:
-    """Train on at most TRAIN_ROWS documents of either label, none of them held out, the first in a hashed order of ids."""
+    """Train on at most TRAIN_ROWS documents of either label, none of them held out, the first in a hashed order of ids.
+
+    Defined cases: labels other than 0 and 1, and null ids, are passed over; of labels that disagree on an
+    id the larger counts; rows that repeat an id each train; null and empty texts train as texts without
+    bytes; without labels, or with one kind only, every score is the labels' share (0.5 without any).
+    """
     own = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("id")))
     own = own.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     first = lambda y: own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
     drawn = F.broadcast(first(0).union(first(1)))  # at most two ids and labels for each of TRAIN_ROWS: few texts move
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_BYTES)
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), training_text(F.col("text").cast("string")).alias("text"))
     rows = known.join(drawn, F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").orderBy("doc_id", "text").limit(2 * TRAIN_ROWS).collect()
     texts, y = [r["text"] for r in rows], [r["y"] for r in rows]
     return train(texts, y, prior if counts else 0.5)
@@ -193,7 +205,11 @@ def score(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, whose texts score `threshold` or more."""
+    """The rows of `docs`, all columns, whose texts score `threshold` or more.
+
+    Defined cases: null and empty texts are judged like any other, as texts without bytes; repeated rows
+    are judged alike; an empty table gives an empty one; other columns pass through, whatever their names.
+    """
     tables = net.tables()
     at = docs.columns.index("text")
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftcurve.llm import quality as Q
 
@@ -75,3 +76,30 @@ def test_edge_cases(spark):
     assert Q.score(empty, Q.fit(empty, spark.createDataFrame([], LABELS))).count() == 0
     kept = Q.accepted(docs, net)
     assert kept.columns == docs.columns and kept.count() == Q.score(docs, net).where("predicted = 1").count()
+
+
+def test_long_documents_train_by_parts(spark):
+    text = "".join(f"{i:07d} " for i in range(20_000))
+    got = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(Q.training_text(F.col("t")).alias("t")).collect()
+    n, part = len(text), Q.TRAIN_CHARS // Q.TRAIN_PARTS
+    assert got[0].t == "".join(text[(n - part) * k // (Q.TRAIN_PARTS - 1) :][:part] for k in range(Q.TRAIN_PARTS)) and got[0].t.endswith(text[-part:])
+    assert got[1].t == "short" and got[2].t is None
+
+
+def test_query_scores_equal_the_plain_network(spark):
+    """All of the smallest table: each row's score from its whole text by the definition of the convolution."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = Q.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in Q.op5_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[::9]:
+        data = np.concatenate([np.frombuffer((r.text or "").encode(), np.uint8), np.zeros(Q.WIDTH, np.uint8)])
+        z = np.stack([sum(net.embed[data[i + j]] @ net.kernel[j] for j in range(Q.WIDTH)) for i in range(len(data) - Q.WIDTH + 1)])
+        hops = [z[i : i + Q.HOP].max(axis=0) for i in range(0, len(z), Q.HOP)]
+        chunks = np.maximum(np.stack([np.maximum(a, b) for a, b in zip(hops, hops[1:])] or hops) + net.bias, 0)
+        x = np.concatenate([chunks.max(axis=0), chunks.mean(axis=0), chunks.min(axis=0)])
+        p = 1 / (1 + np.exp(-(np.tanh(x @ net.w1 + net.b1) @ net.w2 + net.b2[0])))
+        assert got[r.doc_id].score == pytest.approx(p, abs=2e-3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
