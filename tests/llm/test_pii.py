@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -54,8 +56,6 @@ def test_base_spans_equal_the_plain_patterns(spark):
 
 
 def test_random_texts(spark):
-    import random
-
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("aB1234567890..@+-() é\n%_") for _ in range(rnd.randrange(400))) for _ in range(300)]
     got = {r.doc_id: r.base for r in run(spark, [(i, t, None, 1) for i, t in enumerate(texts)])}
@@ -70,18 +70,91 @@ def test_votes_add_likely_spans_and_leave_others(spark):
     assert got[1001].spans == "" and got[1002].spans == ""
 
 
-def test_em_finds_the_unreliable_labeler():
-    import random
-
+def test_em_finds_the_unreliable_labelers():
     rnd = random.Random(2)
+    rates = [(0.95, 0.05), (0.9, 0.1), (0.99, 0.97), (0.55, 0.45), (0.85, 0.3)]  # the third says yes to everything, the fourth guesses
     seen: dict = {}
-    for _ in range(3000):
-        y = rnd.random() < 0.4
-        v = tuple((1 if y else -1) * (1 if rnd.random() < r else -1) for r in (0.95, 0.9, 0.9, 0.55, 0.85))
-        seen[v] = seen.get(v, 0) + 1
-    prior, right, _ = P.reliabilities(list(seen.items()))
-    assert abs(prior - 0.4) < 0.04
-    assert all(abs(a - b) < 0.05 for a, b in zip(right, (0.95, 0.9, 0.9, 0.55, 0.85), strict=True))
+    for _ in range(6000):
+        y, strict = rnd.random() < 0.4, rnd.random() < 0.5
+        v = tuple(1 if rnd.random() < (t if y else f) else -1 for t, f in rates)
+        seen[v, strict] = seen.get((v, strict), 0) + 1
+    trust, _ = P.reliabilities([(v, s, n) for (v, s), n in seen.items()])
+    assert all(abs(p - 0.4) < 0.05 for p in trust.prior.values())
+    assert all(abs(a - b) < 0.06 for got, k in ((trust.yes_if_true, 0), (trust.yes_if_false, 1)) for a, b in zip(got, (r[k] for r in rates), strict=True))
+
+
+# --- the added spans by brute force -----------------------------------------------------------------
+
+
+def mod97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def plain_votes(kind, strict, ok, m, before, after):
+    value, digits = m.lower(), re.sub("[^0-9]", "", m)
+    sign = lambda c: 1 if c else -1
+    form = sign(re.search("[A-Za-z]", m) and len(digits) >= 3) if kind == "secret" else (sign(ok) if strict else 0)
+    check = {
+        "email": lambda: sign(6 <= len(value) <= 254), "ip": lambda: sign(ok) if strict else sign(re.search("[0-9]", m) and len(re.split(":+", m)) <= 8),
+        "card": lambda: sign(13 <= len(digits) <= 19 and luhn(digits)), "phone": lambda: sign(9 <= len(digits) <= 15), "secret": lambda: sign(len(set(m)) >= 10), "iban": lambda: sign(mod97(m) == 1),
+    }[kind]()
+    listed = {
+        "email": lambda: sign((re.search("([a-z]+)$", value) or ["", ""])[1] in P.TLDS), "ip": lambda: sign(not value.startswith(P.UNROUTABLE)), "card": lambda: sign(digits.startswith(P.ISSUERS)),
+        "phone": lambda: sign(not digits.startswith("0") and len(set(digits)) > 1), "secret": lambda: int(m.startswith(P.KEY_STARTS) or bool(re.fullmatch("[0-9A-Fa-f]+", m)) and len(m) in (32, 40, 48, 64, 128)), "iban": lambda: sign(m[:2] in P.IBAN_COUNTRIES),
+    }[kind]()
+    context = -1 if any(h in before for h in P.COUNTER_HINTS) else int(any(h in before for h in P.HINTS[kind]))
+    alone = not (before[-1:].isalnum() or after.isalnum())
+    edges = sign(re.search(r"[=:]\s*[\"'`]?$", before)) if kind == "secret" else sign(alone)
+    return (form, check, listed, context, edges), (int(strict), int(bool(re.search(r"[ ().-]", m))), int(len(m) > 20))
+
+
+def brute_spans(texts):
+    """All spans of some texts: plain matches, votes in plain Python, EM and classifier on their counts."""
+    found, counts = [], {}
+    for text in texts:
+        own = []
+        for kind in P.ALL_KINDS:
+            for strict in (True, False) if kind in PLAIN else (False,):
+                for m in re.finditer(PLAIN[kind] if strict else P.LOOSE[kind], text or ""):
+                    ok = strict and passes(kind, m[0])
+                    v, s = plain_votes(kind, strict, ok, m[0], text[max(0, m.start() - P.WINDOW) : m.start()].lower(), text[m.end() : m.end() + 1])
+                    own.append((kind, m.start(), m.end(), ok, v, s))
+                    counts[kind, v, s] = counts.get((kind, v, s), 0) + 1.0
+        found.append(own)
+    _, weights = P.learned(sorted((k, v, s, n) for (k, v, s), n in counts.items()))
+    out = []
+    touch = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    for own in found:
+        base = [x for x in own if x[3]]
+        score = lambda x: weights[x[0]][0] + sum(a * b for a, b in zip(weights[x[0]][1:], (*x[4], *x[5]), strict=True))
+        more = [x for x in own if not x[3] and score(x) >= math.log(9) and not any(touch(x, b) for b in base)]
+        more = [x for x in more if not any(touch(x, y) and x[0] == "secret" != y[0] for y in more)]
+        out.append(",".join(f"{k}:{a}:{b}" for k, a, b, *_ in sorted(base + more, key=lambda x: (P.ALL_KINDS.index(x[0]), x[1], x[2]))))
+    return out
+
+
+def test_spans_of_the_query_equal_brute_force_and_add_to_the_base(spark):
+    """All of a table: every span, and that the method finds what the base patterns do not."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in P.op6_pii(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = brute_spans([r.text for r in rows])
+    assert all(got[r.doc_id].spans == w for r, w in zip(rows, want, strict=True))
+    added = [r for r in got.values() if r.n_added]
+    assert added and all(r.n_spans == len(r.spans.split(",")) for r in added)
+    token = re.compile(r"""token = "([0-9a-f]{40})\"""")
+    assert all(f"secret:{m.start(1)}:{m.end(1)}" in got[r.doc_id].spans.split(",") for r in rows for m in token.finditer(r.text or ""))
+
+
+def test_added_kinds(spark):
+    rows = [(i, f'api_key = "{hashlib.sha1(str(i).encode()).hexdigest()}" and commit {hashlib.sha1(str(-i).encode()).hexdigest()} {"word" * 30}', None, 1) for i in range(80)]
+    iban = lambda i: f"DE{98 - int(f'{i:018d}131400') % 97:02d}{i:018d}"
+    rows += [(500 + i, f"pay to account {iban(37040044053201300 + 7 * i)} please", None, 1) for i in range(40)] + [(900, "pay to DE89 3704 0044 0532 0130 00 or DE12 3704 0044 0532 0130 00", None, 1)]
+    rows += [(1000 + i, f"Contact Joe{i} (AT) example (DOT) com or fe80::{i + 1}:2 the server", None, 1) for i in range(40)]
+    got = {r.doc_id: r.spans for r in run(spark, rows)}
+    assert all(got[i] == "secret:11:51" for i in range(80)) and all(got[500 + i] == "iban:15:37" for i in range(40)) and got[900] == "iban:7:34"
+    assert all(got[1000 + i].startswith("email:8:") and "ip:" in got[1000 + i] for i in range(40))
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None)], [(1, "a@b.cc", "x", 2), (1, "a@b.cc", "x", 2)]])
