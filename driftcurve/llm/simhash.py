@@ -625,6 +625,30 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int =
     return own.join(labelled, [F.col(x) == F.col(f"r{x}") for x in keys]).select("doc_id", *names, "component_id")
 
 
+def one_of_each(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """Of each group of near copies one row, with all its columns: that of the smallest doc_id; options as for `near_dedup`.
+
+    A row without an id takes part under one that is made of its text's hash and lies above all ordinary ones,
+    so that of equal texts without ids one stays, and none of those that are near a document with an id.
+    Of rows that share an id, the one stays whose text has the smallest MD5 (of equal texts, the one whose
+    columns have the smallest hash); all of them count in near_dedup, so a near copy of any is one of the id.
+
+    Defined cases: null and empty texts are near copies of one another; repeated rows leave one; an empty
+    table gives an empty one; all columns pass through, whatever their names.
+
+    Rows are combined by id before and after their shuffle, so a repeated id brings one row per task.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    made = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("bigint"), made))
+    found = near_dedup(keyed.select(F.col("__node").alias("doc_id"), "text"), scratch, **options)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.md5(text.cast("binary")), F.xxhash64(*plain))
+    one = keyed.groupBy("__node").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("__row"))
+    return one.join(kept, F.col("__node") == F.col("__kept"), "left_semi").select("__row.*")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, 64 bits, links at two or fewer differing bits, over all of `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -38,17 +38,18 @@ def brute(spark, sf_dir, rows):
     seen = Counter((r[3], x) for r in docs for x in {x.strip(" \t\r") for x in r[1].split("\n")} - {""})
     boiler = {k for k, n in seen.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * pages[k[0]]}
     docs = [(r[0], "\n".join(x for x in r[1].split("\n") if (r[3], x.strip(" \t\r")) not in boiler), r[3]) for r in docs]
-    fps = np.array([simhash.fingerprint(simhash.shingle_hashes(t, 5), 4) for _, t, _ in docs])
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t, _ in docs]
     label = [i for i, _, _ in docs]
-    near = simhash.distances(fps, fps) <= 44
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
     for _ in docs:
         label = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(docs))]
     docs = [d for d, k in zip(docs, label, strict=True) if d[0] == k]
     cost = {i: max(1, len(t.split())) for i, t, _ in docs}
     totals = {s: sum(cost[i] for i, _, x in docs if x == s) for s in sorted({x for _, _, x in docs})}
-    plan = mixing.plan_mix(list(totals.values()))
+    exponent, most = mixing.exponent_of(mixing.of_list(list(totals.values()))), max(totals.values())
+    budgets = {s: max(t, int(most * (t / most) ** exponent + 1e-6)) for s, t in totals.items()}
     segmenter = pieces.Segmenter(pieces.read_model())
-    return {i: segmenter.encode(t)[0].tolist() for i, t, _ in docs}, dict(zip(totals, plan.budgets, strict=True)), cost, {i: s for i, _, s in docs}
+    return {i: segmenter.encode(t)[0].tolist() for i, t, _ in docs}, budgets, cost, {i: s for i, _, s in docs}
 
 
 def test_run_equals_the_plain_version(spark, corpus):

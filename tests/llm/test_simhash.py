@@ -1,9 +1,11 @@
+import hashlib
 import time
 
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from driftcurve.llm import simhash as S
 from driftcurve.llm.storage import Scratch
@@ -212,3 +214,15 @@ def test_tasks_of_a_hot_group_meet_all_pairs_but_near_ones(nears, fars):
     for _, rows in tasks:
         met |= {(int(a), int(b)) for a in rows for b in rows if a < b}
     assert all((a, b) in met for a in range(60) for b in range(a + 1, 60) if not (near[a] and near[b]))
+
+
+def test_one_of_each_keeps_a_defined_row(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(5, "b text of its own", "x", 1), (5, "a text that differs", "y", 2), (9, "b text of its own", "z", 3), (None, long, "p", 4), (None, long, "q", 5), (None, "alone here", "r", 6), (7, long.replace("w3 ", "v "), "s", 7), (None, None, "t", 8), (8, "", "u", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, __kept int")
+    want = min(("b text of its own", "a text that differs"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    for df in (docs, docs.repartition(5), docs.orderBy(F.desc("lang"))):
+        got = S.one_of_each(df, Scratch(spark, "t"))
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id or 0), r.text) for r in got.collect()) == sorted([(5, want), (0, "alone here"), (7, rows[6][1]), (8, "")])
+    assert S.one_of_each(docs.limit(0), Scratch(spark, "t")).count() == 0
