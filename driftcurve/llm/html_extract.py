@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftcurve.llm.storage import Scratch
 from driftcurve.session import with_code
 
-#: A layout needs this many pages for its tokens' occurrence vectors to tell anything, and a token must occur on as many.
-MIN_PAGES = 3
+#: Occurrence vectors compare pages: a layout needs two, and a token of a template stands on two at least.
+MIN_PAGES = 2
 LINKED = 0.5
 #: A word joins the template only on this many pages: on fewer, a common word may stand once in every text by chance.
 WORD_PAGES = 10
@@ -25,8 +25,8 @@ WORD_PAGES = 10
 OUTER = 0.9
 #: A text belongs to its class if it stands on this share of the pages that hold the class.
 NEARLY = 0.9
-#: Steps that a path names; elements that lie deeper count as part of the last one.
-DEPTH = 64
+#: Steps that a path spells out at its start and at its end; those between are one step with their hash and what their names say.
+ENDS = 32
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -64,6 +64,75 @@ def step_of(tag: str, attributes: str) -> str:
     return re.sub(r"[\d\n]+", "", step.lower()).replace("/", "")
 
 
+@lru_cache(1 << 16)
+def said(step: str) -> str:
+    """What one element's names say: drop, main, header (a drop outside of a main element) or open."""
+    tag = re.match(r"[^.#]*", step)[0]
+    if tag in DROP_TAGS or (step != tag and DROP.search(step[len(tag) :])):
+        return "drop"
+    return "header" if tag == "header" else "main" if MAIN.search(step) else "open"
+
+
+@lru_cache(1 << 16)
+def standing(path: str, outer: frozenset[str] = frozenset()) -> str:
+    """What a path's own names say: drop, main or open. Elements in `outer` have no say."""
+    found, at = "open", ""
+    for step in path.split("/"):
+        at = f"{at}/{step}" if at else step
+        if at in outer:
+            continue
+        own = said(step)
+        if own == "drop" or (own == "header" and found != "main"):
+            return "drop"
+        if own == "main":
+            found = "main"
+    return found
+
+
+def middle(says: str, digest: int) -> str:
+    """The step that stands for the steps in the middle of a deep path: it says what they say."""
+    return {"drop": "div#nav", "main": "div#main-content"}.get(says, "div") + f".~{digest:x}".translate(LETTERS)
+
+
+#: Digits are no part of a step, so a hash is written in letters.
+LETTERS = str.maketrans("0123456789", "ghijklmnop")
+
+
+class Chain:
+    """The open elements of a page: their steps, and for each a path of bounded length that tells any two chains apart."""
+
+    def __init__(self) -> None:
+        self.steps: list[str] = []
+        self.paths: list[str] = []
+        self.deep: list[tuple[int, str]] = []  # from step ENDS on: the hash of the steps from there, and what they say
+
+    @property
+    def path(self) -> str:
+        return self.paths[-1] if self.paths else ""
+
+    def push(self, step: str) -> None:
+        steps = self.steps
+        steps.append(step)
+        n = len(steps) - ENDS
+        if n > 0:
+            digest, before = self.deep[-1] if self.deep else (0, "open")
+            own = said(step)
+            says = before if before == "drop" or own == "open" else "drop" if own == "drop" or (own == "header" and before != "main") else "main"
+            self.deep.append((hash_of(f"{digest}/{step}"), says))
+        if n > ENDS:
+            digest, says = self.deep[n - ENDS - 1]
+            self.paths.append("/".join([*steps[:ENDS], middle(says, digest), *steps[n:]]))
+        else:
+            self.paths.append(f"{self.paths[-1]}/{step}" if self.paths else step)
+
+    def cut(self, i: int) -> None:
+        del self.steps[i:], self.paths[i:], self.deep[max(0, i - ENDS) :]
+
+
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text)
+
+
 def blocks_of(page: str | None) -> Iterator[tuple[str, str, int]]:
     """A page's tokens in order: (path, text, characters within links).
 
@@ -71,7 +140,7 @@ def blocks_of(page: str | None) -> Iterator[tuple[str, str, int]]:
     never closed does no harm. A text block ends where a block element starts or ends, or at a line
     break; character references are decoded and white space becomes single spaces.
     """
-    stack: list[str] = []
+    chain = Chain()
     names: list[str] = []
     path = ""
     parts: list[str] = []
@@ -81,15 +150,20 @@ def blocks_of(page: str | None) -> Iterator[tuple[str, str, int]]:
 
     def flush() -> tuple[str, str, int] | None:
         nonlocal linked
-        text = " ".join(entities.unescape("".join(parts)).split())
+        raw = parts[0] if len(parts) == 1 else "".join(parts)
+        text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         parts.clear()
         n, linked = linked, 0
         return (path, text, min(n, len(text))) if text else None
 
     def close(i: int) -> None:
         nonlocal path
-        del stack[i:], names[i:]
-        path = "/".join(stack[:DEPTH])
+        chain.cut(i)
+        del names[i:]
+        path = chain.path
+
+    def closed_by(tag: str) -> int:
+        return len(names) - 1 - names[::-1].index(tag)
 
     end = len(page)
     while at < end:
@@ -110,24 +184,23 @@ def blocks_of(page: str | None) -> Iterator[tuple[str, str, int]]:
             if tag == "a":
                 anchor = 0 if closing else 1
             continue
-        if (block := flush()) is not None:
+        if parts and (block := flush()) is not None:
             yield block
         if closing:
             if tag in names:
-                close(len(names) - 1 - names[::-1].index(tag))
+                close(closed_by(tag))
                 if tag in ("p", "li", "ul", "nav", "div", "article"):
                     anchor = 0
             continue
         if tag in RAW:
             over = re.compile(f"</{tag}\\s*>?", re.I).search(page, at)
             at = over.end() if over else end
-            yield f"{path}/{step_of(tag, m[4])}" if path else step_of(tag, m[4]), "", 0
-            continue
-        if tag in VOID:
-            yield f"{path}/{tag}" if path else tag, "", 0
+        if tag in RAW or tag in VOID:
+            own = step_of(tag, m[4]) if tag in RAW else tag
+            yield f"{path}/{own}" if path else own, "", 0
             continue
         if tag in CLOSES_P and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
+            close(closed_by("p"))
         if tag in SAME:
             for i in range(len(names) - 1, -1, -1):
                 if names[i] in SAME[tag]:
@@ -135,39 +208,14 @@ def blocks_of(page: str | None) -> Iterator[tuple[str, str, int]]:
                     break
                 if names[i] in SCOPES:
                     break
-        stack.append(step_of(tag, m[4]))
+        chain.push(step_of(tag, m[4]))
         names.append(tag)
-        path = "/".join(stack[:DEPTH])
+        path = chain.path
         yield path, "", 0
-    if (block := flush()) is not None:
+    if parts and (block := flush()) is not None:
         yield block
 
 
-@lru_cache(1 << 16)
-def said(step: str) -> str:
-    """What one element's names say: drop, main, header (a drop outside of a main element) or open."""
-    tag = re.match(r"[^.#]*", step)[0]
-    if tag in DROP_TAGS or (step != tag and DROP.search(step[len(tag) :])):
-        return "drop"
-    return "header" if tag == "header" else "main" if MAIN.search(step) else "open"
-
-
-@lru_cache(1 << 16)
-def standing(path: str, outer: frozenset[str] = frozenset()) -> str:
-    """What a path's own names say: drop, main or open. Elements in `outer` have no say."""
-    found, at = "open", ""
-    for step in path.split("/"):
-        at = f"{at}/{step}" if at else step
-        if at in outer:
-            continue
-        own = said(step)
-        if own == "drop" or (own == "header" and found != "main"):
-            return "drop"
-        if own == "main":
-            found = "main"
-    return found
-
-
 # --- templates ----------------------------------------------------------------------------------
 
 STATS = "host string, layout string, path string, pages bigint, times bigint, low bigint, high bigint, chars bigint, linked bigint, place double"
@@ -181,33 +229,58 @@ def word_token(path: str, word: str) -> str:
     return f"{path}\nw{word if len(word) <= 32 else xxhash.xxh64_hexdigest(word)}"
 
 
-def page_tokens(page_key: str, page: str | None) -> dict[str, list]:
-    """By token: occurrences, text characters, linked characters, the first position.
+PARSED = "layout string, paths array<string>, opened array<int>, first array<int>, place array<int>, at array<int>, texts array<string>, linked array<int>"
 
-    Tokens are the elements, by path; each text block, by path and text; and the words that stand at a
-    path as often as there are blocks, for only those can have the occurrence vector of the block.
-    """
-    out: dict[str, list] = {}
-    texts: dict[str, list[str]] = {}
-    n = 0
-    for path, text, linked in blocks_of(page):
-        n += 1
-        own = out.setdefault(path, [0, 0, 0, n])
+
+def parsed_page(page: str | None) -> dict[str, list]:
+    """A page's elements and text blocks: each path, how often it opens and its first position; each block's path (by number), position, text and linked characters."""
+    number: dict[str, int] = {}
+    opened: list[int] = []
+    first: list[int] = []
+    place, at, texts, links = [], [], [], []
+    for n, (path, text, linked) in enumerate(blocks_of(page)):
+        k = number.get(path)
+        if k is None:
+            k = number[path] = len(opened)
+            opened.append(0)
+            first.append(n)
         if text:
-            own[1] += len(text)
-            own[2] += linked
-            block = out.setdefault(block_token(path, text), [0, 0, 0, n])
-            block[0] += 1
-            block[1] += len(text)
-            block[2] += linked
-            texts.setdefault(path, []).append(text)
+            place.append(k)
+            at.append(n)
+            texts.append(text)
+            links.append(linked)
         else:
-            own[0] += 1
-    for path, blocks in texts.items():
-        words = [t.split() for t in blocks]
-        for i, (w, k) in enumerate(Counter(w for t in words for w in t).items()):
-            if k == len(blocks):
-                out[word_token(path, w)] = [k, 0, 0, i]  # in order of the words' first places in their blocks
+            opened[k] += 1
+    return {"paths": list(number), "opened": opened, "first": first, "place": place, "at": at, "texts": texts, "linked": links}
+
+
+def page_tokens(x: dict[str, list]) -> dict[str, list]:
+    """By token of a parsed page: occurrences, text characters, linked characters, the first position.
+
+    Tokens are the elements, by path; each text block, by path and text; and the words that stand once in
+    each block of a path, for only those have the occurrence vector of the block.
+    """
+    paths = x["paths"]
+    out: dict[str, list] = {p: [n, 0, 0, f] for p, n, f in zip(paths, x["opened"], x["first"], strict=True)}
+    blocks: dict[int, list[str]] = {}
+    for k, n, text, linked in zip(x["place"], x["at"], x["texts"], x["linked"], strict=True):
+        own, block = out[paths[k]], out.setdefault(block_token(paths[k], text), [0, 0, 0, n])
+        block[0] += 1
+        for t in (own, block):
+            t[1] += len(text)
+            t[2] += linked
+        blocks.setdefault(k, []).append(text)
+    for k, own in blocks.items():
+        words = own[0].split()
+        place = {w: i for i, w in enumerate(words)}
+        once = set(place) if len(place) == len(words) else {w for w in place if words.count(w) == 1}
+        for text in own[1:]:
+            if not once:
+                break
+            words = text.split()
+            once = {w for w in once if words.count(w) == 1}
+        for w in once:
+            out[word_token(paths[k], w)] = [len(own), 0, 0, place[w]]  # in order of the words' places in their blocks
     return out
 
 
@@ -224,30 +297,50 @@ def layout_of(paths: Iterable[str]) -> str:
     return xxhash.xxh64_hexdigest("\n".join(sorted(below[at]) or [at]))
 
 
-def token_statistics(pages: DataFrame, by_layout: bool = False) -> DataFrame:
-    """Per host (and layout) and token what its occurrence vector and texts add up to, combined within each batch first.
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """Each page parsed: the columns of `pages` (page_id, url, host, key, html) but html, its layout, elements and text blocks."""
+    kinds = [("layout", pa.string()), ("paths", pa.list_(pa.string())), *((c, pa.list_(pa.int32())) for c in ("opened", "first", "place", "at")), ("texts", pa.list_(pa.string())), ("linked", pa.list_(pa.int32()))]
+    given = [c for c in pages.columns if c != "html"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, str] = {}
+        for b in batches:
+            rows = []
+            for page in b.column("html"):
+                x = parsed_page(page.as_py())
+                shape = tuple(x["paths"])
+                if shape not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[shape] = layout_of(shape)
+                rows.append(x | {"layout": known[shape]})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), *(pa.array([r[c] for r in rows], t) for c, t in kinds)], names=[*given, *(c for c, _ in kinds)])
+
+    types = dict(pages.dtypes)
+    return with_code(pages).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in given) + ", " + PARSED)
+
+
+def token_statistics(parsed: DataFrame) -> DataFrame:
+    """Per host, layout and token what its occurrence vector and texts add up to, combined within each batch first.
 
     An occurrence vector is represented by its product with a random number per page (in two halves of
     30 bits): equal vectors have equal sums, others practically never, and sums can be aggregated
-    without bringing a host's pages together.
+    without bringing a host's pages together. A page without text tells nothing of a text's support.
     """
+    columns = ["host", "layout", "key", "paths", "opened", "first", "place", "at", "texts", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total: dict[tuple[str, str, str], list] = {}
-            for host, key, page in ((b.column(j)[i].as_py() for j in range(3)) for i in range(b.num_rows)):
-                h = xxhash.xxh64_intdigest(key or "", seed=7)
-                tokens = page_tokens(key, page)
-                if not any(t[1] for t in tokens.values()):
-                    continue  # a page without text tells nothing of a text's support
-                layout = layout_of(p for p in tokens if "\n" not in p) if by_layout else ""
-                tokens[""] = [1, *tokens.get("", [0, 0, 0])[1:3], 0]
+            for x in b.to_pylist():
+                h, tokens = x["key"] & (1 << 60) - 1, page_tokens(x)
+                tokens[""] = [1, 0, 0, 0]
                 for path, (times, chars, linked, first) in tokens.items():
-                    own = total.setdefault((host, layout, path), [0, 0, 0, 0, 0, 0, 0.0])
+                    own = total.setdefault((x["host"], x["layout"], path), [0, 0, 0, 0, 0, 0, 0.0])
                     own[0] += 1
                     own[1] += times
                     own[2] += (h & 0x3FFFFFFF) * times
-                    own[3] += (h >> 30 & 0x3FFFFFFF) * times
+                    own[3] += (h >> 30) * times
                     own[4] += chars
                     own[5] += linked
                     own[6] += first
@@ -255,7 +348,7 @@ def token_statistics(pages: DataFrame, by_layout: bool = False) -> DataFrame:
             kinds = [pa.string()] * 3 + [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=STATS.replace(",", "").split()[::2])
 
-    return added(with_code(pages.select("host", "key", "html")).mapInArrow(run, STATS))
+    return added(with_code(parsed.where(F.size("texts") > 0).select(columns)).mapInArrow(run, STATS))
 
 
 def added(stats: DataFrame) -> DataFrame:
@@ -340,7 +433,7 @@ def in_class(r: dict, pages: int) -> bool:
     return r["pages"] >= NEARLY * pages
 
 
-def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+def templates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """(template_host, template_layout, template): one row per layout of a host, the template as JSON.
 
     Each layout is deduced in a task of its own. Layouts on fewer than MIN_PAGES pages are taken
@@ -349,7 +442,7 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     stand on nearly all pages of their element: at most (mean tokens per page / MIN_PAGES) elements a page.
     """
     text = F.instr("path", "\n") > 0
-    stats = token_statistics(pages, by_layout=True)
+    stats = token_statistics(parsed)
     stats = scratch.table(stats.select("host", "layout", "path", "pages", "times", "chars", "linked", "place", *(F.when(~text, F.col(c)).alias(c) for c in ("low", "high"))), "tokens")
     sizes = stats.where("path = ''").select(F.col("host").alias("th"), F.col("layout").alias("tl"), F.col("pages").alias("total"))
     sizes = scratch.table(sizes, "layouts")
@@ -400,82 +493,73 @@ def slot_of(path: str, text: str, words: list[str]) -> str:
 
 
 def main_blocks(page: str | None, template: dict) -> list[str]:
-    """The slots of a page: see `slots_of`."""
-    return slots_of([b for b in blocks_of(page) if b[1]], prepared(template))
+    """The slots of a page: see `extracted`."""
+    return extracted([b for b in blocks_of(page) if b[1]], prepared(template))["slots"]
 
 
-def slots_of(found: Iterable[tuple[str, str, int]], template: dict) -> list[str]:
-    """The texts of a page that fill its template's kept slots; for tokens the template lacks, the nearest one above it or the names decide.
+def extracted(found: Iterable[tuple[str, str, int]], template: dict) -> dict:
+    """The texts of a page that fill its template's kept slots, and what decided on the other blocks.
 
-    So they do for a page with a main element on a host whose template has none, or the reverse.
+    `n_fixed` blocks are the template's own, `n_cut` lost words that are; of the rest, the template's slots
+    decide. Where the template lacks an element, the nearest one above it that it has decides, and else
+    the element names. So they do on a page with a main element on a host whose template has none, or
+    the reverse. `n_named` counts the blocks on which names decided, those between whose slots a template
+    chose by the name of a main element included.
     """
     keep, outer, fixed, words = (template[k] for k in ("keep", "outer", "blocks", "words"))
-    decided: dict[str, bool | None] = {}
+    decided: dict[str, tuple[bool | None, bool]] = {}
 
-    def by_template(path: str) -> bool | None:
+    def by_template(path: str) -> tuple[bool | None, bool]:
+        """Whether a path's blocks stay, and whether a name had to say so."""
         if path in decided:
             return decided[path]
         if path in keep:
-            got = keep[path]
+            got = keep[path], bool(template.get("main"))
         elif standing(path, outer) == "drop":
-            got = False
+            got = False, True
         else:
-            got = by_template(path.rpartition("/")[0]) if "/" in path else None
+            got = by_template(path.rpartition("/")[0]) if "/" in path else (None, True)
         decided[path] = got
         return got
 
     names = {p: standing(p, outer) for p, _, _ in found}
     has_main = any(s == "main" for s in names.values())
-    out = []
+    out: dict = {"slots": [], "n_fixed": 0, "n_cut": 0, "n_named": 0}
     for p, t, linked in found:
-        choice = by_template(p)
+        if fixed and block_token(p, t) in fixed:
+            out["n_fixed"] += 1
+            continue
+        choice, named = by_template(p)
         if choice is None or has_main != template.get("main", has_main):
-            choice = names[p] == "main" if has_main else names[p] == "open" and linked < LINKED * len(t)
-        if choice and not (fixed and block_token(p, t) in fixed):
-            if p in words:
-                t = slot_of(p, t, words[p])
-            if t:
-                out.append(t)
+            choice, named = names[p] == "main" if has_main else names[p] == "open" and linked < LINKED * len(t), True
+        out["n_named"] += named
+        if choice and p in words:
+            rest = slot_of(p, t, words[p])
+            out["n_cut"] += rest != t
+            t = rest
+        if choice and t:
+            out["slots"].append(t)
     return out
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, url, text, n_chars): the main text of every page's whole html.
+    """(page_id, url, text, n_chars, n_fixed, n_cut, n_named): the main text of every page's whole html.
 
-    Templates are deduced per layout of a host from all its pages and joined back to them; the table of
-    templates is written first, so that its size decides how it is joined. Pages are parsed before
-    the join, which tells their layout, so it carries their text blocks in place of their html.
+    Each page is parsed once, into a table of its elements and text blocks. From it templates are deduced
+    per layout of a host and joined back; the table of templates is written first, so that its size
+    decides how it is joined. `n_fixed` blocks were taken out as the template's, `n_cut` lost the template's
+    words, and on `n_named` element names had a say.
 
-    Defined cases: null, empty and textless pages have the empty text; pages of hosts with fewer than
-    MIN_PAGES pages with text go by element names alone; null urls and urls without a host form one host; broken
+    Defined cases: null, empty and textless pages have the empty text; a page without another of its host
+    to compare it with goes by element names alone; null urls and urls without a host form one host; broken
     markup is read as far as it goes (an element never closed ends with the page); repeated rows each
     come back; an empty table gives an empty one; other columns are ignored.
     """
-    own = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    keyed = own.select("host", F.concat_ws("|", F.col("page_id").cast("string"), "url").alias("key"), "html")
-    known = scratch.table(templates(keyed, scratch), "templates")
+    own = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.xxhash64(F.col("page_id").cast("string"), "url").alias("key"), F.col("html").cast("string").alias("html"))
+    parsed = scratch.table(parsed_pages(own), "parsed", compression="zstd")
+    known = scratch.table(templates(parsed, scratch), "templates")
     kinds = dict(pages.dtypes)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            layouts, paths, places, texts, linked = [], [], [], [], []
-            for i in range(b.num_rows):
-                at: dict[str, int] = {}
-                seen: dict[str, None] = {}
-                blocks = []
-                for block in blocks_of(b.column(2)[i].as_py()):
-                    seen[block[0]] = None
-                    if block[1]:
-                        at.setdefault(block[0], len(at))
-                        blocks.append(block)
-                layouts.append(layout_of(seen))
-                paths.append(list(at))
-                places.append([at[x[0]] for x in blocks])
-                texts.append([x[1] for x in blocks])
-                linked.append([x[2] for x in blocks])
-            made = [pa.array(layouts, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(linked, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *made], names=["page_id", "url", "host", "layout", "paths", "places", "texts", "linked"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str | None, dict] = {}
         for b in batches:
@@ -485,13 +569,15 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
                     if len(cache) > 1000:
                         cache.clear()
                     cache[template] = prepared(json.loads(template) if template else {"keep": {}})
-                out.append(" ".join(slots_of([(paths[p], t, n) for p, t, n in zip(places, texts, linked, strict=True)], cache[template])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                out.append(extracted([(paths[p], t, n) for p, t, n in zip(places, texts, linked, strict=True)], cache[template]))
+            counts = [pa.array([x[c] for x in out], pa.int64()) for c in ("n_fixed", "n_cut", "n_named")]
+            texts = [" ".join(x["slots"]) for x in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *counts], names=["page_id", "url", "text", "n_chars", "n_fixed", "n_cut", "n_named"])
 
-    parsed = with_code(own.select("page_id", "url", "html", "host")).mapInArrow(parse, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, layout string, paths array<string>, places array<int>, texts array<string>, linked array<int>")
-    joined = parsed.join(known, (F.col("host") == F.col("template_host")) & (F.col("layout") == F.col("template_layout")), "left").select("page_id", "url", "paths", "places", "texts", "linked", "template")
-    return with_code(joined).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    joined = parsed.join(known, (F.col("host") == F.col("template_host")) & (F.col("layout") == F.col("template_layout")), "left").select("page_id", "url", "paths", "place", "texts", "linked", "template")
+    return with_code(joined).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint, n_fixed bigint, n_cut bigint, n_named bigint")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all of `pages`; nulls, empties, ties, broken markup and repeated rows as `extract` says."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), Scratch(spark, "html"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftcurve.llm import html_extract as H
 from driftcurve.llm.storage import Scratch
@@ -45,9 +46,10 @@ def test_text_that_every_page_repeats_belongs_to_the_template(spark):
 
 
 def test_sums_tell_equal_vectors_from_others(spark):
-    pages = [(f"p{i}", "<body>" + "<p>a</p>" * (i % 4) + "<h1>b</h1>" * (i % 4) + "<pre>c</pre>" * (3 - i % 4) + "</body>") for i in range(12)]
-    stats = {r.path: r for r in H.token_statistics(spark.createDataFrame([("h", k, x) for k, x in pages], "host string, key string, html string")).collect()}
-    vectors = {p: tuple(H.page_tokens(k, x).get(p, [0])[0] for k, x in pages) for p in stats if p}
+    pages = [(i, "h", i * 2654435761 * 97 + 5, "<body>" + "<p>a</p>" * (i % 4) + "<h1>b</h1>" * (i % 4) + "<pre>c</pre>" * (3 - i % 4) + "</body>") for i in range(12)]
+    parsed = H.parsed_pages(spark.createDataFrame(pages, "page_id bigint, host string, key bigint, html string"))
+    stats = {r.path: r for r in H.token_statistics(parsed.withColumn("layout", F.lit(""))).collect()}
+    vectors = {p: tuple(H.page_tokens(H.parsed_page(x)).get(p, [0])[0] for *_, x in pages) for p in stats if p}
     for a in vectors:
         for b in vectors:
             assert (vectors[a] == vectors[b]) == ((stats[a].low, stats[a].high) == (stats[b].low, stats[b].high))
@@ -63,7 +65,7 @@ def test_characters_blocks_and_white_space():
 
 def test_edge_cases(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
-    deep = "<div>" * 3000 + "deep text here" + "</div>" * 3000
+    deep = "<div>" * 3000 + "deep text here" + "<nav><div>menu</div></nav>" + "</div>" * 3000
     rows = [(1, None, None, None, None), (2, "", "", "h", "t"), (3, "http://a.b/", "<article><p>cut <a href=\"x", None, None), (4, "http://a.b/", deep, None, None), (5, "http://c.d/", "plain < text > & more", None, None), (None, "http://e.f/", "<main>m<script>x", None, None), (6, "http://e.f/", "<p>" + "word " * 200_000, None, None), (6, "http://e.f/", "<p>" + "word " * 200_000, None, None), (7, "http://g.h/", "<article><!-- c -- ></article><p>after", None, None)]
     got = run(spark, rows)
     assert got[1] == got[2] == "" and got[3] == "cut" and got[4] == "deep text here" and got[5].startswith("plain") and got[None] == "m" and len(got[6]) == 999_999
@@ -95,3 +97,98 @@ def test_a_layout_on_few_of_a_hosts_pages_is_deduced(spark):
     rows += [(1000 + i, "http://s.org/", f"<body><section class=k><div class=c><p>{(s := sentence())}</p></div>{note}</section></body>", s, None) for i in range(7)]
     got = run(spark, rows)
     assert all(got[i] == s for i, _, _, s, _ in rows)
+
+
+def name():
+    """A class name that says nothing."""
+    return "q" + "".join(RND.choice("bcdfgkvwxz") for _ in range(7))
+
+
+def nameless_site(n, words=14):
+    """Pages of one host whose elements have names that say nothing, and no main element; each with its text."""
+    outer, menu, by, body, note, foot, side = (name() for _ in range(7))
+    fixed, rights = sentence(9), sentence(6)
+    out = []
+    for i in range(n):
+        paragraphs = [sentence(words) for _ in range(RND.randrange(2, 6))]
+        a, b = sentence(2), sentence(2)
+        text = [f"{a} {b}", *paragraphs]
+        html = f"<body><div class={outer}><div class={menu}><div>Start here now</div><div>All news today</div></div><div class={by}><div>Posted by {a} under {b}</div>" + "".join(f"<div class={body}>{p}</div>" for p in paragraphs)
+        html += f"</div><div class={note}><div>{fixed}</div>" + (f"<div class={side}>{sentence(2)}</div>" if i % 3 else "") + f"</div></div><div class={foot}>{rights}</div></body>"
+        out.append((html, " ".join(text)))
+    return out
+
+
+def plain_deduction(pages):
+    """Classes, fixed blocks and kept slots from explicit occurrence vectors, page by page; then each page's text."""
+    pages = [[*H.blocks_of(p)] for p in pages]
+    paths = {p for page in pages for p, t, _ in page if not t}
+    vector = {p: tuple(sum(q == p and not t for q, t, _ in page) for page in pages) for p in paths}
+    on = lambda p: {i for i, n in enumerate(vector[p]) if n}
+    held = {p for p in paths if len(on(p)) >= 2}
+    up = lambda p: p.rpartition("/")[0]
+    cls = {}
+    for p in sorted(held, key=lambda p: p.count("/")):
+        joins = up(p) in cls and vector[up(p)] == vector[p]
+        cls[p] = cls[up(p)] if joins else (vector[p], cls.get(up(p)))
+    fixed, words, left = set(), {}, {}
+    for p in held:
+        blocks = [(i, t, n) for i, page in enumerate(pages) for q, t, n in page if q == p and t]
+        for t in {t for _, t, _ in blocks}:
+            if len({i for i, u, _ in blocks if u == t}) >= 0.9 * len(on(p)):
+                fixed.add((p, t))
+        left[p] = sum(len(t) - n for _, t, n in blocks if (p, t) not in fixed)
+        every = [t.split() for _, t, _ in blocks]
+        for w in {w for x in every for w in x}:
+            with_it = {i for i in on(p) if (own := [u.split() for j, u, _ in blocks if j == i]) and all(x.count(w) == 1 for x in own)}
+            if len(with_it) >= max(10, 0.9 * len(on(p))):
+                words.setdefault(p, []).append((sum(x.index(w) for x in every if w in x), w))
+    slots = [p for p in left if left[p] > 0]
+    best = max({up(p) for p in slots}, key=lambda u: (sum(left[p] for p in slots if up(p) == u), u))
+    keep = {p for p in slots if up(p) == best or p.startswith(f"{best}/")}
+    texts = []
+    for page in pages:
+        out = []
+        for p, t, _ in page:
+            if t and p in keep and (p, t) not in fixed:
+                left_words = t.split()
+                for _, w in sorted(words.get(p, [])):
+                    left_words.remove(w)
+                out.append(" ".join(left_words))
+        texts.append(" ".join(out))
+    return cls, fixed, texts
+
+
+@pytest.mark.parametrize("n", [12, 30])
+def test_nameless_templates_equal_a_plain_deduction(spark, n):
+    """No element name says anything here: classes, their blocks and words and the slots between them decide alone."""
+    site = nameless_site(n)
+    cls, fixed, texts = plain_deduction([x for x, _ in site])
+    rows = [(i, "http://n.org/", x, None, None) for i, (x, _) in enumerate(site)]
+    got = run(spark, rows)
+    assert [got[i] for i in range(n)] == texts == [t for _, t in site]
+    assert not any("Posted" in t or "Start here" in t for t in texts)
+    off = [" ".join(H.main_blocks(x, {"keep": {}})) for x, _ in site]
+    assert all(a != b and len(a) > len(b) for a, b in zip(off, texts, strict=True))  # without the template all of it stays
+    parsed = H.parsed_pages(spark.createDataFrame([(i, "h", i * 7919 * 2654435761 + 1, x) for i, (x, _) in enumerate(site)], "page_id bigint, host string, key bigint, html string"))
+    found = H.deduce([r.asDict() for r in H.token_statistics(parsed.withColumn("layout", F.lit(""))).collect()])
+    of = {p: k for k, c in enumerate(found["classes"]) for p in c["tokens"] if p}
+    assert set(of) == set(cls) and all((of[a] == of[b]) == (cls[a] == cls[b]) for a in of for b in of)
+    assert {t for c in found["classes"] for t in c["blocks"]} == {H.block_token(p, t) for p, t in fixed}
+
+
+def test_columns_say_what_decided(spark):
+    site = nameless_site(12)
+    rows = [(i, "http://n.org/", x, None, None) for i, (x, _) in enumerate(site)] + [(99, "http://one.org/", "<body><nav>x</nav><article>alone</article></body>", None, None)]
+    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()}
+    assert all((r.n_fixed, r.n_cut, r.n_named) == (4, 1, 0) for i, r in got.items() if i < 99)
+    assert (got[99].text, got[99].n_fixed, got[99].n_named) == ("alone", 0, 2)
+
+
+def test_deep_elements_keep_their_names_and_apart():
+    inner = "<div>" * 200
+    page = f"<body>{inner}<nav>{'<div>' * 100}menu{'</div>' * 100}</nav><article>{'<div>' * 100}text{'</div>' * 100}</article></div></body>"
+    blocks = [b for b in H.blocks_of(page) if b[1]]
+    assert [H.standing(p) for p, _, _ in blocks] == ["drop", "main"] and blocks[0][0] != blocks[1][0]
+    assert max(len(p) for p, _, _ in H.blocks_of("<div class=abc>" * 20_000)) < 1000
+    assert H.main_blocks(page, {"keep": {}}) == ["text"]
