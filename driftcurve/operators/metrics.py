@@ -49,6 +49,11 @@ def out_of_bag(members: DataFrame, trained: DataFrame, labels: DataFrame) -> Dat
     free = members.join(trained.select(F.col("model").alias("__m"), F.col("row_index").alias("__r")), (F.col("model") == F.col("__m")) & (F.col("row_index") == F.col("__r")), "left_anti")
     mean = free.groupBy(F.col("row_index").alias("__i")).agg(F.avg("p").alias("__p"))
     own = labels.join(mean, F.col("row_index") == F.col("__i"), "left")
-    yes = F.col("__p") > 0.5
+    return out_of_bag_means(own.select(F.col("__p").alias("p"), "y"))
+
+
+def out_of_bag_means(df: DataFrame) -> DataFrame:
+    """(oob_recall, oob_precision, coverage) of labelled rows (p, y) whose p is the mean of the members that did not train on them, null if all did."""
+    yes = F.col("p") > 0.5
     tp, fp, fn = F.count_if(yes & (F.col("y") == 1)), F.count_if(yes & (F.col("y") == 0)), F.count_if(~yes & (F.col("y") == 1))
-    return own.agg(_ratio(tp, tp + fn).alias("oob_recall"), _ratio(tp, tp + fp).alias("oob_precision"), _ratio(F.count("__p"), F.count("*")).alias("coverage"))
+    return df.agg(_ratio(tp, tp + fn).alias("oob_recall"), _ratio(tp, tp + fp).alias("oob_precision"), _ratio(F.count("p"), F.count("*")).alias("coverage"))

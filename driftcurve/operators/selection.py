@@ -7,6 +7,7 @@ probabilities). Everything here is a function from tables to tables; no model is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,7 +54,7 @@ class Thresholds:
     initial_neg_weight: float = 0.8
     weight_step: float = 0.1
     imbalance: float = 20.0
-    class_weight_divisor: float = 20.0
+    class_weight_divisor: float = 1.0
     top_k: int = 10_000
     prevalence: float = 0.001
 
@@ -187,6 +188,26 @@ def uncertain(preds: DataFrame, n: int, excluded: DataFrame | None = None) -> Da
     return top(preds.withColumn("uncertainty", F.abs(F.col("p") - 0.5)), n, F.col("uncertainty"), F.col("row_index"))
 
 
+def for_review(preds: DataFrame, n: int, samples: DataFrame, last_session: DataFrame | None = None, iteration: int = 0, cooldown: int = 10, review_all: bool = True, excluded: DataFrame | None = None) -> DataFrame:
+    """(row_index, p, uncertainty, previous_label, previous_source): the n most uncertain rows, for a person to label.
+
+    Left out are `excluded` rows, labelled ones unless `review_all`, and those of the last session
+    (iteration, row_index) while it is fewer than `cooldown` iterations ago. What `samples` says of a row comes
+    along, so that a verdict against it can be seen as one.
+    """
+    mine = samples.where(~F.col("from_known"))
+    out = [excluded.select("row_index")] if excluded is not None else []
+    if not review_all:
+        out.append(mine.select("row_index"))
+    if last_session is not None and cooldown > 0:
+        out.append(last_session.where(F.col("iteration") > iteration - cooldown).select("row_index"))
+    gone = reduce(lambda a, b: a.union(b), out) if out else None
+    best = uncertain(preds.select("row_index", "p"), n, gone)
+    before = mine.groupBy(F.col("row_index").alias("__s")).agg(F.max_by(F.struct("label", "source"), "added_iter").alias("__b"))
+    joined = best.join(before, F.col("row_index") == F.col("__s"), "left")
+    return joined.select("row_index", "p", "uncertainty", F.col("__b.label").alias("previous_label"), F.col("__b.source").alias("previous_source"))
+
+
 # --- review ---------------------------------------------------------------------------------------
 
 

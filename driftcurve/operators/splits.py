@@ -44,3 +44,15 @@ def stratified_split(df: DataFrame, train: float = 0.1, validation: float = 0.4,
     edges = df.agg(*(F.percentile(c, cuts).alias(c) for c in names)).first()
     label = reduce(lambda a, c: a * bins + quantile_bin(c, edges[c]), names, F.lit(0))
     return random_split(df, train, validation, seed, key, label)
+
+
+def overlapping(roles: DataFrame, key: tuple[str, ...] = ("row_index",)) -> DataFrame:
+    """The keys that stand in more than one role."""
+    return roles.groupBy(*key).agg(F.min("role").alias("low"), F.max("role").alias("high")).where("low <> high").select(*key)
+
+
+def assert_disjoint(roles: DataFrame, key: tuple[str, ...] = ("row_index",)) -> None:
+    """Raise if a row stands in more than one role; one aggregate over the keys, of which at most three rows come back."""
+    both = overlapping(roles, key).limit(3).collect()
+    if both:
+        raise ValueError(f"rows in more than one role, among them {[tuple(r) for r in both]}")

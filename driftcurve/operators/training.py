@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftcurve.operators.ordering import hashed
 from driftcurve.operators.selection import Thresholds
@@ -28,26 +28,70 @@ def inverse_frequency(df: DataFrame, label: str) -> DataFrame:
     return df.join(n, F.col(label) == F.col("__l")).drop("__l")
 
 
-def bootstrap(df: DataFrame, seed: int, key: str = "row_index") -> DataFrame:
-    """A resample with replacement: each row Poisson(1) times, decided by its hash, so that a retried task draws alike."""
+def times_drawn(seed: int, key: str = "row_index") -> Column:
+    """How often a resample with replacement draws a row: Poisson(1) by the row's hash, so that a retried task draws alike."""
     u = F.conv(F.substring(hashed(seed, key), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
     cumulative, term, times = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(1, 9):
         cumulative += term
         term /= k
         times = F.when(u >= cumulative, k).otherwise(times)
-    return df.withColumn("__times", times).where(F.col("__times") > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__nth")
+    return times
+
+
+def bootstrap(df: DataFrame, seed: int, key: str = "row_index") -> DataFrame:
+    """A resample with replacement, each row `times_drawn` times."""
+    return df.withColumn("__times", times_drawn(seed, key)).where(F.col("__times") > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__nth")
+
+
+@dataclass(frozen=True)
+class Booster:
+    """What may be set of boosted trees: rounds, depth, learning rate, rows of a leaf, share of the rows a tree sees, the share of the
+    rows that validates, and the rounds without a better validation loss after which boosting stops."""
+
+    rounds: int = 100
+    depth: int = 6
+    rate: float = 0.1
+    leaf_rows: int = 1
+    subsample: float = 1.0
+    eval_fraction: float = 0.2
+    patience: int = 250
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """The round, from 1, with the least loss among those before `patience` rounds brought no better one."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
-def train(df: DataFrame, columns: list[str], label: str = "y", weight: str | None = None, by_class: dict[int, float] | None = None, rounds: int = 100, depth: int = 6, eval_fraction: float = 0.2, seed: int = 42, key: str = "row_index") -> PipelineModel:
-    """Boosted trees with sample and class weights; a hashed share of the rows validates and stops early."""
+def train(df: DataFrame, columns: list[str], label: str = "y", weight: str | None = None, by_class: dict[int, float] | None = None, booster: Booster = Booster(), seed: int = 42, key: str = "row_index") -> PipelineModel:
+    """Boosted trees with sample and class weights; a hashed share of the rows validates and decides on the number of trees.
+
+    The trees up to the best round are those that so many rounds alone give, so they are fitted again. (The
+    trainer's own validation column is not used: trees that it grows do not separate even separable rows.)
+    """
     share = F.conv(F.substring(hashed(seed, key), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
-    rows = with_weights(df, label, weight, by_class).withColumn("__eval", share < eval_fraction)
-    gbt = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=rounds, maxDepth=depth, seed=seed)
-    both = rows.agg(F.count_if(F.col("__eval")).alias("e"), F.count_if(~F.col("__eval")).alias("t")).first()
-    if both["e"] and both["t"]:
-        gbt = gbt.setValidationIndicatorCol("__eval")
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep"), gbt]).fit(rows.withColumn(label, F.col(label).cast("double")))
+    rows = with_weights(df, label, weight, by_class).withColumn(label, F.col(label).cast("double")).withColumn("__eval", share < booster.eval_fraction)
+    assembler = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep")
+    rows = assembler.transform(rows).select("__x", label, "__w", "__eval").persist()
+    fit = lambda n: GBTClassifier(
+        featuresCol="__x", labelCol=label, weightCol="__w", maxIter=n, maxDepth=booster.depth, stepSize=booster.rate,
+        minInstancesPerNode=booster.leaf_rows, subsamplingRate=booster.subsample, seed=seed,
+    ).fit(own)
+    both = {(r["__eval"], r[label]) for r in rows.select("__eval", label).distinct().collect()}
+    validates = any(e for e, _ in both) and {y for e, y in both if not e} == {y for _, y in both}
+    own = rows.where(~F.col("__eval")) if validates else rows
+    model = fit(booster.rounds)
+    if validates:
+        best = best_round(model.evaluateEachIteration(rows.where("__eval")), booster.patience)
+        model = fit(best) if best < booster.rounds else model
+    rows.unpersist()
+    return PipelineModel(stages=[assembler, model])
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
@@ -90,18 +134,39 @@ def adjusted(t: Thresholds, successful: int, last_pos: int, last_neg: int) -> Th
     return t
 
 
-def must_roll_back(ice: float, best_ice: float, tracked_pos: tuple[float, float] | None = None, tracked_neg: tuple[float, float] | None = None, rise: float = 0.5, move: float = 0.9) -> bool:
-    """Whether calibration got worse by more than `rise` (relative), or a tracked row's probability (before, now) moved the wrong way by more than `move`."""
-    if best_ice > 0 and (ice - best_ice) / best_ice > rise:
+def must_roll_back(ice: float, last_ice: float, tracked_pos: tuple[float, float] | None = None, tracked_neg: tuple[float, float] | None = None, rise: float = 0.5, move: float = 0.9) -> bool:
+    """Whether calibration got worse by more than `rise` since the last iteration, or a tracked row's probability (before, now) moved the wrong way by more than `move`."""
+    if ice > last_ice + rise:
         return True
     if tracked_pos and tracked_pos[0] - tracked_pos[1] > move:
         return True
     return bool(tracked_neg and tracked_neg[1] - tracked_neg[0] > move)
 
 
-def model_score(ice: float, tracked_error: float, weight: float = 0.01) -> float:
-    """Lower is better."""
-    return ice * (1 - weight) + tracked_error * weight
+def tracked_error(pos: float | None, neg: float | None) -> float | None:
+    """How far tracked rows are from what they should be, on average; None without any."""
+    errors = ([1 - pos] if pos is not None else []) + ([neg] if neg is not None else [])
+    return sum(errors) / len(errors) if errors else None
+
+
+def model_score(ice: float, error: float | None = None, weight: float = 0.01) -> float:
+    """Lower is better. Without tracked rows it is the calibration error alone."""
+    return ice if error is None else ice * (1 - weight) + error * weight
+
+
+@dataclass(frozen=True)
+class Targets:
+    """What a run must reach to be a success."""
+
+    recall: float = 1.0
+    precision: float = 1.0
+    enrichment: float = 999.0
+    successful: int = 50
+
+
+def succeeded(recall: float, precision: float, enrichment: float, successful: int, targets: Targets = Targets()) -> bool:
+    """Whether validation, the last known enrichment and the iterations since the last rollback reach all targets."""
+    return recall >= targets.recall and precision >= targets.precision and enrichment >= targets.enrichment and successful >= targets.successful
 
 
 def plateau(history: DataFrame, run: str = "run", window: int = 20, recall_range: float = 0.01, ice_range: float = 0.01, least_ice: int = 5, quiet: int = 5) -> DataFrame:

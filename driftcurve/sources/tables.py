@@ -36,6 +36,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(old)
@@ -58,6 +63,20 @@ def cached(spark: SparkSession, folder: str, prefix: str, n: int, make: Callable
     return spark.read.parquet(path)
 
 
+def in_chunks(df: DataFrame, folder: str, prefix: str, chunks: int, make: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
+    """`make(df)` computed and kept chunk by chunk under {folder}/{prefix}_chunk_NNNN.parquet, so that a run that was cut short goes on where it ended.
+
+    A row's chunk follows from its key's hash, so rows of one key are computed together. A chunk that is complete is
+    not computed again; one without the marker that the committer writes last is.
+    """
+    paths = []
+    for k in range(chunks):
+        paths.append(f"{folder}/{prefix}_chunk_{k:04d}.parquet")
+        if not exists(df.sparkSession, f"{paths[-1]}/_SUCCESS"):
+            write(make(df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == k)), paths[-1])
+    return df.sparkSession.read.parquet(*paths)
+
+
 def parse_label_log(lines: DataFrame) -> DataFrame:
     """(line, iteration, ts, row_index, label) of JSON lines in a column `value`; blank and malformed ones are skipped."""
     r = F.from_json("value", LABEL_LOG, {"mode": "PERMISSIVE"})

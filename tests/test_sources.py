@@ -77,7 +77,7 @@ def test_loop_keeps_its_books(spark, tmp_path):
     pool = spark.range(400).select(F.col("id").alias("row_index"), (F.col("id") % 97 / 97.0).alias("a"), (F.col("id") % 89 / 89.0).alias("b"))
     known = spark.range(40).select(F.col("id").alias("row_index"), (3 + F.col("id") % 7 / 7.0).alias("a"), (3 + F.col("id") % 5 / 5.0).alias("b"))
     expert = spark.createDataFrame([(399, 1)], "row_index bigint, label int")
-    config = loop.Config(train_neg=60, validation_neg=60, held_out_neg=30, members=0, rounds=3, max_iterations=1)
+    config = loop.Config(train_neg=60, validation_neg=60, held_out_neg=30, members=0, booster=loop.tr.Booster(rounds=3), max_iterations=1)
     job = loop.SelfTraining(spark, pool, known, ["a", "b"], config, expert)
     result = job.run()
     assert result["reason"] == "MAX_ITERATIONS" and len(result["history"]) == 1
@@ -99,3 +99,20 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows = entry.entry(spark).collect()
     assert 0 < len(rows) <= 10
+
+
+def test_chunks_that_are_complete_are_not_made_again(spark, tmp_path):
+    from driftcurve.sources import tables
+
+    df = spark.range(100).withColumnRenamed("id", "id")
+    made = []
+
+    def make(part):
+        made.append(1)
+        return part.selectExpr("id", "id * 2 AS x")
+
+    got = tables.in_chunks(df, str(tmp_path), "f", 3, make)
+    assert sorted(r.x for r in got.collect()) == list(range(0, 200, 2)) and len(made) == 3
+    (tmp_path / "f_chunk_0001.parquet" / "_SUCCESS").unlink()
+    again = tables.in_chunks(df, str(tmp_path), "f", 3, make)
+    assert len(made) == 4 and sorted(r.x for r in again.collect()) == list(range(0, 200, 2))
