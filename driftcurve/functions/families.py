@@ -28,23 +28,49 @@ def so_far() -> WindowSpec:
     return ordered().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
+#: How columns with a series' sorted values start; they serve the results that are read from them and go.
+SORTED = "__sorted_"
+
+
 @dataclass
 class Family:
+    """Window columns in stages, aggregates by series, and results made of the aggregates."""
+
     stages: list[dict[str, Column]] = field(default_factory=list)
     aggregates: list[Column] = field(default_factory=list)
+    results: dict[str, Column] = field(default_factory=dict)
 
     def __add__(self, other: Family) -> Family:
         stages = [{**a, **b} for a, b in zip(self.stages, other.stages, strict=False)]
         longer = max(self.stages, other.stages, key=len)
-        return Family(stages + longer[len(stages) :], self.aggregates + other.aggregates)
+        return Family(stages + longer[len(stages) :], self.aggregates + other.aggregates, self.results | other.results)
 
 
 def apply(series: DataFrame, *families: Family) -> DataFrame:
-    """One row per id with the families' aggregates."""
+    """One row per id with the families' aggregates and results."""
     whole = reduce(lambda a, b: a + b, families)
     for stage in whole.stages:
         series = series.withColumns(stage)
-    return series.groupBy("id").agg(*whole.aggregates)
+    out = series.groupBy("id").agg(*whole.aggregates)
+    if whole.results:
+        out = out.withColumns(whole.results)
+    return out.drop(*(c for c in out.columns if c.startswith(SORTED)))
+
+
+def sorted_values(x: Column | str, name: str) -> Column:
+    """A column's values in order: collected once per series, and quantiles, extremes and counts are read from them."""
+    value = F.col(x) if isinstance(x, str) else x
+    return F.sort_array(F.collect_list(value + F.lit(0.0))).alias(SORTED + name)  # minus zero counts as zero
+
+
+def element(name: str, i: Column) -> Column:
+    return F.get(SORTED + name, i.cast("int"))
+
+
+def linear_quantile(name: str, q: float) -> Column:
+    at = (F.size(SORTED + name) - 1) * F.lit(q)
+    low = element(name, F.floor(at))
+    return low + (at - F.floor(at)) * (F.coalesce(element(name, F.floor(at) + 1), low) - low)
 
 
 def place(x: str) -> Column:
@@ -71,14 +97,13 @@ def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-def nearest_quantile(x: str, q: float) -> Column:
+def nearest_quantile(name: str, q: float) -> Column:
     """The element at floor((n - 1) q + 1/2) of the sorted values."""
-    ordered = F.sort_array(F.collect_list(F.col(x)))
-    return F.get(ordered, F.floor((F.size(ordered) - 1) * q + 0.5).cast("int"))
+    return element(name, F.floor((F.size(SORTED + name) - 1) * q + 0.5))
 
 
 def main_stats(x: str, name: str | None = None, entropy: bool = True) -> Family:
-    """The basic statistics of a column (distinct values by a set per series: several DISTINCT aggregates would each copy the rows); null values (a step before the first point) are no part of the series.
+    """The basic statistics of a column; null values (a step before the first point) are no part of the series.
 
     Undefined ones are null: std of one point, moments of a constant, entropy unless all values are positive.
     """
@@ -87,14 +112,19 @@ def main_stats(x: str, name: str | None = None, entropy: bool = True) -> Family:
     d, pd = f"__{n}_d", f"__{n}_pd"
     total = F.sum(c)
     found = {
-        "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "median": F.median(c),
-        "q25": nearest_quantile(x, 0.25), "q75": nearest_quantile(x, 0.75), "skewness": F.skewness(c), "kurtosis": F.kurtosis(c),
-        "first": F.min_by(c, place(x)), "last": F.max_by(c, place(x)), "arg_min": arg_min(x), "arg_max": arg_max(x), "n_unique": F.size(F.collect_set(c)).cast("bigint"),
+        "mean": F.avg(c), "std": F.stddev_samp(c), "skewness": F.skewness(c), "kurtosis": F.kurtosis(c),
+        "first": F.min_by(c, place(x)), "last": F.max_by(c, place(x)), "arg_min": arg_min(x), "arg_max": arg_max(x),
         "trend_changes": count_where(F.signum(F.col(d)) != F.signum(F.col(pd))),
     }
+    size = F.size(SORTED + n)
+    read = {
+        "min": element(n, F.lit(0)), "max": element(n, size - 1), "median": linear_quantile(n, 0.5), "q25": nearest_quantile(n, 0.25), "q75": nearest_quantile(n, 0.75),
+        "n_unique": F.size(F.array_distinct(SORTED + n)).cast("bigint"),
+    }
     if entropy:
         found["entropy"] = F.when(F.min(c) > 0, F.ln(total) - F.try_divide(F.sum(c * F.ln(c)), total))
-    return Family([{d: c - F.lag(c).over(ordered())}, {pd: F.lag(d).over(ordered())}], [v.alias(f"{n}_{k}") for k, v in found.items()])
+    aggregates = [sorted_values(c, n), *(v.alias(f"{n}_{k}") for k, v in found.items())]
+    return Family([{d: c - F.lag(c).over(ordered())}, {pd: F.lag(d).over(ordered())}], aggregates, {f"{n}_{k}": v for k, v in read.items()})
 
 
 def run_length(cond: Column) -> Column:
@@ -175,16 +205,26 @@ def split_stats(x: str, side: str, which: str, index: str = "mag", name: str | N
     k = F.col(f"__{index}_{which}")
     start = F.greatest(k - 1, F.lit(0)) if steps else k
     value = F.when(own < k if side == "to" else own >= start, F.col(x))
-    c, mu, sd = F.col(col("x")), F.col(col("mu")), F.col(col("sd"))
-    stages = [{f"__{index}_{which}": at}, {col("x"): value}, {col("mu"): F.avg(c).over(series_window()), col("sd"): F.stddev_samp(c).over(series_window())}]
+    c = F.col(col("x"))
+    stages = [{f"__{index}_{which}": at}, {col("x"): value}]
     p = F.when(c.isNotNull(), F.col("pos"))
-    q25, q75 = F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.75))
-    found = {
-        "len": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "range": F.max(c) - F.min(c), "slope": (F.max_by(c, p) - F.min_by(c, p)) / F.greatest(F.count(c), F.lit(1)),
-        "median": F.median(c), "q25": q25, "q75": q75, "iqr": q75 - q25, "skewness": F.avg((c - mu) * (c - mu) * (c - mu)) / (F.max(sd * sd * sd) + EPSILON), "kurtosis": F.avg((c - mu) * (c - mu) * (c - mu) * (c - mu)) / (F.max(sd * sd * sd * sd) + EPSILON) - 3,
-        "n_above_2sigma": count_where(c > mu + 2 * sd), "n_below_2sigma": count_where(c < mu - 2 * sd), "n_above_3sigma": count_where(c > mu + 3 * sd), "n_below_3sigma": count_where(c < mu - 3 * sd), "energy": F.coalesce(F.sum(c * c), F.lit(0.0)),
+    name = lambda k: f"{n}_{k}"
+    aggregates = {
+        "len": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "slope": (F.max_by(c, p) - F.min_by(c, p)) / F.greatest(F.count(c), F.lit(1)),
+    }
+    if additional:
+        aggregates["energy"] = F.coalesce(F.sum(c * c), F.lit(0.0))
+    # the rest is read from the part's sorted values, one pass for each of its deviations
+    size, mu, sd = F.size(SORTED + n), F.col(name("mean")), F.col(name("std"))
+    moment = lambda k: F.try_divide(F.aggregate(SORTED + n, F.lit(0.0), lambda a, x: a + reduce(lambda u, _: u * (x - mu), range(k - 1), x - mu)), size)
+    beyond = lambda test: F.size(F.filter(SORTED + n, test)).cast("bigint")
+    low, high, q25, q75 = element(n, F.lit(0)), element(n, size - 1), linear_quantile(n, 0.25), linear_quantile(n, 0.75)
+    read = {
+        "min": low, "max": high, "range": high - low,
+        "median": linear_quantile(n, 0.5), "q25": q25, "q75": q75, "iqr": q75 - q25, "skewness": moment(3) / (sd * sd * sd + EPSILON), "kurtosis": moment(4) / (sd * sd * sd * sd + EPSILON) - 3,
+        "n_above_2sigma": beyond(lambda x: x > mu + 2 * sd), "n_below_2sigma": beyond(lambda x: x < mu - 2 * sd), "n_above_3sigma": beyond(lambda x: x > mu + 3 * sd), "n_below_3sigma": beyond(lambda x: x < mu - 3 * sd),
     }
-    return Family(stages, [v.alias(f"{n}_{k}") for k, v in found.items() if additional or k in BASIC_SPLIT])
+    return Family(stages, [sorted_values(c, n), *(v.alias(name(k)) for k, v in aggregates.items())], {name(k): v for k, v in read.items() if additional or k in BASIC_SPLIT})
 
 
 def legacy_stats(x: str) -> Family:

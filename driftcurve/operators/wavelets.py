@@ -128,24 +128,30 @@ def wavelet_features(nested: DataFrame, value: str = "norm", time: str | None =
     return with_code(own).mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in names]))
 
 
-def dwt_level(points: DataFrame, wavelet: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """One level of (keys, pos, x) in long form as (keys, k, approx, detail), by a join with the filter's taps.
+def dwt_levels(points: DataFrame, wavelets: tuple[str, ...] = WAVELETS, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One level of (keys, pos, x) in long form by several wavelets as (keys, wavelet, k, approx, detail), by a join with the filters' taps.
 
-    Each point meets the few outputs that it contributes to; the taps are a literal array of the plan.
-    The points are shuffled once, by their series: the sums by output reuse that.
+    Each point meets the few outputs of each filter that it contributes to; the taps are literals of the plan.
+    The points are read and shuffled once, by their series: the sums by output reuse that.
     """
-    low, high = low_pass(wavelet), high_pass(wavelet)
-    taps = len(low)
     own = points.withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
+    one = lambda w: F.struct(F.lit(w).alias("wavelet"), F.lit(len(low_pass(w))).alias("taps"), *(F.array(*map(F.lit, reversed(f(w)))).alias(k) for k, f in (("low", low_pass), ("high", high_pass))))
+    own = own.withColumn("__f", F.explode(F.array(*map(one, wavelets))))
+    taps, n = F.col("__f.taps"), F.col("__n")
     # output k reads signal index 2 k + 2 - taps + j: every place that reflects onto pos counts
-    periods = (F.floor((taps + F.col("__n")) / (2 * F.col("__n"))) + 1).cast("int")
-    reach = F.sequence(-periods, periods)
-    spots = own.withColumn("__m", F.explode(reach)).select(*keys, "x", "__n", F.explode(F.array(F.col("pos") + 2 * F.col("__m") * F.col("__n"), 2 * F.col("__n") - 1 - F.col("pos") + 2 * F.col("__m") * F.col("__n"))).alias("__at"))
-    spots = spots.where((F.col("__at") >= 2 - taps) & (F.col("__at") <= 2 * F.floor((F.col("__n") + taps - 1) / 2) - 1))
-    j = F.col("__at") - 2 * F.col("k") - 2 + taps
-    outs = spots.withColumn("k", F.explode(F.sequence(F.greatest(F.ceil((F.col("__at") - 1) / 2), F.lit(0)), F.least(F.floor((F.col("__at") - 2 + taps) / 2), F.floor((F.col("__n") + taps - 1) / 2) - 1))))
-    tap = lambda f: F.get(F.array(*map(F.lit, reversed(f))), j.cast("int"))
-    return outs.groupBy(*keys, "k").agg(F.sum(F.col("x") * tap(low)).alias("approx"), F.sum(F.col("x") * tap(high)).alias("detail"))
+    periods = (F.floor((taps + n) / (2 * n)) + 1).cast("int")
+    spots = own.withColumn("__m", F.explode(F.sequence(-periods, periods)))
+    spots = spots.select(*keys, "x", "__n", "__f", F.explode(F.array(F.col("pos") + 2 * F.col("__m") * n, 2 * n - 1 - F.col("pos") + 2 * F.col("__m") * n)).alias("__at"))
+    at = F.col("__at")
+    spots = spots.where((at >= 2 - taps) & (at <= 2 * F.floor((n + taps - 1) / 2) - 1))
+    outs = spots.withColumn("k", F.explode(F.sequence(F.greatest(F.ceil((at - 1) / 2), F.lit(0)), F.least(F.floor((at - 2 + taps) / 2), F.floor((n + taps - 1) / 2) - 1))))
+    tap = lambda side: F.get(F.col(f"__f.{side}"), (at - 2 * F.col("k") - 2 + taps).cast("int"))
+    return outs.groupBy(*keys, F.col("__f.wavelet").alias("wavelet"), "k").agg(F.sum(F.col("x") * tap("low")).alias("approx"), F.sum(F.col("x") * tap("high")).alias("detail"))
+
+
+def dwt_level(points: DataFrame, wavelet: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One level of (keys, pos, x) in long form by one wavelet as (keys, k, approx, detail)."""
+    return dwt_levels(points, (wavelet,), keys).drop("wavelet")
 
 
 def resampled(series: DataFrame, value: str = "norm", points: int = GRID) -> DataFrame:

@@ -440,23 +440,25 @@ def gbt_scores(spark, sf_dir):
     wide = fam.apply(full_series(spark, sf_dir), fam.main_stats("mag"), fam.main_stats("norm", entropy=False), fam.Family([], [F.first("class").alias("y")]))
     columns = [c for c in wide.columns if c not in ("id", "y")]
     rows = lab.matrix_rows(wide.withColumn("row_index", F.col("id")), columns)
-    model = training.train(rows, columns, "y", rounds=10)
+    model = training.train(rows, columns, "y", booster=training.Booster(rounds=10))
     return rounded(training.predict(model, rows).select("row_index", "y", "p"))
 
 
 @query("self_training")
 def self_training(spark, sf_dir):
     """Two rounds of the loop on the series' features: the history of metrics."""
-    from driftcurve.operators import loop
+    from driftcurve.operators import loop, training
 
     wide = fam.apply(full_series(spark, sf_dir), fam.main_stats("mag"), fam.main_stats("norm", entropy=False), fam.Family([], [F.first("class").alias("y")]))
     columns = [c for c in wide.columns if c not in ("id", "y")]
     rows = lab.matrix_rows(wide.withColumn("row_index", F.col("id")), columns)
     known = rows.where("y = 1").drop("y")
     pool = rows.where("y = 0").drop("y")
-    config = loop.Config(train_neg=40, validation_neg=40, held_out_neg=20, train_pos=0.5, validation_pos=0.3, max_iterations=2, members=2, rounds=5)
+    n = pool.count()
+    sizes = {"train_neg": n * 3 // 10, "validation_neg": n * 3 // 10, "held_out_neg": n // 10}
+    config = loop.Config(**sizes, train_pos=0.5, validation_pos=0.3, max_iterations=2, members=2, booster=training.Booster(rounds=5, depth=4))
     result = loop.SelfTraining(spark, pool, known, columns, config).run()
-    return spark.createDataFrame(result["history"], loop.HISTORY)
+    return spark.createDataFrame(result["history"], loop.HISTORY).drop("elapsed_hours")
 
 
 @query("sequence_scores")
@@ -490,11 +492,7 @@ def pool_exclusion(spark, sf_dir):
 
 @query("probability_report", f"WITH {PREDS} SELECT row_index, user_id, {r6('p', 'p')}, row_number() OVER (ORDER BY p DESC, row_index) AS place FROM preds")
 def probability_report(spark, sf_dir):
-    """All rows by falling probability with their places; places come from counts of probability steps, not from one sort."""
-    df = preds(spark, sf_dir).select("row_index", "user_id", "p").withColumn("__b", F.floor(F.col("p") * 1000))
-    from pyspark.sql import Window as W
+    """All rows by falling probability with their places, numbered within buckets between sampled rows."""
+    from driftcurve.operators.ordering import placed
 
-    counts = df.groupBy(F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
-    before = counts.select("__c", F.coalesce(F.sum("__n").over(W.orderBy(F.col("__c").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(W.partitionBy("__b").orderBy(F.col("p").desc(), "row_index"))
-    return rounded(df.join(before, F.col("__b") == F.col("__c")).select("row_index", "user_id", "p", (F.col("__before") + within).alias("place")))
+    return rounded(placed(preds(spark, sf_dir).select("row_index", "user_id", "p"), "p", "row_index").select("row_index", "user_id", "p", F.col("place").cast("bigint").alias("place")))

@@ -244,12 +244,8 @@ def dwt_haar_level1(spark, sf_dir):
     f"WITH {_SIGNAL}, " + ", ".join(f"l_{w} AS ({_level_sql(w, 'signal')})" for w in WAVELETS) + " " + " UNION ALL ".join(f"SELECT '{w}' AS wavelet, id, count(*) AS n, {r6('sum(x * x)', 'approx_energy')}, {r6('sum(detail * detail)', 'detail_energy')}, {r6('max(abs(detail))', 'max_detail')} FROM l_{w} GROUP BY id" for w in WAVELETS),
 )
 def dwt_level1_all(spark, sf_dir):
-    out = None
-    for w in WAVELETS:
-        got = wav.dwt_level(_points(spark, sf_dir), w).groupBy("id").agg(F.count("*").alias("n"), wav.energy("approx").alias("approx_energy"), wav.energy("detail").alias("detail_energy"), F.max(F.abs("detail")).alias("max_detail"))
-        got = got.select(F.lit(w).alias("wavelet"), "*")
-        out = got if out is None else out.unionByName(got)
-    return rounded(out)
+    got = wav.dwt_levels(_points(spark, sf_dir)).groupBy("wavelet", "id")
+    return rounded(got.agg(F.count("*").alias("n"), wav.energy("approx").alias("approx_energy"), wav.energy("detail").alias("detail_energy"), F.max(F.abs("detail")).alias("max_detail")))
 
 
 def _haar_levels() -> str:

@@ -64,10 +64,14 @@ def test_threshold_and_stopping_rules():
     t = sel.Thresholds()
     assert tr.adjusted(t, 20, 0, 5).pseudo_pos == pytest.approx(0.945) and tr.adjusted(t, 20, 0, 5).max_pseudo_pos == 101 and tr.adjusted(t, 19, 0, 0) == t
     assert tr.tightened(t).pseudo_pos == pytest.approx(0.96) and tr.tightened(t).max_pseudo_pos == 97
-    assert tr.must_roll_back(0.16, 0.1) and not tr.must_roll_back(0.15, 0.1) and tr.must_roll_back(0.1, 0.1, (0.99, 0.05)) and tr.must_roll_back(0.1, 0.1, None, (0.0, 0.95))
+    assert tr.must_roll_back(0.61, 0.1) and not tr.must_roll_back(0.6, 0.1) and tr.must_roll_back(0.1, 0.1, (0.99, 0.05)) and tr.must_roll_back(0.1, 0.1, None, (0.0, 0.95)) and not tr.must_roll_back(0.1, 0.1, (0.05, 0.99), (0.95, 0.0))
+    assert tr.model_score(0.1) == 0.1 and tr.model_score(0.1, tr.tracked_error(0.8, 0.4)) == pytest.approx(0.1 * 0.99 + 0.3 * 0.01)
+    assert tr.tracked_error(None, None) is None and tr.tracked_error(0.8, None) == pytest.approx(0.2) and tr.tracked_error(None, 0.4) == 0.4
+    assert tr.succeeded(1.0, 1.0, 999.0, 50) and not any(tr.succeeded(*x) for x in ((0.99, 1.0, 999.0, 50), (1.0, 0.99, 999.0, 50), (1.0, 1.0, 998.0, 50), (1.0, 1.0, 999.0, 49)))
+    assert tr.stop_reason([{"recall": 0.5, "ice": 0.3, "pseudo_pos_added": 1}] * 12, 0, rollbacks=list(range(3, 14))) == "UNSTABLE"
     flat = [{"recall": 0.9, "ice": 0.05, "pseudo_pos_added": 0}] * 20
     assert tr.stop_reason(flat, 0) == "PLATEAU" and tr.stop_reason(flat[:19], 0) is None and tr.stop_reason([], 30) == "TIME_LIMIT" and tr.stop_reason(flat[:3], 0, max_iterations=3) == "MAX_ITERATIONS" and tr.stop_reason(flat, 0, target_ice=0.06) == "ICE"
-    assert sel.pseudo_weight(1, 3) == pytest.approx(0.35) and sel.pseudo_weight(0, 9) == 1 and sel.class_weight(1, 100) == {0: 1.0, 1: 5.0} and sel.class_weight(10, 100) is None
+    assert sel.pseudo_weight(1, 3) == pytest.approx(0.35) and sel.pseudo_weight(0, 9) == 1 and sel.class_weight(1, 100) == {0: 1.0, 1: 100.0} and sel.class_weight(10, 100) is None
 
 
 def test_warm_up_and_features(spark):
@@ -105,3 +109,25 @@ def test_ranks_equal_a_global_sort(spark):
         ranks = {r.row_index: r["__rank"] for r in got if r.g == g}
         assert [ranks[i] for _, i in own] == list(range(1, 1001)) and {r["__n"] for r in got} == {1000}
     assert sel.sample(df, 5, 1, per="g").groupBy("g").count().where("count = 5").count() == 3
+
+
+def test_places_equal_a_global_sort_whatever_the_spread(spark):
+    from driftcurve.operators.ordering import placed
+
+    for p in ("0.0", "CASE WHEN id % 50 = 0 THEN rand(3) ELSE 0.0001 END", "rand(4)", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 5 END"):
+        df = spark.range(3000).selectExpr("id AS row_index", f"CAST({p} AS DOUBLE) AS p").cache()
+        got = placed(df, "p", "row_index").collect()
+        want = sorted(df.collect(), key=lambda r: (r.p is None, -(r.p or 0), r.row_index))
+        assert {r.row_index: r.place for r in got} == {r.row_index: i + 1 for i, r in enumerate(want)}
+
+
+def test_medians_without_a_columns_values_in_one_place(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(float(a), float(int(b * 3)), None if i % 3 else float(c), None) for i, (a, b, c) in enumerate(rng.normal(size=(5001, 3)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {r.feature: r["median"] for r in ranking.exact_medians(df, ["a", "b", "c", "d"], 50).collect()}
+    assert got == {x: pytest.approx(np.median([r[i] for r in rows if r[i] is not None])) for i, x in enumerate("abc")}
+    even = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (8.0,)], "a double")
+    assert ranking.exact_medians(even, ["a"]).first()["median"] == 3.0
