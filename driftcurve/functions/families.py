@@ -102,6 +102,10 @@ def nearest_quantile(name: str, q: float) -> Column:
     return element(name, F.floor((F.size(SORTED + name) - 1) * q + 0.5))
 
 
+#: What main_stats computes of a column; entropy only where it is asked for.
+MAIN = ("mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis", "first", "last", "arg_min", "arg_max", "n_unique", "trend_changes", "entropy")
+
+
 def main_stats(x: str, name: str | None = None, entropy: bool = True) -> Family:
     """The basic statistics of a column; null values (a step before the first point) are no part of the series.
 

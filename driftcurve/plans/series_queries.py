@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftcurve.functions import families as fam
-from driftcurve.functions.filters import WAVELETS, high_pass, low_pass
+from driftcurve.functions.filters import WAVELETS, high_pass, low_pass, usable_levels
 from driftcurve.operators import sequences as seq, series as ser, wavelets as wav
 from driftcurve.plans import sql
 from driftcurve.plans.sql import CURVES, SERIES, r6
@@ -269,6 +271,71 @@ def dwt_haar_energy_levels(spark, sf_dir):
     return rounded(got.select("id", F.inline(F.array(*(level(i) for i in range(1, 6))))))
 
 
+#: Points of the signals in `embeddings`.
+SIGNAL_POINTS = 64
+
+
+def _chain(w: str) -> tuple[list[str], int]:
+    """Chained levels of one filter as CTEs: c_w_1, c_w_2 ... and how many there are."""
+    n = max(1, min(5, usable_levels(SIGNAL_POINTS, w)))
+    return [f"c_{w}_{k} AS ({_level_sql(w, 'signal' if k == 1 else f'c_{w}_{k - 1}')})" for k in range(1, n + 1)], n
+
+
+def _globals_sql() -> str:
+    """The six global statistics of each filter's decomposition."""
+    ctes, outs = [_SIGNAL], []
+    for w in WAVELETS:
+        own, n = _chain(w)
+        ctes += own
+        levels = " UNION ALL ".join(f"SELECT id, {n + 1 - k} AS level, detail AS d FROM c_{w}_{k}" for k in range(1, n + 1))
+        ctes.append(f"e_{w} AS (SELECT id, level, sum(d * d) AS energy, max(abs(d)) AS top FROM ({levels}) GROUP BY id, level)")
+        ctes.append(f"a_{w} AS (SELECT id, sum(x * x) AS rough FROM c_{w}_{n} GROUP BY id)")
+        ctes.append(f"t_{w} AS (SELECT id, any_value(rough) AS rough, sum(energy) AS detail, max(top) AS top, arg_max(level, (energy, -level)) AS dominant, max(energy) AS most FROM e_{w} JOIN a_{w} USING (id) GROUP BY id)")
+        ctes.append(f"p_{w} AS (SELECT id, energy / (rough + detail + 1e-10) AS p FROM e_{w} JOIN t_{w} USING (id))")
+        ctes.append(f"h_{w} AS (SELECT id, -sum(CASE WHEN p > 1e-10 THEN p * ln(p + 1e-10) ELSE 0 END) AS entropy FROM p_{w} GROUP BY id)")
+        outs.append(
+            f"SELECT '{w}' AS wavelet, id, {r6('rough + detail', 'total_energy')}, {r6('detail / (rough + detail + 1e-10)', 'detail_ratio')}, {r6('top', 'max_detail')}, {r6('entropy', 'entropy')}, "
+            f"{r6('detail / (rough + 1e-10)', 'detail_approx_ratio')}, CAST(CASE WHEN most > 0 THEN dominant ELSE 0 END AS DOUBLE) AS dominant_level FROM t_{w} JOIN h_{w} USING (id)"
+        )
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(outs)
+
+
+@query("dwt_globals", _globals_sql())
+def dwt_globals(spark, sf_dir):
+    """The global statistics of all filters by the kernel, against chained joins in SQL."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    got = wav.wavelet_features(rows, "embedding", None, WAVELETS, 5, "")
+    one = lambda w: F.struct(F.lit(w).alias("wavelet"), *(F.col(f"wv_{w}_{k}").alias(k) for k in wav.GLOBALS))
+    out = rounded(got.select("id", F.inline(F.array(*map(one, WAVELETS)))))
+    return out.withColumn("dominant_level", F.round("dominant_level", 0))
+
+
+def _moments_sql() -> str:
+    """Relative energy, skewness and kurtosis of each level of each filter."""
+    ctes, outs = [_SIGNAL], []
+    for w in WAVELETS:
+        own, n = _chain(w)
+        ctes += own
+        levels = " UNION ALL ".join(f"SELECT id, {n + 1 - k} AS level, detail AS d FROM c_{w}_{k}" for k in range(1, n + 1))
+        ctes.append(f"d_{w} AS (SELECT *, d - avg(d) OVER (PARTITION BY id, level) AS e FROM ({levels}))")
+        ctes.append(f"s_{w} AS (SELECT id, level, sum(d * d) AS energy, avg(e * e) AS v, avg(e * e * e) AS e3, avg(e * e * e * e) AS e4, count(*) AS n FROM d_{w} GROUP BY id, level)")
+        ctes.append(f"z_{w} AS (SELECT id, sum(energy) AS detail FROM s_{w} GROUP BY id)")
+        ctes.append(f"r_{w} AS (SELECT id, sum(x * x) AS rough FROM c_{w}_{n} GROUP BY id)")
+        skew = "CASE WHEN n > 1 AND sqrt(v) > 1e-10 THEN e3 / pow(sqrt(v), 3) ELSE 0 END"
+        outs.append(f"SELECT '{w}' AS wavelet, id, level, {r6('energy / (detail + rough + 1e-10)', 'rel_energy')}, {r6(skew, 'skewness')}, {r6('CASE WHEN n > 1 AND v > 1e-10 THEN e4 / (v * v) - 3 ELSE 0 END', 'kurtosis')} FROM s_{w} JOIN z_{w} USING (id) JOIN r_{w} USING (id)")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(outs)
+
+
+@query("dwt_moments", _moments_sql())
+def dwt_moments(spark, sf_dir):
+    """Each level's relative energy and moments, all filters, by the kernel."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    got = wav.wavelet_features(rows, "embedding", None, WAVELETS, 5, "")
+    level = lambda w, i: F.struct(F.lit(w).alias("wavelet"), F.lit(i).alias("level"), *(F.col(f"wv_{w}_d{i}_{k}").alias(k) for k in ("rel_energy", "skewness", "kurtosis")))
+    all_levels = [level(w, i) for w in WAVELETS for i in range(1, _chain(w)[1] + 1)]
+    return rounded(got.select("id", F.inline(F.array(*all_levels))))
+
+
 @query("wavelet_features_all")
 def wavelet_features_all(spark, sf_dir):
     """All wavelets on the resampled normalised series: 270 columns at six levels."""
@@ -283,6 +350,21 @@ def extract_all_features(spark, sf_dir):
     return extract_all(curves(spark, sf_dir))
 
 
+def _group_of_all(name: str, twin: str, like: str) -> None:
+    """A group of columns of the whole feature table against its twin: cleaning and wavelets are off, which have twins of their own."""
+
+    @query(name, twin)
+    def run(spark, sf_dir):
+        from driftcurve.operators.features import extract_all
+
+        got = extract_all(curves(spark, sf_dir), od_k=0, wavelets=(), float32=False)
+        return rounded(got.select("id", *(c for c in got.columns if re.fullmatch(like, c))))
+
+
+for _x in ("mag", "magerr", "norm", "velocity", "mjd_diff"):
+    _group_of_all(f"all_features_{_x}", sql.main_stats(_x, _x != "norm"), f"{_x}_({'|'.join(fam.MAIN)})")
+
+
 @query("series_corr", f"WITH {SERIES} SELECT id, {r6('corr(mag, norm)', 'corr_mag_norm')}, {r6('corr(mag, mjd)', 'corr_mag_mjd')} FROM series GROUP BY id")
 def series_corr(spark, sf_dir):
     return rounded(ser.with_norm(curves(spark, sf_dir)).groupBy("id").agg(F.corr("mag", "norm").alias("corr_mag_norm"), F.corr("mag", "mjd").alias("corr_mag_mjd")))

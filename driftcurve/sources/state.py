@@ -9,8 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where it is unset, in local mode only: a cluster's machines do not share their own folders."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"file://{tempfile.mkdtemp(prefix='driftcurve-')}"
+    return root.rstrip("/")
+
+
 class Store:
-    """Named Parquet tables under the session's checkpoint folder; a temporary one where none is set, as in tests.
+    """Named Parquet tables under the session's shared folder.
 
     A table written under a name twice gets a new place each time, so that plans which read the old one
     stay valid. All goes when the Python process ends.
@@ -18,8 +29,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='driftcurve-')}"
-        self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
