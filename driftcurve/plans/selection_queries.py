@@ -256,20 +256,28 @@ def random_split(spark, sf_dir):
     return splits.random_split(preds(spark, sf_dir).select("row_index"), 0.1, 0.4, 5).groupBy("role").agg(F.count("*").alias("n"), F.sum("row_index").alias("total"))
 
 
-@query("gather_positional", "WITH i AS (SELECT (k * 37) % 120 AS place_id, k AS place FROM range(300) t(k)) SELECT place, e.event_id AS row_index, e.user_id, round(e.value + 3e-10, 6) AS value FROM i JOIN events e ON e.event_id = i.place_id * 9")
+@query(
+    "gather_positional",
+    "SELECT o_orderkey AS place, e.event_id AS row_index, e.user_id, round(e.value + 3e-10, 6) AS value FROM orders JOIN events e ON e.event_id = o_custkey",
+)
 def gather_positional(spark, sf_dir):
-    wanted = spark.range(300).select(F.col("id").alias("place"), ((F.col("id") * 37) % 120 * 9).alias("index"))
+    """A place for each order: its customer's number picks the event."""
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("index"))
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_index"), "user_id", "value")
     return rounded(sel.gather(rows, wanted))
 
 
 @query(
     "gather_two_sources",
-    "WITH i AS (SELECT k AS place, k % 2 = 1 AS from_known, (k * 53) % 1000 AS idx FROM range(400) t(k)) SELECT place, from_known, idx AS row_index, e.event_type AS kind, NULL AS lang FROM i JOIN events e ON NOT from_known AND e.event_id = idx UNION ALL SELECT place, from_known, idx, NULL, d.lang FROM i JOIN documents d ON from_known AND d.doc_id = idx",
+    "WITH i AS (SELECT l_orderkey * 8 + l_linenumber AS place, l_linenumber % 2 = 1 AS from_known, CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey ELSE l_partkey END AS idx FROM lineitem) "
+    "SELECT place, from_known, idx AS row_index, e.event_type AS kind, NULL AS lang FROM i JOIN events e ON NOT from_known AND e.event_id = idx "
+    "UNION ALL SELECT place, from_known, idx, NULL, d.lang FROM i JOIN documents d ON from_known AND d.doc_id = idx",
 )
 def gather_two_sources(spark, sf_dir):
-    k = F.col("id")
-    wanted = spark.range(400).select(k.alias("place"), (k % 2 == 1).alias("from_known"), ((k * 53) % 1000).alias("index"))
+    """A place for each order line: odd ones pick a document by their supplier, even ones an event by their part."""
+    odd = F.col("l_linenumber") % 2 == 1
+    lines = table(spark, sf_dir, "lineitem")
+    wanted = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), odd.alias("from_known"), F.when(odd, F.col("l_suppkey")).otherwise(F.col("l_partkey")).alias("index"))
     pool = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_index"), F.col("event_type").alias("kind"))
     known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"), "lang")
     return sel.gather_two(pool, known, wanted).select("place", "from_known", "row_index", "kind", "lang")
