@@ -31,7 +31,7 @@ def test_defaults_match_the_documented_ones():
 def test_pseudo_labels_tracked_rows_and_members(spark, rows):
     low = rows[0].where("row_index % 20 <> 0").agg(F.min_by("row_index", "a")).first()[0]
     high = rows[0].where("row_index % 20 = 0").agg(F.max_by("row_index", "a")).first()[0]
-    run = loop.SelfTraining(spark, *rows, ["a", "b"], replace(SMALL, members=2, tracked_positive=high, tracked_negative=low))
+    run = loop.SelfTraining(spark, *rows, ["a", "b"], replace(SMALL, members=2, tracked_positive=high, tracked_negative=low, thresholds=sel.Thresholds(pseudo_neg=0.45, neg_consensus_low=0.45)))
     result = run.run()
     h = history(result)
     assert result["reason"] == "MAX_ITERATIONS" and len(h) == 2
