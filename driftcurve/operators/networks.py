@@ -6,6 +6,7 @@ of points, each an array of numbers), feature columns, a label and perhaps a wei
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftcurve.operators.ordering import hashed
 from driftcurve.session import with_code
+from driftcurve.sources import tables
 
 MODES = ("sequence_only", "features_only", "hybrid")
 CELLS = ("rnn", "gru", "lstm", "transformer")
@@ -384,6 +386,21 @@ def predict(model: SequenceModel, df: DataFrame, key: str = "row_index") -> Data
     return with_code(own).mapInArrow(run, f"{key} {dict(own.dtypes)[key]}, p double")
 
 
+def predict_cached(model: SequenceModel, df: DataFrame, folder: str, key: str = "row_index") -> DataFrame:
+    """As predict, kept under a name that follows from the model and from what it is shown, and read again for the same ones.
+
+    What the rows hold is told by their number and the sum of their hashes, one aggregate over the columns that the
+    model sees; a table without the marker that the committer writes last is made again.
+    """
+    seen = [key, *(["sequence"] if "sequence" in df.columns else []), *model.settings.columns]
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*seen).cast("decimal(38,0)")).alias("h")).first()
+    tag = hashlib.sha256(f"{model.to_json()}|{key}|{r['n']}|{r['h']}".encode()).hexdigest()[:16]
+    path = f"{folder}/predictions_{tag}.parquet"
+    if not tables.exists(df.sparkSession, f"{path}/_SUCCESS"):
+        tables.write(predict(model, df, key), path)
+    return df.sparkSession.read.parquet(path)
+
+
 def save(spark: SparkSession, model: SequenceModel, path: str) -> None:
     spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -57,6 +57,21 @@ def test_tables(spark, tmp_path):
     assert all(again[r.row_index] == pytest.approx(r.p, abs=1e-9) for r in got)
 
 
+def test_predictions_are_kept_for_the_same_model_and_rows(spark, tmp_path, monkeypatch):
+    seqs, feats, y = data(20)
+    df = spark.createDataFrame([(i, s.tolist(), *map(float, f), int(k)) for i, (s, f, k) in enumerate(zip(seqs, feats, y, strict=True))], "row_index int, sequence array<array<double>>, a double, b double, c double, class int")
+    m = N.train(df, N.Settings(hidden=4, columns=("a", "b", "c"), epochs=1))
+    calls, real = [], N.predict
+    monkeypatch.setattr(N, "predict", lambda *a: calls.append(1) or real(*a))
+    first = sorted(map(tuple, N.predict_cached(m, df, str(tmp_path)).collect()))
+    assert sorted(map(tuple, N.predict_cached(m, df.repartition(5), str(tmp_path)).collect())) == first and len(calls) == 1
+    assert N.predict_cached(m, df.where("row_index < 9"), str(tmp_path)).count() == 9 and len(calls) == 2
+    other = N.SequenceModel.from_json(m.to_json())
+    other.weights[next(iter(other.weights))] += 0.5
+    N.predict_cached(other, df, str(tmp_path))
+    assert len(calls) == 3
+
+
 @pytest.mark.parametrize("wrong", [{"mode": "other"}, {"cell": "cnn"}, {"mode": "hybrid", "columns": ()}, {"hidden": 5, "columns": ("a",)}])
 def test_settings_are_checked(wrong):
     with pytest.raises(ValueError):
