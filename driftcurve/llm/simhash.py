@@ -27,8 +27,10 @@ LEAF = 512
 SPLIT, OVERLAP = 0.85, 1.5
 #: Rows and their neighbours that one task looks up at a time.
 LOOK_UP = 1 << 20
-#: Candidate hubs of a group that is too large for one task.
-HUBS = 8
+#: Candidate hubs of a group whose sets are too many for one task, which are more than VERIFY_ROWS.
+HUBS, VERIFY_ROWS = 8, 512
+#: Bytes that are kept of a shingle's hash where sets are compared: two shingles of a pair of n are taken for one another with a chance of n^2 / 2^40.
+SET_BYTES = 5
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -88,8 +90,20 @@ def fingerprints(docs: DataFrame, words: int, n_words: int = 1) -> DataFrame:
     return with_code(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
+def packed_set(h: np.ndarray) -> bytes:
+    """The last SET_BYTES bytes of sorted distinct hashes."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def unpacked_set(shingles: bytes) -> np.ndarray:
+    """The distinct numbers of a packed set, sorted."""
+    own = np.zeros((len(shingles) // SET_BYTES, 8), np.uint8)
+    own[:, :SET_BYTES] = np.frombuffer(shingles, np.uint8).reshape(-1, SET_BYTES)
+    return np.unique(own.view("<u8")[:, 0])
+
+
 def shingled(docs: DataFrame, words: int, n_words: int) -> DataFrame:
-    """As fingerprints, with `same`, a hash of the set of shingles, and `shingles`, their sorted distinct hashes in bytes."""
+    """As fingerprints, with `same`, a hash of the set of shingles, and `shingles`, the set in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,8 +111,9 @@ def shingled(docs: DataFrame, words: int, n_words: int) -> DataFrame:
             for i in range(b.num_rows):
                 h = shingle_hashes(b.column(1)[i].as_py(), words)
                 fps[i] = fingerprint(h, n_words)
-                sets.append(np.unique(h).tobytes())
-                same.append(xxhash.xxh64_intdigest(sets[-1], SEED))
+                distinct = np.unique(h)
+                sets.append(packed_set(distinct))
+                same.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
             made = [*(pa.array(fps[:, k].copy().view(np.int64)) for k in range(n_words)), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(sets, pa.large_binary()).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["doc_id", *word_names(n_words), "same", "shingles"])
 
@@ -504,7 +519,43 @@ def similar(a: frozenset[int], b: frozenset[int], similarity: float) -> bool:
 
 
 def set_of(shingles: bytes) -> frozenset[int]:
-    return frozenset(np.frombuffer(shingles, np.uint64).tolist())
+    return frozenset(unpacked_set(shingles).tolist())
+
+
+def join_similar(sets: list[np.ndarray], joined: np.ndarray, similarity: float, forest: Forest) -> None:
+    """Join all pairs of sets (sorted distinct hashes) whose Jaccard similarity is `similarity` or more; pairs of rows in `joined`, which are connected, are not compared.
+
+    Each hash has a list of the rows that hold it, and a row's common hashes with all earlier ones are counted from
+    the lists of its own: the work follows what sets share, not the number of pairs. Rows in `joined` come last
+    and are entered in no list.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+    _, token = np.unique(flat, return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    free = np.flatnonzero(~joined)
+    number = np.full(len(sets), -1)
+    number[free] = np.arange(len(free))
+    row = np.repeat(number, size)
+    held = row >= 0
+    order = np.argsort(token[held], kind="stable")
+    lists, of = row[held][order], token[held][order]
+    start = np.searchsorted(of, np.arange(token.max() + 2 if len(token) else 1))  # rows in a list rise, so earlier ones are its first part
+    filled = start[:-1].copy()
+    empty = np.flatnonzero(size == 0)
+    for i in empty[1:].tolist():
+        forest.join(int(empty[0]), i)
+    for i in [*free.tolist(), *np.flatnonzero(joined).tolist()]:
+        own = token[ends[i] : ends[i + 1]]
+        spans = [lists[a:b] for a, b in zip(start[own].tolist(), filled[own].tolist(), strict=True) if b > a]
+        if spans:
+            both = np.bincount(np.concatenate(spans), minlength=len(free))
+            other = free[np.flatnonzero(both >= similarity * (size[i] + size[free] - both))]
+            if size[i] and len(other):
+                for j in np.unique(forest.roots(other[size[other] > 0])).tolist():
+                    forest.join(i, j)
+        if number[i] >= 0:
+            filled[own] += 1
 
 
 def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -514,7 +565,7 @@ def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> Data
     few, the one with most of them) are linked to it and need no comparison with one another. They are dealt
     over near groups, the others over far groups; a task compares a near group with a far one, or two far ones.
     """
-    sizes = sets.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
+    sizes = sets.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > VERIFY_ROWS)
     sizes = scratch.table(sizes, "large")
     slot = F.pmod(F.xxhash64("rep"), F.lit(HUBS)).cast("int")
     large = sets.join(sizes, F.col("label") == F.col("of"))
@@ -539,19 +590,21 @@ def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> Data
     best = counts.groupBy(F.col("label").alias("of")).agg(F.max_by("i", F.struct("n", "i")).alias("best"))
     best = best.join(sizes, "of").join(hubs.select(F.col("of"), F.col("hubs.rep").alias("reps")), "of").select("of", "best", F.col("reps")[F.col("best")].alias("hub"))
     held = told.join(best, F.col("label") == F.col("of")).groupBy(F.col("of").alias("hof")).agg(F.sum(F.col("near")[F.col("best")].cast("int")).alias("n"), F.count("*").alias("all"))
-    groups = lambda n: F.greatest(F.ceil(n / SHARD_ROWS), F.lit(1)).cast("int")
+    groups = lambda n: F.greatest(F.ceil(n / VERIFY_ROWS), F.lit(1)).cast("int")
     best = best.join(held, F.col("of") == F.col("hof")).select("of", "best", "hub", groups(F.col("n")).alias("nears"), groups(F.col("all") - F.col("n")).alias("fars"))
     marks = told.join(best, F.col("label") == F.col("of")).select(F.col("rep").alias("mrep"), F.col("same").alias("msame"), F.col("near")[F.col("best")].alias("near"), "nears", "fars", "hub")
     marks = scratch.table(marks.distinct(), "marks")
-    joined = sets.join(marks, (F.col("rep") == F.col("mrep")) & (F.col("same") == F.col("msame")), "left")
+    joined = large.drop("of", "n").join(marks, (F.col("rep") == F.col("mrep")) & (F.col("same") == F.col("msame")))
     own = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), F.col(n)).cast("int")
     fars, far = F.col("fars"), own("fars")
     of_near = F.transform(F.sequence(F.lit(0), fars - 1), lambda j: own("nears") * fars + j)
     of_far = F.transform(F.sequence(F.lit(0), F.col("nears") - 1), lambda i: i * fars + far)
     others = F.filter(F.sequence(F.lit(0), fars - 1), lambda k: k != far)
     of_far = F.concat(of_far, F.transform(others, lambda k: F.col("nears") * fars + F.least(k, far) * fars + F.greatest(k, far)))
-    blocks = F.when(fars.isNull(), F.array(F.lit(0))).when(F.col("near"), of_near).otherwise(of_far)
+    blocks = F.when(F.col("near"), of_near).otherwise(of_far)
     dealt = joined.select("label", "rep", "shingles", F.when(F.col("near"), F.col("hub")).alias("hub"), F.explode(blocks).alias("block"))
+    others = sets.join(sizes, F.col("label") == F.col("of"), "left_anti").select("label", "rep", "shingles", F.lit(None).cast("bigint").alias("hub"), F.lit(0).alias("block"))
+    dealt = others.unionByName(dealt)
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
@@ -561,11 +614,7 @@ def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> Data
         linked = [i for i, h in enumerate(hub) if h is not None]
         for i in linked[1:]:
             forest.join(linked[0], i)
-        sets_of = [set_of(x) for x in t["shingles"].to_pylist()]
-        for i in range(len(rep)):
-            for j in range(i + 1, len(rep)):
-                if forest.root(i) != forest.root(j) and similar(sets_of[i], sets_of[j], similarity):
-                    forest.join(i, j)
+        join_similar([unpacked_set(x) for x in t["shingles"].to_pylist()], np.array([h is not None for h in hub]), similarity, forest)
         out = stars(rep, forest)
         if linked:
             out = pa.concat_tables([out, pa.table({"src": pa.array([int(rep[linked[0]])], pa.int64()), "dst": pa.array([hub[linked[0]]], pa.int64())})])

@@ -136,13 +136,13 @@ def test_wide_fingerprints_link_by_exact_similarity(spark, monkeypatch):
 
 
 def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(S, "SHARD_ROWS", 16)
+    monkeypatch.setattr(S, "VERIFY_ROWS", 16)
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(5000)]
     base = list(rng.choice(words, 254))
     texts = [edited(rng, base, 2, words) for _ in range(60)] + [edited(rng, base, 9, words) for _ in range(6)]
     sets = [frozenset(S.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
-    rows = [(0, i, i, bytes(np.array(sorted(s), np.uint64).tobytes())) for i, s in enumerate(sets)]
+    rows = [(0, i, i, S.packed_set(np.array(sorted(s), np.uint64))) for i, s in enumerate(sets)]
     scratch = Scratch(spark, "t")
     links = S.verified_links(spark.createDataFrame(rows, "label bigint, rep bigint, same bigint, shingles binary"), 0.8, scratch).collect()
     forest, want = S.Forest(66), S.Forest(66)
@@ -226,3 +226,32 @@ def test_one_of_each_keeps_a_defined_row(spark):
         assert got.columns == docs.columns
         assert sorted(((r.doc_id or 0), r.text) for r in got.collect()) == sorted([(5, want), (0, "alone here"), (7, rows[6][1]), (8, "")])
     assert S.one_of_each(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("hub", [False, True])
+def test_similar_sets_are_those_of_all_pairs(hub):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, (6, 60))
+    sets = [np.unique(np.concatenate([base[int(rng.integers(6))][: int(rng.integers(30, 61))], rng.integers(0, 2**63, int(rng.integers(0, 12)))])).astype(np.uint64) for _ in range(150)]
+    sets += [np.empty(0, np.uint64)] * 3 + [sets[0], sets[1]]
+    joined = np.zeros(len(sets), bool)
+    forest, want = S.Forest(len(sets)), S.Forest(len(sets))
+    if hub:
+        joined[[i for i in range(len(sets)) if len(sets[i]) and S.similar(frozenset(sets[i].tolist()), frozenset(sets[5].tolist()), 0.8)]] = True
+        for f in (forest, want):
+            for i in np.flatnonzero(joined)[1:].tolist():
+                f.join(int(np.flatnonzero(joined)[0]), i)
+    S.join_similar(sets, joined, 0.8, forest)
+    for i in range(len(sets)):
+        for j in range(i):
+            if S.similar(frozenset(sets[i].tolist()), frozenset(sets[j].tolist()), 0.8):
+                want.join(i, j)
+    assert [forest.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+    S.join_similar([], np.empty(0, bool), 0.8, S.Forest(0))
+
+
+def test_sets_in_bytes():
+    rng = np.random.default_rng(12)
+    h = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    assert S.unpacked_set(S.packed_set(h)).tolist() == sorted({int(x) & (1 << 8 * S.SET_BYTES) - 1 for x in h})
+    assert len(S.packed_set(h)) == 500 * S.SET_BYTES and len(S.unpacked_set(S.packed_set(h[:0]))) == 0
