@@ -443,12 +443,13 @@ def templates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """
     text = F.instr("path", "\n") > 0
     stats = token_statistics(parsed)
-    stats = scratch.table(stats.select("host", "layout", "path", "pages", "times", "chars", "linked", "place", *(F.when(~text, F.col(c)).alias(c) for c in ("low", "high"))), "tokens")
+    stats = scratch.table(stats.select("host", "layout", "path", "pages", "times", "chars", "linked", "place", *(F.when(~text, F.col(c)).alias(c) for c in ("low", "high"))), "tokens", compression="zstd")
     sizes = stats.where("path = ''").select(F.col("host").alias("th"), F.col("layout").alias("tl"), F.col("pages").alias("total"))
     sizes = scratch.table(sizes, "layouts")
     small = F.col("total") < MIN_PAGES
     rest = stats.join(sizes.where(small), (F.col("host") == F.col("th")) & (F.col("layout") == F.col("tl"))).withColumn("layout", F.lit("")).select(stats.columns)
-    ready = scratch.table(stats.where(F.col("pages") >= MIN_PAGES).unionByName(added(rest).where(F.col("pages") >= MIN_PAGES)), "ready")
+    ready = scratch.table(stats.where(F.col("pages") >= MIN_PAGES).unionByName(added(rest).where(F.col("pages") >= MIN_PAGES)), "ready", compression="zstd")
+    scratch.drop("tokens")
     elements = ready.where(~text)
     of = elements.select(F.col("host").alias("eh"), F.col("layout").alias("el"), F.col("path").alias("ep"), F.col("pages").alias("epages"))
     texts = ready.where(text).join(of, (F.col("host") == F.col("eh")) & (F.col("layout") == F.col("el")) & (F.substring_index("path", "\n", 1) == F.col("ep")))
@@ -460,6 +461,7 @@ def templates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
 
     found = elements.unionByName(texts).groupBy("host", "layout").applyInArrow(run, "host string, layout string, template string")
     found = scratch.table(found, "deduced")
+    scratch.drop("ready")
     main = sizes.where(~small).groupBy("th").agg(F.max_by("tl", F.struct("total", "tl")).alias("main"))
     rests = found.where("layout = ''").select(F.col("host").alias("rh"), F.lit("").alias("rl"))
     of_small = sizes.where(small).join(rests, F.col("th") == F.col("rh"), "left").join(main.withColumnRenamed("th", "mh"), F.col("th") == F.col("mh"), "left").select("th", "tl", F.coalesce("rl", "main").alias("use"))
@@ -558,6 +560,8 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     own = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.xxhash64(F.col("page_id").cast("string"), "url").alias("key"), F.col("html").cast("string").alias("html"))
     parsed = scratch.table(parsed_pages(own), "parsed", compression="zstd")
     known = scratch.table(templates(parsed, scratch), "templates")
+    for used in ("deduced", "layouts"):
+        scratch.drop(used)
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
