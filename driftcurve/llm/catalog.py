@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftcurve.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, pieces, pii, quality, simhash, warc
+from driftcurve.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, pieces, pii, quality, simhash, topk_search, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+        "op12_exact_top_k": topk_search.op12_exact_top_k,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op9_embedding_near_dedup": embedding_dedup.OP9_SQL,
+        "op12_exact_top_k": topk_search.OP12_SQL,
     }

@@ -91,7 +91,7 @@ def test_rows_that_repeat_an_id_share_a_component(spark):
 
 def test_query_recall_on_whole_tables(spark):
     """All of a larger table against brute force in blocks; no pair below the threshold, recall of links and components."""
-    sf = "/root/testdata/check_s"
+    sf = "/root/testdata/sf0.1"
     got = E.op9_embedding_near_dedup(spark, sf).toPandas().sort_values("vec_id", ignore_index=True)
     own = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id", ignore_index=True)
     fine = own.embedding.map(lambda v: v is not None and len(v) > 0 and bool(np.isfinite(np.array(v, float)).all()) and bool(np.any(v)))
