@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftcurve.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, pieces, pii, quality, simhash, topk_search, variants, warc
+from driftcurve.llm import embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, pieces, pii, quality, repair, simhash, topk_search, variants, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+        "op11_conversation_repair": repair.op11_conversation_repair,
         "op12_exact_top_k": topk_search.op12_exact_top_k,
         "op13_spelling_variants": variants.op13_spelling_variants,
     }
