@@ -120,11 +120,22 @@ class SelfTraining:
     def active_columns(self) -> list[str]:
         return lab.warm_up(self.columns, self.successful, self.config.warm_up) if self.config.warm_up else self.columns
 
+    def class_weights(self, sums: dict[int, float]) -> dict[int, float] | None:
+        return sel.class_weight(sums.get(1, 0.0), sums.get(0, 0.0), self.t) if self.config.use_weights else None
+
     def fit(self, samples: DataFrame, seed: int):
         c = self.config
         sums = {r["label"]: r["w"] for r in samples.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
-        by_class = sel.class_weight(sums.get(1, 0.0), sums.get(0, 0.0), self.t) if c.use_weights else None
-        return tr.train(self.features(samples), self.active_columns(), "label", "weight" if c.use_weights else None, by_class, c.booster, seed)
+        return tr.train(self.features(samples), self.active_columns(), "label", "weight" if c.use_weights else None, self.class_weights(sums), c.booster, seed)
+
+    def fit_members(self, samples: DataFrame, drawn: list[int]) -> list:
+        """Models on resamples, all grown in the same passes over the samples' features."""
+        c = self.config
+        if not drawn:
+            return []
+        sums = samples.groupBy("label").agg(*(F.sum(F.col("weight") * tr.times_drawn(s)).alias(str(k)) for k, s in enumerate(drawn))).collect()
+        by_class = [self.class_weights({r["label"]: r[str(k)] for r in sums}) for k in range(len(drawn))]
+        return tr.train_members(self.features(samples), self.active_columns(), drawn, [c.seed + m for m in range(len(drawn))], "label", "weight" if c.use_weights else None, by_class, c.booster)
 
     def evaluate(self, model, role: str) -> dict[str, float]:
         rows = self.features(self.roles.where(F.col("role") == role))
@@ -143,18 +154,15 @@ class SelfTraining:
         return p.get(self.config.tracked_positive), p.get(self.config.tracked_negative)
 
     def predictions(self, model, members: list) -> DataFrame:
-        """The pool's probabilities. Members score one after another within a task; the pool is read once."""
-        scored = tr.predict(model, self.pool.select("row_index", *self.columns))
-        for k, m in enumerate(members):
-            scored = tr.predict(m, scored, f"__p{k}")
+        """The pool's probabilities by the model and its members, from one pass."""
+        names = ["p", *(f"__p{k}" for k in range(len(members)))]
+        scored = tr.predict_members([model, *members], self.pool.select("row_index", *self.columns), names)
         boot = F.array(*(F.col(f"__p{k}") for k in range(len(members)))) if members else F.array().cast("array<double>")
         return scored.select("row_index", "p", boot.alias("p_boot"))
 
     def out_of_bag(self, members: list, samples: DataFrame, seeds: list[int]) -> dict[str, float]:
         """Scores of the labelled samples by the members that did not train on them, from one pass over their features."""
-        scored = self.features(samples)
-        for k, m in enumerate(members):
-            scored = tr.predict(m, scored, f"__p{k}")
+        scored = tr.predict_members(members, self.features(samples), [f"__p{k}" for k in range(len(members))])
         free = [F.when(tr.times_drawn(s) == 0, F.col(f"__p{k}")) for k, s in enumerate(seeds)]
         known = F.array_compact(F.array(*free))
         mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
@@ -228,7 +236,7 @@ class SelfTraining:
                 continue
             seeds = [c.seed + 1000 * k + m for m in range(c.members)]
             drawn_from = self.samples
-            members = [self.fit(tr.bootstrap(drawn_from, s), c.seed + m) for m, s in enumerate(seeds)]
+            members = self.fit_members(drawn_from, seeds)
             preds = self.store.table(self.predictions(self.model, members), f"preds-{k}")
             finish, asked, counts = False, {}, {}
             if self.ask:
@@ -301,8 +309,8 @@ class SelfTraining:
 
     def save(self, folder: str, result: dict) -> None:
         """Models (the best and the last), labelled samples, all probabilities (the likeliest first), metrics and settings under a folder."""
-        result["model"].write().overwrite().save(f"{folder}/model")
-        result["last_model"].write().overwrite().save(f"{folder}/last_model")
+        result["model"].save(self.spark, f"{folder}/model")
+        result["last_model"].save(self.spark, f"{folder}/last_model")
         result["samples"].write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/samples")
         result["predictions"].write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/probabilities")
         self.spark.createDataFrame(result["history"], HISTORY).coalesce(1).write.mode("overwrite").json(f"{folder}/history")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from driftcurve.operators import boosting
+from driftcurve.operators.boosting import Boosted, Booster, best_round
 from driftcurve.operators.ordering import hashed
 from driftcurve.operators.selection import Thresholds
 
+__all__ = ["Booster", "best_round"]
+
 
 def with_weights(df: DataFrame, label: str, weight: str | None = None, by_class: dict[int, float] | None = None) -> DataFrame:
     """Add `__w`: a sample's weight times its class's."""
@@ -44,66 +47,42 @@ def bootstrap(df: DataFrame, seed: int, key: str = "row_index") -> DataFrame:
     return df.withColumn("__times", times_drawn(seed, key)).where(F.col("__times") > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__nth")
 
 
-@dataclass(frozen=True)
-class Booster:
-    """What may be set of boosted trees: rounds, depth, learning rate, rows of a leaf, share of the rows a tree sees, the share of the
-    rows that validates, and the rounds without a better validation loss after which boosting stops."""
-
-    rounds: int = 100
-    depth: int = 6
-    rate: float = 0.1
-    leaf_rows: int = 1
-    subsample: float = 1.0
-    eval_fraction: float = 0.2
-    patience: int = 250
-
-
-def best_round(losses: list[float], patience: int) -> int:
-    """The round, from 1, with the least loss among those before `patience` rounds brought no better one."""
-    best = 0
-    for i, x in enumerate(losses):
-        if x < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def train(df: DataFrame, columns: list[str], label: str = "y", weight: str | None = None, by_class: dict[int, float] | None = None, booster: Booster = Booster(), seed: int = 42, key: str = "row_index") -> PipelineModel:
-    """Boosted trees with sample and class weights; a hashed share of the rows validates and decides on the number of trees.
-
-    The trees up to the best round are those that so many rounds alone give, so they are fitted again. (The
-    trainer's own validation column is not used: trees that it grows do not separate even separable rows.)
-    """
-    share = F.conv(F.substring(hashed(seed, key), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
-    rows = with_weights(df, label, weight, by_class).withColumn(label, F.col(label).cast("double")).withColumn("__eval", share < booster.eval_fraction)
-    assembler = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep")
-    rows = assembler.transform(rows).select("__x", label, "__w", "__eval").persist()
-    fit = lambda n: GBTClassifier(
-        featuresCol="__x", labelCol=label, weightCol="__w", maxIter=n, maxDepth=booster.depth, stepSize=booster.rate,
-        minInstancesPerNode=booster.leaf_rows, subsamplingRate=booster.subsample, seed=seed,
-    ).fit(own)
-    both = {(r["__eval"], r[label]) for r in rows.select("__eval", label).distinct().collect()}
-    validates = any(e for e, _ in both) and {y for e, y in both if not e} == {y for _, y in both}
-    own = rows.where(~F.col("__eval")) if validates else rows
-    model = fit(booster.rounds)
-    if validates:
-        best = best_round(model.evaluateEachIteration(rows.where("__eval")), booster.patience)
-        model = fit(best) if best < booster.rounds else model
-    rows.unpersist()
-    return PipelineModel(stages=[assembler, model])
-
-
-def predict(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
+def hashed_share(seed: int, key: str) -> Column:
+    """A number in [0, 1) for each row, by its hash."""
+    return F.conv(F.substring(hashed(seed, key), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
+
+
+def train(df: DataFrame, columns: list[str], label: str = "y", weight: str | None = None, by_class: dict[int, float] | None = None, booster: Booster = Booster(), seed: int = 42, key: str = "row_index") -> Boosted:
+    """Boosted trees with sample and class weights; a hashed share of the rows validates and decides, in the same fit, on the number of trees."""
+    rows = with_weights(df, label, weight, by_class)
+    draw = (F.col("__w"), F.lit(1.0), hashed_share(seed, key) < booster.eval_fraction)
+    return boosting.fit(rows, columns, F.col(label), [draw], booster, [seed], key)[0]
+
+
+def train_members(df: DataFrame, columns: list[str], drawn: list[int], seeds: list[int], label: str = "y", weight: str | None = None, by_class: list[dict[int, float] | None] | None = None, booster: Booster = Booster(), key: str = "row_index") -> list[Boosted]:
+    """One model for each seed in `drawn`, on the resample that `bootstrap` draws with it, all in the same passes: a resample is a weight of rows, not a table."""
+    draws = []
+    for k, (d, s) in enumerate(zip(drawn, seeds, strict=True)):
+        w = F.col(weight) if weight else F.lit(1.0)
+        if by_class and by_class[k]:
+            w = w * F.when(F.col(label) == 1, by_class[k].get(1, 1.0)).otherwise(by_class[k].get(0, 1.0))
+        draws.append((w, times_drawn(d, key), hashed_share(s, key) < booster.eval_fraction))
+    return boosting.fit(df, columns, F.col(label), draws, booster, seeds, key) if draws else []
+
+
+def predict(model: Boosted, df: DataFrame, name: str = "p") -> DataFrame:
     """Add the probability of the positive class, partition by partition."""
-    scored = model.transform(df)
-    return scored.withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).select(*df.columns, name)
+    return boosting.predict([model], df, [name])
+
+
+def predict_members(models: list[Boosted], df: DataFrame, names: list[str]) -> DataFrame:
+    """Add the probability of each model, in one pass."""
+    return boosting.predict(models, df, names) if models else df
 
 
-def importances(model: PipelineModel, columns: list[str], df: DataFrame) -> DataFrame:
-    """(feature, importance), the highest first."""
-    v = model.stages[-1].featureImportances.toArray()
-    return df.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(columns, v, strict=True)], "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
+def importances(model: Boosted, columns: list[str], df: DataFrame) -> DataFrame:
+    """(feature, importance), the highest first: shares of all gains."""
+    return df.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(columns, model.gains(), strict=True)], "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
 def train_network(df: DataFrame, columns: list[str], label: str = "y", hidden: tuple[int, ...] = (32, 16), rounds: int = 100, seed: int = 42, mode: str = "features_only") -> PipelineModel:

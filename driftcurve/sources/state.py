@@ -30,17 +30,30 @@ class Store:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
         atexit.register(self._close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
+        self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def drop(self, name: str) -> None:
+        """Delete the table that was written last under a name."""
+        if name in self.paths:
+            self._delete(self.paths.pop(name))
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
+
     def _close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(self.root)
         except Exception:  # noqa: BLE001  the JVM may be gone already when the interpreter ends
             pass
