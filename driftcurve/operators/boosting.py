@@ -22,6 +22,8 @@ from driftcurve.sources.state import Store
 
 #: Columns whose sums travel together, and rounds after which margins are written instead of computed anew.
 CHUNK, REFRESH = 32, 8
+#: Bytes of coded rows below which no further task is worth its start.
+TASK_BYTES = 1 << 21
 #: Bits of a double that sums may use.
 SUM_BITS = 52
 
@@ -338,7 +340,7 @@ def fit(df: DataFrame, columns: list[str], label: Column, draws: list[tuple[Colu
         ("p", lambda i: F.sum(F.when(~apart(i), weight(i) * F.col("y")))), ("a", lambda i: F.sum(F.when(~apart(i), weight(i)))), ("v", lambda i: F.sum(F.when(apart(i), weight(i)))),
         ("q", lambda i: F.sum(weight(i) * F.col("y"))), ("s", lambda i: F.sum(weight(i))),
     )]
-    found = base.agg(*shape).first()
+    found = base.agg(F.count("*").alias("rows"), *shape).first()
     edges = sketched_edges(base, names, booster.bins)
     of = lambda k, i: found[f"{k}{i}"] or 0.0
     mixed = lambda p, a: 0 < p < a
@@ -347,15 +349,19 @@ def fit(df: DataFrame, columns: list[str], label: Column, draws: list[tuple[Colu
     scale = [2.0 ** (SUM_BITS - int(np.ceil(np.log2(max(of("s", i), 1.0)))) - 1) for i in range(n)]
     trains = F.array(*(F.when(apart(i) & F.lit(validates[i]), 0.0).otherwise(weight(i)) for i in range(n)))
     checks = F.array(*(F.when(apart(i) & F.lit(validates[i]), weight(i)).otherwise(0.0) for i in range(n)))
-    rows = store.table(coded_rows(base, names, edges, F.col("y"), trains, checks, F.col("t"), start, "k"), "rows-0")
+    tasks = max(1, -(-found["rows"] * (len(columns) + 32 * n) // TASK_BYTES))
+    rows = store.table(coded_rows(base.coalesce(tasks), names, edges, F.col("y"), trains, checks, F.col("t"), start, "k"), "rows-0")
+    reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
     models = [Boosted(columns, edges, s) for s in start]
     recent: list[list[Tree]] = [[] for _ in range(n)]
     live = list(range(n))
 
     def one_pass(growing: list[Growing], number: int, losses: bool) -> list:
         blocks = with_code(rows).mapInArrow(sums(growing, len(columns), n, booster, number, losses), "model int, node int, chunk int, data binary")
-        dealt = blocks.repartition("model", "node", "chunk").sortWithinPartitions("model", "node", "chunk")
-        got = with_code(dealt).mapInArrow(cuts(scale, booster), CUT).collect()
+        n_blocks = sum(max(1, len(g.open)) for g in growing) * -(-len(columns) // CHUNK)
+        if rows.rdd.getNumPartitions() > 1:  # one task's sums are whole and in order
+            blocks = blocks.repartition(min(reducers, -(-n_blocks // 8)), "model", "node", "chunk").sortWithinPartitions("model", "node", "chunk")
+        got = blocks.mapInArrow(cuts(scale, booster), CUT).collect()
         for r in got:
             if r["node"] < 0:
                 models[r["model"]].losses.append(r["g"] * 64 / scale[r["model"]] / max(of("v", r["model"]), 1e-300))
