@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from driftcurve.sources.state import Store
+
 #: What a set without a model scores.
 NO_MODEL = {"recall": 0.0, "precision": 0.0, "f1": 0.0, "auc": 0.5, "pr_auc": 0.0, "logloss": 1.0, "brier": 0.25, "ice": 1.0}
 CLIP, BINS = 1e-15, 10
@@ -30,16 +32,24 @@ def confusion(df: DataFrame, p: str = "p", y: str = "y", threshold: float = 0.5,
     return bins.agg(n.alias("n"), recall.alias("recall"), precision.alias("precision"), _ratio(2 * precision * recall, precision + recall).alias("f1"), F.try_divide(s("ll"), n).alias("logloss"), F.try_divide(s("b"), n).alias("brier"), F.try_divide(F.sum(F.abs(F.col("sp") - F.col("sy"))), n).alias("ice"))
 
 
-def ranking_areas(df: DataFrame, p: str = "p", y: str = "y", digits: int = 4) -> DataFrame:
-    """ROC-AUC (mid-ranks) and PR-AUC (average precision) from counts at probabilities rounded to `digits`.
+def ranking_areas(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """ROC-AUC (mid-ranks) and PR-AUC (average precision) of the probabilities as they are.
 
-    The sort runs over at most 10^digits + 1 distinct probabilities, however many rows there are.
+    Rows of one probability become one count. Counts are dealt out by ranges of the probability and written; a range's
+    sums are added up in order, over as many rows as there are ranges, and each range is then sorted by itself.
     """
-    counts = df.groupBy(F.round(p, digits).alias("q")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    w = W.orderBy(F.col("q").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    c = counts.withColumns({"cp": F.sum("pos").over(w), "cn": F.sum("neg").over(w)})
-    pos, neg = F.sum("pos"), F.sum("neg")
-    auc = F.coalesce(F.try_divide(F.sum(F.col("neg") * (F.col("cp") - F.col("pos") / 2)), pos * neg), F.lit(0.5))
+    spark = df.sparkSession
+    counts = df.groupBy(F.col(p).cast("double").alias("q")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(ranges, F.col("q").desc()).withColumn("part", F.spark_partition_id())
+    dealt = Store(spark, "areas").table(dealt, "counts")
+    ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(F.col("part").alias("of")).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn")).withColumnRenamed("of", "part")
+    before = totals.select(F.col("part").alias("of"), *(F.coalesce(F.sum(t).over(ahead), F.lit(0)).alias(t) for t in ("tp", "tn")))
+    w = W.partitionBy("part").orderBy(F.col("q").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    c = dealt.join(before, F.col("part") == F.col("of")).withColumns({"cp": F.col("tp") + F.sum("pos").over(w), "cn": F.col("tn") + F.sum("neg").over(w)})
+    pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    auc = F.coalesce(F.try_divide(F.sum(F.col("neg").cast("double") * (F.col("cp") - F.col("pos") / 2)), pos * neg), F.lit(0.5))
     ap = _ratio(F.sum(F.col("pos") * F.try_divide(F.col("cp"), F.col("cp") + F.col("cn"))), pos)
     return c.agg(auc.alias("auc"), ap.alias("pr_auc"))
 

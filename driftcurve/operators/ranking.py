@@ -2,48 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from driftcurve.operators.quantiles import ACCURACY, exact_quantiles
+from driftcurve.sources.state import Store
 
 EPSILON = 1e-10
 STATS = ("mean", "median", "std")
 
 
-def exact_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
-    """(feature, median) of each column, exact, without bringing a column's values together.
-
-    A sketch bounds the two middle values from below and above; one pass counts what lies below and keeps the
-    few parts in `accuracy` of the values that lie between, which alone are sorted, column by column.
-    """
-    d = 2.0 / accuracy
-    number = lambda c: F.col(c).cast("double")
-    ends = [F.percentile_approx(number(c), F.array(F.lit(0.5 - d), F.lit(0.5 + d)), accuracy).alias(f"e{i}") for i, c in enumerate(columns)]
-    found = df.agg(*ends).first()
-    bound = [tuple(found[f"e{i}"]) if found[f"e{i}"] else (0.0, 0.0) for i in range(len(columns))]
-    value = lambda i, c: F.struct(F.lit(c).alias("feature"), number(c).alias("v"), (number(c) < bound[i][0]).alias("below"), number(c).between(*bound[i]).alias("within"))
-    sums = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(columns)), *(F.count_if(number(c) < bound[i][0]).alias(f"b{i}") for i, c in enumerate(columns)))
-    sizes = sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("of"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("b")) for i, c in enumerate(columns)))))
-    close = df.select(F.explode(F.filter(F.array(*(value(i, c) for i, c in enumerate(columns))), lambda x: x["within"])).alias("x")).select("x.feature", "x.v")
-    counts = close.groupBy("feature", "v").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy("feature").orderBy("v"))).join(F.broadcast(sizes), F.col("feature") == F.col("of"))
-    rank = lambda r: F.min(F.when(F.col("b") + F.col("upto") >= r, F.col("v")))
-    return upto.groupBy("feature").agg(((rank(F.floor((F.col("n") + 1) / 2)) + rank(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"))
+def exact_medians(df: DataFrame, columns: list[str], accuracy: int = ACCURACY) -> DataFrame:
+    """(feature, median) of each column, exact, without bringing a column's values together."""
+    return exact_quantiles(df, columns, (0.5,), accuracy=accuracy)[0].select("feature", F.col("value").alias("median"))
 
 
-def tall_stats(df: DataFrame, columns: list[str], suffix: str, accuracy: int | None = None) -> DataFrame:
-    """(feature, mean, median, std, n) of each column: one wide aggregate, so the table is read and not multiplied by its columns.
+def tall_stats(population: DataFrame, rare: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """(feature, mean, median, std, n) of each column, with _pop and _rare behind the names.
 
-    Medians are exact; with `accuracy` they come from a sketch instead, in the same pass, with ranks within n / accuracy.
+    Both tables are written as one, once, so what makes them runs once. One aggregate gives means, deviations and the
+    medians' bounds of both; medians are exact, or with `accuracy` those of a sketch in the same aggregate, with ranks
+    within n / accuracy.
     """
-    aggs = [f(F.col(c).cast("double")).alias(f"{k}|{c}") for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_samp))]
-    if accuracy is not None:
-        aggs += [F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"median|{c}") for c in columns]
-    wide = df.agg(F.count("*").alias("n"), *aggs)
-    kinds = [k for k in STATS if k != "median" or accuracy is not None]
-    rows = F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"`{k}|{c}`").alias(f"{k}_{suffix}") for k in kinds), F.col("n").alias(f"n_{suffix}")) for c in columns))
-    out = wide.select(F.inline(rows))
+    spark, sides = population.sparkSession, (("pop", population), ("rare", rare))
+    one = [df.select(F.lit(side).alias("side"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))) for side, df in sides]
+    both = Store(spark, "ranking").table(one[0].unionByName(one[1]), "rows")
+    names = [f"c{i}" for i in range(len(columns))]
+    also = [F.count("*").alias("n")] + [f(c).alias(f"{k}|{c}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_samp))]
     if accuracy is None:
-        out = out.join(exact_medians(df, columns).withColumnRenamed("median", f"median_{suffix}"), "feature", "left")
-    return out
+        found, rows = exact_quantiles(both, names, (0.5,), "side", also=also)
+        medians = {(r["grp"], r["feature"]): r["value"] for r in found.collect()}
+    else:
+        rows = both.groupBy(F.col("side").alias("grp")).agg(*also, *(F.percentile_approx(c, 0.5, accuracy).alias(f"median|{c}") for c in names)).collect()
+        medians = {(r["grp"], c): r[f"median|{c}"] for r in rows for c in names}
+    of = {r["grp"]: r for r in rows}
+    got = lambda side, key: of[side][key] if side in of else None
+    table = [(c, *(v for side, _ in sides for v in (got(side, f"mean|{names[i]}"), medians.get((side, names[i])), got(side, f"std|{names[i]}"), got(side, "n") or 0))) for i, c in enumerate(columns)]
+    return spark.createDataFrame(table, "feature string, " + ", ".join(f"mean_{s} double, median_{s} double, std_{s} double, n_{s} bigint" for s, _ in sides))
 
 
 def signed_log2(x: Column) -> Column:
@@ -54,7 +48,7 @@ def rank_features(population: DataFrame, rare: DataFrame, columns: list[str], ac
     """Per feature both tables' statistics, their ratios (with the population's sign), signed log ratios and effect sizes, strongest first."""
     if not columns:
         raise ValueError("no common numeric columns")
-    df = tall_stats(population, columns, "pop", accuracy).join(tall_stats(rare, columns, "rare", accuracy), "feature")
+    df = tall_stats(population, rare, columns, accuracy)
     for k in STATS:
         pop, own = F.col(f"{k}_pop"), F.col(f"{k}_rare")
         df = df.withColumn(f"{k}_ratio", F.when(pop >= 0, own / (F.abs(pop) + EPSILON)).otherwise(-own / (F.abs(pop) + EPSILON)))

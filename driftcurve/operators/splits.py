@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftcurve.operators.ordering import hash_ranked
+from driftcurve.operators.quantiles import exact_quantiles
 
 STRATIFY, BINS, ROWS_PER_BIN = ("norm_amplitude_sigma", "npoints"), 5, 10
 
@@ -27,7 +28,7 @@ def quantile_bin(column: str, edges: list[float]) -> Column:
 def stratified_split(df: DataFrame, train: float = 0.1, validation: float = 0.4, seed: int = 42, columns: tuple[str, ...] | None = None, exclude: DataFrame | None = None, key: str = "row_index", held_out: float | None = None) -> DataFrame:
     """A split within strata of quantile bins of (at most two) columns; at random where there are too few rows or no such column.
 
-    Bins are min(5, n // 10) per column; their edges are percentiles, found in one aggregate.
+    Bins are min(5, n // 10) per column; their edges are exact percentiles, found without bringing a column together.
     """
     if exclude is not None:
         df = df.join(exclude.select(F.col("row_index").alias("__x")), F.col(key) == F.col("__x"), "left_anti")
@@ -40,8 +41,8 @@ def stratified_split(df: DataFrame, train: float = 0.1, validation: float = 0.4,
     bins = min(BINS, n // ROWS_PER_BIN)
     if bins < 2:
         return random_split(df, train, validation, seed, key)
-    cuts = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    edges = df.agg(*(F.percentile(c, cuts).alias(c) for c in names)).first()
+    found = exact_quantiles(df, names, tuple(i / bins for i in range(1, bins)))[0].orderBy("feature", "q").collect()
+    edges = {c: [r["value"] for r in found if r["feature"] == c] for c in names}
     label = reduce(lambda a, c: a * bins + quantile_bin(c, edges[c]), names, F.lit(0))
     return random_split(df, train, validation, seed, key, label)
 

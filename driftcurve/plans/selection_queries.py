@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from driftcurve.functions import families as fam
-from driftcurve.operators import labels as lab, metrics as met, ranking, selection as sel, sequences as seq, splits
+from driftcurve.operators import labels as lab, metrics as met, quantiles, ranking, selection as sel, sequences as seq, splits
 from driftcurve.plans.series_queries import full_series, rounded
 from driftcurve.plans.sql import SERIES, r6
 from driftcurve.sources import tables
@@ -208,15 +208,35 @@ def confusion_metrics(spark, sf_dir):
 
 @query(
     "ranking_metrics",
-    f"""WITH {PREDS}, q AS (SELECT CAST(floor(p * 10007 / 10 + 0.5) AS BIGINT) AS s, y FROM preds), r AS (SELECT s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM q GROUP BY s),
+    f"""WITH {PREDS}, r AS (SELECT p AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM preds GROUP BY p),
 c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn FROM r)
 SELECT {r6('sum(neg * (cp - pos / 2.0)) / CAST(sum(pos) * sum(neg) AS DOUBLE)', 'auc')}, {r6('sum(pos * (cp / CAST(cp + cn AS DOUBLE))) / CAST(sum(pos) AS DOUBLE)', 'pr_auc')} FROM c""",
 )
 def ranking_metrics(spark, sf_dir):
-    """Areas over scores in about a thousand steps, so that ties occur."""
-    return rounded(met.ranking_areas(preds(spark, sf_dir).withColumn("s", F.floor(F.col("p") * 10007 / 10 + 0.5).cast("double")), "s", digits=0))
+    """Areas over the scores as they are."""
+    return rounded(met.ranking_areas(preds(spark, sf_dir)))
 
 
+@query(
+    "ranking_metrics_ties",
+    f"""WITH o AS (SELECT o_custkey % 5 + o_orderkey % 3 AS s, CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS y FROM orders), r AS (SELECT s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM o GROUP BY s),
+c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn FROM r)
+SELECT {r6('sum(neg * (cp - pos / 2.0)) / CAST(sum(pos) * sum(neg) AS DOUBLE)', 'auc')}, {r6('sum(pos * (cp / CAST(cp + cn AS DOUBLE))) / CAST(sum(pos) AS DOUBLE)', 'pr_auc')} FROM c""",
+)
+def ranking_metrics_ties(spark, sf_dir):
+    """Areas over a score of seven values: almost all rows are tied."""
+    orders = table(spark, sf_dir, "orders")
+    return rounded(met.ranking_areas(orders.select((F.col("o_custkey") % 5 + F.col("o_orderkey") % 3).alias("p"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("y"))))
+
+
+@query(
+    "exact_quantiles",
+    "SELECT o_orderpriority AS grp, feature, q, " + r6("value", "value") + " FROM (" + " UNION ALL ".join(f"SELECT o_orderpriority, '{c}' AS feature, CAST({q} AS DOUBLE) AS q, quantile_cont(CAST({c} AS DOUBLE), {q}) AS value FROM orders GROUP BY o_orderpriority" for c in ("o_totalprice", "o_custkey") for q in (0.1, 0.25, 0.5, 0.9)) + ")",
+)
+def exact_quantiles(spark, sf_dir):
+    """Four quantiles of two columns for each priority of orders."""
+    return rounded(quantiles.exact_quantiles(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"], (0.1, 0.25, 0.5, 0.9), "o_orderpriority")[0])
+
 @query(
     "oob_metrics",
     f"""WITH {PREDS}, m AS (SELECT model, row_index, b[model] AS p FROM preds, (VALUES (1), (2), (3)) v(model)), f AS (SELECT row_index, avg(p) AS q FROM m WHERE (row_index * 13 + model * 7) % 5 >= 3 GROUP BY row_index), j AS (SELECT y, q FROM preds LEFT JOIN f USING (row_index))

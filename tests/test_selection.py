@@ -131,3 +131,45 @@ def test_medians_without_a_columns_values_in_one_place(spark):
     assert got == {x: pytest.approx(np.median([r[i] for r in rows if r[i] is not None])) for i, x in enumerate("abc")}
     even = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (8.0,)], "a double")
     assert ranking.exact_medians(even, ["a"]).first()["median"] == 3.0
+
+
+def test_many_quantiles_of_many_columns_and_groups(spark):
+    import numpy as np
+
+    from driftcurve.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    rows = [(str(i % 3) if i % 11 else None, float(a), float(int(3 * b)), float("nan") if i % 5 == 0 else float(c), None) for i, (a, b, c) in enumerate(rng.normal(size=(4000, 3)))]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, d double").repartition(4)
+    qs = (0.0, 0.05, 0.2, 0.5, 0.77, 1.0)
+    found, first = exact_quantiles(df, ["a", "b", "c", "d"], qs, "g", accuracy=60, also=[F.count("*").alias("rows")])
+    got = {(r["grp"], r["feature"], r["q"]): r["value"] for r in found.collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for k, c in enumerate("abc", 1):
+            own = [r[k] for r in rows if r[0] == g and r[k] == r[k]]
+            want |= {(g, c, q): pytest.approx(np.quantile(own, q)) for q in qs}
+    assert got == want and sum(r["rows"] for r in first) == 4000
+    assert exact_quantiles(df.limit(0), ["a"], (0.5,))[0].count() == 0
+
+
+def test_split_has_no_percentile_in_one_task(spark):
+    df = spark.range(500).selectExpr("id AS row_index", "CAST(id * 7919 % 501 AS DOUBLE) AS norm_amplitude_sigma", "id % 40 AS npoints")
+    got = splits.stratified_split(df)
+    plan = got._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and {r["role"]: r["count"] for r in got.groupBy("role").count().collect()}.keys() == {"train", "validation", "held_out"}
+
+
+def test_areas_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for p in (rng.random(700) * 1e-5, np.round(rng.random(700), 1), np.full(700, 0.25)):
+        y = (rng.random(700) < 0.1 + 0.5 * p / p.max()).astype(int)
+        df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, y int").repartition(3)
+        got = met.ranking_areas(df).first()
+        one, zero = p[y == 1][:, None], p[y == 0][None, :]
+        assert got.auc == pytest.approx(((one > zero) + 0.5 * (one == zero)).mean())
+        at = [((p >= a) & (y == 1)).sum() / (p >= a).sum() for a in p[y == 1]]
+        assert got.pr_auc == pytest.approx(np.mean(at))
+    assert tuple(met.ranking_areas(df.limit(0)).first()) == (0.5, 0.0)
