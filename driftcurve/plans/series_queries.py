@@ -250,6 +250,19 @@ def dwt_level1_all(spark, sf_dir):
     return rounded(got.agg(F.count("*").alias("n"), wav.energy("approx").alias("approx_energy"), wav.energy("detail").alias("detail_energy"), F.max(F.abs("detail")).alias("max_detail")))
 
 
+#: Filters beside the five fixed ones, computed when they are first asked for.
+CUSTOM = ("db2", "db10", "sym8", "coif2")
+
+
+@query(
+    "dwt_level1_custom",
+    f"WITH {_SIGNAL}, " + ", ".join(f"l_{w} AS ({_level_sql(w, 'signal')})" for w in CUSTOM) + " " + " UNION ALL ".join(f"SELECT '{w}' AS wavelet, id, count(*) AS n, {r6('sum(x * x)', 'approx_energy')}, {r6('sum(detail * detail)', 'detail_energy')}, {r6('max(abs(detail))', 'max_detail')} FROM l_{w} GROUP BY id" for w in CUSTOM),
+)
+def dwt_level1_custom(spark, sf_dir):
+    got = wav.dwt_levels(_points(spark, sf_dir), CUSTOM).groupBy("wavelet", "id")
+    return rounded(got.agg(F.count("*").alias("n"), wav.energy("approx").alias("approx_energy"), wav.energy("detail").alias("detail_energy"), F.max(F.abs("detail")).alias("max_detail")))
+
+
 def _haar_levels() -> str:
     ctes, unions = [_SIGNAL], []
     source = "signal"

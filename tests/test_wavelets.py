@@ -62,3 +62,39 @@ def test_grid_equals_interpolation(spark):
     got = W.resampled(rows).orderBy("k").collect()
     assert [r.k for r in got] == list(range(64)) and np.allclose([r.x for r in got], W.regular(x, t))
     assert W.resampled(rows.withColumn("mjd", F.lit(1.0))).count() == 0
+
+
+@pytest.mark.parametrize("wavelet", [*(f"{k}{n}" for k in ("db", "sym") for n in range(2, 21)), *(f"coif{n}" for n in range(1, 6))])
+def test_computed_filters_are_orthogonal_and_have_vanishing_moments(wavelet):
+    family, order = wavelet.rstrip("0123456789"), int(wavelet.lstrip("dbsymcoif"))
+    h, g = (np.array(f(wavelet)) for f in (low_pass, high_pass))
+    n = len(h)
+    assert n == order * (6 if family == "coif" else 2) and h.sum() == pytest.approx(2**0.5, abs=1e-12)
+    for m in range(0, n, 2):
+        assert h[: n - m] @ h[m:] == pytest.approx(float(m == 0), abs=1e-11) and h[: n - m] @ g[m:] == pytest.approx(0, abs=1e-11)
+    at = (np.arange(n) - n / 2) / n
+    for k in range(2 * order if family == "coif" else order):
+        assert abs((g * at**k).sum()) < 1e-9
+    if family == "coif":
+        centre = np.argmax(h)
+        assert all(abs((h * (np.arange(n) - centre) ** k).sum()) < 1e-5 * n**k for k in range(1, 2 * order))
+
+
+def test_computed_filters_equal_the_fixed_ones():
+    from driftcurve.functions import filters as L
+
+    for name, own in (("haar", L.daubechies(1)), ("db4", L.daubechies(4)), ("db6", L.daubechies(6)), ("sym4", L.symlet(4)), ("coif3", L.coiflet(3))):
+        assert np.abs(np.array(own) - L.LOW_PASS[name]).max() < 1e-10
+    root = 3**0.5
+    assert low_pass("db2") == pytest.approx([(1 - root) / 32**0.5, (3 - root) / 32**0.5, (3 + root) / 32**0.5, (1 + root) / 32**0.5])
+
+
+def test_features_of_any_filter(spark):
+    rows = spark.createDataFrame([(i, [float(v) for v in np.random.default_rng(i).normal(size=64)]) for i in range(3)], "id int, x array<double>")
+    got = W.wavelet_features(rows, "x", None, ("db10", "coif1"), 2, "").collect()
+    x = np.array([r.x for r in rows.collect()])
+    assert np.allclose([r["wv_db10_total_energy"] for r in got], W.statistics(x, ("db10",), 2)[:, 0])
+    assert [f for f in got[0].asDict() if "coif1_d2" in f] and usable_levels(64, "db10") == 1
+    for wrong in ("db21", "coif6", "sym1", "db0", "bior2.2"):
+        with pytest.raises(ValueError):
+            W.wavelet_features(rows, "x", None, (wrong,))
