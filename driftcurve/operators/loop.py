@@ -56,6 +56,7 @@ class Config:
     cooldown: int = 10
     review_all: bool = True
     output: str | None = None
+    pool_buckets: int | None = None  # as many as shuffle partitions
     thresholds: sel.Thresholds = field(default_factory=sel.Thresholds)
 
 
@@ -67,8 +68,10 @@ class SelfTraining:
     """
 
     def __init__(self, spark: SparkSession, pool: DataFrame, known: DataFrame, columns: list[str], config: Config = Config(), expert: DataFrame | None = None, ask: Ask | None = None):
-        self.spark, self.pool, self.known, self.columns, self.config, self.expert, self.ask = spark, pool, known, columns, config, expert, ask
+        self.spark, self.known, self.columns, self.config, self.expert, self.ask = spark, known, columns, config, expert, ask
         self.store = state.Store(spark, "self-training")
+        # each iteration gathers rows from the pool: it is dealt out by row once, and only what is wanted moves
+        self.pool = self.store.bucketed(pool.select("row_index", *columns), "pool", "row_index", config.pool_buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.history: list[dict] = []
         self.rollbacks: list[int] = []
         self.t = config.thresholds

@@ -31,6 +31,7 @@ class Store:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.tables: list[str] = []
         atexit.register(self._close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +40,14 @@ class Store:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """A table in `buckets` files' groups by a key's hash, sorted by it: joins on the key read it in place, without a shuffle of it."""
+        path, table = f"{self.root}/{name}", f"{name}_{uuid.uuid4().hex}"
+        rows = df.repartition(buckets, key)
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -54,6 +63,8 @@ class Store:
     def _close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
+                for t in self.tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {t}")
                 self._delete(self.root)
         except Exception:  # noqa: BLE001  the JVM may be gone already when the interpreter ends
             pass

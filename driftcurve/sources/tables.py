@@ -63,18 +63,31 @@ def cached(spark: SparkSession, folder: str, prefix: str, n: int, make: Callable
     return spark.read.parquet(path)
 
 
-def in_chunks(df: DataFrame, folder: str, prefix: str, chunks: int, make: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
+def in_chunks(df: DataFrame, folder: str, prefix: str, chunks: int, make: Callable[[DataFrame], DataFrame], key: str = "id", spread: int = 8) -> DataFrame:
     """`make(df)` computed and kept chunk by chunk under {folder}/{prefix}_chunk_NNNN.parquet, so that a run that was cut short goes on where it ended.
 
-    A row's chunk follows from its key's hash, so rows of one key are computed together. A chunk that is complete is
-    not computed again; one without the marker that the committer writes last is.
+    A row's chunk follows from its key's hash, so rows of one key are computed together. The input is read once: it is
+    dealt out to {folder}/{prefix}_input/chunk=N, in at most `spread` files a chunk, and each chunk reads its own part.
+    The manifest is the markers that the committer writes last: an input that has one is not read again, a chunk that
+    has one is not computed again. The dealt input goes when all chunks are there.
     """
-    paths = []
-    for k in range(chunks):
-        paths.append(f"{folder}/{prefix}_chunk_{k:04d}.parquet")
-        if not exists(df.sparkSession, f"{paths[-1]}/_SUCCESS"):
-            write(make(df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == k)), paths[-1])
-    return df.sparkSession.read.parquet(*paths)
+    spark, staged = df.sparkSession, f"{folder}/{prefix}_input"
+    paths = [f"{folder}/{prefix}_chunk_{k:04d}.parquet" for k in range(chunks)]
+    missing = [k for k in range(chunks) if not exists(spark, f"{paths[k]}/_SUCCESS")]
+    chunk = F.pmod(F.xxhash64(key), F.lit(chunks))
+    if missing:
+        if not exists(spark, f"{staged}/_SUCCESS"):
+            wanted = df if len(missing) == chunks else df.where(chunk.isin(missing))
+            hashed = [c for c, t in df.dtypes if "map<" not in t][:4]
+            dealt = wanted.withColumn("__chunk", chunk).repartition(min(chunks * spread, 4096), "__chunk", F.pmod(F.xxhash64(*hashed), F.lit(spread)))
+            dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("__chunk").parquet(staged)
+        for k in missing:
+            part = f"{staged}/__chunk={k}"
+            # a chunk that was not dealt out has no rows, or was complete at that time
+            rows = spark.read.schema(df.schema).parquet(part) if exists(spark, part) else df.where(chunk == k)
+            write(make(rows.select(df.columns)), paths[k])
+        remove(spark, staged)
+    return spark.read.parquet(*paths)
 
 
 def parse_label_log(lines: DataFrame) -> DataFrame:

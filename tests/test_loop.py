@@ -146,3 +146,20 @@ def test_boosting_separates_and_stops_at_the_best_round(spark, rows):
     assert tr.best_round([5, 4, 3, 3.5, 2], 2) == 5 and tr.best_round([5, 4, 3, 3.5, 3.4, 2], 2) == 3 and tr.best_round([1.0], 250) == 1
     one = tr.train(df.where("y = 1"), ["a", "b"], booster=tr.Booster(rounds=2))  # one label alone
     assert tr.predict(one, df).count() == df.count()
+
+
+def test_gathers_do_not_shuffle_the_pool(spark, rows):
+    run = loop.SelfTraining(spark, *rows, ["a", "b"], replace(SMALL, pool_buckets=3))
+    wanted = spark.range(40).select(F.col("id").alias("row_index"), F.lit(False).alias("from_known"), F.lit(0).alias("label"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = run.features(wanted)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and ".pool_" in line)
+    sort = max(i for i in range(scan) if "- Sort " in lines[i])
+    assert "Bucketed: true" in lines[scan] and "SortMergeJoin" in plan and not any("Exchange" in line for line in lines[sort:scan])

@@ -116,3 +116,30 @@ def test_chunks_that_are_complete_are_not_made_again(spark, tmp_path):
     (tmp_path / "f_chunk_0001.parquet" / "_SUCCESS").unlink()
     again = tables.in_chunks(df, str(tmp_path), "f", 3, make)
     assert len(made) == 4 and sorted(r.x for r in again.collect()) == list(range(0, 200, 2))
+
+
+def test_chunks_read_the_input_once_and_go_on_after_a_cut(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    source = tmp_path / "source"
+    spark.range(300).selectExpr("id % 50 AS id", "id AS v").write.parquet(str(source))
+    df = spark.read.parquet(str(source))
+    seen = []
+
+    def make(part):
+        seen.append(part.inputFiles())
+        if len(seen) == 3:
+            raise RuntimeError("cut")
+        return part.groupBy("id").agg(F.sum("v").alias("v"))
+
+    with pytest.raises(RuntimeError):
+        tables.in_chunks(df, str(tmp_path), "g", 4, make)
+    assert all("g_input" in f for files in seen for f in files)
+    done = {k: (tmp_path / f"g_chunk_000{k}.parquet" / "_SUCCESS").stat().st_mtime_ns for k in (0, 1)}
+    for f in source.iterdir():  # what is left comes from the part that was dealt out
+        f.unlink()
+    got = {r.id: r.v for r in tables.in_chunks(df, str(tmp_path), "g", 4, make).collect()}
+    assert got == {i: sum(range(i, 300, 50)) for i in range(50)} and len(seen) == 5
+    assert done == {k: (tmp_path / f"g_chunk_000{k}.parquet" / "_SUCCESS").stat().st_mtime_ns for k in (0, 1)}
+    assert not (tmp_path / "g_input").exists()
+    assert tables.in_chunks(df, str(tmp_path), "g", 4, make).count() == 50 and len(seen) == 5
