@@ -1,7 +1,9 @@
-"""Sequence classifiers: recurrent, attention and perceptron parts, trained on a bounded sample, applied partition by partition.
+"""Sequence classifiers: recurrent, attention and perceptron parts, trained and applied partition by partition.
 
 Gradients come from a small reverse-mode tape over numpy. Inputs are tables with `sequence` (an array
-of points, each an array of numbers), feature columns, a label and perhaps a weight.
+of points, each an array of numbers), feature columns, a label and perhaps a weight. Training is data-parallel: each
+step's mini-batch is read by several tasks, each sums the gradient of its rows, and the driver adds up at most SPREAD
+such sums and moves the weights. It never holds a row.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftcurve.operators.ordering import hashed
 from driftcurve.session import with_code
 from driftcurve.sources import tables
+from driftcurve.sources.state import Store
 
 MODES = ("sequence_only", "features_only", "hybrid")
 CELLS = ("rnn", "gru", "lstm", "transformer")
@@ -151,8 +154,6 @@ class Settings:
     seed: int = 42
     balance: bool = True
     columns: tuple[str, ...] = ()
-    #: Sequences that training takes at most; the driver holds them.
-    train_rows: int = 20_000
 
     def __post_init__(self):
         if self.mode not in MODES or self.cell not in CELLS or self.pooling not in POOLING:
@@ -173,6 +174,56 @@ def positions(n: int, width: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Moments:
+    """Number, means and summed squared deviations of rows of numbers, which add up exactly however the rows are dealt out."""
+
+    n: int
+    mean: np.ndarray
+    squares: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        return Moments(len(x), mean, ((x - mean) ** 2).sum(axis=0))
+
+    def __add__(self, o: Moments) -> Moments:
+        n = self.n + o.n
+        if not self.n or not o.n:
+            return self if self.n else o
+        move = o.mean - self.mean
+        return Moments(n, self.mean + move * (o.n / n), self.squares + o.squares + move**2 * (self.n * o.n / n))
+
+    def spread(self) -> np.ndarray:
+        std = np.sqrt(self.squares / max(1, self.n))
+        return np.where(std > 1e-8, std, 1.0)
+
+
+def scale_of(points: Moments, features: Moments) -> dict[str, np.ndarray]:
+    return {"m": points.mean, "s": points.spread(), "fm": features.mean, "fs": features.spread()}
+
+
+def balanced(n: int, positive: int) -> tuple[float, float]:
+    """What a positive and a negative row weigh, so that both labels weigh the same in all."""
+    return (n / (2 * positive), n / (2 * (n - positive))) if 0 < positive < n else (1.0, 1.0)
+
+
+class Adam:
+    """Running means of gradients and of their squares."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+        self.step = 0
+
+    def move(self, weights: dict[str, np.ndarray], grad: dict[str, np.ndarray], rate: float, decay: float) -> None:
+        self.step += 1
+        for k, v in weights.items():
+            d = grad[k] + decay * v
+            self.first[k] = 0.9 * self.first[k] + 0.1 * d
+            self.second[k] = 0.999 * self.second[k] + 0.001 * d * d
+            weights[k] = v - rate * self.first[k] / (1 - 0.9**self.step) / (np.sqrt(self.second[k] / (1 - 0.999**self.step)) + 1e-8)
+
+
 @dataclass
 class SequenceModel:
     settings: Settings
@@ -275,39 +326,42 @@ class SequenceModel:
             v = relu(v @ w[f"head{k}"] + w[f"headb{k}"])
         return v @ w[f"head{len(s.head)}"] + w[f"headb{len(s.head)}"]
 
-    def fit(self, sequences: list[np.ndarray], features: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, report: Callable[[int, float], None] | None = None) -> SequenceModel:
-        """Adam on the weighted logistic loss; with `balance` both labels weigh the same in all."""
+    def gradient(self, sequences: list[np.ndarray], features: np.ndarray, labels: np.ndarray, sample: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The weighted logistic loss of some rows and its gradient, both as sums."""
+        w = {k: Node(v) for k, v in self.weights.items()}
+        z = self.logits(w, sequences, features)
+        y, g = labels[:, None].astype(float), sample[:, None]
+        loss = Node(np.zeros(()), ((z, lambda _: (sigmoid(z).data - y) * g),))
+        loss.backward()
+        return float((g * (np.logaddexp(0, z.data) - y * z.data)).sum()), {k: n.grad if n.grad is not None else np.zeros_like(n.data) for k, n in w.items()}
+
+    def fit(self, sequences: list[np.ndarray], features: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, report: Callable[[int, float], None] | None = None, batches: np.ndarray | None = None) -> SequenceModel:
+        """Adam on the weighted logistic loss, in one process; with `balance` both labels weigh the same in all.
+
+        Mini-batches are drawn anew each epoch, or are those that `batches` numbers, in an order drawn anew.
+        """
         s, rng = self.settings, np.random.default_rng(self.settings.seed)
         if len(sequences) != len(labels) or len(features) != len(labels):
             raise ValueError("sequences, features and labels differ in number")
         every = np.concatenate(sequences) if sequences else np.zeros((0, 1))
-        spread = lambda a: np.where(a.std(axis=0) > 1e-8, a.std(axis=0), 1.0) if len(a) else np.ones(a.shape[1])
-        centre = lambda a: a.mean(axis=0) if len(a) else np.zeros(a.shape[1])
-        self.scale = {"m": centre(every), "s": spread(every), "fm": centre(features), "fs": spread(features)}
+        self.scale = scale_of(Moments.of(every), Moments.of(features))
         self.start(every.shape[1], features.shape[1])
         sample = np.ones(len(labels)) if weights is None else np.asarray(weights, float).copy()
-        if s.balance and 0 < labels.sum() < len(labels):
-            sample *= np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (len(labels) - labels.sum())))
-        first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
-        step = 0
+        if s.balance:
+            sample *= np.where(labels == 1, *balanced(len(labels), int(labels.sum())))
+        adam = Adam(self.weights)
         for epoch in range(s.epochs):
             total = 0.0
-            order = rng.permutation(len(labels))
-            for lo in range(0, len(order), s.batch):
-                own = order[lo : lo + s.batch]
-                w = {k: Node(v) for k, v in self.weights.items()}
-                z = self.logits(w, [sequences[i] for i in own], features[own])
-                p = sigmoid(z)
-                y, g = labels[own, None].astype(float), sample[own, None] / len(own)
-                total += float((g * (np.logaddexp(0, z.data) - y * z.data)).sum())
-                loss = Node(np.zeros(()), ((z, lambda _, d=(p.data - y) * g: d),))
-                loss.backward()
-                step += 1
-                for k, v in self.weights.items():
-                    d = (w[k].grad if w[k].grad is not None else 0.0) + s.decay * v
-                    first[k] = 0.9 * first[k] + 0.1 * d
-                    second[k] = 0.999 * second[k] + 0.001 * d * d
-                    self.weights[k] = v - s.rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            if batches is None:
+                order = rng.permutation(len(labels))
+                parts = [order[lo : lo + s.batch] for lo in range(0, len(order), s.batch)]
+            else:
+                parts = [np.flatnonzero(batches == k) for k in rng.permutation(int(batches.max()) + 1)]
+            for own in parts:
+                if len(own):
+                    loss, grad = self.gradient([sequences[i] for i in own], features[own], labels[own], sample[own])
+                    total += loss / len(own)
+                    adam.move(self.weights, {k: g / len(own) for k, g in grad.items()}, s.rate, s.decay)
             if report:
                 report(epoch, total)
         return self
@@ -359,14 +413,96 @@ def arrays_of(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def train(df: DataFrame, settings: Settings, label: str = "class", weight: str | None = None, key: str = "row_index") -> SequenceModel:
-    """Fit on at most `train_rows` rows, the first in hashed order."""
-    keep = [F.col("sequence") if "sequence" in df.columns else F.lit(None).cast("array<array<double>>").alias("sequence"), F.col(label).cast("int").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *(F.col(c).cast("double").alias(c) for c in settings.columns)]
-    t = df.orderBy(hashed(settings.seed, key), key).limit(settings.train_rows).select(*keep).toArrow()
-    sequences = t["sequence"].combine_chunks()
-    width = next((len(v[0]) for v in sequences.to_pylist() if v), 1)
-    features = np.nan_to_num(np.stack([t[c].to_numpy() for c in settings.columns], axis=1), posinf=1e6, neginf=-1e6) if settings.columns else np.zeros((t.num_rows, 0))
-    return SequenceModel(settings).fit(arrays_of(sequences, width), features, t["y"].to_numpy(), t["w"].to_numpy())
+#: Tasks that share a mini-batch at most, and folders that mini-batches lie in.
+SPREAD, FOLDERS = 8, 512
+
+
+def batch_of(settings: Settings, key: str, batches: int) -> Column:
+    """A row's mini-batch, by its hash."""
+    return F.pmod(F.conv(F.substring(hashed(settings.seed, key), 1, 8), 16, 10).cast("bigint"), F.lit(batches))
+
+
+def read_rows(b: pa.RecordBatch, width: int, n_features: int) -> tuple:
+    """Sequences, features, labels and weights of a batch of (sequence, y, w, features...)."""
+    features = np.stack([b.column(3 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(n_features)], axis=1) if n_features else np.zeros((b.num_rows, 0))
+    return arrays_of(b.column(0), width), np.nan_to_num(features, posinf=1e6, neginf=-1e6), b.column(1).to_numpy(zero_copy_only=False).astype(int), b.column(2).to_numpy(zero_copy_only=False).astype(float)
+
+
+def moments_of(rows: DataFrame, width: int, n_features: int) -> tuple[Moments, Moments]:
+    """Of all points and of all features; a row a task comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, features = Moments.of(np.zeros((0, width))), Moments.of(np.zeros((0, n_features)))
+        for b in batches:
+            x, f, _, _ = read_rows(b, width, n_features)
+            points, features = points + Moments.of(np.concatenate(x)), features + Moments.of(f)
+        pack = lambda m: [float(m.n), *m.mean.tolist(), *m.squares.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pack(points)]), pa.array([pack(features)])], names=["p", "f"])
+
+    unpack = lambda v, n: Moments(int(v[0]), np.array(v[1 : n + 1]), np.array(v[n + 1 :]))
+    points, features = Moments.of(np.zeros((0, width))), Moments.of(np.zeros((0, n_features)))
+    for r in with_code(rows).mapInArrow(run, "p array<double>, f array<double>").collect():
+        points, features = points + unpack(r["p"], width), features + unpack(r["f"], n_features)
+    return points, features
+
+
+def summed_gradient(model: SequenceModel, rows: DataFrame, weigh: tuple[float, float]) -> tuple[int, float, dict[str, np.ndarray]]:
+    """Rows, loss and gradient of a mini-batch, summed by its tasks, whose sums the driver adds up."""
+    width, n_features = len(model.scale["m"]), len(model.scale["fm"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, grad = 0, 0.0, {k: np.zeros_like(v) for k, v in model.weights.items()}
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                x, f, y, w = read_rows(b, width, n_features)
+                more, g = model.gradient(x, f, y, w * np.where(y == 1, *weigh))
+                n, loss, grad = n + len(y), loss + more, {k: v + g[k] for k, v in grad.items()}
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([np.concatenate([v.ravel() for v in grad.values()])])], names=["n", "loss", "grad"])
+
+    got = with_code(rows).mapInArrow(run, "n bigint, loss double, grad array<double>").collect()
+    flat = np.sum([r["grad"] for r in got], axis=0) if got else np.zeros(0)
+    grad, at = {}, 0
+    for k, v in model.weights.items() if got else ():
+        grad[k], at = flat[at : at + v.size].reshape(v.shape), at + v.size
+    return sum(r["n"] for r in got), sum(r["loss"] for r in got), grad
+
+
+def train(df: DataFrame, settings: Settings, label: str = "class", weight: str | None = None, key: str = "row_index", report: Callable[[int, float], None] | None = None) -> SequenceModel:
+    """Fit on all rows: as SequenceModel.fit, with mini-batches of some `batch` rows by their hash, each a pass of at most SPREAD tasks.
+
+    Rows are written once, dealt out and sorted by mini-batch, so that a step reads its own. Scales and the labels'
+    shares come from one pass each. A lost executor costs a step's tasks.
+    """
+    sequence = F.col("sequence").cast("array<array<double>>") if "sequence" in df.columns else F.lit(None).cast("array<array<double>>")
+    features = [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(settings.columns)]
+    own = df.select(sequence.alias("sequence"), F.col(label).cast("int").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *features, F.col(key).alias("__key"))
+    store = Store(df.sparkSession, "networks")
+    first = own.agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"), F.max(F.size(F.get("sequence", F.lit(0)))).alias("width")).first()
+    batches = max(1, -(-first["n"] // settings.batch))
+    batch = batch_of(settings, "__key", batches)
+    dealt = own.withColumn("batch", batch).withColumn("folder", F.pmod(F.col("batch"), F.lit(FOLDERS))).withColumn("part", F.pmod(F.xxhash64("__key"), F.lit(min(SPREAD, -(-settings.batch // 32))))).drop("__key")
+    dealt = dealt.repartition(min(batches * SPREAD, 4096), "folder", "part").sortWithinPartitions("folder", "batch")
+    rows = store.table(dealt, "rows", by="folder").drop("part")
+    names = ["sequence", "y", "w", *(f"f{i}" for i in range(len(features)))]
+    model = SequenceModel(settings)
+    width = max(1, first["width"] or 1)
+    model.scale = scale_of(*moments_of(rows.select(names), width, len(features)))
+    model.start(width, len(features))
+    weigh = balanced(first["n"], first["pos"]) if settings.balance else (1.0, 1.0)
+    adam, rng = Adam(model.weights), np.random.default_rng(settings.seed)
+    for epoch in range(settings.epochs):
+        total = 0.0
+        for k in rng.permutation(batches):
+            step = rows.where((F.col("folder") == int(k) % FOLDERS) & (F.col("batch") == int(k))).select(names)
+            n, loss, grad = summed_gradient(model, step, weigh)
+            if n:
+                total += loss / n
+                adam.move(model.weights, {name: g / n for name, g in grad.items()}, settings.rate, settings.decay)
+        if report:
+            report(epoch, total)
+    store.drop_all()
+    return model
 
 
 def predict(model: SequenceModel, df: DataFrame, key: str = "row_index") -> DataFrame:

@@ -34,9 +34,10 @@ class Store:
         self.tables: list[str] = []
         atexit.register(self._close)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write and read back; with `by` in a folder for each value of that column."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

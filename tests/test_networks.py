@@ -76,3 +76,39 @@ def test_predictions_are_kept_for_the_same_model_and_rows(spark, tmp_path, monke
 def test_settings_are_checked(wrong):
     with pytest.raises(ValueError):
         N.Settings(**wrong)
+
+
+@pytest.mark.parametrize("cell", ["gru", "transformer"])
+def test_training_on_tables_equals_one_process(spark, cell):
+    """All rows count, in mini-batches that several tasks share; losses, weights and probabilities are those of a single process."""
+    seqs, feats, y = data(150, seed=3)
+    rows = [(i, s.tolist(), *map(float, f), int(k), 1.0 + i % 3) for i, (s, f, k) in enumerate(zip(seqs, feats, y, strict=True))]
+    df = spark.createDataFrame(rows, "row_index int, sequence array<array<double>>, a double, b double, c double, class int, u double").repartition(5)
+    s = N.Settings(cell=cell, hidden=4, head=(6,), columns=("a", "b", "c"), epochs=3, batch=64)
+    losses = []
+    got = N.train(df, s, weight="u", report=lambda k, v: losses.append(v))
+    batch = {r.row_index: r.b for r in df.select("row_index", N.batch_of(s, "row_index", 3).alias("b")).collect()}
+    alone = []
+    want = N.SequenceModel(s).fit(seqs, feats, y, np.array([1.0 + i % 3 for i in range(150)]), lambda k, v: alone.append(v), np.array([batch[i] for i in range(150)]))
+    assert losses == pytest.approx(alone, abs=1e-6) and losses[-1] < losses[0]
+    for k, v in want.weights.items():
+        assert np.allclose(got.weights[k], v, atol=1e-6), k
+    assert np.allclose(got.probabilities(seqs, feats), want.probabilities(seqs, feats), atol=1e-6)
+
+
+def test_driver_gets_sums_alone(spark, monkeypatch):
+    """What comes to the driver is as long as the weights, however many rows there are."""
+    seen, real = [], N.summed_gradient
+
+    def watched(model, rows, weigh):
+        n, loss, grad = real(model, rows, weigh)
+        seen.append((n, sum(v.size for v in grad.values())))
+        return n, loss, grad
+
+    monkeypatch.setattr(N, "summed_gradient", watched)
+    monkeypatch.setattr(N.DataFrame, "toArrow", lambda *_: pytest.fail("rows in the driver"), raising=False)
+    s = N.Settings(mode="features_only", columns=("a",), head=(4,), epochs=1, batch=500)
+    for n in (300, 3000):
+        seen.clear()
+        m = N.train(spark.range(n).selectExpr("id AS row_index", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 7 > 3 AS INT) AS class"), s)
+        assert sum(k for k, _ in seen) == n and {size for _, size in seen} == {sum(v.size for v in m.weights.values())}
