@@ -364,19 +364,26 @@ def extract_all_features(spark, sf_dir):
 
 
 def _group_of_all(name: str, twin: str, like: str) -> None:
-    """A group of columns of the whole feature table against its twin: cleaning and wavelets are off, which have twins of their own."""
+    """A group of columns of the whole feature table, made with its defaults, against its twin on cleaned series. Only the sink's narrowing is off."""
 
-    @query(name, twin)
+    @query(name, twin.replace(SERIES, sql.CLEAN_SERIES))
     def run(spark, sf_dir):
         from driftcurve.operators.features import extract_all
 
-        got = extract_all(curves(spark, sf_dir), od_k=0, wavelets=(), float32=False)
-        return rounded(got.select("id", *(c for c in got.columns if re.fullmatch(like, c))))
+        got = extract_all(curves(spark, sf_dir), float32=False)
+        got = got.select("id", *(c for c in got.columns if re.fullmatch(like, c)))
+        return rounded(got.withColumns({c: F.round(F.col(c) + 3e-7, 2) for c in got.columns if c.endswith("_energy")}))
 
 
 for _x in ("mag", "magerr", "norm", "velocity", "mjd_diff"):
     _group_of_all(f"all_features_{_x}", sql.main_stats(_x, _x != "norm"), f"{_x}_({'|'.join(fam.MAIN)})")
 
+_SHAPE_NAMES = rf"mjd_span|(mag|norm|vel)_(?!to_|from_|wv_|({'|'.join([*fam.MAIN, *fam.FRACTIONS])})$).*"
+_SHAPES = [sql.shape("mag"), sql.shape("norm", True), sql.shape("velocity").replace(" AS velocity_", " AS vel_")]
+_group_of_all("all_features_shape", "SELECT * FROM " + " JOIN ".join(f"({q}) s{i}" + (" USING (id)" if i else "") for i, q in enumerate(_SHAPES)), _SHAPE_NAMES)
+_group_of_all("all_features_split", sql.split(("mag", "norm", "velocity"), "argmin"), "(mag|norm|velocity)_(to|from)_argmin_.*")
+_group_of_all("all_features_fractions", SQL["shape_fractions"], "|".join(f"norm_{k}" for k in fam.FRACTIONS))
+
 
 @query("series_corr", f"WITH {SERIES} SELECT id, {r6('corr(mag, norm)', 'corr_mag_norm')}, {r6('corr(mag, mjd)', 'corr_mag_mjd')} FROM series GROUP BY id")
 def series_corr(spark, sf_dir):

@@ -27,6 +27,23 @@ SERIES = CURVES + """, medians AS (
 )"""
 
 
+#: As SERIES, of curves whose only outlier (beyond the quartiles by 40 interquartile ranges) is replaced by its neighbours' mean.
+CLEAN_SERIES = (
+    CURVES.replace("curves AS", "raw AS", 1)
+    + """, quarts AS (
+  SELECT id, quantile_cont(mag, 0.25) AS q1, quantile_cont(mag, 0.75) AS q3 FROM raw GROUP BY id
+), far AS (
+  SELECT r.*, mag < q1 - 40 * (q3 - q1) OR mag > q3 + 40 * (q3 - q1) AS out, lag(mag) OVER w AS before, lead(mag) OVER w AS after
+  FROM raw r JOIN quarts USING (id) WINDOW w AS (PARTITION BY r.id ORDER BY r.pos)
+), counted AS (
+  SELECT *, count(*) FILTER (out) OVER (PARTITION BY id) AS outs FROM far
+), curves AS (
+  SELECT id, event_id, mjd, CASE WHEN outs = 1 AND out THEN coalesce((before + after) / 2, before, after, mag) ELSE mag END AS mag, magerr, class, pos FROM counted
+)"""
+    + SERIES[len(CURVES) :]
+)
+
+
 def main_stats(x: str, entropy: bool = True, source: str = "series", ctes: str = SERIES) -> str:
     out = [
         r6("avg(x)", f"{x}_mean"), r6("stddev_samp(x)", f"{x}_std"), r6("min(x)", f"{x}_min"), r6("max(x)", f"{x}_max"), r6("median(x)", f"{x}_median"),

@@ -137,3 +137,16 @@ def test_extract_all_has_its_columns_and_needs_one_shuffle(spark):
 def test_fractions_need_their_counts(spark):
     with pytest.raises(ValueError):
         fam.with_fractions(spark.createDataFrame([(1, 2)], "id int, npoints int"))
+
+
+def test_column_groups_of_the_whole_table_are_complete(spark):
+    """Statistics, shapes, split statistics and fractions: all columns that the wavelets and the row's own ones leave."""
+    import __spark_entry__ as entry
+    from driftcurve.operators.features import extract_all
+    from driftcurve.sources.curves import curves
+
+    sf = "/root/testdata/sf0.001"
+    sizes = {n: len(entry.queries()[f"all_features_{n}"](spark, sf).columns) - 1 for n in ("shape", "split", "fractions", "mag", "magerr", "norm", "velocity", "mjd_diff")}
+    assert (sizes["shape"], sizes["split"], sizes["fractions"]) == (68, 108, 4) and sum(sizes.values()) == 68 + 108 + 4 + 79
+    whole = [c for c in extract_all(curves(spark, sf)).columns if "_wv_" not in c]
+    assert len(whole) == sum(sizes.values()) + len({"id", "class", "had_od", "npoints", "ts"})
