@@ -23,11 +23,15 @@ CELL_ROWS, MAX_CENTROIDS = 1024, 1024
 #: What a task holds: vectors of a cell, and queries that visit it; a cell with more is compared by several tasks. Queries compared at once.
 BLOCK_ROWS, QUERY_ROWS, CHUNK = 4096, 32_768, 512
 THRESHOLD = 0.9
+#: Vectors of one length that one task compares with each other.
+FEW_ROWS = 64
 #: The share of pairs at exactly the threshold that a traversal must meet; closer pairs are met more surely.
 RECALL = 0.99
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; their largest components are brought near one first, by powers of two, so that no square is lost or infinite."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -128,6 +132,8 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float) -> Mult
     if len(p):
         over.append(excess(index, x[p], sample[q]))
     index.margin = float(max(np.quantile(o, recall) for o in over)) + 1e-9
+    if not math.isfinite(index.margin):
+        raise ValueError("a vector without a finite direction came into the sample")
     return index
 
 
@@ -233,6 +239,25 @@ def search(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float, rec
     return dealt.groupBy("task").applyInArrow(solve, "rep bigint, links bigint, dst bigint")
 
 
+def search_small(vectors: DataFrame, threshold: float) -> DataFrame:
+    """As search, for lengths of at most FEW_ROWS vectors each: a length is one cell, and all of them are one job."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        x = matrix(t["v"].combine_chunks(), t["dim"][0].as_py())
+        rep, weight = t["rep"].to_numpy(), t["weight"].to_numpy()
+        p, q = np.nonzero(x @ x.T >= threshold)
+        p, q = p[p != q], q[p != q]
+        links, forest = np.zeros(len(x), np.int64), Forest(len(x))
+        np.add.at(links, p, weight[q])
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
+            forest.join(i, j)
+        found = np.flatnonzero(links)
+        return pa.table({"rep": rep[found], "links": links[found], "dst": rep[forest.roots(found)]})
+
+    return with_code(vectors.select("rep", "weight", "v", "dim")).groupBy("dim").applyInArrow(solve, "rep bigint, links bigint, dst bigint")
+
+
 def nth(*keys: np.ndarray) -> np.ndarray:
     """The place of each entry within its run of equal keys."""
     n = len(keys[0])
@@ -264,10 +289,10 @@ def embedding_near_dedup(vectors: DataFrame, scratch: Scratch, threshold: float
     keys = scratch.table(keys, "vectors")
     reps = keys.where("v IS NOT NULL").groupBy("a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     reps = scratch.table(reps, "distinct")
-    found = None
-    for row in reps.select("dim").distinct().collect():  # lengths, not vectors
-        part = search(reps.where(F.col("dim") == row["dim"]), row["dim"], scratch, threshold, recall)
-        found = part if found is None else found.union(part)
+    common = [r["dim"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > FEW_ROWS).collect()]
+    found = None if reps.isEmpty() else search_small(reps.where(~F.col("dim").isin(common)), threshold)
+    for dim in common:
+        found = found.union(search(reps.where(F.col("dim") == dim), dim, scratch, threshold, recall))
     same_id = keys.where("vec_id IS NOT NULL").groupBy(F.col("vec_id").alias("again")).agg(F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("again")
     same_id = scratch.table(same_id, "repeats")
     if found is None:

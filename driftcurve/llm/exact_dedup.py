@@ -8,8 +8,8 @@ from driftcurve.llm.storage import Scratch
 
 #: Parts in which the query deals a collection to its index.
 BATCHES = 2
-#: The share of all rows from which on a text is too common for one task.
-HOT = 0.001
+#: The share of all rows from which on a text is too common for one task, and the rows that no task minds.
+HOT, FEW = 0.001, 64
 
 
 def normalised(text: Column) -> Column:
@@ -85,12 +85,12 @@ def digests(docs: DataFrame) -> DataFrame:
 def resolved(keyed: DataFrame, index: DigestIndex, scratch: Scratch, keep: str) -> DataFrame:
     """Each row of the table `keyed` (doc_id, digest) with its text's group; `keep` names the id that stays.
 
-    Rows of texts that make up HOT of all rows or more meet a broadcast table of them, which has 1 / HOT rows at
+    Rows of texts that make up HOT of all rows or more, and FEW at least, meet a broadcast table of them, which has 1 / HOT rows at
     most; all others are shuffled to the index, which is read in place.
     """
     total = keyed.count()
     groups = index.groups().select("held", F.col(keep).alias("keep_id"), "n_rows")
-    hot = keyed.groupBy(F.col("digest").alias("common")).agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(HOT) * F.lit(total)).select("common")
+    hot = keyed.groupBy(F.col("digest").alias("common")).agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(max(FEW, HOT * total))).select("common")
     hot = scratch.table(hot, "hot")
     known = scratch.table(groups.join(F.broadcast(hot), F.col("held") == F.col("common")).drop("common"), "hot-groups")
     marked = keyed.join(F.broadcast(known.withColumnRenamed("held", "common")), F.col("digest") == F.col("common"), "left")

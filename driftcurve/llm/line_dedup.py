@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from driftcurve.llm.storage import Scratch
+from driftcurve.llm.storage import Scratch, free_prefix
 
 RATIO = 0.1
 #: A line that no other page has is nobody's boilerplate. The ratio alone would empty every host of fewer than ten pages.
@@ -45,17 +45,20 @@ def line_dedup(docs: DataFrame, scratch: Scratch, host: str = "source", ratio: f
     boiler = counts.join(pages, site.eqNullSafe(F.col("__site"))).where(F.col("__n") > F.lit(ratio) * F.col("__pages")).select(F.col("__host").alias("__bh"), F.col("__key").alias("__bk"))
     boiler = scratch.table(boiler, "boilerplate")
     hits = lines.join(boiler, site.eqNullSafe(F.col("__bh")) & (F.col("__key") == F.col("__bk")))
-    hits = hits.groupBy(F.col("__doc").alias("__hd"), F.col("__host").alias("__hh")).agg(F.collect_set("__key").alias("__drop"))
+    p = free_prefix(docs)
+    own = lambda name: F.col(p + name)
+    hits = hits.groupBy(F.col("__doc").alias(p + "doc"), F.col("__host").alias(p + "host")).agg(F.collect_set("__key").alias(p + "drop"))
     hits = scratch.table(hits, "hits")
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__hd")) & F.col(host).eqNullSafe(F.col("__hh")), "left")
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(own("doc")) & docs[host].eqNullSafe(own("host")), "left")
     split = F.split(F.col("text"), "\n")
-    stay = F.filter(F.arrays_zip(split.alias("line"), line_keys(F.col("text")).alias("key")), lambda x: x["key"].isNull() | ~F.array_contains(F.col("__drop"), x["key"]))
-    joined = joined.withColumn("__left", F.when(F.col("__drop").isNotNull(), stay))
-    text = F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.array_join(F.col("__left.line"), "\n"))
-    gone = F.when(F.col("__left").isNull(), F.lit(0)).otherwise(F.size(split) - F.size("__left"))
-    joined = joined.withColumn("__text", text).withColumn("n_lines_dropped", gone.cast("bigint"))
-    columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c != "n_lines_dropped"]
-    return joined.select(*columns, "n_lines_dropped")
+    stay = F.filter(F.arrays_zip(split.alias("line"), line_keys(F.col("text")).alias("key")), lambda x: x["key"].isNull() | ~F.array_contains(own("drop"), x["key"]))
+    joined = joined.withColumn(p + "left", F.when(own("drop").isNotNull(), stay))
+    text = F.when(own("left").isNull(), F.col("text")).otherwise(F.array_join(own("left")["line"], "\n"))
+    gone = F.when(own("left").isNull(), F.lit(0)).otherwise(F.size(split) - F.size(own("left")))
+    joined = joined.withColumns({p + "text": text, p + "gone": gone.cast("bigint")})
+    plain = {"text": own("text"), "n_chars": F.length(own("text")).cast("bigint")}
+    columns = [plain.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c != "n_lines_dropped"]
+    return joined.select(*columns, own("gone").alias("n_lines_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from driftcurve.llm.storage import Scratch
+from driftcurve.llm.storage import Scratch, free_prefix
 
 SEED = 42
 #: Documents that a block should hold.
@@ -199,17 +199,19 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     last = m.dealt.join(times.where("room IS NOT NULL"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
     last = last.where(F.col("within") + F.col("tokens") <= F.col("room")).groupBy(F.col("__s").alias("__cs"), F.col("__b").alias("__cb")).agg(F.max(F.struct("h", F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("__upto"))
     times = times.join(last, F.col("__s").eqNullSafe(F.col("__cs")) & (F.col("__b") == F.col("__cb")), "left")
-    times = scratch.table(times.select("__s", "__b", F.col("times").alias("__times"), "__upto"), "times")
-    sizes = m.planned.select(F.col("source").alias("__p"), F.col("blocks").alias("__blocks"))
+    p = free_prefix(docs)
+    own = lambda name: F.col(p + name)
+    times = scratch.table(times.select(F.col("__s").alias(p + "s"), F.col("__b").alias(p + "b"), F.col("times").alias(p + "times"), F.col("__upto").alias(p + "upto")), "times")
+    sizes = m.planned.select(F.col("source").alias(p + "source"), F.col("blocks").alias(p + "blocks"))
 
     h = order_of(m.seed)
-    joined = docs.join(sizes, F.col("source").cast("string").eqNullSafe(F.col("__p")))
-    joined = joined.withColumn("__block", F.pmod(h, F.col("__blocks")))
-    joined = joined.join(times, F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    joined = docs.join(sizes, F.col("source").cast("string").eqNullSafe(own("source")))
+    joined = joined.withColumn(p + "block", F.pmod(h, own("blocks")))
+    joined = joined.join(times, F.col("source").cast("string").eqNullSafe(own("s")) & (own("block") == own("b")))
     doc = F.col("doc_id").cast("bigint")
-    more = F.coalesce(F.struct(h.alias("h"), doc.isNotNull().alias("named"), doc.alias("doc_id")) <= F.col("__upto"), F.lit(False))
-    joined = joined.withColumn("__n", (F.col("__times") + more.cast("int")).cast("int")).where("__n > 0")
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    more = F.coalesce(F.struct(h.alias("h"), doc.isNotNull().alias("named"), doc.alias("doc_id")) <= own("upto"), F.lit(False))
+    joined = joined.withColumn(p + "n", (own("times") + more.cast("int")).cast("int")).where(own("n") > 0)
+    return joined.withColumn(p + "nth", F.explode(F.sequence(F.lit(1), own("n")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftcurve.llm.components import connected_components
-from driftcurve.llm.storage import Scratch
+from driftcurve.llm.storage import Scratch, free_prefix
 from driftcurve.session import with_code
 
 SEED = 42
@@ -626,6 +626,14 @@ def verified_links(sets: DataFrame, similarity: float, scratch: Scratch) -> Data
 # --- the operator ------------------------------------------------------------------------------
 
 
+#: Nodes of rows without an id: above all ids, which are below 2^62. `one_of_each` makes those from NO_ID on, `near_dedup` those from UNNAMED on.
+NO_ID, UNNAMED = 1 << 62, 3 << 61
+
+
+def made_node(base: int, *keys: Column) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(base))
+
+
 def repeats(own: DataFrame, reps: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """(src, dst): edges from each id that stands on rows with different keys to the representatives of all of them."""
     key = F.struct(*keys)
@@ -650,26 +658,27 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int =
     Of a pair at `radius` bits that meets, comparing first words first loses 3e-9.
 
     Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows
-    share a component; rows that repeat a doc_id with different texts count as one document; a row with
-    a null doc_id is labelled by the others' ids (null if there are none); an empty table gives an empty
+    share a component; rows that repeat a doc_id with different texts count as one document; ids are below 2^62; a
+    row with a null doc_id links like any other and is labelled by the others' ids (null if there are none); an empty table gives an empty
     one; other columns are ignored.
     """
     names = word_names(n_words)
     exact = n_words > 1
     keys = [*names, "same"] if exact else names
     own = scratch.table(shingled(docs, words, n_words) if exact else fingerprints(docs, words, n_words), "fingerprints")
-    reps = scratch.table(own.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "representatives")
-    known = reps.where(F.col("rep").isNotNull())
-    links = vp_links(known, radius) if n_words == 1 and radius <= 4 else band_links(known, radius, n_words)
+    made = made_node(UNNAMED, *(F.col(x) for x in keys))
+    reps = scratch.table(own.groupBy(*keys).agg(F.coalesce(F.min("doc_id"), F.first(made)).alias("rep")), "representatives")
+    links = vp_links(reps, radius) if n_words == 1 and radius <= 4 else band_links(reps, radius, n_words)
     same_id = repeats(own, reps, keys, scratch)
     labels = connected_components(scratch.table(links if exact else links.unionByName(same_id), "links"), scratch)
     if exact:
-        near = known.join(labels, known.rep == labels.node).select("rep", F.col("same").alias("rsame"), *(F.col(x).alias(f"r{x}") for x in names), "label")
-        same_row = (F.col("doc_id") == F.col("rep")) & (F.col("same") == F.col("rsame"))
+        near = reps.join(labels, reps.rep == labels.node).select("rep", F.col("same").alias("rsame"), *(F.col(x).alias(f"r{x}") for x in names), "label")
+        same_row = (F.coalesce("doc_id", made) == F.col("rep")) & (F.col("same") == F.col("rsame"))
         sets = own.join(near, [same_row, *(F.col(x) == F.col(f"r{x}") for x in names)]).select("label", "rep", "same", "shingles")
         links = verified_links(scratch.table(sets, "sets"), similarity, scratch).unionByName(same_id)
         labels = connected_components(scratch.table(links, "verified"), scratch)
     labelled = reps.join(labels, reps.rep == labels.node, "left").select(*(F.col(x).alias(f"r{x}") for x in keys), F.coalesce("label", "rep").alias("component_id"))
+    labelled = labelled.withColumn("component_id", F.when(F.col("component_id") < F.lit(UNNAMED), F.col("component_id")))
     labelled = scratch.table(labelled, "labelled")
     return own.join(labelled, [F.col(x) == F.col(f"r{x}") for x in keys]).select("doc_id", *names, "component_id")
 
@@ -688,14 +697,14 @@ def one_of_each(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     Rows are combined by id before and after their shuffle, so a repeated id brings one row per task.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    made = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("bigint"), made))
-    found = near_dedup(keyed.select(F.col("__node").alias("doc_id"), "text"), scratch, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    p = free_prefix(docs)
+    keyed = docs.withColumn(p + "node", F.coalesce(F.col("doc_id").cast("bigint"), made_node(NO_ID, text)))
+    found = near_dedup(keyed.select(F.col(p + "node").alias("doc_id"), "text"), scratch, **options)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     order = F.struct(F.md5(text.cast("binary")), F.xxhash64(*plain))
-    one = keyed.groupBy("__node").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("__row"))
-    return one.join(kept, F.col("__node") == F.col("__kept"), "left_semi").select("__row.*")
+    one = keyed.groupBy(F.col(p + "node").alias("node")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row"))
+    return one.join(kept, F.col("node") == F.col("kept"), "left_semi").select("row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

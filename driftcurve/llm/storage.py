@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def free_prefix(df: DataFrame) -> str:
+    """The start of a name that no column of the frame has, for columns beside its own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 class Scratch:
     """Named Parquet tables under one folder of the shared directory.
 

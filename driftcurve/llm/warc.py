@@ -133,9 +133,15 @@ def split_http(block: bytes) -> tuple[str, Header, bytes]:
     return status, pairs, payload
 
 
+def head_of(payload: bytes) -> bytes:
+    """What lies before the body of a page; all of it where none begins."""
+    at = payload.lower().find(b"<body")
+    return payload if at < 0 else payload[:at]
+
+
 def named_charset(headers: Header, payload: bytes) -> str:
     """The encoding that the content type names, or else a meta element; else UTF-8."""
-    for text in (next((v for k, v in headers if k.lower() == "content-type"), ""), payload[:2048].decode("latin-1")):
+    for text in (next((v for k, v in headers if k.lower() == "content-type"), ""), head_of(payload).decode("latin-1")):
         at = text.lower().find("charset=")
         if at >= 0 and (name := text[at + 8 :].strip(" \"'").split(";")[0].split('"')[0].split("'")[0].split(">")[0].strip(" /")):
             return name.lower()

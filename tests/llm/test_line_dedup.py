@@ -49,3 +49,10 @@ def test_long_text_with_many_lines(spark):
 @pytest.mark.parametrize("rows", [[], [(1, "", "a", 0, 0, None)], [(1, "only\nonly", "a", 0, 0, None)]])
 def test_small_tables(spark, rows):
     assert [(r.doc_id, r.text, r.n_lines_dropped) for r in run(spark, rows).collect()] == brute(rows)
+
+
+def test_columns_with_any_name_pass_through(spark):
+    rows = [(i, "h", f"shared\nown {i}", 70 + i, 80 + i, 90 + i, 60 + i, 50 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, __drop int, __text int, __hd int, ___left int, `a.b` int")
+    got = sorted(map(tuple, L.line_dedup(df, Scratch(spark, "t")).collect()))
+    assert got == [(i, "h", f"own {i}", 70 + i, 80 + i, 90 + i, 60 + i, 50 + i, 1) for i in range(3)]

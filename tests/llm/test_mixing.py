@@ -124,3 +124,10 @@ def test_edge_cases(spark):
     assert {(r.doc_id, r.source, r.tokens) for r in got} == {(1, None, 1), (2, "a", 3), (None, "b", 1), (3, "c", 100_000)}
     assert M.mixed_documents(odd, Scratch(spark, "t"), max_repetition=1.0).count() == 5
     assert M.mixed_documents(odd.union(odd), Scratch(spark, "t"), max_repetition=1.0).count() == 10
+
+
+def test_columns_with_any_name_pass_through(spark):
+    rows = [(i, f"s{i % 2}", f"some words {i}", 70 + i, 80 + i, 90 + i) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, __n int, __times int, block int")
+    got = M.mixed_documents(df, Scratch(spark, "t")).distinct().collect()
+    assert sorted(map(tuple, got)) == rows

@@ -255,3 +255,31 @@ def test_sets_in_bytes():
     h = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
     assert S.unpacked_set(S.packed_set(h)).tolist() == sorted({int(x) & (1 << 8 * S.SET_BYTES) - 1 for x in h})
     assert len(S.packed_set(h)) == 500 * S.SET_BYTES and len(S.unpacked_set(S.packed_set(h[:0]))) == 0
+
+
+def test_rows_without_ids_carry_links(spark):
+    """A and B, B and C are near; B has no id, and its links count all the same."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)]
+    fp = lambda t: next(iter(S.fingerprints(spark.createDataFrame([(1, t)], "doc_id bigint, text string"), 3, 1).collect()))["f0"] & (2**64 - 1)
+    base = fp(texts[0])
+    tried = 0
+    while len(texts) < 3 and tried < 400:
+        more = texts[-1].split(" ")
+        more[(tried * 37) % 400] += f"x{tried}"
+        other, tried = " ".join(more), tried + 1
+        far = [(fp(other) ^ fp(t)).bit_count() for t in texts]
+        if far[-1] in (1, 2) and (len(texts) == 1 or far[0] > 2):
+            texts.append(other)
+    assert len(texts) == 3 and base
+    for middle, want in ((None, {(1, 1), (None, 1), (3, 1)}), (2, {(1, 1), (2, 1), (3, 1)})):
+        df = spark.createDataFrame([(1, texts[0]), (middle, texts[1]), (3, texts[2])], "doc_id bigint, text string")
+        assert {(r.doc_id, r.component_id) for r in S.near_dedup(df, Scratch(spark, "t"), 3, 2, 1).collect()} == want
+    alone = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, "other words here now")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in S.near_dedup(alone, Scratch(spark, "t"), 3, 2, 1).collect()} == {(None, None), (5, 5)}
+
+
+def test_columns_with_any_name_pass_through(spark):
+    rows = [(1, "a b c d e f", 77, 88, 99), (2, "g h i j k l", 78, 89, 98)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __node int, node int, row int")
+    assert sorted(map(tuple, S.one_of_each(df, Scratch(spark, "t")).collect())) == rows

@@ -120,3 +120,9 @@ def test_query_equals_plain_python(spark):
         words = html.unescape(re.sub(r"(?s)<[^>]*>", " ", bare)).split()
         assert text.block.replace(" ", "").replace("\n", "") == "".join(words)
         assert f"text-length: {len(text.block)}\r\n" in meta.block and f"conversion-id: <{text.record_id}>" in meta.block
+
+
+def test_charset_is_seen_wherever_the_head_ends():
+    far = b"<html><head>" + b"<!-- " + b"x" * 5000 + b" --><meta charset='latin-1'></head><body>caf\xe9 charset=ascii</body>"
+    assert W.decoded([], far) == ("latin-1", far.decode("latin-1"))
+    assert W.decoded([], b"<body>charset=latin-1 \xc3\xa9")[0] == "utf-8"
