@@ -25,6 +25,8 @@ WORD_PAGES = 10
 OUTER = 0.9
 #: A text belongs to its class if it stands on this share of the pages that hold the class.
 NEARLY = 0.9
+#: Sections at one path are of one kind if the smaller one's text is this share of the larger one's.
+LIKE = 0.2
 #: Steps that a path spells out at its start and at its end; those between are one step with their hash and what their names say.
 ENDS = 32
 
@@ -98,6 +100,15 @@ def middle(says: str, digest: int) -> str:
 LETTERS = str.maketrans("0123456789", "ghijklmnop")
 
 
+ORDINALS = "bcdefgh"
+ORDINAL = re.compile(rf"\.~[{ORDINALS}](?=/|$)")
+
+
+def unnumbered(path: str) -> str:
+    """A path without the order of its nameless sections."""
+    return ORDINAL.sub("", path) if ".~" in path else path
+
+
 class Chain:
     """The open elements of a page: their steps, and for each a path of bounded length that tells any two chains apart."""
 
@@ -105,13 +116,19 @@ class Chain:
         self.steps: list[str] = []
         self.paths: list[str] = []
         self.deep: list[tuple[int, str]] = []  # from step ENDS on: the hash of the steps from there, and what they say
+        self.inside: list[dict[str, int]] = [{}]  # of each open element, and of the page, how many sections without a name it has by now
 
     @property
     def path(self) -> str:
         return self.paths[-1] if self.paths else ""
 
     def push(self, step: str) -> None:
+        """Open an element. Sections that no name tells apart are told apart by their order, up to the eighth."""
         steps = self.steps
+        if step in SECTIONS:
+            n = self.inside[-1][step] = self.inside[-1].get(step, 0) + 1
+            step += f".~{ORDINALS[min(n, 8) - 2]}" if n > 1 else ""
+        self.inside.append({})
         steps.append(step)
         n = len(steps) - ENDS
         if n > 0:
@@ -126,7 +143,7 @@ class Chain:
             self.paths.append(f"{self.paths[-1]}/{step}" if self.paths else step)
 
     def cut(self, i: int) -> None:
-        del self.steps[i:], self.paths[i:], self.deep[max(0, i - ENDS) :]
+        del self.steps[i:], self.paths[i:], self.deep[max(0, i - ENDS) :], self.inside[i + 1 :]
 
 
 def hash_of(text: str) -> int:
@@ -287,7 +304,7 @@ def page_tokens(x: dict[str, list]) -> dict[str, list]:
 def layout_of(paths: Iterable[str]) -> str:
     """A page's layout: the sections at the first level below the root that has more than one kind of them."""
     below: dict[str, set[str]] = defaultdict(set)
-    for path in paths:
+    for path in map(unnumbered, paths):
         above, _, step = path.rpartition("/")
         if re.match(r"[^.#]*", step)[0] in SECTIONS:
             below[above].add(path)
@@ -362,9 +379,10 @@ def deduce(rows: list[dict]) -> dict:
     Elements with equal vectors whose parents are in one class form an equivalence class, ordered by
     their mean place; a class nests in its parents' class. The blocks and words that stand on nearly
     all pages of their element's class are tokens of it, too, and belong to the template, unless no
-    text differs from page to page. What is left at a path is a slot. Of the slots, those within the
-    main element stay; without one, those in the element with the most unlinked text. A name has a say
-    only between slots: one that would drop nearly all of them is passed over.
+    text differs from page to page. What is left at a path is a slot. The template chooses those in the
+    element with the most unlinked text, whatever anything is called. Names overrule it: slots within a main
+    element go before others, and one whose name says so goes; `named` are the paths on which they and the
+    template's own choice differ. A name that would drop nearly all slots is passed over.
     """
     total = next((r["pages"] for r in rows if r["path"] == ""), 0)
     if total < MIN_PAGES:
@@ -413,26 +431,52 @@ def deduce(rows: list[dict]) -> dict:
             under[at] += n
             at = parent(at)
     all_of = sum(slots.values())
+    # the template's own choice, whatever anything is called
+    unlinked = [p for p in slots if left[p][1] < LINKED * left[p][0]]
+    region = region_of(unlinked, slots)
+    own_choice = {p: p in region for p in texts}
     outer = frozenset(p for p, n in under.items() if all_of and n >= OUTER * all_of and said(p.rpartition("/")[2]) in ("drop", "header"))
     names = {p: standing(p, outer) for p in slots}
     keep = {p: False for p in texts}
     if main := [p for p, s in names.items() if s == "main"]:
         keep |= dict.fromkeys(main, True)
     else:
-        open_slots = [p for p, s in names.items() if s == "open" and left[p][1] < LINKED * left[p][0]]
-        free = defaultdict(int)
-        for p in open_slots:
-            free[parent(p)] += slots[p]
-        if free:
-            best = max(free, key=lambda p: (free[p], p))
-            keep |= {p: True for p in open_slots if p == best or p.startswith(f"{best}/") or not best}
-    return {"pages": total, "main": bool(main), "classes": classes, "outer": sorted(outer), "keep": keep}
+        open_slots = [p for p in unlinked if names[p] == "open"]
+        keep |= dict.fromkeys(region_of(open_slots, slots), True)
+    named = sorted(p for p in keep if keep[p] != own_choice[p])
+    return {"pages": total, "main": bool(main), "classes": classes, "outer": sorted(outer), "keep": keep, "named": named}
+
+
+def region_of(paths: list[str], slots: dict[str, int]) -> set[str]:
+    """Of some slots those in the element whose own children hold the most text, and in its like.
+
+    Like it are elements at the same path, but for the order of nameless sections, whose slot at the place of its
+    largest one holds a like amount.
+    """
+    parent = lambda p: p.rpartition("/")[0]
+    free: dict[str, int] = defaultdict(int)
+    for p in paths:
+        free[parent(p)] += slots[p]
+    if not free:
+        return set()
+    best = max(free, key=lambda p: (free[p], p))
+    if not best:
+        return set(paths)
+    inside = lambda p, at: p == at or p.startswith(f"{at}/")
+    largest = max((p for p in paths if parent(p) == best), key=lambda p: (slots[p], p))
+    alike = {parent(p) for p in paths if unnumbered(p) == unnumbered(largest) and slots[p] >= LIKE * slots[largest]}
+    return {p for p in paths if any(inside(p, at) for at in alike)}
 
 
 def in_class(r: dict, pages: int) -> bool:
     return r["pages"] >= NEARLY * pages
 
 
+def needed(template: dict) -> dict:
+    """What extraction needs of a template: the classes' texts, but not the elements that they were deduced from."""
+    return template | {"classes": [{k: c[k] for k in ("blocks", "words")} for c in template["classes"] if c["blocks"] or c["words"]]}
+
+
 def templates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
     """(template_host, template_layout, template): one row per layout of a host, the template as JSON.
 
@@ -457,7 +501,7 @@ def templates(parsed: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        return pa.table({"host": [rows[0]["host"]], "layout": [rows[0]["layout"]], "template": [json.dumps(deduce(rows))]})
+        return pa.table({"host": [rows[0]["host"]], "layout": [rows[0]["layout"]], "template": [json.dumps(needed(deduce(rows)))]})
 
     found = elements.unionByName(texts).groupBy("host", "layout").applyInArrow(run, "host string, layout string, template string")
     found = scratch.table(found, "deduced")
@@ -476,7 +520,7 @@ def prepared(template: dict) -> dict:
         for token in c["words"]:
             path, _, word = token.partition("\n")
             words[path].append(word)
-    return template | {"blocks": {t for c in template.get("classes", ()) for t in c["blocks"]}, "words": dict(words), "outer": frozenset(template.get("outer", ()))}
+    return template | {"blocks": {t for c in template.get("classes", ()) for t in c["blocks"]}, "words": dict(words), "outer": frozenset(template.get("outer", ())), "named": frozenset(template.get("named", ()))}
 
 
 def slot_of(path: str, text: str, words: list[str]) -> str:
@@ -505,10 +549,11 @@ def extracted(found: Iterable[tuple[str, str, int]], template: dict) -> dict:
     `n_fixed` blocks are the template's own, `n_cut` lost words that are; of the rest, the template's slots
     decide. Where the template lacks an element, the nearest one above it that it has decides, and else
     the element names. So they do on a page with a main element on a host whose template has none, or
-    the reverse. `n_named` counts the blocks on which names decided, those between whose slots a template
-    chose by the name of a main element included.
+    the reverse. `n_named` counts the blocks on which names decided: those without a template's choice, and
+    those where it was another.
     """
     keep, outer, fixed, words = (template[k] for k in ("keep", "outer", "blocks", "words"))
+    overruled = template["named"]
     decided: dict[str, tuple[bool | None, bool]] = {}
 
     def by_template(path: str) -> tuple[bool | None, bool]:
@@ -516,7 +561,7 @@ def extracted(found: Iterable[tuple[str, str, int]], template: dict) -> dict:
         if path in decided:
             return decided[path]
         if path in keep:
-            got = keep[path], bool(template.get("main"))
+            got = keep[path], path in overruled
         elif standing(path, outer) == "drop":
             got = False, True
         else:
@@ -533,7 +578,8 @@ def extracted(found: Iterable[tuple[str, str, int]], template: dict) -> dict:
             continue
         choice, named = by_template(p)
         if choice is None or has_main != template.get("main", has_main):
-            choice, named = names[p] == "main" if has_main else names[p] == "open" and linked < LINKED * len(t), True
+            by_name = names[p] == "main" if has_main else names[p] == "open" and linked < LINKED * len(t)
+            choice, named = by_name, named or by_name != choice
         out["n_named"] += named
         if choice and p in words:
             rest = slot_of(p, t, words[p])

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,47 @@ def test_deep_elements_keep_their_names_and_apart():
     assert [H.standing(p) for p, _, _ in blocks] == ["drop", "main"] and blocks[0][0] != blocks[1][0]
     assert max(len(p) for p, _, _ in H.blocks_of("<div class=abc>" * 20_000)) < 1000
     assert H.main_blocks(page, {"keep": {}}) == ["text"]
+
+
+def without_names(page):
+    """The page with classes, ids and roles as letters that say nothing, and sections as plain divs."""
+    import hashlib
+
+    def attribute(m):
+        words = (m[2] or m[3] or m[4] or "").split()
+        return m[1] + '="' + " ".join("k" + hashlib.md5(w.encode()).hexdigest()[:6].translate(H.LETTERS) for w in words) + '"'
+
+    def tag(m):
+        plain = re.sub(r"^(</?)(?:article|main|header|footer|nav|aside|section)\b", r"\1div", m[0], flags=re.I)
+        return re.sub(r"\b((?:class|id|role)\s*=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", attribute, plain, flags=re.I)
+
+    return re.sub(r"</?[a-zA-Z][^<>]*>", tag, page) if page else page
+
+
+def test_templates_decide_on_the_given_pages(spark):
+    """Names overrule the template on few blocks, and without any names nearly all pages give the same text."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = pages.collect()
+    got = {r.page_id: r for r in H.extract(pages, Scratch(spark, "t")).collect()}
+    blocks = sum(len([b for b in H.blocks_of(r.html) if b[1]]) for r in rows)
+    assert sum(r.n_named for r in got.values()) < 0.1 * blocks
+    hidden = spark.createDataFrame([(r.page_id, r.url, without_names(r.html)) for r in rows], "page_id bigint, url string, html string")
+    again = {r.page_id: r for r in H.extract(hidden, Scratch(spark, "t")).collect()}
+    alike = [i for i in got if got[i].text == again[i].text]
+    assert len(alike) >= 0.95 * len(rows)
+    assert not any("©" in again[i].text for i in alike)  # no footer is left
+    assert all(again[i].n_named > 0 for i in got if i not in alike)  # the others have no page to be compared with
+
+
+def test_names_overrule_a_template_and_are_counted(spark):
+    rows = [(i, "http://c.org/", f"<body><article><p>{(s := sentence())}</p></article><div class=comments><p>{sentence(90)}</p><p>{sentence(90)}</p></div></body>", s, None) for i in range(6)]
+    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()}
+    assert all((got[i].text, got[i].n_named) == (s, 3) for i, _, _, s, _ in rows)
+
+
+def test_nameless_sections_are_told_apart_by_their_order():
+    paths = [p for p, t, _ in H.blocks_of("<body><div>a</div><div>b<div>c</div><div>d</div></div><p>e</p><div class=x>f</div><div class=x>g</div></body>") if t]
+    assert paths == ["body/div", "body/div.~b", "body/div.~b/div", "body/div.~b/div.~b", "body/p", "body/div.x", "body/div.x"]
+    assert {H.unnumbered(p) for p in paths} == {"body/div", "body/div/div", "body/p", "body/div.x"} and H.layout_of(paths) == H.layout_of(map(H.unnumbered, paths))
+    slots = {"b/div/p": 900, "b/div.~b/p": 700, "b/div.~c/p": 20, "b/div.~b/ul/li": 50, "b/div.~d": 40}
+    assert H.region_of(list(slots), slots) == {"b/div/p", "b/div.~b/p", "b/div.~b/ul/li"} and H.region_of([], {}) == set()
