@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,7 +29,7 @@ LOOSE = {
     "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![A-Za-z0-9+/_-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
@@ -60,25 +61,47 @@ ACCEPT = 0.9
 # --- spans --------------------------------------------------------------------------------------
 
 
-def located(matches: Column, gaps: Column) -> Column:
-    """Matches and the gaps between them as structs (start, end, value), in code points.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(items: Column, zero: Column, step: Callable, emit: Callable, kind: str) -> Column:
+    """emit(state, item) for each item of an array, the state being what `step` made of the items before it.
 
-    A running sum over the array, in chunks, so that its cost stays near linear in the number of matches.
+    The state is carried over chunks first and then within each, so that an array of n items costs n steps twice
+    and no output is copied more often than a chunk has items.
     """
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("value"))
-    size = F.size(matches)
-    chunk_of = lambda c: F.slice(both, c * CHUNK + 1, F.lit(CHUNK))
-    numbers = F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))
+
+    def over(own: Column) -> Column:
+        chunk = lambda c: F.slice(own, c * CHUNK + 1, F.lit(CHUNK))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int"))
+        starts = F.aggregate(numbers, F.array(zero), lambda a, c: F.concat(a, F.array(F.aggregate(chunk(c), F.element_at(a, -1), step))))
+        none = F.array().cast(f"array<{kind}>")
+        within = lambda start, c: F.aggregate(chunk(c), F.struct(start.alias("s"), none.alias("out")), lambda a, x: F.struct(step(a["s"], x).alias("s"), F.concat(a["out"], F.array(emit(a["s"], x))).alias("out")), lambda a: a["out"])
+        return let(starts, lambda st: F.flatten(F.transform(numbers, lambda c: within(F.element_at(st, c + 1), c))))
+
+    return let(items, lambda own: F.when(F.size(own) > 0, over(own)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
+
+
+def located(matches: Column, gaps: Column) -> Column:
+    """Matches and the gaps between them as structs (start, end, value, before, after): places in code points, WINDOW characters before the match and one behind it."""
+    n = F.size(matches)
+    items = F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), matches.alias("value"), F.slice(gaps, 2, n).alias("next"), F.concat(F.slice(matches, 2, n), F.array(F.lit(""))).alias("follows"))
+    last = lambda *parts: F.right(F.concat(*(F.right(p, F.lit(WINDOW)) for p in parts)), F.lit(WINDOW))
     width = lambda x: F.length(x["gap"]) + F.length(x["value"])
-    lengths = F.transform(numbers, lambda c: F.aggregate(chunk_of(c), F.lit(0), lambda a, x: a + width(x)))
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + width(x)).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + width(x)).alias("end"), x["value"].alias("value")))).alias("out"),
-    )
-    inner = lambda c: F.aggregate(chunk_of(c), F.struct(F.element_at(starts, c + 1).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(size > 0, F.flatten(F.transform(numbers, inner))).otherwise(none)
+    step = lambda s, x: F.struct((s["at"] + width(x)).alias("at"), last(s["tail"], x["gap"], x["value"]).alias("tail"))
+
+    def emit(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"])
+        behind = F.when(x["next"] != "", F.left(x["next"], F.lit(1))).otherwise(F.left(x["follows"], F.lit(1)))
+        return F.struct(start.alias("start"), (s["at"] + width(x)).alias("end"), x["value"].alias("value"), F.lower(last(s["tail"], x["gap"])).alias("before"), behind.alias("after"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    return F.when(n > 0, scanned(items, zero, step, emit, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_matches(df: DataFrame, text: str, name: str, pattern: str, guard: Column) -> DataFrame:
@@ -130,8 +153,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
         def one(x: Column) -> Column:
             ok = passes(kind, x["value"]) if name == kind else F.lit(False)
-            before = F.lower(F.substring(F.col("__t"), F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, F.least(x["start"], F.lit(WINDOW))))
-            return F.struct(F.lit(kind).alias("kind"), F.lit(name == kind).alias("strict"), ok.alias("ok"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), before.alias("before"), F.substring(F.col("__t"), x["end"] + 1, F.lit(1)).alias("after"))
+            return F.struct(F.lit(kind).alias("kind"), F.lit(name == kind).alias("strict"), ok.alias("ok"), *(x[c].alias(c) for c in ("start", "end", "value", "before", "after")))
 
         return F.transform(F.col(f"__{name}"), one)
 
@@ -279,14 +301,26 @@ def learned(rows: list[tuple[str, tuple[int, ...], tuple[int, ...], float]]) ->
     return trust, weights
 
 
+def untouched(spans: Column, by: Column) -> Column:
+    """Those of some spans that overlap none of `by`, from one sweep over starts of `by` and ends of `spans`: a span is touched if of what starts before its end something ends behind its start."""
+    event = lambda pos, at, far, i: F.struct(pos.alias("pos"), F.lit(at).alias("by"), far.alias("far"), i.alias("i"))
+
+    def sweep(own: Column) -> Column:
+        events = F.concat(F.transform(by, lambda b: event(b["start"], 1, b["end"], F.lit(-1))), F.transform(own, lambda x, i: event(x["end"], 0, x["start"], i)))
+        step = lambda s, e: F.when(e["by"] == 1, F.greatest(s, e["far"])).otherwise(s)
+        touched = scanned(F.sort_array(events), F.lit(-1), step, lambda s, e: F.when((e["by"] == 0) & (s > e["far"]), e["i"]).otherwise(F.lit(-1)), "int")
+        places = F.transform(own, lambda _, i: i)
+        return F.transform(F.array_except(places, touched), lambda i: F.get(own, i))
+
+    return let(spans, lambda own: F.when((F.size(own) > 0) & (F.size(by) > 0), sweep(own)).otherwise(own))
+
+
 def decided(found: DataFrame, weights: dict[str, list[float]], accept: float = ACCEPT) -> DataFrame:
     """(doc_id, base, added): base spans, and the further candidates that the classifier accepts and that touch no base span and no better candidate.
 
     Of added spans that touch one another those with a form of their own (address, number) go before keys.
     """
     df = found.withColumn("base", F.filter("found", lambda x: x["strict"] & x["ok"]))
-    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-
     none = [-1e9] + [0.0] * (len(LABELERS) + SHAPES)
     table = F.create_map(*(c for k in ALL_KINDS for c in (F.lit(k), F.array(*(F.lit(float(w)) for w in weights.get(k, none))))))
 
@@ -296,11 +330,10 @@ def decided(found: DataFrame, weights: dict[str, list[float]], accept: float = A
         return F.aggregate(terms, w[0], lambda a, t: a + t)
 
     bar = math.log(accept / (1 - accept))
-    more = F.filter("found", lambda x: ~(x["strict"] & x["ok"]) & (score(x) >= F.lit(bar)) & ~F.exists("base", lambda b: touch(b, x)))
-    df = df.withColumn("more", more)
-    first = lambda a, b: (a["kind"] != "secret") & (b["kind"] == "secret")
-    added = F.filter("more", lambda x: ~F.exists("more", lambda y: touch(x, y) & first(y, x)))
-    return df.withColumn("added", added).select("doc_id", "base", "added")
+    likely = F.filter("found", lambda x: ~(x["strict"] & x["ok"]) & (score(x) >= F.lit(bar)))
+    df = df.withColumn("more", untouched(likely, F.col("base")))
+    df = df.withColumns({"others": F.filter("more", lambda x: x["kind"] != "secret"), "keys": F.filter("more", lambda x: x["kind"] == "secret")})
+    return df.withColumn("added", F.concat("others", untouched(F.col("keys"), F.col("others")))).select("doc_id", "base", "added")
 
 
 def find_personal_data(docs: DataFrame, scratch: Scratch) -> DataFrame:

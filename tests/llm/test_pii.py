@@ -169,3 +169,43 @@ def test_query_digests_the_base_spans(spark, tmp_path):
     r = P.op6_pii(spark, str(tmp_path)).first()
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 0, 0)
     assert r.base_sha256 == hashlib.sha256(b"email:2:8,ip:9:16").hexdigest()
+
+
+def test_long_texts_with_many_keys_and_addresses(spark):
+    """Tens of thousands of spans in one text: time stays near linear, and spans are those of short texts side by side."""
+    import time
+
+    def key(i):
+        letters = [chr(97 + int(c, 16)) for c in hashlib.sha256(str(i).encode()).hexdigest()]
+        letters[3], letters[20], letters[40] = "7", "5", "3"
+        return "".join(letters)
+
+    part = lambda i: f"api_key={key(i)} from a{i}@site{i % 7}.com via 10.0.{i % 250}.7 and so on\n"
+    n = 10_000
+    small, large = "".join(part(i) for i in range(300)), "".join(part(i) for i in range(n))
+    df = spark.createDataFrame([(1, small), (2, large)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in P.find_personal_data(df, Scratch(spark, "t")).select("doc_id", F.size("base").alias("b"), F.size("added").alias("a"), F.col("added.start").alias("s"), F.col("added.end").alias("e")).collect()}
+    assert time.perf_counter() - began < 60
+    assert rows[1].b == 600 and rows[2].b == 2 * n and rows[1].a == 300 and rows[2].a == n
+    at = [large.index("=") + 1]
+    for i in range(n - 1):
+        at.append(at[-1] + len(part(i)))
+    assert sorted(rows[2].s) == at and sorted(rows[2].e) == [x + 64 for x in at]
+
+
+def test_keys_of_any_length(spark):
+    long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(40))
+    rows = [(i, f"token={hashlib.sha256(str(i).encode()).hexdigest()[:40]} set") for i in range(60)] + [(100, f"api_key={long[:640]} set"), (101, f"api_key={long} set"), (102, "secret=" + "abcdefghijklmnopqrstuvwxyz" * 4 + "0123456789 set")]
+    got = {r.doc_id: r.n for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t")).select("doc_id", F.size("added").alias("n")).collect()}
+    assert got[100] == got[101] == got[102] == 1
+
+
+def test_sweep_equals_all_pairs(spark):
+    rng = random.Random(12)
+    span = lambda: (lambda a: (a, a + rng.randint(1, 6)))(rng.randint(0, 600))
+    rows = [(i, [span() for _ in range(rng.randint(0, 300))], [span() for _ in range(rng.choice([0, 1, 40, 300]))]) for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    got = {r.i: [tuple(x) for x in r.u] for r in df.select("i", P.untouched(F.col("a"), F.col("b")).alias("u")).collect()}
+    for i, a, b in rows:
+        assert got[i] == [x for x in a if not any(x[0] < y[1] and y[0] < x[1] for y in b)]
