@@ -28,5 +28,7 @@ def oracle_sql() -> dict:
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op9_embedding_near_dedup": embedding_dedup.OP9_SQL,
+        "op11_conversation_repair": repair.OP11_SQL,
         "op12_exact_top_k": topk_search.OP12_SQL,
+        "op13_spelling_variants": variants.OP13_SQL,
     }

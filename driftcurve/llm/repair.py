@@ -385,3 +385,66 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `conversations`, damaged and mended."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return repair_reports(damaged(rows), Scratch(spark, "repair"))
+
+
+#: The same by a recursive query over rows; the check sum comes from a table of bytes.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)
+  )
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS h
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE h > 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS pos, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged
+), rows AS (
+  SELECT conv_id, turn, pos, role, text, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+         CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
+  FROM placed
+), follows(g, x, g2) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), inserted(g, h, cost, label) AS (
+  VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')
+), edits AS (
+  SELECT conv_id, pos, h AS g, h AS g2, 2 AS cost, 'D' AS label FROM rows, (VALUES (0), (1), (2), (3)) s(h)
+  UNION ALL SELECT conv_id, pos, g, g2, CASE WHEN fault = 't' THEN 5 ELSE 0 END, 'K' FROM rows JOIN follows ON x = initial WHERE fault IN ('-', 't')
+  UNION ALL SELECT conv_id, pos, g, g2, CASE WHEN fault = 't' THEN 6 ELSE 1 END, 'R' FROM rows JOIN follows ON x IN ('u', 'a') WHERE fault IN ('-', 't')
+), arcs AS (
+  SELECT conv_id, pos, i.g, g2, min(i.cost + e.cost) AS cost, arg_min(i.label || e.label, (i.cost + e.cost, i.label || e.label)) AS label FROM edits e JOIN inserted i ON i.h = e.g GROUP BY ALL
+), sizes AS (
+  SELECT c.conv_id, coalesce(max(pos), 0) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN rows r ON c.conv_id IS NOT DISTINCT FROM r.conv_id GROUP BY c.conv_id
+), paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS g, CAST(0 AS BIGINT) AS cost, CAST('' AS VARCHAR) AS label FROM sizes
+  UNION ALL
+  SELECT p.conv_id, p.pos + 1, a.g2, CAST(min(p.cost + a.cost) AS BIGINT), arg_min(p.label || a.label, (p.cost + a.cost, p.label || a.label))
+  FROM paths p JOIN arcs a ON a.conv_id IS NOT DISTINCT FROM p.conv_id AND a.pos = p.pos + 1 AND a.g = p.g GROUP BY p.conv_id, p.pos, a.g2
+), best AS (
+  SELECT p.conv_id, min(p.cost + i.cost) AS cost, arg_min(p.label || i.label, (p.cost + i.cost, p.label || i.label)) AS audit
+  FROM paths p JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.n = p.pos JOIN inserted i ON i.g = p.g AND i.h IN (0, 3) GROUP BY p.conv_id
+), steps AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS label, unnest(range(1, length(audit) + 1)) AS k FROM best WHERE audit <> ''
+), met AS (
+  SELECT *, count(*) FILTER (label <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS pos FROM steps
+), kept AS (
+  SELECT m.conv_id, m.k, m.label, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.k) AS nth, r.role, r.text, r.initial
+  FROM met m LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.pos = m.pos AND m.label <> 'I' WHERE m.label <> 'D'
+), led AS (
+  SELECT *, CAST(first_value(label = 'K' AND initial = 's') OVER (PARTITION BY conv_id ORDER BY k) AS INTEGER) AS lead FROM kept
+), mended AS (
+  SELECT conv_id, string_agg(CASE WHEN label = 'K' THEN role WHEN (nth - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS whole FROM led GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pos > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+)
+SELECT s.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(b.cost AS BIGINT) AS cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM sizes s JOIN best b ON b.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM s.conv_id
+"""

@@ -299,3 +299,40 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all of `documents` with their near words, forms and roots."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return spelling_variants(docs, Scratch(spark, "variants")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: The same by joins on words that lack a letter; the check sum comes from a table of bytes.
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)
+  )
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), kinds AS (
+  SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS b FROM kinds
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, CAST(b AS BIGINT[])), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc_table
+), cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, g.rest FROM gaps g JOIN words w ON w.word = g.rest
+  UNION SELECT g.rest, g.word FROM gaps g JOIN words w ON w.word = g.rest
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, encode(other))) AS form, max(w.n) AS form_n FROM near JOIN words w ON w.word = other GROUP BY near.word
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)
+), path AS (
+  SELECT word, word AS upto FROM forms UNION ALL SELECT path.word, forms.form FROM path JOIN forms ON forms.word = path.upto WHERE forms.form IS NOT NULL
+), ends AS (
+  SELECT path.word, upto AS root FROM path JOIN forms ON forms.word = upto WHERE forms.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
