@@ -648,8 +648,8 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int =
     """(doc_id, f0 ..., component_id): documents whose fingerprints differ in at most `radius` bits, transitively.
 
     Fingerprints of several words only propose pairs: of those, documents are linked whose sets of
-    shingles have a Jaccard similarity of `similarity` or more, exactly. At 0.8 a pair differs in 39 of 256
-    bits; 56 are three standard errors more.
+    shingles have a Jaccard similarity of `similarity` or more, counted over all shingles, of whose hashes 40 bits are
+    compared. At 0.8 a pair differs in 39 of 256 bits; 56 are three standard errors more.
 
     Rows with equal fingerprints (and equal sets, where sets count) are first reduced to one
     representative with the smallest doc_id.

@@ -283,3 +283,29 @@ def test_columns_with_any_name_pass_through(spark):
     rows = [(1, "a b c d e f", 77, 88, 99), (2, "g h i j k l", 78, 89, 98)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, __node int, node int, row int")
     assert sorted(map(tuple, S.one_of_each(df, Scratch(spark, "t")).collect())) == rows
+
+
+def test_similar_documents_of_the_given_table_are_found(spark):
+    """As the pipeline's stage: of all pairs of five-word sets at 0.8 or more, by brute force over shared shingles, 0.998 at least are in one component, and no component holds anything else."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(S.shingle_hashes(r.text, 5).tolist()) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for h in s:
+            holders[h].append(i)
+    forest, ids, pairs = S.Forest(len(sets)), {i: k for k, i in enumerate(sorted(sets))}, []
+    for i, s in sets.items():
+        shared = Counter(j for h in s for j in holders[h] if j > i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                pairs.append((i, j))
+                forest.join(ids[i], ids[j])
+    blank = sorted(i for i, s in sets.items() if not s)
+    for i in blank[1:]:
+        forest.join(ids[blank[0]], ids[i])
+    got = {r.doc_id: r.component_id for r in S.near_dedup(docs, Scratch(spark, "t")).select("doc_id", "component_id").collect()}
+    assert len(pairs) > 1000 and sum(got[i] == got[j] for i, j in pairs) >= 0.998 * len(pairs)
+    names = sorted(sets)
+    assert all(names[forest.root(ids[i])] == names[forest.root(ids[c])] for i, c in got.items())
