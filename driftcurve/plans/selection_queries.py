@@ -10,6 +10,7 @@ from driftcurve.plans.series_queries import full_series, rounded
 from driftcurve.plans.sql import SERIES, r6
 from driftcurve.sources import tables
 from driftcurve.sources.curves import table
+from driftcurve.sources.state import Store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -383,6 +384,7 @@ def _rank_sql() -> str:
 def rank_features(spark, sf_dir):
     s = full_series(spark, sf_dir)
     wide = fam.apply(s, fam.main_stats("mag"), fam.main_stats("norm", entropy=False), fam.Family([], [F.first("class").alias("class")]))
+    wide = Store(spark, "features").table(wide.select("class", *_RANKED), "wide")  # both sides read it
     return rounded(ranking.rank_features(wide.where("class = 0"), wide.where("class = 1"), list(_RANKED)))
 
 
