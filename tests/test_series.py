@@ -150,3 +150,24 @@ def test_column_groups_of_the_whole_table_are_complete(spark):
     assert sizes == {"shape": 68, "split": 108, "fractions": 4}
     whole = [c for c in extract_all(curves(spark, sf)).columns if "_wv_" not in c]
     assert len(whole) == sum(sizes.values()) + 79 + len({"id", "class", "had_od", "npoints", "ts"})
+
+
+def differing(spark, folder, name: str, events: list[tuple]) -> int:
+    """Rows of a query over these (event_id, ts, user_id, value) that its SQL twin does not give."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    df = spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.write.parquet(f"{folder}/events.parquet")
+    entry.queries()[name](spark, str(folder)).write.parquet(f"{folder}/out")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    got, want = f"SELECT * FROM '{folder}/out/*.parquet'", entry.oracle_sql()[name]
+    return con.execute(f"SELECT count(*) FROM (({got}) EXCEPT ALL ({want}) UNION ALL (({want}) EXCEPT ALL ({got})))").fetchone()[0]
+
+
+def test_channels_equal_their_twin_where_time_stands_still(spark, tmp_path):
+    """Steps of mag over no time are of 1e9 to 1e12."""
+    events = [(k, "2024-01-01 00:00:11.172425", 1, round(0.37 * (k * k % 1000), 2)) for k in range(300)]
+    assert differing(spark, tmp_path, "seq_channels", events) == 0
