@@ -171,3 +171,9 @@ def test_channels_equal_their_twin_where_time_stands_still(spark, tmp_path):
     """Steps of mag over no time are of 1e9 to 1e12."""
     events = [(k, "2024-01-01 00:00:11.172425", 1, round(0.37 * (k * k % 1000), 2)) for k in range(300)]
     assert differing(spark, tmp_path, "seq_channels", events) == 0
+
+
+def test_times_equal_their_twin_at_half_milliseconds(spark, tmp_path):
+    """A day number may miss a microsecond, so half a millisecond may go either way."""
+    events = [(k, f"2024-01-30 {k % 24:02d}:{k % 60:02d}:{k * 7 % 60:02d}.{k % 1000:03d}{499 + k % 3}", k, 1.0) for k in range(3000)]
+    assert differing(spark, tmp_path, "series_ts", events) == 0
