@@ -31,6 +31,8 @@ LOOK_UP = 1 << 20
 HUBS, VERIFY_ROWS = 8, 512
 #: Bytes that are kept of a shingle's hash where sets are compared: two shingles of a pair of n are taken for one another with a chance of n^2 / 2^40.
 SET_BYTES = 5
+#: Largest radius that vantage-point shards search; that of wide fingerprints' first words.
+BALL, FIRST_WORD = 4, 2
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -404,6 +406,13 @@ def vp_links(reps: DataFrame, radius: int) -> DataFrame:
     return vp_dealt(reps, radius).groupBy("shard").applyInArrow(solve, "src bigint, dst bigint")
 
 
+def first_word_links(reps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(src, dst): what connects wide fingerprints whose first words differ in at most `radius` bits, exactly, by vantage-point shards."""
+    firsts = scratch.table(reps.groupBy("f0").agg(F.min("rep").alias("rep")), "firsts")
+    equal = reps.join(firsts.select(F.col("f0").alias("w"), F.col("rep").alias("dst")), F.col("f0") == F.col("w")).where("rep <> dst").select(F.col("rep").alias("src"), "dst")
+    return vp_links(firsts, radius).unionByName(equal)
+
+
 def stars(rep: np.ndarray, forest: Forest) -> pa.Table:
     root = forest.roots(np.arange(len(rep)))
     own = np.flatnonzero(root != np.arange(len(rep)))
@@ -653,8 +662,9 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int =
 
     Rows with equal fingerprints (and equal sets, where sets count) are first reduced to one
     representative with the smallest doc_id.
-    One-word fingerprints with a small radius (up to 4 bits) are searched exactly by vantage-point
-    shards; wider ones by samples of bits, because at such radii the triangle bound excludes nothing.
+    One-word fingerprints with a small radius (up to BALL bits) are searched exactly by vantage-point
+    shards, as are the first words of wider ones, at FIRST_WORD bits. What those do not reach is proposed by samples
+    of bits too, because at such radii the triangle bound excludes nothing; verification follows both.
     Of a pair at `radius` bits that meets, comparing first words first loses 3e-9.
 
     Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows
@@ -668,7 +678,10 @@ def near_dedup(docs: DataFrame, scratch: Scratch, words: int = 5, radius: int =
     own = scratch.table(shingled(docs, words, n_words) if exact else fingerprints(docs, words, n_words), "fingerprints")
     made = made_node(UNNAMED, *(F.col(x) for x in keys))
     reps = scratch.table(own.groupBy(*keys).agg(F.coalesce(F.min("doc_id"), F.first(made)).alias("rep")), "representatives")
-    links = vp_links(reps, radius) if n_words == 1 and radius <= 4 else band_links(reps, radius, n_words)
+    if n_words == 1:
+        links = vp_links(reps, radius) if radius <= BALL else band_links(reps, radius, n_words)
+    else:
+        links = first_word_links(reps, FIRST_WORD, scratch).unionByName(band_links(reps, radius, n_words))
     same_id = repeats(own, reps, keys, scratch)
     labels = connected_components(scratch.table(links if exact else links.unionByName(same_id), "links"), scratch)
     if exact:

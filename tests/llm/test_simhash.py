@@ -309,3 +309,16 @@ def test_similar_documents_of_the_given_table_are_found(spark):
     assert len(pairs) > 1000 and sum(got[i] == got[j] for i, j in pairs) >= 0.998 * len(pairs)
     names = sorted(sets)
     assert all(names[forest.root(ids[i])] == names[forest.root(ids[c])] for i, c in got.items())
+
+
+def test_wide_fingerprints_meet_in_vantage_point_shards(spark, monkeypatch):
+    """Without samples of bits, near copies whose first words differ in at most two bits are still one document."""
+    monkeypatch.setattr(S, "band_links", lambda reps, *_: spark.createDataFrame([], "src bigint, dst bigint"))
+    rng = np.random.default_rng(5)
+    base = [[f"w{i}" for i in rng.choice(3000, 250)] for _ in range(30)]
+    texts = [" ".join(t) for t in [*base, *([*b, f"end{i}"] for i, b in enumerate(base))]]
+    first = [int(S.fingerprint(S.shingle_hashes(t, 5))[0]) for t in texts]
+    close = [i for i in range(30) if (first[i] ^ first[30 + i]).bit_count() <= 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in S.one_of_each(docs, Scratch(spark, "t")).collect()}
+    assert len(close) > 15 and kept == {i for i in range(60) if i < 30 or i - 30 not in close}
