@@ -177,3 +177,11 @@ def test_times_equal_their_twin_at_half_milliseconds(spark, tmp_path):
     """A day number may miss a microsecond, so half a millisecond may go either way."""
     events = [(k, f"2024-01-30 {k % 24:02d}:{k % 60:02d}:{k * 7 % 60:02d}.{k % 1000:03d}{499 + k % 3}", k, 1.0) for k in range(3000)]
     assert differing(spark, tmp_path, "series_ts", events) == 0
+
+
+def test_wavelets_run_only_where_their_columns_are_used(spark):
+    s = long(spark, {f"s{k}": 15.0 + np.arange(12) % 5 for k in range(3)}).withColumn("class", F.lit(0))
+    got = extract_all(s, float32=False)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan(got.select("id", "norm_mean")) and "InArrow" not in plan(got.select("id", "norm_mean"))
+    assert "ArrowEvalPython" in plan(got.select("id", "norm_wv_haar_entropy"))
