@@ -1,9 +1,10 @@
 """Sequence classifiers: recurrent, attention and perceptron parts, trained and applied partition by partition.
 
 Gradients come from a small reverse-mode tape over numpy. Inputs are tables with `sequence` (an array
-of points, each an array of numbers), feature columns, a label and perhaps a weight. Training is data-parallel: each
-step's mini-batch is read by several tasks, each sums the gradient of its rows, and the driver adds up at most SPREAD
-such sums and moves the weights. It never holds a row.
+of points, each an array of numbers), feature columns, a label and perhaps a weight. Training is data-parallel: a
+large mini-batch is read by several tasks, each sums the gradient of its rows, and the driver adds up at most SPREAD
+such sums and moves the weights. Small mini-batches depend on each other and are not worth a job each: a task takes a run
+of them in turn and hands the weights on. The driver never holds a row.
 """
 
 from __future__ import annotations
@@ -105,8 +106,25 @@ def unary(x: Node, y: np.ndarray, slope: np.ndarray) -> Node:
     return Node(y, ((x, lambda g: g * slope),))
 
 
+def squashed(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.minimum(x, 40.0, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1.0, x, out=x)
+
+
+def bent(x: np.ndarray) -> np.ndarray:
+    """tanh by one exponential: faster than numpy's."""
+    y = squashed(x * 2)
+    y *= 2
+    y -= 1
+    return y
+
+
 def tanh(x: Node) -> Node:
-    y = np.tanh(x.data)
+    y = bent(x.data)
     return unary(x, y, 1 - y * y)
 
 
@@ -135,6 +153,122 @@ def concat(parts: list[Node], axis: int) -> Node:
     return Node(np.concatenate([p.data for p in parts], axis=axis), tuple((p, cut(i)) for i, p in enumerate(parts)))
 
 
+# --- recurrent layers -----------------------------------------------------------------------------
+
+
+class Rnn:
+    """A step of a cell on (gates * hidden, rows): forward gives the new state and what the way back needs, back fills both inputs' gradients and gives the old state's direct one."""
+
+    gates = 1
+
+    def __init__(self, n: int, h: int):
+        self.h = h
+
+    def forward(self, a, b, state):
+        new = bent(a + b)
+        return new, (new,)
+
+    def back(self, d, state, kept, da, db):
+        (new,) = kept
+        da[:] = db[:] = d * (1 - new * new)
+        return 0.0
+
+
+class Gru(Rnn):
+    gates = 3
+
+    def forward(self, a, b, state):
+        h = self.h
+        zr, u = squashed(a[: 2 * h] + b[: 2 * h]), b[2 * h :]
+        c = bent(a[2 * h :] + zr[h:] * u)
+        return c + zr[:h] * (state - c), (zr, u, c)
+
+    def back(self, d, state, kept, da, db):
+        h, (zr, u, c) = self.h, kept
+        z, r = zr[:h], zr[h:]
+        dz = d * z
+        dc = (d - dz) * (1 - c * c)
+        da[:h], da[h : 2 * h], da[2 * h :] = (d - dz) * z * (state - c), dc * u * r * (1 - r), dc
+        db[: 2 * h], db[2 * h :] = da[: 2 * h], dc * r
+        return dz
+
+
+class Lstm(Rnn):
+    gates = 4
+
+    def __init__(self, n: int, h: int):
+        super().__init__(n, h)
+        self.memory, self.slope = np.zeros((h, n)), np.zeros((h, n))
+
+    def forward(self, a, b, state):
+        h, g, n = self.h, a + b, a.shape[1]
+        gate, t, old = squashed(g[: 3 * h]), bent(g[3 * h :]), self.memory[:, :n].copy()
+        new = gate[h : 2 * h] * old + gate[:h] * t
+        self.memory[:, :n] = new
+        out = bent(new)
+        return gate[2 * h :] * out, (gate, t, old, out)
+
+    def back(self, d, state, kept, da, db):
+        h, (gate, t, old, out), n = self.h, kept, d.shape[1]
+        dm = d * gate[2 * h :] * (1 - out * out) + self.slope[:, :n]
+        da[:h], da[h : 2 * h], da[2 * h : 3 * h], da[3 * h :] = dm * t, dm * old, d * out, dm * gate[:h] * (1 - t * t)
+        da[: 3 * h] *= gate * (1 - gate)
+        db[:] = da
+        self.slope[:, :n] = dm * gate[h : 2 * h]
+        return 0.0
+
+
+RECURRENT = {"rnn": Rnn, "gru": Gru, "lstm": Lstm}
+
+
+def recurrent(cell: str, v: Node, wx: Node, wh: Node, bias: Node, mask: np.ndarray) -> Node:
+    """States (rows, steps, hidden) of a layer as one node; rows keep their state once they have ended.
+
+    Rows lie by falling length, so that a step takes those that go on, and what no step waits for is one product.
+    """
+    (n, steps, c), h = v.data.shape, wh.data.shape[0]
+    made = RECURRENT[cell](n, h)
+    order = np.argsort(-mask.sum(axis=1), kind="stable")
+    back_order, live = np.argsort(order), mask.sum(axis=0).astype(int)
+    x = np.ones((steps, c + 1, n))  # the last channel is the bias's
+    x[:, :c] = v.data[order].transpose(1, 2, 0)
+    a = np.concatenate([wx.data, bias.data[None]]).T @ x
+    states, kept, down = np.empty((steps + 1, h, n)), [], np.ascontiguousarray(wh.data.T)
+    states[0] = 0
+    for t, m in enumerate(live):
+        old = states[t, :, :m]
+        states[t + 1, :, :m], own = made.forward(a[t, :, :m], down @ old, old)
+        states[t + 1, :, m:] = states[t, :, m:]
+        kept.append(own)
+    found: list[np.ndarray] = []
+
+    def back(g):
+        g, d = np.ascontiguousarray(g[order].transpose(1, 2, 0)), np.zeros((h, n))
+        da, db = np.empty((2, wx.data.shape[1], n))
+        dx, dwx, dwh = np.zeros((steps, c, n)), np.zeros((c + 1, len(da))), np.zeros(wh.data.shape)
+        for t in reversed(range(steps)):
+            m = live[t]
+            d += g[t]
+            p, q, old = da[:, :m], db[:, :m], states[t, :, :m]
+            direct = made.back(d[:, :m], old, kept[t], p, q)
+            d[:, :m] = wh.data @ q + direct
+            dwx += x[t, :, :m] @ p.T
+            dwh += old @ q.T
+            if v.sources:
+                dx[t, :, :m] = wx.data @ p
+        found.extend((dx.transpose(2, 0, 1)[back_order], dwx[:-1], dwh, dwx[-1]))
+
+    def part(i):
+        def of(g):
+            if not found:
+                back(g)
+            return found[i]
+
+        return of
+
+    return Node(states[1:].transpose(2, 0, 1)[back_order], tuple((s, part(i)) for i, s in enumerate((v, wx, wh, bias))))
+
+
 # --- the model ------------------------------------------------------------------------------------
 
 
@@ -249,7 +383,7 @@ class SequenceModel:
                         self.weights[f"{name}g{k}"] = np.ones(h)
                         zero(f"{name}b{k}", h)
             else:
-                gates = {"rnn": 1, "gru": 3, "lstm": 4}[s.cell]
+                gates = RECURRENT[s.cell].gates
                 for k in range(s.layers):
                     put(f"x{k}", channels if k == 0 else h, gates * h), put(f"h{k}", h, gates * h), zero(f"b{k}", gates * h)
                 put("att", h, h), put("attv", h, 1)
@@ -263,32 +397,14 @@ class SequenceModel:
         s, h = self.settings, self.settings.hidden
         if s.cell == "transformer":
             return self.attend(w, x, mask)
-        steps = [node(x[:, t]) for t in range(x.shape[1])]
+        v = node(x)
         for k in range(s.layers):
-            state, memory, out = node(np.zeros((len(x), h))), node(np.zeros((len(x), h))), []
-            for t, v in enumerate(steps):
-                on = mask[:, t, None]
-                a, b = v @ w[f"x{k}"] + w[f"b{k}"], state @ w[f"h{k}"]
-                if s.cell == "rnn":
-                    new = tanh(a + b)
-                elif s.cell == "gru":
-                    z, r = sigmoid(a[:, :h] + b[:, :h]), sigmoid(a[:, h : 2 * h] + b[:, h : 2 * h])
-                    c = tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
-                    new = z * state + (node(1.0) - z) * c
-                else:
-                    g = a + b
-                    kept = sigmoid(g[:, h : 2 * h]) * memory + sigmoid(g[:, :h]) * tanh(g[:, 3 * h :])
-                    memory = kept * on + memory * (1 - on)
-                    new = sigmoid(g[:, 2 * h : 3 * h]) * tanh(kept)
-                state = new * on + state * (1 - on)
-                out.append(state)
-            steps = out
+            v = recurrent(s.cell, v, w[f"x{k}"], w[f"h{k}"], w[f"b{k}"], mask)
         if s.pooling == "last":
-            return steps[-1]
-        all_steps = concat([v.reshape(len(x), 1, h) for v in steps], 1)
-        score = (tanh(all_steps.reshape(-1, h) @ w["att"]) @ w["attv"]).reshape(len(x), len(steps), 1)
+            return v[:, -1]
+        score = (tanh(v.reshape(-1, h) @ w["att"]) @ w["attv"]).reshape(*mask.shape, 1)
         share = softmax(score + np.where(mask[:, :, None] > 0, 0.0, -1e9), 1)
-        return (all_steps * share).sum(1).reshape(len(x), h)
+        return (v * share).sum(1).reshape(len(x), h)
 
     def attend(self, w: dict[str, Node], x: np.ndarray, mask: np.ndarray) -> Node:
         s, h = self.settings, self.settings.hidden
@@ -405,16 +521,23 @@ def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def arrays_of(column: pa.Array, width: int) -> list[np.ndarray]:
     """Each row's points; a missing or empty sequence is one point of zeros, undefined numbers are 0."""
-    out = []
-    for i in range(len(column)):
-        v = column[i].as_py()
-        x = np.nan_to_num(np.array(v, float).reshape(len(v), -1), posinf=1e6, neginf=-1e6) if v else np.zeros((1, width))
-        out.append(x)
-    return out
+    if column.null_count == len(column) or not len(column.flatten()):
+        return [np.zeros((1, width))] * len(column)
+    ends, points = column.offsets.to_numpy(), column.values
+    inner = points.offsets.to_numpy()[ends[0] : ends[-1] + 1]
+    sizes = np.diff(inner)
+    if points.slice(ends[0], ends[-1] - ends[0]).null_count or sizes.min() != sizes.max() or not sizes[0]:
+        raise ValueError("points differ in their number of channels")
+    flat = points.values.slice(inner[0], inner[-1] - inner[0]).to_numpy(zero_copy_only=False).astype(float)
+    rows = np.nan_to_num(flat, posinf=1e6, neginf=-1e6).reshape(len(sizes), -1)
+    cut, there = ends - ends[0], column.is_valid().to_numpy(zero_copy_only=False) & (np.diff(ends) > 0)
+    return [rows[cut[i] : cut[i + 1]] if there[i] else np.zeros((1, width)) for i in range(len(column))]
 
 
 #: Tasks that share a mini-batch at most, and folders that mini-batches lie in.
 SPREAD, FOLDERS = 8, 512
+#: Rows of a mini-batch that one task takes alone, and rows of a run of such mini-batches.
+ALONE, RUN = 256, 1 << 15
 
 
 def batch_of(settings: Settings, key: str, batches: int) -> Column:
@@ -468,11 +591,66 @@ def summed_gradient(model: SequenceModel, rows: DataFrame, weigh: tuple[float, f
     return sum(r["n"] for r in got), sum(r["loss"] for r in got), grad
 
 
+def run_of_steps(model: SequenceModel, adam: Adam, rows: DataFrame, weigh: tuple[float, float]) -> float:
+    """Move the model through the mini-batches of (place, sequence, y, w, features...) in the order of `place`; the sum of their mean losses.
+
+    One task holds a part of a mini-batch at a time. What comes to the driver is three times as long as the weights.
+    """
+    width, n_features = len(model.scale["m"]), len(model.scale["fm"])
+    joined = lambda d: np.concatenate([v.ravel() for v in d.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, place, n, loss, grad = 0.0, None, 0, 0.0, {}
+
+        def move() -> float:
+            adam.move(model.weights, {k: g / n for k, g in grad.items()}, model.settings.rate, model.settings.decay)
+            return loss / n
+
+        for whole in batches:
+            places = whole.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(places, prepend=-1))
+            for lo, hi in zip(starts, [*starts[1:], len(places)], strict=True):
+                if n and places[lo] != place:
+                    total, n, loss, grad = total + move(), 0, 0.0, {}
+                place = places[lo]
+                for at in range(lo, hi, 256):
+                    x, f, y, w = read_rows(whole.slice(at, min(256, hi - at)).select(whole.schema.names[1:]), width, n_features)
+                    more, g = model.gradient(x, f, y, w * np.where(y == 1, *weigh))
+                    n, loss, grad = n + len(y), loss + more, {k: v + grad[k] for k, v in g.items()} if grad else g
+        if n:
+            total += move()
+        yield pa.RecordBatch.from_arrays([pa.array([joined(d)]) for d in (model.weights, adam.first, adam.second)] + [pa.array([adam.step]), pa.array([total])], names=["weights", "first", "second", "step", "loss"])
+
+    in_order = with_code(rows).coalesce(1).sortWithinPartitions("place", F.xxhash64("__key")).drop("__key")
+    got = in_order.mapInArrow(run, "weights array<double>, first array<double>, second array<double>, step bigint, loss double").first()
+    at = 0
+    for k, v in model.weights.items():
+        to = at + v.size
+        for own, name in ((adam.first, "first"), (adam.second, "second"), (model.weights, "weights")):
+            own[k] = np.array(got[name][at:to]).reshape(v.shape)
+        at = to
+    adam.step = got["step"]
+    return got["loss"]
+
+
+def in_runs(store: Store, rows: DataFrame, order: np.ndarray, batch: int) -> Iterator[DataFrame]:
+    """Rows (batch, ...) in runs of whole mini-batches in an order: dealt out in one shuffle, then read run by run as (place, ...)."""
+    size = max(1, RUN // batch)
+    runs = -(-len(order) // size)
+    places = store.spark.createDataFrame(pa.table({"batch": pa.array(order, pa.int64()), "place": pa.array(np.arange(len(order)), pa.int64())}))
+    dealt = rows.join(F.broadcast(places), "batch").drop("batch").withColumn("run", F.floor(F.col("place") / size).cast("int"))
+    dealt = store.table(dealt.repartition(min(runs, 4096), "run"), "epoch", by="run")
+    for k in range(runs):
+        yield dealt.where(F.col("run") == k).drop("run")
+    store.drop("epoch")
+
+
 def train(df: DataFrame, settings: Settings, label: str = "class", weight: str | None = None, key: str = "row_index", report: Callable[[int, float], None] | None = None) -> SequenceModel:
-    """Fit on all rows: as SequenceModel.fit, with mini-batches of some `batch` rows by their hash, each a pass of at most SPREAD tasks.
+    """Fit on all rows: as SequenceModel.fit, with mini-batches of some `batch` rows by their hash.
 
-    Rows are written once, dealt out and sorted by mini-batch, so that a step reads its own. Scales and the labels'
-    shares come from one pass each. A lost executor costs a step's tasks.
+    Mini-batches of up to ALONE rows are taken in runs, each epoch's dealt out anew, a task for each run; a lost executor
+    costs a run. For larger ones rows are written once, dealt out and sorted by mini-batch, and each step is a pass of at
+    most SPREAD tasks; a lost executor costs a step's tasks. Scales and the labels' shares come from one pass each.
     """
     sequence = F.col("sequence").cast("array<array<double>>") if "sequence" in df.columns else F.lit(None).cast("array<array<double>>")
     features = [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(settings.columns)]
@@ -480,10 +658,14 @@ def train(df: DataFrame, settings: Settings, label: str = "class", weight: str |
     store = Store(df.sparkSession, "networks")
     first = own.agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"), F.max(F.size(F.get("sequence", F.lit(0)))).alias("width")).first()
     batches = max(1, -(-first["n"] // settings.batch))
-    batch = batch_of(settings, "__key", batches)
-    dealt = own.withColumn("batch", batch).withColumn("folder", F.pmod(F.col("batch"), F.lit(FOLDERS))).withColumn("part", F.pmod(F.xxhash64("__key"), F.lit(min(SPREAD, -(-settings.batch // 32))))).drop("__key")
-    dealt = dealt.repartition(min(batches * SPREAD, 4096), "folder", "part").sortWithinPartitions("folder", "batch")
-    rows = store.table(dealt, "rows", by="folder").drop("part")
+    alone = settings.batch <= ALONE
+    own = own.withColumn("batch", batch_of(settings, "__key", batches))
+    if alone:
+        rows = store.table(own, "rows")
+    else:
+        dealt = own.withColumn("folder", F.pmod(F.col("batch"), F.lit(FOLDERS))).withColumn("part", F.pmod(F.xxhash64("__key"), F.lit(min(SPREAD, -(-settings.batch // 32))))).drop("__key")
+        dealt = dealt.repartition(min(batches * SPREAD, 4096), "folder", "part").sortWithinPartitions("folder", "batch")
+        rows = store.table(dealt, "rows", by="folder").drop("part")
     names = ["sequence", "y", "w", *(f"f{i}" for i in range(len(features)))]
     model = SequenceModel(settings)
     width = max(1, first["width"] or 1)
@@ -492,8 +674,11 @@ def train(df: DataFrame, settings: Settings, label: str = "class", weight: str |
     weigh = balanced(first["n"], first["pos"]) if settings.balance else (1.0, 1.0)
     adam, rng = Adam(model.weights), np.random.default_rng(settings.seed)
     for epoch in range(settings.epochs):
-        total = 0.0
-        for k in rng.permutation(batches):
+        total, order = 0.0, rng.permutation(batches)
+        if alone:
+            for run in in_runs(store, rows, order, settings.batch):
+                total += run_of_steps(model, adam, run.select("place", *names, "__key"), weigh)
+        for k in () if alone else order:
             step = rows.where((F.col("folder") == int(k) % FOLDERS) & (F.col("batch") == int(k))).select(names)
             n, loss, grad = summed_gradient(model, step, weigh)
             if n:

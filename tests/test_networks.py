@@ -112,3 +112,57 @@ def test_driver_gets_sums_alone(spark, monkeypatch):
         seen.clear()
         m = N.train(spark.range(n).selectExpr("id AS row_index", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 7 > 3 AS INT) AS class"), s)
         assert sum(k for k, _ in seen) == n and {size for _, size in seen} == {sum(v.size for v in m.weights.values())}
+
+
+@pytest.mark.parametrize(("cell", "pooling"), [("gru", "attention"), ("lstm", "last")])
+def test_small_mini_batches_are_taken_in_runs(spark, monkeypatch, cell, pooling):
+    """Jobs do not grow with the number of mini-batches, and runs that hand the weights on give what one process gives."""
+    seqs, feats, y = data(150, seed=4)
+    rows = [(i, s.tolist(), *map(float, f), int(k)) for i, (s, f, k) in enumerate(zip(seqs, feats, y, strict=True))]
+    df = spark.createDataFrame(rows, "row_index int, sequence array<array<double>>, a double, b double, c double, class int").repartition(5)
+    s = N.Settings(cell=cell, pooling=pooling, hidden=4, head=(6,), columns=("a", "b", "c"), epochs=2, batch=4)
+    monkeypatch.setattr(N, "RUN", 48, raising=False)  # four runs an epoch
+    spark.sparkContext.setJobGroup("runs", "runs")
+    losses = []
+    got = N.train(df, s, report=lambda k, v: losses.append(v))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("runs"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 60  # there are 76 mini-batches
+    batch = np.array([r.b for r in df.select("row_index", N.batch_of(s, "row_index", 38).alias("b")).orderBy("row_index").collect()])
+    alone = []
+    want = N.SequenceModel(s).fit(seqs, feats, y, None, lambda k, v: alone.append(v), batch)
+    assert losses == pytest.approx(alone, abs=1e-6)
+    for k, v in want.weights.items():
+        assert np.allclose(got.weights[k], v, atol=1e-6), k
+
+
+def test_arrays_of_cut_and_missing_sequences():
+    rows = [[[1.0, 2.0]], None, [], [[3.0, None], [float("inf"), 6.0]], [[7.0, float("nan")]]]
+    want = [[[1, 2]], [[0, 0]], [[0, 0]], [[3, 0], [1e6, 6]], [[7, 0]]]
+    column = N.pa.array(rows, N.pa.list_(N.pa.list_(N.pa.float64())))
+    for lo in range(6):
+        for n in range(6 - lo):
+            got = N.arrays_of(column.slice(lo, n), 2)
+            assert [x.tolist() for x in got] == want[lo : lo + n]
+    assert [x.tolist() for x in N.arrays_of(N.pa.nulls(2, column.type), 3)] == [[[0, 0, 0]]] * 2
+    with pytest.raises(ValueError, match="channels"):
+        N.arrays_of(N.pa.array([[[1.0], [1.0, 2.0]]]), 1)
+
+
+@pytest.mark.parametrize("cell", ["rnn", "gru", "lstm"])
+def test_layers_of_layers_have_right_gradients(cell):
+    """Two layers, so gradients pass through a layer to the one below, and a long sequence among short ones."""
+    seqs, feats, y = data(5, seed=2)
+    m = N.SequenceModel(N.Settings(mode="sequence_only", cell=cell, pooling="last", layers=2, hidden=4, epochs=0)).fit([*seqs[:4], np.tile(seqs[4], (3, 1))], feats, y)
+    sample = np.arange(1.0, 6.0)
+    loss = lambda: m.gradient(seqs, feats, y, sample)[0]
+    _, grad = m.gradient(seqs, feats, y, sample)
+    for k, v in m.weights.items():
+        at = tuple(n // 2 for n in v.shape)
+        old, eps = v[at], 1e-5
+        v[at] = old + eps
+        up = loss()
+        v[at] = old - eps
+        down = loss()
+        v[at] = old
+        assert grad[k][at] == pytest.approx((up - down) / (2 * eps), abs=1e-4), k
