@@ -185,3 +185,18 @@ def test_wavelets_run_only_where_their_columns_are_used(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan(got.select("id", "norm_mean")) and "InArrow" not in plan(got.select("id", "norm_mean"))
     assert "ArrowEvalPython" in plan(got.select("id", "norm_wv_haar_entropy"))
+
+
+def test_all_features_keep_their_partitions(spark):
+    """Few bytes cost much time here, so adaptive execution must not merge tasks down to the number of cores; the rows stay the same."""
+    import __spark_entry__ as entry
+    from driftcurve.sources.curves import curves, parts
+
+    few, many = curves(spark, "/root/testdata/sf0.001"), curves(spark, "/root/testdata/sf0.001", spread=True)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    queries = entry.queries()
+    for q in ("extract_all_features", "all_features_fractions"):
+        got = queries[q](spark, "/root/testdata/sf0.001")
+        assert got.rdd.getNumPartitions() == parts(spark) >= 4 * spark.sparkContext.defaultParallelism, q
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
